@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, sharding, url_rules
+from . import bpe, chat, sharding, url_rules
 
 QUERIES = {
     "op2_url_rules": url_rules.op2_url_rules,
     "op3_hilbert_shards": sharding.op3_hilbert_shards,
+    "op4_bpe_automaton": bpe.op4_bpe_automaton,
     "op10_prefix_target": chat.op10_prefix_target,
 }
 ORACLES = {
