@@ -98,6 +98,16 @@ def steps(at: np.ndarray, most: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
         lo = min(hi, n)
 
 
+def span_hash(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes; sizes above 0."""
+    if not len(size):
+        return np.zeros(0, np.uint64)
+    at = np.cumsum(size) - size
+    place = np.arange(int(size.sum())) - np.repeat(at, size)
+    value = _CODE[data[np.repeat(start, size) + place]] * np.cumprod(np.full(int(size.max()), _STEP))[place]
+    return mix(np.add.reduceat(value, at) + size.astype(np.uint64))
+
+
 class Words:
     """Words of texts: doc (index of the text), start and end (bytes, in raw), and a 64-bit hash of each."""
 
@@ -112,23 +122,14 @@ class Words:
         ends = inside[1:-1] & ~inside[2:]
         before = edges[edges > 0] - 1
         ends[before] = inside[1:-1][before]
-        self.raw, self.low = raw, low
+        self.raw, self.low, self.inside = raw, low, inside[1:-1]
         self.start = np.flatnonzero(begins)
         self.end = np.flatnonzero(ends) + 1
         self.doc = np.searchsorted(at, self.start, "right") - 1
         self.count = np.bincount(self.doc, minlength=len(at) - 1)
         self.first = np.concatenate([[0], np.cumsum(self.count)])  # of each text's words
         if hashes:
-            self.hash = self._hash(inside[1:-1])
-
-    def _hash(self, inside: np.ndarray) -> np.ndarray:
-        size = self.end - self.start
-        if not len(size):
-            return np.zeros(0, np.uint64)
-        powers = np.cumprod(np.full(int(size.max()), _STEP))
-        place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        value = _CODE[self.low[inside]] * powers[place]
-        return mix(np.add.reduceat(value, np.cumsum(size) - size) + size.astype(np.uint64))
+            self.hash = span_hash(self.low, self.start, self.end - self.start)
 
     def text(self, i: int) -> bytes:
         return self.low[self.start[i] : self.end[i]].tobytes()
