@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, licenses, quality, sharding, toxicity, url_rules
+from . import bpe, chat, decontaminate, licenses, quality, sharding, toxicity, url_rules
 
 QUERIES = {
     "op1_risk_thresholds": quality.op1_risk_thresholds,
     "op2_url_rules": url_rules.op2_url_rules,
     "op3_hilbert_shards": sharding.op3_hilbert_shards,
     "op4_bpe_automaton": bpe.op4_bpe_automaton,
+    "op6_prefix_join": decontaminate.op6_prefix_join,
     "op8_diagonal_voting": licenses.op8_diagonal_voting,
     "op9_nb_char_ngrams": toxicity.op9_nb_char_ngrams,
     "op10_prefix_target": chat.op10_prefix_target,
 }
 ORACLES = {
     "op2_url_rules": url_rules.OP2_SQL,
+    "op6_prefix_join": decontaminate.OP6_SQL,
 }
