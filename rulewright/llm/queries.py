@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, licenses, quality, sharding, toxicity, url_rules
+from . import bpe, chat, decontaminate, katz, licenses, quality, sharding, toxicity, url_rules
 
 QUERIES = {
     "op1_risk_thresholds": quality.op1_risk_thresholds,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_hilbert_shards": sharding.op3_hilbert_shards,
     "op4_bpe_automaton": bpe.op4_bpe_automaton,
     "op6_prefix_join": decontaminate.op6_prefix_join,
+    "op7_katz": katz.op7_katz,
     "op8_diagonal_voting": licenses.op8_diagonal_voting,
     "op9_nb_char_ngrams": toxicity.op9_nb_char_ngrams,
     "op10_prefix_target": chat.op10_prefix_target,
