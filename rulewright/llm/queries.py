@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, katz, licenses, quality, sharding, toxicity, url_rules
+from . import bpe, chat, decontaminate, katz, licenses, near_duplicates, quality, sharding, toxicity, url_rules
 
 QUERIES = {
     "op1_risk_thresholds": quality.op1_risk_thresholds,
     "op2_url_rules": url_rules.op2_url_rules,
     "op3_hilbert_shards": sharding.op3_hilbert_shards,
     "op4_bpe_automaton": bpe.op4_bpe_automaton,
+    "op5_parity_join": near_duplicates.op5_parity_join,
     "op6_prefix_join": decontaminate.op6_prefix_join,
     "op7_katz": katz.op7_katz,
     "op8_diagonal_voting": licenses.op8_diagonal_voting,
