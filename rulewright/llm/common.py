@@ -7,12 +7,13 @@ import shutil
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text that one numpy step works on; a longer single text is one step of its own.
 STEP_BYTES = 2 << 20
@@ -47,6 +48,37 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def appended(df: DataFrame, text_col: str, make: Callable[[pa.Array], list[pa.Array]], kinds: str) -> DataFrame:
+    """df with its columns named c0, c1 .. in order, and the columns (``kinds``) that ``make`` gives for the texts."""
+    plain, at = df.toDF(*[f"c{i}" for i in range(len(df.columns))]), df.columns.index(text_col)
+    schema = T.StructType([*plain.schema.fields, *T.StructType.fromDDL(kinds).fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, *make(b.column(at))], schema.names)
+
+    return plain.mapInArrow(run, schema)
+
+
+def restored(df: DataFrame, names: list[str]) -> DataFrame:
+    """The columns of what appended() gave, under their own names again."""
+    return df.select(*[f"c{i}" for i in range(len(names))]).toDF(*names)
+
+
+#: Rows of keys that are sent to every task to leave rows out; with more, both sides are shuffled.
+SENT_KEYS = 4_000_000
+
+
+def without(df: DataFrame, id_col: str, text_col: str, gone: DataFrame) -> DataFrame:
+    """df without the rows whose id and text hash stand in gone (id, key)."""
+    names = list(df.columns)
+    plain = df.toDF(*[f"c{i}" for i in range(len(names))])
+    i, key = F.col(f"c{names.index(id_col)}"), F.xxhash64(f"c{names.index(text_col)}")
+    gone = gone.select(F.col("id").alias("_id"), F.col("key").alias("_key")).distinct()
+    gone = F.broadcast(gone) if gone.count() <= SENT_KEYS else gone
+    return restored(plain.join(gone, i.eqNullSafe(F.col("_id")) & (key == F.col("_key")), "left_anti"), names)
+
+
 def doc_remainder(doc_id: Column, n: int) -> Column:
     """crc32(doc_id as text) mod n; null for a null id."""
     return F.crc32(doc_id.cast("string")) % n

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import pick, table, written
+from .common import pick, table, without, written
 
 WINDOW, SHINGLE = 10, 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -42,17 +42,14 @@ def item_windows(benchmark: DataFrame, id_col: str, text_col: str, window: int =
     return runs.select("item", "size", F.array_join("run", " ").alias("window"), F.explode(parts).alias("p")).select("item", "size", "window", "p.at", "p.shingle").distinct()
 
 
-def marked(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """id, n_words, n_hit, items (sorted ids, as text, of items with a window that occurs) and contaminated, by row.
+def _split(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = pick(docs, id_col, text_col).toDF("id", "text")
+    return text.select("id", F.xxhash64("text").alias("key"), words_of(F.col("text")).alias("w")).withColumn("n", F.size("w"))
 
-    Null and empty texts have no words and hit nothing; items without words have no windows; items without an id count
-    for hits, not in ``items``. Rows that repeat both id and text get equal results each; null ids are rows like others.
-    Empty documents: empty result; empty benchmark: no hit. Other columns are ignored.
-    """
-    spark = docs.sparkSession
-    windows = written(item_windows(benchmark, item_col, item_text, window), "windows")
-    text = pick(docs, id_col, text_col).toDF("id", "text").withColumn("key", F.xxhash64("text"))
-    split = text.select("id", "key", words_of(F.col("text")).alias("w")).withColumn("n", F.size("w"))
+
+def occurrences(docs: DataFrame, windows: DataFrame, id_col: str, text_col: str):
+    """id, key (text hash), window, size and start (from 0) of each occurrence of a window; and how to send small tables."""
+    split = _split(docs, id_col, text_col)
     shingles = windows.select("shingle").distinct()
     sizes = windows.agg(F.coalesce(F.sum(F.length("shingle") + 32), F.lit(0)).alias("chars"), F.collect_set(F.least("size", F.lit(SHINGLE))).alias("k")).first()
     small = sizes["chars"] <= SENT_CHARS
@@ -84,7 +81,18 @@ def marked(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
     there = matches.select(F.col("id").alias("_id"), F.col("key").alias("_key"), "place", "shingle")
     held = need.join(there, need["id"].eqNullSafe(F.col("_id")) & (need["key"] == F.col("_key")) & (need["place"] == there["place"]) & (need["shingle"] == there["shingle"]), "left_semi")
     held = held.distinct().groupBy("id", "key", "window", "size", "start").agg(F.count(F.lit(1)).alias("got")).join(send(n_cover), "window").where("got = n_cover")
-    held = written(held.select("id", "key", "window", "size", "start"), "occurrences")
+    return written(held.select("id", "key", "window", "size", "start"), "occurrences"), send
+
+def marked(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+    """id, n_words, n_hit, items (sorted ids, as text, of items with a window that occurs) and contaminated, by row.
+
+    Null and empty texts have no words and hit nothing; items without words have no windows; items without an id count
+    for hits, not in ``items``. Rows that repeat both id and text get equal results each; null ids are rows like others.
+    Empty documents: empty result; empty benchmark: no hit. Other columns are ignored.
+    """
+    windows = written(item_windows(benchmark, item_col, item_text, window), "windows")
+    held, send = occurrences(docs, windows, id_col, text_col)
+    split = _split(docs, id_col, text_col)
 
     hit = held.select("id", "key", "size", "start").distinct().select("id", "key", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)).alias("word")).distinct()
     n_hit = hit.groupBy("id", "key").agg(F.count(F.lit(1)).alias("n_hit"))
@@ -96,6 +104,13 @@ def marked(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
     return joined.select(F.col("id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
 
 
+def cleaned(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+    """The rows of docs, with all their columns, in which no window of the benchmark occurs."""
+    windows = written(item_windows(benchmark, item_col, item_text, window), "windows")
+    held, _ = occurrences(docs, windows, id_col, text_col)
+    return without(docs, id_col, text_col, held)
+
+
 def op6_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = marked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")

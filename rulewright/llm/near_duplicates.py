@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACED, Words, buffers, dealt, mix, packed, pick, rolling, shuffle_partitions, steps, table, unpacked, written
+from .common import SPACED, Words, buffers, dealt, mix, packed, pick, restored, rolling, shuffle_partitions, steps, table, unpacked, without, written
 from .components import components
 
 SHINGLE = 5
@@ -350,5 +350,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, without those linked to a row of a lesser id (of equal ids, a lesser text
+    hash), and repeated rows of one id and text once. Rows with an empty set all stay."""
+    keyed = pick(docs, id_col, text_col).toDF("id", "text")
+    found = written(near_duplicates(keyed.select(F.struct("id", F.xxhash64("text").alias("key")).alias("id"), "text"), "id", "text"), "groups")
+    kept = without(docs, id_col, text_col, found.where("id <> component_id").select("id.*"))
+    again = found.where("n_shingles > 0").groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id.*")
+    if again.isEmpty():
+        return kept
+    # repeated rows are rare: only they are brought together
+    names = list(docs.columns)
+    plain = kept.toDF(*[f"c{i}" for i in range(len(names))])
+    i, t = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
+    twice = plain.join(again.withColumnsRenamed({"id": "_id", "key": "_key"}), F.col(i).eqNullSafe(F.col("_id")) & (F.xxhash64(t) == F.col("_key")), "left_semi")
+    return without(kept, id_col, text_col, again).unionAll(restored(twice.dropDuplicates([i, t]), names))
+
+
 def op5_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

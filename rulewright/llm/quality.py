@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACED, Words, buffers, mix, pick, rolling, span_hash, steps, table, written
+from .common import SPACED, Words, appended, buffers, mix, pick, restored, rolling, span_hash, steps, table, written
 
 RISK, DELTA = 0.05, 0.05
 #: A falsely rejected good document weighs as much as so many rejected bad ones.
@@ -69,25 +69,31 @@ def _counts(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.stack([w.count, chars, symbols, dups, repeats, n_lines])
 
 
-def measured(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
-    """id, stratum, the counts of COUNTS and the measures of CUTOFFS for each row. Null or empty text: all 0."""
-    rows = pick(df, id_col, stratum_col, text_col)
-    kinds = [rows.schema[i].dataType.simpleString() for i in (0, 1)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            raw, at = buffers(b.column(2))
-            found = [_counts(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]) for lo, hi in steps(at)]
-            counts = np.concatenate(found, axis=1) if found else np.zeros((len(COUNTS), 0), np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c.astype(np.int64)) for c in counts)], [id_col, "stratum", *COUNTS])
-
-    counted = rows.mapInArrow(run, f"{id_col} {kinds[0]}, stratum {kinds[1]}, " + ", ".join(f"{c} long" for c in COUNTS))
+def _measures(df: DataFrame) -> DataFrame:
     share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
-    return counted.select(
+    return df.select(
         "*", share("n_symbols", "word_chars").alias("symbol_share"), share("n_dup_lines", "n_lines").alias("dup_line_share"), share("n_repeat_words", "n_words").alias("repeat_share"), share("word_chars", "n_words").alias("mean_word_chars")
     )
 
 
+def _texts_counts(texts: pa.Array) -> list[pa.Array]:
+    raw, at = buffers(texts)
+    found = [_counts(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]) for lo, hi in steps(at)]
+    counts = np.concatenate(found, axis=1) if found else np.zeros((len(COUNTS), 0), np.int64)
+    return [pa.array(c.astype(np.int64)) for c in counts]
+
+
+def counted(df: DataFrame, text_col: str) -> DataFrame:
+    """df's columns as c0, c1 .., the counts of COUNTS and the measures of CUTOFFS. Null or empty text: all 0."""
+    return _measures(appended(df, text_col, _texts_counts, ", ".join(f"{c} long" for c in COUNTS)))
+
+
+def measured(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
+    """id, stratum, counts and measures for each row."""
+    found = counted(pick(df, id_col, stratum_col, text_col), text_col)
+    return found.select(F.col("c0").alias(id_col), F.col("c1").alias("stratum"), *COUNTS, *CUTOFFS)
+
+
 def base_failed() -> F.Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
@@ -158,6 +164,16 @@ def judged(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
     return joined.select(id_col, "stratum", *COUNTS, *CUTOFFS, base_failed().alias("base_failed"), first.alias("rejected_by"), (~base_failed() & first.isNull()).alias("kept"))
 
 
+def cleaned(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
+    """The rows of df that judged() keeps, with all their columns."""
+    names = list(df.columns)
+    cuts = thresholds(written(measured(df, id_col, text_col, stratum_col), "measures"), labels, id_col).drop("n_good", "n_bad")
+    stratum = F.col(f"c{names.index(stratum_col)}")
+    joined = counted(df, text_col).join(cuts, stratum.eqNullSafe(F.col("stratum")), "left")
+    over = F.coalesce(*[F.when(F.col(m) > F.col(f"cut_{m}"), F.lit(m)) for m in CUTOFFS])
+    return restored(joined.where(~base_failed() & over.isNull()), names)
+
+
 def op1_risk_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by")

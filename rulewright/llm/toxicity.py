@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import doc_remainder, packed, pick, table, unpacked
+from .common import appended, doc_remainder, packed, pick, restored, table, unpacked
 
 ORDERS, BITS = (3, 4, 5), 20
 #: An n-gram is a feature if its log ratio and its distance from 0 in standard errors are at least so large.
@@ -129,23 +129,29 @@ def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     return weights, float(bias)
 
 
+def _scores(sent):
+    def make(texts: pa.Array) -> list[pa.Array]:
+        weights, bias = sent.value
+        used, out = weights != 0, []
+        for x in texts:
+            g = grams(x.as_py() or "")
+            s = bias + float(weights[np.unique(g[used[g]])].sum(dtype=float))
+            out.append(1 / (1 + math.exp(-max(-700.0, min(700.0, s)))))
+        return [pa.array(out, pa.float64())]
+
+    return make
+
+
 def scored(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and score (0 to 1) for each row; null and empty texts get the score of no n-gram; other columns are ignored."""
-    sent, rows = docs.sparkSession.sparkContext.broadcast(model), pick(docs, id_col, text_col)
-    kind = rows.schema[0].dataType.simpleString()
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    return appended(pick(docs, id_col, text_col), text_col, _scores(sent), "score double").select(F.col("c0").alias(id_col), "score")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, bias = sent.value
-        used = weights != 0
-        for b in batches:
-            out = []
-            for x in b.column(1):
-                g = grams(x.as_py() or "")
-                s = bias + float(weights[np.unique(g[used[g]])].sum(dtype=float))
-                out.append(1 / (1 + math.exp(-max(-700.0, min(700.0, s)))))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], [id_col, "score"])
-
-    return rows.mapInArrow(run, f"{id_col} {kind}, score double")
+
+def cleaned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs with a score under 0.5, with all their columns."""
+    sent = docs.sparkSession.sparkContext.broadcast(trained(docs, labels, id_col, text_col))
+    return restored(appended(docs, text_col, _scores(sent), "score double").where("score < 0.5"), list(docs.columns))
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
