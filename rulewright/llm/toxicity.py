@@ -22,6 +22,8 @@ ORDERS, BITS = (3, 4, 5), 20
 LEAST_RATIO, LEAST_Z = 1.0, 4.0
 #: Labelled texts that the regression is fitted to, at most (about): a hash of the id chooses them.
 FIT_ROWS = 20_000
+#: Labels that are sent to every task; with more, labels and texts are shuffled together.
+SENT_LABELS = 4_000_000
 PENALTY, ROUNDS, PARTS = 1e-5, 1500, 64
 _K = np.uint64(0x9E3779B97F4A7C15)
 
@@ -43,6 +45,8 @@ def grams(text: str) -> np.ndarray:
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
     """id, text and toxic (0 or 1) of the rows to learn from: those with a label and a remainder other than 0."""
     known = pick(labels, id_col, label_col).toDF("_id", "toxic").where("_id is not null and toxic is not null").groupBy("_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
+    if known.count() <= SENT_LABELS:
+        known = F.broadcast(known)
     rows = pick(docs, id_col, text_col).toDF("id", "text").where(doc_remainder(F.col("id"), 5) != 0)
     return rows.join(known, F.col("id") == F.col("_id")).select("id", "text", "toxic")
 
