@@ -7,11 +7,14 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from ..plans.spec import FAKE, PAD, Atom, Rule, TaskSchema
 
-BY_SEQ = Window.partitionBy("seq").orderBy("pos")
+def by_seq() -> WindowSpec:
+    return Window.partitionBy("seq").orderBy("pos")
+
+
 #: How a state's current value is called while rules are applied: a column or an expression for it.
 Look = Callable[[str, int], Column]
 
@@ -21,7 +24,7 @@ def neighbour(column: str, offset: int) -> Column:
     if offset == 0:
         return F.col(column)
     moved = F.lag(column, -offset) if offset < 0 else F.lead(column, offset)
-    return F.coalesce(moved.over(BY_SEQ), F.lit(PAD))
+    return F.coalesce(moved.over(by_seq()), F.lit(PAD))
 
 
 def neighbour_list(column: str, offset: int) -> Column:
@@ -29,7 +32,7 @@ def neighbour_list(column: str, offset: int) -> Column:
     if offset == 0:
         return F.col(column)
     moved = F.lag(column, -offset) if offset < 0 else F.lead(column, offset)
-    return F.coalesce(moved.over(BY_SEQ), F.array().cast("array<string>"))
+    return F.coalesce(moved.over(by_seq()), F.array().cast("array<string>"))
 
 
 def word_list(atom: Atom) -> str:

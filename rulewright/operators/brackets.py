@@ -9,14 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.columns import BY_SEQ
+from ..functions.columns import by_seq
 
 
 def shortest_spans(df: DataFrame, weight: float = 0.5) -> DataFrame:
     """df (seq, pos, p_open, p_close) with ``label`` (O, B, I, E): a token with p_close of at least ``weight`` closes the last
     token that could open since the close before it."""
     opens, closes = F.col("p_open") >= weight, F.col("p_close") >= weight
-    before = BY_SEQ.rowsBetween(Window.unboundedPreceding, -1)
+    before = by_seq().rowsBetween(Window.unboundedPreceding, -1)
     segment = F.coalesce(F.count_if(closes).over(before), F.lit(0))
     rows = df.withColumn("_seg", segment)
     upto = Window.partitionBy("seq", "_seg").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

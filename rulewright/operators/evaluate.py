@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import BY_SEQ, is_right
+from ..functions.columns import by_seq, is_right
 from ..plans.spec import TaskSchema
 
 
@@ -22,10 +22,10 @@ def accuracy(df: DataFrame, schema: TaskSchema) -> DataFrame:
 def spans(df: DataFrame, label: str) -> DataFrame:
     """seq, first and last of each span: it begins at the first label other than O, or at one that begins with B, and ends
     before O or the next beginning; what follows the B or I doesn't matter."""
-    own, before = F.col(label), F.lag(label).over(BY_SEQ)
+    own, before = F.col(label), F.lag(label).over(by_seq())
     inside = own != "O"
     begins = inside & (before.isNull() | (before == "O") | own.startswith("B"))
-    runs = df.select("seq", "pos", inside.alias("inside"), begins.cast("int").alias("begins")).withColumn("span", F.sum("begins").over(BY_SEQ))
+    runs = df.select("seq", "pos", inside.alias("inside"), begins.cast("int").alias("begins")).withColumn("span", F.sum("begins").over(by_seq()))
     return runs.where("inside").groupBy("seq", "span").agg(F.min("pos").alias("first"), F.max("pos").alias("last")).drop("span")
 
 
@@ -50,7 +50,7 @@ def marked(df: DataFrame, schema: TaskSchema, right: str = "1", wrong: str = "0"
 
 def numbered_samples(df: DataFrame, start: int = 0) -> DataFrame:
     """df with ``sample``: the row's number in its sequence."""
-    return df.withColumn("sample", F.row_number().over(BY_SEQ) - 1 + start)
+    return df.withColumn("sample", F.row_number().over(by_seq()) - 1 + start)
 
 
 def trace_counts(df: DataFrame) -> DataFrame:

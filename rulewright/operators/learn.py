@@ -8,6 +8,7 @@ same templates are joined to the candidates. All counts are weighted by ``cost``
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,67 +45,76 @@ def _cost(df: DataFrame) -> Column:
     return F.col("cost") if "cost" in df.columns else F.lit(1)
 
 
-def instances(df: DataFrame, templates: Templates, number: int, template: Template, nulls: tuple[str, ...] = ()) -> DataFrame:
-    """A row for each sample and each distinct choice of values of the template's atoms, in the order of the atoms."""
+def instances(df: DataFrame, templates: Templates, number: int, template: Template, nulls: tuple[str, ...] = (), only: Column | None = None) -> DataFrame:
+    """A row for each sample (for which ``only`` holds) and each distinct choice of values of the template's atoms, in the
+    order of the atoms. Neighbours are looked up before rows are left out."""
     lists = {f"v_{i}": values(a, nulls) for i, a in enumerate(template.atoms)}
     out = df.withColumns(lists)
+    if only is not None:
+        out = out.where(only)
     # one atom after another: the combinations of a row's own values
     for i in range(len(template.atoms)):
         out = out.withColumn(f"v_{i}", F.explode(f"v_{i}"))
     return out.withColumn("template", F.lit(number)).withColumn("tokens", F.array(*[F.col(f"v_{i}") for i in range(len(template.atoms))])).drop(*lists)
 
 
+def _truth(schema: TaskSchema, state: str) -> str:
+    return schema.truths[schema.states.index(state)]
+
+
 def _all_right(schema: TaskSchema, targets: tuple[str, ...], every: bool) -> Column:
-    flags = [F.coalesce(is_right(schema, F.col(t), schema.truths[schema.states.index(t)]), F.lit(False)) for t in targets]
-    out = flags[0]
-    for f in flags[1:]:
-        out = (out & f) if every else (out | f)
-    return out
+    flags = [F.coalesce(is_right(schema, F.col(t), _truth(schema, t)), F.lit(False)) for t in targets]
+    return reduce(Column.__and__ if every else Column.__or__, flags)
+
+
+def _limits(schema: TaskSchema, targets: tuple[str, ...], names: dict[str, list[str]]) -> Column:
+    """For each target the classes that the row's constraints allow; null for all."""
+    none = F.lit(None).cast("array<string>")
+    out = []
+    for t in targets:
+        one = none
+        for n in names.get(_truth(schema, t), []):
+            one = F.when(one.isNull(), F.col(n)).when(F.col(n).isNull(), one).otherwise(F.array_intersect(one, n))
+        out.append(one)
+    return F.array(*out)
+
+
+def _permitted(limits: str, results: str) -> Column:
+    return ~F.exists(F.arrays_zip(F.col(limits).alias("l"), F.col(results).alias("r")), lambda x: x["l"].isNotNull() & ~F.array_contains(x["l"], x["r"]))
 
 
 def candidates(df: DataFrame, templates: Templates, nulls: tuple[str, ...] = (), names: dict[str, list[str]] | None = None, forced: bool = False) -> DataFrame:
     """template, tokens, results and good of each rule that makes a wrong row right (with ``forced``: that gives a row its truth)."""
     schema, parts = templates.schema, []
     for number, t in enumerate(templates.items):
-        found = instances(df, templates, number, t, nulls)
-        if not forced:
-            found = found.where(~_all_right(schema, t.targets, True))
-        for i, s in enumerate(t.targets):
-            found = found.withColumn(f"r_{i}", F.explode(truths(schema, schema.truths[schema.states.index(s)])))
+        found = instances(df, templates, number, t, nulls, None if forced else ~_all_right(schema, t.targets, True))
         for i, s in enumerate(t.targets):
-            for n in (names or {}).get(schema.truths[schema.states.index(s)], []):
-                found = found.where(F.col(n).isNull() | F.array_contains(n, F.col(f"r_{i}")))
-        results = F.array(*[F.col(f"r_{i}") for i in range(len(t.targets))])
-        gain = sum((F.when(~F.coalesce(is_right(schema, F.col(s), schema.truths[schema.states.index(s)]), F.lit(False)), _cost(df)).otherwise(0) for s in t.targets), F.lit(0))
-        parts.append(found.select("template", "tokens", results.alias("results"), (_cost(df) if forced else gain).alias("gain")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy(*KEY).agg(F.sum("gain").cast("long").alias("good"))
+            found = found.withColumn(f"r_{i}", F.explode(truths(schema, _truth(schema, s))))
+        found = found.withColumn("results", F.array(*[F.col(f"r_{i}") for i in range(len(t.targets))]))
+        if names:
+            found = found.withColumn("_limits", _limits(schema, t.targets, names)).where(_permitted("_limits", "results"))
+        gain = sum((F.when(~F.coalesce(is_right(schema, F.col(s), _truth(schema, s)), F.lit(False)), _cost(df)).otherwise(0) for s in t.targets), F.lit(0))
+        parts.append(found.select("template", "tokens", "results", (_cost(df) if forced else gain).alias("gain")))
+    return reduce(DataFrame.unionByName, parts).groupBy(*KEY).agg(F.sum("gain").cast("long").alias("good"))
 
 
 def scored(df: DataFrame, templates: Templates, limits: Limits = Limits(), names: dict[str, list[str]] | None = None, over: int = 0) -> DataFrame:
-    """template, tokens, results, good, bad and score of all candidates with more than ``over`` good rows."""
+    """template, tokens, results, good, bad and score of all candidates with more than ``over`` good rows.
+
+    Rows with a right state are summed up by instance, states and truths before they meet the candidates.
+    """
     schema = templates.schema
     good = candidates(df, templates, limits.nulls, names).where(F.col("good") > max(over, limits.least_good))
-    seen = good.select("template", "tokens").distinct()
-    bad = None
+    parts = []
     for number, t in enumerate(templates.items):
-        found = instances(df.where(_all_right(schema, t.targets, False)), templates, number, t, limits.nulls)
-        keep = ["template", "tokens", *dict.fromkeys([*t.targets, *(schema.truths[schema.states.index(s)] for s in t.targets)]), *(n for s in t.targets for n in (names or {}).get(schema.truths[schema.states.index(s)], []))]
-        found = found.select(*keep, _cost(df).alias("_cost")).join(seen, ["template", "tokens"], "left_semi")
-        rules = good.where(F.col("template") == number).select("template", "tokens", "results")
-        met = found.join(rules, ["template", "tokens"])
-        loss = F.lit(0)
-        for i, s in enumerate(t.targets):
-            truth, v = schema.truths[schema.states.index(s)], F.col("results")[i]
-            loss = loss + F.when(is_right(schema, F.col(s), truth) & ~is_right(schema, v, truth), F.col("_cost")).otherwise(0)
-            for n in (names or {}).get(truth, []):
-                met = met.where(F.col(n).isNull() | F.array_contains(n, v))
-        part = met.select(*KEY, loss.alias("loss")).where("loss > 0")
-        bad = part if bad is None else bad.unionByName(part)
-    lost = bad.groupBy(*KEY).agg(F.sum("loss").cast("long").alias("bad"))
-    out = good.join(lost, KEY, "left").withColumn("bad", F.coalesce("bad", F.lit(0)))
+        found = instances(df, templates, number, t, limits.nulls, _all_right(schema, t.targets, False))
+        states, accepted = F.array(*t.targets), F.array(*[truths(schema, _truth(schema, s)) for s in t.targets])
+        parts.append(found.select("template", "tokens", states.alias("states"), accepted.alias("accepted"), _limits(schema, t.targets, names or {}).alias("limits"), _cost(df).alias("cost")))
+    rows = reduce(DataFrame.unionByName, parts).groupBy("template", "tokens", "states", "accepted", "limits").agg(F.sum("cost").alias("cost"))
+    met = rows.join(good.select(*KEY), ["template", "tokens"]).where(_permitted("limits", "results"))
+    lost = F.size(F.filter(F.arrays_zip("states", "accepted", "results"), lambda x: F.array_contains(x["accepted"], x["states"]) & ~F.array_contains(x["accepted"], x["results"])))
+    bad = met.groupBy(*KEY).agg(F.sum(lost * F.col("cost")).cast("long").alias("bad"))
+    out = good.join(bad, KEY, "left").withColumn("bad", F.coalesce("bad", F.lit(0)))
     return out.withColumn("score", F.col("good") - F.col("bad"))
 
 
@@ -160,12 +170,11 @@ def redundant_rules(df: DataFrame, templates: Templates, least: int, limits: Lim
     that number as score. They are kept beside learned rules for data that the learner hasn't seen."""
     df = with_word_lists(df, [a for t in templates.items for a in t.atoms], vocabulary, bigrams)
     forced = candidates(df, templates, limits.nulls, forced=True)
-    wrong = None
+    parts = []
     for number, t in enumerate(templates.items):
-        found = instances(df, templates, number, t, limits.nulls)
-        truth = [F.col(templates.schema.truths[templates.schema.states.index(s)]) for s in t.targets]
-        part = found.select("template", "tokens", F.array(*truth).alias("truth"))
-        wrong = part if wrong is None else wrong.unionByName(part)
+        truth = F.array(*[F.col(_truth(templates.schema, s)) for s in t.targets])
+        parts.append(instances(df, templates, number, t, limits.nulls).select("template", "tokens", truth.alias("truth")))
+    wrong = reduce(DataFrame.unionByName, parts)
     clashes = forced.join(wrong.distinct(), ["template", "tokens"]).where(_misses(templates.schema)).select(*KEY).distinct()
     out = forced.join(clashes, KEY, "left_anti").where(F.col("good") >= least)
     return out.select(*KEY, F.lit(0).cast("long").alias("good"), F.lit(0).cast("long").alias("bad"), F.col("good").alias("score")).orderBy(F.asc("score"), F.asc("results"), F.desc("template"), F.asc("tokens"))

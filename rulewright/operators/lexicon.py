@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.columns import BY_SEQ, neighbour
+from ..functions.columns import by_seq, neighbour
 
 
 def build(df: DataFrame, keys: list[str | tuple[str, int]], truth: str, least: int = 1, separator: str | None = None) -> DataFrame:
@@ -88,13 +88,13 @@ def random_half(rate: float, seed: int = 1) -> Column:
 
 def unseen(first: DataFrame, second: DataFrame, word: str, least: int = 1) -> DataFrame:
     """word: those of the second part that stand in the first part fewer than ``least`` times."""
-    known = first.groupBy(word).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    return second.select(F.col(word).alias("word")).distinct().join(known, F.col("word") == known[word], "left_anti")
+    known = first.groupBy(F.col(word).alias("_known")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    return second.select(F.col(word).alias("word")).distinct().join(known, F.col("word") == F.col("_known"), "left_anti")
 
 
 def bigrams(df: DataFrame, word: str) -> DataFrame:
     """left, right and n of neighbouring words."""
-    pairs = df.select(F.col(word).alias("left"), F.lead(word).over(BY_SEQ).alias("right")).where("right is not null")
+    pairs = df.select(F.col(word).alias("left"), F.lead(word).over(by_seq()).alias("right")).where("right is not null")
     return pairs.groupBy("left", "right").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -106,4 +106,4 @@ def frequent_bigrams(pairs: DataFrame, words: DataFrame) -> DataFrame:
 
 def lexical_rows(second: DataFrame, new_words: DataFrame, word: str) -> DataFrame:
     """Rows of the second part whose word is new: what lexical rules learn from."""
-    return second.join(new_words.select("word").distinct(), F.col(word) == F.col("word"), "left_semi") if word != "word" else second.join(new_words.select("word").distinct(), "word", "left_semi")
+    return second.join(new_words.select(F.col("word").alias("_new")).distinct(), F.col(word) == F.col("_new"), "left_semi")

@@ -35,17 +35,20 @@ def _test(rule: Rule, samples: Column, x: Column, i: Column) -> Column:
     return ok
 
 
+def _rewriting(rule: Rule, schema: TaskSchema):
+    new = {t: v for t, v in zip(rule.targets, rule.results) if v != FAKE}
+
+    def rewritten(x: Column, i: Column) -> Column:
+        fire = F.coalesce(_test(rule, F.col("samples"), x, i), F.lit(False))
+        return F.struct(*[F.when(fire, F.lit(new[c])).otherwise(x[c]).alias(c) if c in new else x[c].alias(c) for c in ("pos", *schema.columns)])
+
+    return rewritten
+
+
 def apply_nested(df: DataFrame, rules: list[Rule], schema: TaskSchema) -> DataFrame:
     """A stream or table of (seq, samples) after all rules, each at once over a whole sequence. For lists of some tens of rules."""
     for rule in rules:
-        new = dict(zip(rule.targets, rule.results))
-
-        def rewritten(x: Column, i: Column, rule=rule, new=new) -> Column:
-            fire = F.coalesce(_test(rule, F.col("samples"), x, i), F.lit(False))
-            cols = [F.when(fire, F.lit(new[c])).otherwise(x[c]).alias(c) if c in new and new[c] != FAKE else x[c].alias(c) for c in ("pos", *schema.columns)]
-            return F.struct(*cols)
-
-        df = df.withColumn("samples", F.transform("samples", rewritten))
+        df = df.withColumn("samples", F.transform("samples", _rewriting(rule, schema)))
     return df
 
 
