@@ -101,20 +101,26 @@ def candidates(df: DataFrame, templates: Templates, nulls: tuple[str, ...] = (),
 def scored(df: DataFrame, templates: Templates, limits: Limits = Limits(), names: dict[str, list[str]] | None = None, over: int = 0) -> DataFrame:
     """template, tokens, results, good, bad and score of all candidates with more than ``over`` good rows.
 
-    Rows with a right state are summed up by instance, states and truths before they meet the candidates.
+    Rows with a right state are summed up by instance, states and truths before they meet the candidates. A rule of several
+    targets may put some of a row's right without giving it all its truths, so all rows meet such rules.
     """
-    schema = templates.schema
-    good = candidates(df, templates, limits.nulls, names).where(F.col("good") > max(over, limits.least_good))
+    schema, least = templates.schema, max(over, limits.least_good)
+    several = F.size("results") > 1
+    good = candidates(df, templates, limits.nulls, names).where(several | (F.col("good") > least))
     parts = []
     for number, t in enumerate(templates.items):
-        found = instances(df, templates, number, t, limits.nulls, _all_right(schema, t.targets, False))
+        found = instances(df, templates, number, t, limits.nulls, _all_right(schema, t.targets, False) if len(t.targets) == 1 else None)
         states, accepted = F.array(*t.targets), F.array(*[truths(schema, _truth(schema, s)) for s in t.targets])
         parts.append(found.select("template", "tokens", states.alias("states"), accepted.alias("accepted"), _limits(schema, t.targets, names or {}).alias("limits"), _cost(df).alias("cost")))
     rows = reduce(DataFrame.unionByName, parts).groupBy("template", "tokens", "states", "accepted", "limits").agg(F.sum("cost").alias("cost"))
     met = rows.join(good.select(*KEY), ["template", "tokens"]).where(_permitted("limits", "results"))
-    lost = F.size(F.filter(F.arrays_zip("states", "accepted", "results"), lambda x: F.array_contains(x["accepted"], x["states"]) & ~F.array_contains(x["accepted"], x["results"])))
-    bad = met.groupBy(*KEY).agg(F.sum(lost * F.col("cost")).cast("long").alias("bad"))
-    out = good.join(bad, KEY, "left").withColumn("bad", F.coalesce("bad", F.lit(0)))
+    zipped = F.arrays_zip("states", "accepted", "results")
+    right = lambda x, c: F.array_contains(x["accepted"], x[c])
+    lost = F.size(F.filter(zipped, lambda x: right(x, "states") & ~right(x, "results")))
+    won = F.size(F.filter(zipped, lambda x: ~right(x, "states") & right(x, "results")))
+    sums = met.groupBy(*KEY).agg(F.sum(lost * F.col("cost")).cast("long").alias("bad"), F.sum(won * F.col("cost")).cast("long").alias("won"))
+    out = good.join(sums, KEY, "left").withColumn("bad", F.coalesce("bad", F.lit(0))).withColumn("good", F.when(several, F.col("won")).otherwise(F.col("good"))).drop("won")
+    out = out.where(F.col("good") > least)
     return out.withColumn("score", F.col("good") - F.col("bad"))
 
 
