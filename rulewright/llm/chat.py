@@ -123,3 +123,21 @@ def op10_prefix_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pick(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
     trap = spark.createDataFrame([(-7, 0, "user", TRAP), (-7, 1, "assistant", TRAP)], "conv_id long, turn long, role string, text string")
     return read_back(prefix_targets(rows.unionByName(trap)))
+
+
+OP10_SQL = r"""WITH rows_ AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), turns AS (
+  SELECT conv_id, role, text, row_number() OVER w AS n, count(*) OVER (PARTITION BY conv_id) AS n_turns,
+    length(replace(replace(replace(replace(replace(role, '\', '\\'), '###', '\h'), '</turn>', '\e'), ':', '\c'), chr(10), '\n'))
+      + length(replace(replace(replace(text, '\', '\\'), '###', '\h'), '</turn>', '\e')) + 14 AS size
+  FROM rows_ WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+), sums AS (SELECT *, sum(size) OVER (PARTITION BY conv_id ORDER BY n) AS chars FROM turns)
+SELECT conv_id, max(n_turns) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars) FILTER (WHERE role = 'assistant' OR n = n_turns) AS BIGINT) AS formatted_chars,
+  count(*) FILTER (WHERE role = 'assistant' OR n = n_turns) AS n_examples
+FROM sums GROUP BY conv_id
+"""

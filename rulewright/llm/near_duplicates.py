@@ -7,10 +7,11 @@ index of at least 3/4 that is at most (a + b) / 7, or a third of either size. By
 a size band agree in a block among the first d + 1 in any common order of their non-empty blocks (fullest first, then by
 hash), and in r blocks among the first d + r. These blocks are the join keys.
 
-Keys that more than FEW nodes share are hot. Other keys give all their pairs. A hot key links its nodes to its least node
-only; as r keys agree, a pair can be missed only if both nodes have many hot keys. Of these nodes the rarest hot keys are
-compared across components, in blocks of CHUNK nodes, by the parity bits of their sketches; nodes already in one component
-need no further link. Every candidate pair is verified on its texts' whole sets.
+Keys that more than FEW nodes share are hot. Other keys give all their pairs. As r keys agree, hot keys matter only for
+pairs of nodes that both have many of them, and of these nodes only the rarest ones. Each such key first pairs its nodes
+with the one that has the most hot keys for its size, which links most copies of one text. What remains apart is compared
+across components, in blocks of CHUNK nodes, by the parity bits of the sketches; nodes already in one component need no
+further link. Every candidate pair is verified on its texts' whole sets.
 """
 
 from __future__ import annotations
@@ -45,7 +46,7 @@ def least_blocks(size: np.ndarray) -> np.ndarray:
 
 def spare_blocks(size: np.ndarray) -> np.ndarray:
     """r: blocks that agree at least among the first d + r."""
-    return size // 12 + 2
+    return size // 16 + 2
 
 
 def shingle_sets(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -74,8 +75,8 @@ def node_of(size: np.ndarray, doc: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def parity_bits(h: np.ndarray) -> bytes:
-    """A bit for each of 64, 128 .. (not fewer than the set's size) places: is the number of hashes there odd?"""
-    m = max(64, 1 << (len(h) - 1).bit_length())
+    """A bit for each of 256, 512 .. (not fewer than four times the set's size) places: is the number of hashes there odd?"""
+    m = max(256, 4 << (len(h) - 1).bit_length())
     return np.packbits(np.bincount((h & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1, bitorder="little").tobytes()
 
 
@@ -90,7 +91,7 @@ def distance(a: bytes, b: bytes) -> int:
 
 
 def block_keys(size: np.ndarray, doc: np.ndarray, h: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text, 48-bit key) of the first d + r blocks of each set, in the band of sizes up to ``bound`` of its text; 0: none."""
+    """(text, 40-bit key) of the first d + r blocks of each set, in the band of sizes up to ``bound`` of its text; 0: none."""
     use = bound[doc] > 0
     doc, h = doc[use], h[use]
     top = bound[doc].astype(np.uint64)
@@ -102,7 +103,7 @@ def block_keys(size: np.ndarray, doc: np.ndarray, h: np.ndarray, bound: np.ndarr
         return doc, h
     first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (block[1:] != block[:-1])]))
     n = np.diff(np.concatenate([first, [len(h)]]))
-    key = mix(np.bitwise_xor.reduceat(h, first) ^ mix(block[first] + mix(top[first]))) >> np.uint64(16)
+    key = mix(np.bitwise_xor.reduceat(h, first) ^ mix(block[first] + mix(top[first]))) >> np.uint64(24)
     doc = doc[first]
     order = np.lexsort((key, -n, doc))
     doc, key = doc[order], key[order]
@@ -163,8 +164,8 @@ def sketched(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def matched(packs: DataFrame) -> DataFrame:
-    """Of (bucket, packed), by bucket: pairs u, v (key null) of keys that few nodes share and of hot keys with their least
-    node; and node u, hub v, key and g (nodes that share it) for each node of a hot key."""
+    """Of (bucket, packed), by bucket: pairs u, v (key null) of keys that few nodes share; and node u, key and g (nodes that
+    share it) for each node of a hot key."""
     names = ["u", "v", "key", "g"]
 
     def found(held: list) -> Iterator[pa.RecordBatch]:
@@ -180,18 +181,16 @@ def matched(packs: DataFrame) -> DataFrame:
             at = first[g == size]
             pairs += [(node[at + i], node[at + j]) for i in range(size) for j in range(i + 1, size)]
         hot = np.repeat(g > FEW, g)
-        hub, many = np.repeat(node[first], g)[hot], np.repeat(g, g)[hot]
-        away = node[hot] != hub
-        pairs.append((hub[away], node[hot][away]))
+        many = np.repeat(g, g)[hot].astype(np.int64)
         both = np.stack([np.concatenate([p[i] for p in pairs]) for i in (0, 1)], axis=1)
         both = both[np.lexsort((both[:, 1], both[:, 0]))]
         both = both[np.concatenate([[True], (both[1:] != both[:-1]).any(axis=1)])] if len(both) else both
         for lo in range(0, len(both), 100_000):
             part = both[lo : lo + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1]), pa.nulls(len(part), pa.int64()), pa.nulls(len(part), pa.int64())], names)
-        for lo in range(0, len(hub), 100_000):
+        for lo in range(0, len(many), 100_000):
             part = slice(lo, lo + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(node[hot][part]), pa.array(hub[part]), pa.array(key[hot][part].astype(np.int64)), pa.array(many[part].astype(np.int64))], names)
+            yield pa.RecordBatch.from_arrays([pa.array(node[hot][part]), pa.nulls(len(many[part]), pa.int64()), pa.array(key[hot][part].astype(np.int64)), pa.array(many[part])], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -269,16 +268,27 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "t_u", "t_v").mapInArrow(compare, "u long, v long")
 
 
-def hot_pairs(hot: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of nodes that only hot keys may join, that no link has brought together, and whose sketches don't rule one out."""
+def rarest_keys(hot: DataFrame, nodes: DataFrame) -> DataFrame:
+    """key, node, n, sketch and share (of hot keys) for the nodes that hot keys alone may link, and their rarest hot keys."""
     size = F.col("n")
-    agree = F.greatest(F.floor((F.floor((3 * size + 3) / 4) / 12 + 2) / 2), F.lit(1))  # fewer than the keys that agree
+    agree = F.greatest(F.floor((F.floor((3 * size + 3) / 4) / 16 + 2) / 2), F.lit(1))  # fewer than the keys that agree
     per = hot.groupBy("u").agg(F.count(F.lit(1)).alias("hot"))
     sized = nodes.select(F.col("node").alias("_node"), "n", "sketch")
-    bound = per.join(sized, F.col("u") == F.col("_node")).where(F.col("hot") >= agree).select(F.col("u").alias("_u"), "n", "sketch", (F.col("hot") - agree + 1).alias("first"))
+    bound = per.join(sized, F.col("u") == F.col("_node")).where(F.col("hot") >= agree).select(F.col("u").alias("node"), "n", "sketch", (F.col("hot") / size).alias("share"), (F.col("hot") - agree + 1).alias("first"))
     by = Window.partitionBy("u").orderBy("g", "key")  # a node's keys: as many as its blocks
-    rare = hot.join(bound, F.col("u") == F.col("_u")).withColumn("rank", F.row_number().over(by)).where("rank <= first")
-    rooted = rare.join(roots.withColumnRenamed("node", "_r"), F.col("u") == F.col("_r"), "left").select("key", F.col("u").alias("node"), "n", "sketch", F.coalesce("root", "u").alias("root"))
+    rare = hot.withColumn("rank", F.row_number().over(by)).join(bound, F.col("u") == F.col("node")).where("rank <= first")
+    return rare.select("key", "node", "n", "sketch", "share")
+
+
+def hub_pairs(rare: DataFrame) -> DataFrame:
+    """Each key's nodes with the one of the greatest share of hot keys."""
+    hubs = rare.groupBy("key").agg(F.max_by("node", F.struct("share", "node")).alias("hub"))
+    return rare.select("key", "node").join(hubs, "key").where("node <> hub").select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct()
+
+
+def hot_pairs(rare: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs of nodes that share a hot key, that no link has brought together, and whose sketches don't rule one out."""
+    rooted = rare.join(roots.withColumnRenamed("node", "_r"), F.col("node") == F.col("_r"), "left").select("key", "node", "n", "sketch", F.coalesce("root", "node").alias("root"))
     rooted = written(rooted, "hot")
     per_key = rooted.groupBy("key").agg(F.min("root").alias("main"), F.max("root").alias("other"), F.count(F.lit(1)).alias("g")).where("main <> other").select(F.col("key").alias("_key"), "main", "g")
     open_ = rooted.join(per_key, F.col("key") == F.col("_key"))
@@ -335,11 +345,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     packs = sketches.where("bucket is not null").select("bucket", "packed").repartition(buckets, "bucket").sortWithinPartitions("bucket")
     found = written(matched(packs), "matched")
     nodes = written(rows.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
-    likely = written(plausible(found.where("key is null").select("u", "v").distinct(), nodes), "pairs")
+    rare = written(rarest_keys(found.where("key is not null").select("u", "key", "g"), nodes), "rare")
+    likely = written(plausible(found.where("key is null").select("u", "v").unionAll(hub_pairs(rare)).distinct(), nodes), "pairs")
     links = written(verified(likely, text), "links")
     roots = components(links)
-    hot = found.where("key is not null").select("u", "key", "g")
-    more = written(hot_pairs(hot, nodes, roots), "pairs")
+    more = written(hot_pairs(rare, roots), "pairs")
     if not more.isEmpty():
         roots = components(links.unionAll(verified(more, text)))
     # ids: the least of each node, then of each component

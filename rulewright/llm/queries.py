@@ -19,4 +19,5 @@ QUERIES = {
 ORACLES = {
     "op2_url_rules": url_rules.OP2_SQL,
     "op6_prefix_join": decontaminate.OP6_SQL,
+    "op10_prefix_target": chat.OP10_SQL,
 }

@@ -123,8 +123,8 @@ def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array([packed(h.astype(np.int32)) for h in hits], pa.binary())], ["toxic", "hits"])
 
     share = int(min(1.0, FIT_ROWS / (n_other + n_toxic)) * (1 << 30))
-    sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share).select("text", "toxic").limit(2 * FIT_ROWS)
-    got = sample.mapInArrow(features, "toxic int, hits binary").collect()
+    sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share).select("text", "toxic")
+    got = sample.mapInArrow(features, "toxic int, hits binary").limit(2 * FIT_ROWS).collect()
     hits = [unpacked(bytes(r.hits), np.int32)[0] for r in got]
     row = np.repeat(np.arange(len(got)), [len(h) for h in hits])
     col = np.concatenate([*hits, np.zeros(0, np.int32)]).astype(np.int64)
