@@ -176,6 +176,13 @@ def rolling(hashes: np.ndarray, k: int) -> np.ndarray:
     return total
 
 
+def ordered(doc: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The order by doc (from 0), then key; rows equal in both stand in any order."""
+    order = np.argsort(key)
+    by = doc[order]
+    return order[np.argsort(by.astype(np.uint16) if len(by) and by.max() < 1 << 16 else by, kind="stable")]
+
+
 # -- packed rows: many small rows of one hash bucket travel as one binary value ---------------------------------------
 
 

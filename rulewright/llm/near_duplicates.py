@@ -24,18 +24,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACED, Words, buffers, dealt, mix, packed, pick, restored, rolling, shuffle_partitions, steps, table, unpacked, without, written
+from .common import SENT_KEYS, SPACED, Words, buffers, dealt, mix, ordered, packed, pick, restored, rolling, shuffle_partitions, steps, table, unpacked, without, written
 from .components import components
 
 SHINGLE = 5
 #: Nodes that share a key up to which it gives all pairs.
 FEW = 8
 #: Nodes of a hot key that are compared at once.
-CHUNK = 1024
+CHUNK = 4096
 #: Keys that a task holds before it deals them out.
 HELD = 1_000_000
-#: Slots of the filter that says which texts take part in verification; a full one lets all pass.
-SLOTS = 1 << 20
+#: Words of sketches that a comparison of nodes holds at once.
+HELD_WORDS = 2_000_000
 _A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA5A5A5A5A5A5A5A5)
 
 
@@ -59,7 +59,7 @@ def shingle_sets(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     if len(short):
         whole = [mix(rolling(w.hash[w.first[i] : w.first[i + 1]], int(w.count[i])) + np.uint64(w.count[i])) for i in short.tolist()]
         doc, h = np.concatenate([doc, short]), np.concatenate([h, *whole])
-    order = np.lexsort((h, doc))
+    order = ordered(doc, h)
     doc, h = doc[order], h[order]
     new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])]) if len(h) else np.zeros(0, bool)
     return doc[new], h[new]
@@ -80,14 +80,16 @@ def parity_bits(h: np.ndarray) -> bytes:
     return np.packbits(np.bincount((h & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1, bitorder="little").tobytes()
 
 
+def folded(sketches: list[bytes], size: int) -> np.ndarray:
+    """Sketches of one length, folded to so many bytes, which keeps parities; as 64-bit words by sketch."""
+    parts = np.frombuffer(b"".join(sketches), np.uint64).reshape(len(sketches), -1, size // 8)
+    return np.bitwise_xor.reduce(parts, axis=1)
+
+
 def distance(a: bytes, b: bytes) -> int:
-    """Hamming distance of two parity sketches; the longer one is folded to the other's length, which keeps parities."""
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    while len(x) > len(y):
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum())
+    """Hamming distance of two parity sketches; the longer one is folded to the other's length."""
+    size = min(len(a), len(b))
+    return int(np.bitwise_count(folded([a], size) ^ folded([b], size)).sum())
 
 
 def block_keys(size: np.ndarray, doc: np.ndarray, h: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -97,7 +99,7 @@ def block_keys(size: np.ndarray, doc: np.ndarray, h: np.ndarray, bound: np.ndarr
     top = bound[doc].astype(np.uint64)
     blocks = top - top // np.uint64(4)  # enough that over d + r of them are not empty
     block = np.where(top > 64, (mix(h ^ _B) >> np.uint64(32)) * blocks >> np.uint64(32), h)  # small sets: a block for each hash
-    order = np.lexsort((block, doc))
+    order = ordered(doc, block)
     doc, h, block, top = doc[order], h[order], block[order], top[order]
     if not len(h):
         return doc, h
@@ -105,7 +107,7 @@ def block_keys(size: np.ndarray, doc: np.ndarray, h: np.ndarray, bound: np.ndarr
     n = np.diff(np.concatenate([first, [len(h)]]))
     key = mix(np.bitwise_xor.reduceat(h, first) ^ mix(block[first] + mix(top[first]))) >> np.uint64(24)
     doc = doc[first]
-    order = np.lexsort((key, -n, doc))
+    order = ordered(doc, np.uint64((1 << 23) - 1) - np.minimum(n, (1 << 23) - 1).astype(np.uint64) << np.uint64(40) | key)  # fullest first
     doc, key = doc[order], key[order]
     start = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
     rank = np.arange(len(doc)) - np.repeat(start, np.diff(np.concatenate([start, [len(doc)]])))
@@ -113,10 +115,16 @@ def block_keys(size: np.ndarray, doc: np.ndarray, h: np.ndarray, bound: np.ndarr
     return doc[keep], key[keep]
 
 
+def row_key() -> F.Column:
+    """A 64-bit number of a row's id and text."""
+    return F.xxhash64("id", "text").alias("key")
+
+
 def sketched(docs: DataFrame, buckets: int) -> DataFrame:
-    """Of (id, text): a row for each text (id, n, node, sketch; node and sketch null for an empty set), and packed keys by bucket."""
+    """Of (id, text): a row for each text (id, n, node, sketch, key of id and text; node and sketch null for an empty set), and
+    packed keys by bucket."""
     kind = docs.schema["id"].dataType.simpleString()
-    names = ["id", "n", "node", "sketch", "bucket", "packed"]
+    names = ["id", "n", "node", "sketch", "key", "bucket", "packed"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, id_kind = [], 0, None
@@ -127,7 +135,7 @@ def sketched(docs: DataFrame, buckets: int) -> DataFrame:
                 order = np.argsort(k, kind="stable")
                 nodes, at = np.unique(n[order], return_inverse=True)
                 value = packed(nodes), packed(np.diff(k[order], prepend=np.uint64(0)), at.astype(np.uint32))
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, id_kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([b], pa.int32()), pa.array([len(value[0]).to_bytes(4, "little") + b"".join(value)], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, id_kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.array([b], pa.int32()), pa.array([len(value[0]).to_bytes(4, "little") + b"".join(value)], pa.binary())], names)
 
         for b in batches:
             raw, at = buffers(b.column(1))
@@ -156,11 +164,11 @@ def sketched(docs: DataFrame, buckets: int) -> DataFrame:
             if n_all:
                 n, node = np.concatenate(n_all).astype(np.int64), np.concatenate(nodes_all)
                 nulls = [pa.nulls(len(n), k) for k in (pa.int32(), pa.binary())]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(node, mask=n == 0), pa.array(sketches, pa.binary()), *nulls], names)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(node, mask=n == 0), pa.array(sketches, pa.binary()), b.column(2), *nulls], names)
         if held:
             yield from deal()
 
-    return docs.select("id", "text").mapInArrow(run, f"id {kind}, n long, node long, sketch binary, bucket int, packed binary")
+    return docs.select("id", "text", row_key()).mapInArrow(run, f"id {kind}, n long, node long, sketch binary, key long, bucket int, packed binary")
 
 
 def matched(packs: DataFrame) -> DataFrame:
@@ -227,27 +235,13 @@ def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "n_u", "n_v", "s_u", "s_v").mapInArrow(run, "u long, v long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose whole sets have a Jaccard index of at least 3/4. Each text that takes part is read again once."""
-    spark = pairs.sparkSession
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).select(F.pmod("node", F.lit(SLOTS)).alias("slot")).distinct()
-    wanted = np.zeros(SLOTS, bool)
-    wanted[[r.slot for r in ends.collect()]] = True  # SLOTS rows at most
-    sent = spark.sparkContext.broadcast(wanted)
-
-    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[int] = set()
-        for b in batches:
-            raw, at = buffers(b.column(0))
-            for lo, hi in steps(at):
-                doc, h = shingle_sets(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
-                n = np.bincount(doc, minlength=hi - lo)
-                node = node_of(n, doc, h)
-                keep = [i for i in np.flatnonzero(sent.value[node % SLOTS] & (n > 0)).tolist() if not (int(node[i]) in done or done.add(int(node[i])))]
-                if keep:
-                    yield pa.RecordBatch.from_arrays([pa.array(node[keep]), b.column(0).take(pa.array([lo + i for i in keep]))], ["node", "text"])
-
-    texts = docs.select("text").mapInArrow(fetch, "node long, text string").dropDuplicates(["node"])
+def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose whole sets have a Jaccard index of at least 3/4. One row's text of each node that takes part is
+    read again."""
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("_node")).distinct()
+    ends = written(nodes.join(ends, F.col("node") == F.col("_node")).select("node", F.col("key").alias("_key")), "ends")
+    wanted = F.broadcast(ends) if ends.count() <= SENT_KEYS else ends
+    texts = docs.select("text", row_key()).join(wanted, F.col("key") == F.col("_key")).select("node", "text").dropDuplicates(["node"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -291,40 +285,40 @@ def hot_pairs(rare: DataFrame, roots: DataFrame) -> DataFrame:
     rooted = rare.join(roots.withColumnRenamed("node", "_r"), F.col("node") == F.col("_r"), "left").select("key", "node", "n", "sketch", F.coalesce("root", "node").alias("root"))
     rooted = written(rooted, "hot")
     per_key = rooted.groupBy("key").agg(F.min("root").alias("main"), F.max("root").alias("other"), F.count(F.lit(1)).alias("g")).where("main <> other").select(F.col("key").alias("_key"), "main", "g")
-    open_ = rooted.join(per_key, F.col("key") == F.col("_key"))
-    sides = per_key.join(rooted.select("key", "root"), F.col("key") == F.col("_key")).where("root <> main").groupBy("key").agg(F.count(F.lit(1)).alias("k")).select(F.col("key").alias("_k"), "k")
-    open_ = open_.join(sides, F.col("key") == F.col("_k")).select("key", "node", "n", "sketch", "root", (F.col("root") != F.col("main")).alias("side"), F.ceil(F.col("g") / CHUNK).cast("int").alias("rows"), F.ceil(F.col("k") / CHUNK).cast("int").alias("cols"))
+    sides = rooted.select("key", "root").join(per_key, F.col("key") == F.col("_key")).where("root <> main").groupBy("_key", "main", "g").agg(F.count(F.lit(1)).alias("k"))
+    keys = written(sides, "keys")
+    keys = F.broadcast(keys) if keys.count() <= SENT_KEYS else keys
+    open_ = rooted.join(keys, F.col("key") == F.col("_key")).select(
+        "key", "node", "n", "sketch", "root", (F.col("root") != F.col("main")).alias("side"), F.ceil(F.col("g") / CHUNK).cast("int").alias("rows"), F.ceil(F.col("k") / CHUNK).cast("int").alias("cols")
+    )
+    # a node stands on the left of its row of cells, and if it isn't of the main component on the right of its column
     row, col = F.pmod(F.xxhash64("node"), "rows").cast("int"), F.pmod(F.xxhash64("node"), "cols").cast("int")
-    left = open_.select("*", row.alias("i"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("j"), F.lit(False).alias("right"))
-    right = open_.where("side").select("*", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), col.alias("j"), F.lit(True).alias("right"))
-    cells = left.unionByName(right).select("key", "i", "j", "node", "n", "sketch", "root", "right")
+    cell = lambda i, j, right: F.struct(i.alias("i"), j.alias("j"), F.lit(right).alias("right"))
+    left = F.transform(F.sequence(F.lit(0), F.col("cols") - 1), lambda j: cell(row, j, False))
+    right = F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda i: cell(i, col, True))
+    places = F.when(F.col("side"), F.concat(left, right)).otherwise(left)
+    cells = open_.select("key", "node", "n", "sketch", "root", F.explode(places).alias("c")).select("key", "c.i", "c.j", "node", "n", "sketch", "root", "c.right")
+    cells = cells.repartition(shuffle_partitions(rare.sparkSession), "key", "i", "j")
 
     def compare(cell: pa.Table) -> pa.Table:
-        x = cell.to_pydict()
-        at = np.argsort(np.array(x["n"]), kind="stable")
-        n, right = np.array(x["n"])[at], np.array(x["right"])[at]
-        node, root, sketch = np.array(x["node"])[at], np.array(x["root"])[at], [x["sketch"][i] for i in at.tolist()]
-        out_u, out_v = [], []
-        lefts = np.flatnonzero(~right)
-        folded: dict[int, np.ndarray] = {}
-        for i in np.flatnonzero(right).tolist():
-            lo, hi = np.searchsorted(n[lefts], [-(-3 * n[i] // 4), 4 * n[i] // 3 + 1])
-            near_ = lefts[lo:hi]
-            near_ = near_[root[near_] != root[i]]
-            if not len(near_):
-                continue
-            short = min(len(sketch[i]), *(len(sketch[j]) for j in (near_[0], near_[-1])))
-            if short not in folded:
-                folded[short] = np.zeros((len(n), short), np.uint8)
-                for j, s in enumerate(sketch):
-                    s = np.frombuffer(s, np.uint8)
-                    if len(s) >= short:
-                        folded[short][j] = np.bitwise_xor.reduce(s.reshape(-1, short), axis=0)
-            apart = np.bitwise_count(folded[short][near_] ^ folded[short][i]).sum(axis=1, dtype=np.int64)
-            hit = near_[7 * apart <= n[near_] + n[i]]
-            out_u += np.minimum(node[hit], node[i]).tolist()
-            out_v += np.maximum(node[hit], node[i]).tolist()
-        return pa.table({"u": pa.array(out_u, pa.int64()), "v": pa.array(out_v, pa.int64())})
+        n, node, root, right = (cell.column(c).to_numpy() for c in ("n", "node", "root", "right"))
+        sketch = cell.column("sketch").to_pylist()
+        width, out = np.array([len(x) for x in sketch]), []
+        for a in np.unique(width[right]).tolist():
+            for b in np.unique(width[~right]).tolist():
+                r, l = np.flatnonzero(right & (width == a)), np.flatnonzero(~right & (width == b))
+                if 4 * n[r].max() < 3 * n[l].min() or 4 * n[l].max() < 3 * n[r].min():
+                    continue
+                x, y = (folded([sketch[i] for i in at.tolist()], min(a, b)) for at in (r, l))
+                step = max(1, HELD_WORDS // y.size)
+                for lo in range(0, len(r), step):
+                    part = r[lo : lo + step]
+                    apart = np.bitwise_count(x[lo : lo + step, None] ^ y).sum(axis=2, dtype=np.int64)
+                    p, q = n[part][:, None], n[l]
+                    i, j = np.nonzero((7 * apart <= p + q) & (4 * np.minimum(p, q) >= 3 * np.maximum(p, q)) & (root[part][:, None] != root[l]))
+                    out.append((node[part[i]], node[l[j]]))
+        u, v = (np.concatenate([o[i] for o in out] or [np.zeros(0, np.int64)]) for i in (0, 1))
+        return pa.table({"u": pa.array(np.minimum(u, v)), "v": pa.array(np.maximum(u, v))})
 
     return cells.groupBy("key", "i", "j").applyInArrow(compare, "u long, v long").distinct()
 
@@ -341,17 +335,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text = pick(docs, id_col, text_col).toDF("id", "text")
     buckets = shuffle_partitions(spark)
     sketches = written(sketched(text, buckets), "sketches")
-    rows = sketches.where("bucket is null").select("id", "n", "node", "sketch")
+    rows = sketches.where("bucket is null").select("id", "n", "node", "sketch", "key")
     packs = sketches.where("bucket is not null").select("bucket", "packed").repartition(buckets, "bucket").sortWithinPartitions("bucket")
     found = written(matched(packs), "matched")
-    nodes = written(rows.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
+    nodes = written(rows.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("key").alias("key")), "nodes")
     rare = written(rarest_keys(found.where("key is not null").select("u", "key", "g"), nodes), "rare")
     likely = written(plausible(found.where("key is null").select("u", "v").unionAll(hub_pairs(rare)).distinct(), nodes), "pairs")
-    links = written(verified(likely, text), "links")
+    links = written(verified(likely, text, nodes), "links")
     roots = components(links)
     more = written(hot_pairs(rare, roots), "pairs")
     if not more.isEmpty():
-        roots = components(links.unionAll(verified(more, text)))
+        roots = components(links.unionAll(verified(more, text, nodes)))
     # ids: the least of each node, then of each component
     placed = nodes.select("node", "id").join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     least = placed.groupBy("root").agg(F.min("id").alias("component")).withColumnRenamed("root", "_root")
