@@ -145,7 +145,7 @@ def test_shards(spark, docs):
     assert sharding.hilbert_shards(docs.limit(0), "doc_id", "text", ["lang"]).count() == 0
 
 
-def test_shards_prune_files(spark, tmp_path):
+def test_shards_prune_files(spark, docs, tmp_path):
     df = fx.documents(spark, [(i, fx.prose(i, 3), "en") for i in range(2000)])
     layout = sharding.hilbert_shards(df, "doc_id", "text", ["doc_id", "n_chars"])
     spans = sharding.shard_ranges(df, layout, "doc_id", ["doc_id"]).collect()
@@ -305,15 +305,16 @@ def test_katz(spark, docs, frequent, monkeypatch):
         n_h[h] += c
     for (h, w), c in pairs.items():
         used[h] += (d2[c] if c <= katz.CUT else 1) * c / (n_h[h] + 1)
-        taken[h] += pc(w)
+        taken[h] += pc(w) if w is not None else 0  # the class of rare words is always backed off to
 
     def p2(h, w):
         c = pairs.get((h, w), 0)
-        if c:
-            return (d2[c] if c <= katz.CUT else 1) * c / (n_h[h] + 1)
-        return (1 - used[h]) / max(1 - taken[h], 1e-12) * pc(w) if h in n_h else pc(w)
+        seen = (d2[c] if c <= katz.CUT else 1) * c / (n_h[h] + 1) if c else 0
+        if c and w is not None:
+            return seen
+        return seen + ((1 - used[h]) / max(1 - taken[h], rare) * pc(w) if h in n_h else pc(w))
 
-    for h in ("<s>", *list(known)[:3]):
+    for h in ("<s>", None, *sorted(known)[:20]):
         assert math.isclose(sum(p2(h, w) for w in [*known - {"<s>"}, None]), 1, abs_tol=1e-6)
     want = []
     for i, t in texts:
