@@ -1,19 +1,20 @@
 """Katz back-off language model: Good-Turing discounted bigrams over Good-Turing discounted words.
 
-Words are counted over all training texts. Those with a relative frequency of at least FREQUENT (so at most 1 / FREQUENT
-of them, at any size of corpus) have numbers of their own in bigrams; all others, and words never seen, share one class
-there, inside which each is weighed by its own word probability. So
+Words are counted over all training texts, and every word counted there has bigrams of its own, at any size of corpus. Words
+never seen are one class R, inside which each is weighed by its own word probability. So
 
-    p(w | h)  = d(c) c(h w) / (c(h) + 1)            where the bigram of a frequent word was seen
+    p(w | h)  = d(c) c(h w) / (c(h) + 1)            where the bigram was seen
               = alpha(h) p(w)                       where it wasn't
               = (d(c) c(h R) / (c(h) + 1) + alpha(h) p(R)) p(w) / p(R)    for a word w of the class R,
 
-d being Katz's discount for counts up to CUT, and alpha(h) what is left for history h over what the seen frequent words
-don't take of p: exactly normalised for each history, as R holds words never seen and so can always be backed off to. The 1
-in c(h) + 1 keeps something to back off with after any history.
+d being Katz's discount for counts up to CUT, and alpha(h) what is left for history h over what the seen words don't take of
+p: exactly normalised for each history, as R holds words never seen and so can always be backed off to. The 1 in c(h) + 1
+keeps something to back off with after any history. c(h R) is 0, unless FREQUENT puts words that were seen into R.
 
-Bigram and rare-word occurrences are dealt to hash buckets as packed rows, (key, text, count), and written as a table
-partitioned by bucket; each bucket is counted and evaluated on its own.
+Words are known by 64-bit hashes. Bigram occurrences are dealt to hash buckets of their second word as packed rows, where
+they meet that word's count and are counted. A seen one needs c(h) besides, which its text's sum over words gives: each word
+is the next one's history. The others are dealt to buckets of their history, where they meet its count and alpha. No task
+holds all words or histories. Very frequent words have several buckets; which words these are is all that is sent.
 """
 
 from __future__ import annotations
@@ -28,16 +29,18 @@ from pyspark.sql import functions as F
 
 from .common import SPACED, Words, buffers, dealt, doc_remainder, mix, packed, pick, shuffle_partitions, steps, table, unpacked, written
 
-#: Least share of all training tokens that gives a word a number of its own in bigrams.
-FREQUENT = 1e-6
+#: Words with a lower share of all training tokens join the class R; 0: none does. Above 0, the words that don't are sent to every task.
+FREQUENT = 0.0
 #: Counts up to this one are discounted.
 CUT = 5
-#: A history's bigrams lie in so many buckets at most (by the word), so that a very frequent one fills none.
+#: Words with at least this share of all training tokens (so 1 / HOT of them at most) have SPREAD buckets each.
+HOT = 1e-4
 SPREAD = 16
+#: Buckets of one task.
+TASK_BUCKETS = 4
 #: Words that a task holds before it deals them out.
-HELD = 1_500_000
-END = np.uint64(0x0E4D)  # the end token's hash; a word's hash equals it once in 2**64
-START_ID, RARE_ID, END_ID = 0, 1, 2
+HELD = 1_000_000
+END, START, RARE = np.uint64(0x0E4D), np.uint64(0x57A7), np.uint64(0x4A4E)  # hashes of the ends and of R; a word's equals one once in 2**62
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
@@ -89,243 +92,311 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-class Vocabulary:
-    """What every task knows: the frequent words' hashes (sorted) and counts, totals, and the words' discounts."""
+def among(words: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each hash in the sorted words, and whether it stands there."""
+    if not len(words):
+        return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+    at = np.minimum(np.searchsorted(words, hashes), len(words) - 1)
+    return at, words[at] == hashes
 
-    def __init__(self, words: np.ndarray, n: np.ndarray, tokens: int, types: int, of_counts: np.ndarray):
-        order = np.argsort(words)
-        self.words, self.n, self.tokens, self.types = words[order], n[order].astype(float), tokens, types
-        self.d = discounts(of_counts)
+
+class Totals:
+    """What every task knows: totals over all words, their discounts, and which words have several buckets."""
+
+    def __init__(self, tokens: int, types: int, of_counts: np.ndarray, least: int, n_end: int, rare: np.ndarray, rare_more: int, hot: np.ndarray, own: np.ndarray | None):
+        self.tokens, self.types, self.least, self.d = tokens, types, least, discounts(of_counts)
         # p(never seen) is what the discounts leave; with nothing left, one count more than all
         kept = tokens - sum((1 - self.d[r]) * r * of_counts[r] for r in range(1, CUT + 1))
         self.total = float(tokens) if 0 < kept < tokens else float(tokens + 1)
         self.unseen = max(1 - kept / self.total, 0.0) if tokens else 1.0
-        self.p = self.word_p(self.n)
-        self.p_rare = max(1.0 - self.p.sum(), 1e-300)
-        end = np.searchsorted(self.words, END) if len(self.words) else 0
-        self.end = end if end < len(self.words) and self.words[end] == END else -1
-        n_end = self.n[self.end] if self.end >= 0 else 0.0
-        #: p and count as a history of each class: start, rare, end, then the frequent words.
-        self.class_p = np.concatenate([[0.0, self.p_rare, self.p[self.end] if self.end >= 0 else 0.0], self.p])
-        self.class_n = np.concatenate([[n_end, max(tokens - self.n.sum(), 0.0), 0.0], self.n])
+        # p(R): the words never seen, and those that FREQUENT puts there
+        self.p_rare = max(self.unseen + (sum(self.d[r] * r * rare[r] for r in range(1, CUT + 1)) + rare_more) / self.total, 1e-300)
+        # counts of the start and of R as histories
+        self.n_start, self.n_rare = n_end, rare_more + sum(r * rare[r] for r in range(1, CUT + 1))
+        self.hot, self.own = np.union1d(hot, np.array([START, RARE])), own
 
     def word_p(self, n: np.ndarray) -> np.ndarray:
         """p of words with these counts; 0: the one event of a word never seen."""
         d = np.where(n <= CUT, self.d[np.minimum(n, CUT).astype(int)], 1.0)
         return np.where(n > 0, d * n / self.total, self.unseen)
 
-    def place(self, hashes: np.ndarray) -> np.ndarray:
-        """Index of each word among the frequent ones, or -1."""
-        if not len(self.words):
-            return np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        return np.where(self.words[at] == hashes, at, -1)
+    def bucket(self, key: np.ndarray, other: np.ndarray, buckets: int) -> np.ndarray:
+        """The bucket of a word's row; a very frequent word has several, and ``other`` chooses among them."""
+        spread = np.where(among(self.hot, key)[1], mix(other) % np.uint64(SPREAD) + np.uint64(1), np.uint64(0))
+        return self.spread_bucket(key, spread, buckets)
+
+    def spread_bucket(self, key: np.ndarray, spread: np.ndarray, buckets: int) -> np.ndarray:
+        return (mix(mix(key) + spread) % np.uint64(buckets)).astype(np.int64)
+
+
+def totals(counts: DataFrame) -> Totals:
+    sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count(F.lit(1)).alias("types"), F.coalesce(F.sum(F.when(F.col("word") == int(END), F.col("n"))), F.lit(0)).alias("n_end"), *[F.count_if(F.col("n") == r).alias(f"n{r}") for r in range(1, CUT + 2)]).first()
+    tokens, of_counts = sums["tokens"], np.array([0, *(sums[f"n{r}"] for r in range(1, CUT + 2))])
+    least, rare, rare_more, own = max(1, math.ceil(FREQUENT * tokens)), np.zeros(CUT + 1), 0, None
+    hashes = lambda df: np.sort(df.select("word").toPandas()["word"].to_numpy(np.int64).view(np.uint64))
+    if FREQUENT:
+        few = counts.where((F.col("n") < least) & (F.col("word") != int(END)))
+        got = few.agg(*[F.count_if(F.col("n") == r).alias(f"n{r}") for r in range(1, CUT + 1)], F.coalesce(F.sum(F.when(F.col("n") > CUT, F.col("n"))), F.lit(0)).alias("more")).first()
+        rare, rare_more = np.array([0, *(got[f"n{r}"] for r in range(1, CUT + 1))]), got["more"]
+        own = hashes(counts.where((F.col("n") >= least) & (F.col("word") != int(END))))  # 1 / FREQUENT rows at most
+    hot = hashes(counts.where(F.col("n") >= max(1, math.ceil(HOT * tokens))))  # 1 / HOT rows at most
+    return Totals(tokens, sums["types"], of_counts, least, sums["n_end"], rare, rare_more, hot, own)
+
+
+def occurrences(texts: DataFrame, sent, buckets: int) -> DataFrame:
+    """Bigrams of (row, learns, text), packed by the second word's bucket: word, history, the text's row, how often the bigram
+    stands there, and whether the text teaches."""
+
+    def deal(held: list) -> Iterator[pa.RecordBatch]:
+        word, history, row, learns = (np.concatenate([h[i] for h in held]) for i in range(4))
+        order = np.lexsort((history, word))  # stable: rows ascend
+        word, history, row, learns = word[order], history[order], row[order], learns[order]
+        new = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (history[1:] != history[:-1]) | (row[1:] != row[:-1])]))
+        n = np.diff(np.concatenate([new, [len(word)]])).astype(np.uint32)
+        word, history, row, learns = word[new], history[new], row[new], learns[new]
+        for b, (w, h, r, c, t) in dealt(sent.value.bucket(word, history, buckets), buckets, word, history, row, n, learns):
+            # in order, steps take few bytes; histories are numbered in the pack
+            own, number = np.unique(h, return_inverse=True)
+            value = packed(np.diff(w, prepend=np.uint64(0)), number.astype(np.uint32), np.diff(r, prepend=0), c, t)
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([packed(np.diff(own, prepend=np.uint64(0)))], pa.binary()), pa.array([value], pa.binary())], ["bucket", "histories", "packed"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v: Totals = sent.value
+        held, size = [], 0
+        for b in batches:
+            rows, teach = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False).astype(np.uint8)
+            for lo, hi, w in _tokens(b.column(2)):
+                # the start before each text's words, the end after them
+                total, at = len(w.hash) + hi - lo, np.arange(len(w.hash)) + w.doc
+                word, history = np.full(total, END), np.full(total, START)
+                word[at] = w.hash
+                history[at + 1] = w.hash if v.own is None else np.where(among(v.own, w.hash)[1], w.hash, RARE)
+                doc = np.repeat(np.arange(hi - lo), w.count + 1)
+                held.append((word, history, rows[lo:hi][doc], teach[lo:hi][doc]))
+                size += total
+                if size > HELD:
+                    yield from deal(held)
+                    held, size = [], 0
+        if held:
+            yield from deal(held)
 
-def vocabulary(counts: DataFrame) -> Vocabulary:
-    sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count(F.lit(1)).alias("types"), *[F.count_if(F.col("n") == r).alias(f"n{r}") for r in range(1, CUT + 2)]).first()
-    least = max(1, math.ceil(FREQUENT * sums["tokens"]))
-    rows = counts.where((F.col("n") >= least) | (F.col("word") == int(END))).toPandas()  # 1 / FREQUENT rows at most, and the end
-    return Vocabulary(rows["word"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64), sums["tokens"], sums["types"], np.array([0, *(sums[f"n{r}"] for r in range(1, CUT + 2))]))
+    return texts.select("row", "learns", "text").mapInArrow(run, "bucket int, histories binary, packed binary")
 
 
-def occurrences(docs: DataFrame, sent, buckets: int) -> DataFrame:
-    """Of (row, id, held_out, learns, text): a row for each text with what frequent words alone tell, and packed rows.
+def by_bucket(rows: DataFrame, sent, buckets: int) -> DataFrame:
+    """Rows of a word's hash and values, packed by the word's bucket; a very frequent word stands in each of its buckets."""
 
-    Packed by bucket: kind 0 bigrams of classes (key: history << 32 | word), kind 1 rare words (key: hash); with each key
-    the text's row, how often it stands there, and whether the text teaches.
-    """
-    id_field = docs.schema["id"]
-    names = ["row", "id", "held_out", "n_tokens", "n_known", "base", "bucket", "kind", "packed"]
-
-    def deal(held: list, kinds: list) -> Iterator[pa.RecordBatch]:
-        for kind in (0, 1):
-            got = [h[kind] for h in held]
-            key, row, learns = (np.concatenate([g[i] for g in got]) for i in range(3))
-            order = np.lexsort((row, key))
-            key, row, learns = key[order], row[order], learns[order]
-            new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (row[1:] != row[:-1])])) if len(key) else np.zeros(0, np.int64)
-            n = np.diff(np.concatenate([new, [len(key)]])).astype(np.uint32)
-            key, row, learns = key[new], row[new], learns[new]
-            if kind == 0:
-                history, word = key >> np.uint64(32), key & np.uint64(0xFFFFFFFF)
-                spread = mix(history * np.uint64(SPREAD) + mix(word) % np.uint64(SPREAD))
-            else:
-                spread = mix(key + np.uint64(1))
-            for b, (k, r, c, t) in dealt((spread % np.uint64(buckets)).astype(np.int64), buckets, key, row, n, learns):
-                # the key's steps, in order, take few bytes
-                value = packed(np.diff(k, prepend=np.uint64(0)), r, c, t)
-                yield pa.RecordBatch.from_arrays([*(pa.nulls(1, k_) for k_ in kinds), pa.array([b], pa.int32()), pa.array([kind], pa.int32()), pa.array([value], pa.binary())], names)
+    def deal(held: list) -> Iterator[pa.RecordBatch]:
+        v: Totals = sent.value
+        word, *values = (c.to_numpy() for c in pa.Table.from_batches(held).combine_chunks().columns)
+        word = word.view(np.uint64)
+        hot = among(v.hot, word)[1]
+        take = np.concatenate([np.flatnonzero(~hot), np.repeat(np.flatnonzero(hot), SPREAD)])
+        spread = np.concatenate([np.zeros((~hot).sum(), np.uint64), np.tile(np.arange(1, SPREAD + 1, dtype=np.uint64), hot.sum())])
+        for i, got in dealt(v.spread_bucket(word[take], spread, buckets), buckets, word[take], *(x[take] for x in values)):
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([0], pa.int32()), pa.nulls(1, pa.binary()), pa.array([packed(*got)], pa.binary())], ["bucket", "kind", "histories", "packed"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v: Vocabulary = sent.value
-        floor, scale = 0.1, math.log10(v.tokens + 0.1 * (v.types + 1))
-        held, size, kinds = [], 0, []
-        n_end = v.n[v.end] if v.end >= 0 else 0.0
+        held, size = [], 0
         for b in batches:
-            kinds = [pa.int64(), b.schema.field(1).type, pa.bool_(), pa.int64(), pa.int64(), pa.float64()]
-            rows, teach = b.column(0).to_numpy(zero_copy_only=False), b.column(3).to_numpy(zero_copy_only=False).astype(np.uint8)
-            sums = []
-            for lo, hi, w in _tokens(b.column(4)):
-                n_doc = hi - lo
-                at = v.place(w.hash)
-                frequent = at >= 0
-                count = np.where(frequent, v.n[np.maximum(at, 0)], 0.0) if len(v.words) else np.zeros(len(at))
-                by = lambda x, d=w.doc: np.bincount(d, x, minlength=n_doc)
-                base = by(np.where(frequent, np.log10(count + floor), 0.0)) - (w.count + 1) * scale + math.log10(n_end + floor)
-                known = by(frequent.astype(float)) + (n_end > 0)
-                # classes with the start before and the end after each text
-                total = len(at) + 2 * n_doc
-                ids, begin = np.full(total, RARE_ID, np.uint64), w.first[:-1] + 2 * np.arange(n_doc)
-                ids[np.arange(len(at)) + 2 * w.doc + 1] = np.where(frequent & (at != v.end), at + 3, RARE_ID)
-                ids[begin], ids[w.first[1:] + 2 * np.arange(n_doc) + 1] = START_ID, END_ID if v.end >= 0 else RARE_ID
-                doc = np.repeat(np.arange(n_doc), w.count + 2)
-                pair = doc[1:] == doc[:-1]
-                key = (ids[:-1] << np.uint64(32) | ids[1:])[pair]
-                row = rows[lo:hi]
-                rare = ~frequent
-                held.append(((key, row[doc[1:][pair]], teach[lo:hi][doc[1:][pair]]), (w.hash[rare], row[w.doc[rare]], teach[lo:hi][w.doc[rare]])))
-                size += len(key)
-                sums.append((w.count + 1, known.astype(np.int64), base))
-                if size > HELD:
-                    yield from deal(held, kinds)
-                    held, size = [], 0
-            if sums:
-                cols = [np.concatenate([x[i] for x in sums]) for i in range(3)]
-                yield pa.RecordBatch.from_arrays([*b.columns[:3], *map(pa.array, cols), *(pa.nulls(b.num_rows, k) for k in (pa.int32(), pa.int32(), pa.binary()))], names)
-        if held:
-            yield from deal(held, kinds)
+            held.append(b)
+            size += b.num_rows
+            if size > HELD:
+                yield from deal(held)
+                held, size = [], 0
+        if size:
+            yield from deal(held)
+
+    return rows.mapInArrow(run, "bucket int, kind int, histories binary, packed binary")
 
-    return docs.select("row", "id", "held_out", "learns", "text").mapInArrow(
-        run, f"row long, id {id_field.dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, base double, bucket int, kind int, packed binary"
-    )
 
+def met(rows: DataFrame, packs: DataFrame, sent, buckets: int) -> DataFrame:
+    """Packs (bucket, histories, packed) beside the rows of their words: kind 0 the rows, kind 1 the packs."""
+    both = by_bucket(rows, sent, buckets).unionByName(packs.select("bucket", F.lit(1).alias("kind"), "histories", "packed"))
+    return both.repartition(shuffle_partitions(rows.sparkSession), "bucket").sortWithinPartitions("bucket")
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """(bucket, kind) and the rows of each, by key; a task's rows come by bucket and kind."""
-    now, held = None, []
+
+def _read(batches: Iterator[pa.RecordBatch], *kinds: list[type]) -> Iterator[list[list[np.ndarray]]]:
+    """Each bucket's rows of every kind of pack; a task's packs come by bucket."""
+    now, held = None, [[] for _ in kinds]
 
     def out():
-        key, row, n, learns = (np.concatenate([h[i] for h in held]) for i in range(4))
-        order = np.argsort(key, kind="stable")
-        return now, key[order], row[order], n[order].astype(np.int64), learns[order]
+        return [[np.concatenate([np.zeros(0, t), *(h[i] for h in held[k])]) for i, t in enumerate(kinds[k])] for k in range(len(kinds))]
 
     for b in batches:
-        for bucket, kind, value in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-            if (bucket, kind) != now:
-                if held:
+        for bucket, kind, own, value in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
+            if bucket != now:
+                if now is not None:
                     yield out()
-                now, held = (bucket, kind), []
-            step, row, n, learns = unpacked(value.as_py(), np.uint64, np.int64, np.uint32, np.uint8)
-            held.append((np.cumsum(step, dtype=np.uint64), row, n, learns))
-    if held:
+                now, held = bucket, [[] for _ in kinds]
+            if kind:
+                first, number, step, *rest = unpacked(value.as_py(), kinds[1][0], np.uint32, np.int64, *kinds[1][3:])
+                got = [np.cumsum(first, dtype=kinds[1][0]), np.cumsum(unpacked(own.as_py(), np.uint64)[0], dtype=np.uint64)[number], np.cumsum(step), *rest]
+            else:
+                got = unpacked(value.as_py(), *kinds[0])
+            held[kind].append(got)
+    if now is not None:
         yield out()
 
 
-def _groups(key: np.ndarray, n: np.ndarray, learns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First row of each key, group of each row, and each group's count in training texts."""
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    group = np.repeat(np.arange(len(first)), np.diff(np.concatenate([first, [len(key)]])))
-    return first, group, np.bincount(group, n * learns, minlength=len(first)).astype(np.int64)
+def _sorted_by_word(found: list[np.ndarray]) -> list[np.ndarray]:
+    order = np.argsort(found[0])
+    return [x[order] for x in found]
+
+
+HISTORY = ["h", *(f"n{r}" for r in range(1, CUT + 2)), "more", "taken", "rare"]
+SUMS = [np.float64, np.float64, *[np.int32] * (CUT + 2)]  # score but for the discounts, base, n_tokens, n_known, tokens with counts 1 to CUT
+
+
+def _summed(held: list) -> list[np.ndarray]:
+    """Sums by row (the first array of each)."""
+    rows, back = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+    return [rows, *(np.bincount(back, np.concatenate([h[i] for h in held]), minlength=len(rows)) for i in range(1, len(held[0])))]
+
 
+def _dealt_sums(held: list, parts: int) -> Iterator[tuple[int, bytes]]:
+    rows, *sums = _summed(held)
+    for part, got in dealt((mix(rows.view(np.uint64)) % np.uint64(parts)).astype(np.int64), parts, rows, *(x.astype(t) for x, t in zip(sums, SUMS))):
+        yield part, packed(np.diff(got[0], prepend=0), *got[1:])
 
-HISTORY = ["h", *(f"n{r}" for r in range(1, CUT + 2)), "more", "taken"]
 
+def counted(packs: DataFrame, sent, buckets: int, parts: int) -> DataFrame:
+    """Each bucket's bigrams counted. Its histories: h, n1 .. (seen words with that count), more (sum of counts above CUT),
+    taken (sum of p of the seen words), rare (the count of words of R). Its bigrams to be backed off to, packed by bucket of
+    the history: row, history, n and twice the word's own count, plus 1 in R. Its texts, packed by part: SUMS of each row."""
+    names = [*HISTORY, "part", "bucket", "histories", "packed"]
+    kinds = [pa.int64()] * (CUT + 3) + [pa.float64(), pa.int64()]
 
-def counted(packs: DataFrame, sent, parts: int) -> DataFrame:
-    """Each bucket counted. Its histories: h, n1 .. (seen words with that count), more (sum of counts above CUT), taken
-    (sum of p of the seen words). Its texts, packed by part: what 0 sums of seen bigrams and of rare words (row, score
-    but for the discounts, base, n_known, tokens with counts 1 to CUT), what 1 bigrams that back off (row, key, n, count)."""
-    names = [*HISTORY, "part", "what", "packed"]
-    kinds = [*[pa.int64()] * (len(HISTORY) - 1), pa.float64()]
+    def row_of(**values) -> pa.RecordBatch:
+        types = [*kinds, pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array([values.get(n)], t) for n, t in zip(names, types)], names)
 
-    def texts(what: int, row: np.ndarray, *values: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for part, got in dealt((mix(row.view(np.uint64)) % np.uint64(parts)).astype(np.int64), parts, row, *values):
-            value = packed(np.diff(got[0], prepend=0), *got[1:])
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, k) for k in kinds), pa.array([part], pa.int32()), pa.array([what], pa.int32()), pa.array([value], pa.binary())], names)
+    def backs(held: list) -> Iterator[pa.RecordBatch]:
+        h, row, n, m = (np.concatenate([x[i] for x in held]) for i in range(4))
+        order = np.argsort(row, kind="stable")
+        h, row, n, m = h[order], row[order], n[order], m[order]
+        for b, (h, row, n, m) in dealt(sent.value.bucket(h, row.view(np.uint64), buckets), buckets, h, row, n, m):
+            own, number = np.unique(h, return_inverse=True)
+            yield row_of(bucket=b, histories=packed(np.diff(own, prepend=np.uint64(0))), packed=packed(np.diff(m, prepend=0), number.astype(np.uint32), np.diff(row, prepend=0), n))
+
+    def owned(held: list) -> Iterator[pa.RecordBatch]:
+        h, *cols = _summed(held)
+        cols = [x.astype(np.float64 if name == "taken" else np.int64) for name, x in zip(HISTORY[1:], cols)]
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *map(pa.array, cols), *(pa.nulls(len(h), k) for k in (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v: Vocabulary = sent.value
-        for (_, kind), key, row, n, learns in _read(batches):
-            first, group, count = _groups(key, n, learns)
-            zero, c = np.zeros(len(key)), count.astype(float)
-            levels = [zero] * CUT
-            base, known = zero, zero
-            if kind == 0:
-                h, w = (key[first] >> np.uint64(32)).astype(np.int64), (key[first] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-                seen = count > 0
-                own, back = np.unique(h[seen], return_inverse=True)
-                by = lambda x: np.bincount(back, x, minlength=len(own)).astype(float)  # noqa: E731, B023
-                cols = [by(count[seen] == r).astype(np.int64) for r in range(1, CUT + 2)]
-                cols += [by(np.where(count[seen] > CUT, count[seen], 0)).astype(np.int64), by(np.where(w[seen] == RARE_ID, 0.0, v.class_p[w[seen]]))]
-                yield pa.RecordBatch.from_arrays([pa.array(own), *map(pa.array, cols), *(pa.nulls(len(own), k) for k in (pa.int32(), pa.int32(), pa.binary()))], names)
-                sure = seen & (w != RARE_ID)
-                backs = ~sure[group]
-                order = np.argsort(row[backs], kind="stable")
-                yield from texts(1, row[backs][order], key[backs][order], n[backs][order].astype(np.int32), count[group][backs][order])
-                score = n * np.where(sure, np.log10(np.maximum(c, 1)) - np.log10(v.class_n[h] + 1), 0.0)[group]
-                levels = [n * (sure & (count == r))[group] for r in range(1, CUT + 1)]
-            else:
-                score = n * np.log10(np.maximum(v.word_p(c) / v.p_rare, 1e-300))[group]
-                base, known = n * np.log10(c + 0.1)[group], n * (c > 0)[group]
-            rows, back = np.unique(row, return_inverse=True)
-            sums = [np.bincount(back, x, minlength=len(rows)) for x in (score, base, known, *levels)]
-            yield from texts(0, rows, sums[0], sums[1], *(x.astype(np.int32) for x in sums[2:]))
+        v: Totals = sent.value
+        held, own, sums = [], [], []
+        full = lambda x, most: sum(len(y[0]) for y in x) > most
+        for words, (word, history, row, n, learns) in _read(batches, [np.uint64, np.int64], [np.uint64, np.uint64, np.int64, np.uint32, np.uint8]):
+            if not len(word):
+                continue
+            known, n_known = _sorted_by_word(words)
+            order = np.lexsort((history, word))
+            word, history, row, n, learns = (x[order] for x in (word, history, row, n, learns))
+            first = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (history[1:] != history[:-1])]))
+            group = np.repeat(np.arange(len(first)), np.diff(np.concatenate([first, [len(word)]])))
+            count = np.bincount(group, n * learns.astype(float), minlength=len(first)).astype(np.int64)
+            w, h = word[first], history[first]
+            at, there = among(known, w)
+            n_w = np.where(there, n_known[at], 0) if len(known) else np.zeros(len(w), np.int64)
+            rare = (n_w < v.least) & ((w != END) | (n_w == 0))
+            c, r = count[count > 0], rare[count > 0]
+            whole = [*((~r & (c == i)).astype(float) for i in range(1, CUT + 2)), np.where(~r & (c > CUT), c, 0)]
+            own.append(_summed([(h[count > 0], *whole, np.where(r, 0.0, v.word_p(n_w[count > 0])), np.where(r, c, 0))]))
+            sure = (count > 0) & ~rare
+            # each word's count as the next one's history, the start's with the end
+            as_history = np.where(w == END, v.n_start, np.where(rare, v.n_rare, n_w))
+            score = np.where(sure, np.log10(np.maximum(count, 1)), 0.0) - np.log10(as_history + 1)
+            values = [score, np.log10(n_w + 0.1), np.ones(len(w)), n_w > 0, *(sure & (count == i) for i in range(1, CUT + 1))]
+            sums.append(_summed([(row, *(n * x[group] for x in values))]))
+            back = ~sure[group]
+            held.append((history[back], row[back], n[back], (2 * n_w + rare)[group][back]))
+            if full(held, HELD):
+                yield from backs(held)
+                held = []
+            if full(own, HELD):
+                yield from owned(own)
+                own = []
+            if full(sums, HELD // 2):
+                yield from (row_of(part=p, packed=x) for p, x in _dealt_sums(sums, parts))
+                sums = []
+        if held:
+            yield from backs(held)
+        if own:
+            yield from owned(own)
+        if sums:
+            yield from (row_of(part=p, packed=x) for p, x in _dealt_sums(sums, parts))
 
-    return packs.mapInArrow(run, "h long, " + ", ".join(f"n{r} long" for r in range(1, CUT + 2)) + ", more long, taken double, part int, what int, packed binary")
+    return packs.mapInArrow(run, "h long, " + ", ".join(f"n{r} long" for r in range(1, CUT + 2)) + ", more long, taken double, rare long, part int, bucket int, histories binary, packed binary")
 
 
-def backoffs(found: DataFrame, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Discounts of bigrams, and alpha of each history class; as many rows as classes at most."""
-    got = found.where("h is not null").groupBy("h").agg(*[F.sum(c).alias(c) for c in HISTORY[1:]]).toPandas()
-    d = discounts(np.array([0, *(int(got[f"n{r}"].sum()) for r in range(1, CUT + 2))]))
-    alpha = np.ones(len(v.class_p))
-    if len(got):
-        h, r = got["h"].to_numpy(), np.arange(1, CUT + 1)[:, None]
-        kept = (np.stack([got[f"n{i}"].to_numpy(float) for i in range(1, CUT + 1)]) * r * d[1:, None]).sum(axis=0) + got["more"].to_numpy(float)
-        alpha[h] = np.maximum(1 - kept / (v.class_n[h] + 1), 1e-300) / np.maximum(1 - got["taken"].to_numpy(float), v.p_rare)
-    return d, alpha
+def histories(found: DataFrame, v: Totals) -> tuple[DataFrame, np.ndarray]:
+    """h, its count, alpha and the discounted count of R after it; and the discounts of bigrams."""
+    got = written(found.where("h is not null").groupBy("h").agg(*[F.sum(c).alias(c) for c in HISTORY[1:]]), "histories")
+    types = got.agg(*[(F.coalesce(F.sum(f"n{r}"), F.lit(0)) + F.count_if(F.col("rare") == r)).alias(f"n{r}") for r in range(1, CUT + 2)]).first()
+    d = discounts(np.array([0, *(types[f"n{r}"] for r in range(1, CUT + 2))]))
+    levels = range(1, CUT + 1)
+    n = sum((r * F.col(f"n{r}") for r in levels), F.col("more")) + F.col("rare")
+    c_rare = F.coalesce(*[F.when(F.col("rare") == r, float(d[r]) * r) for r in levels], F.col("rare").cast("double"))
+    kept = sum((float(d[r]) * r * F.col(f"n{r}") for r in levels), F.col("more")) + c_rare
+    alpha = F.greatest(1 - kept / (n + 1), F.lit(1e-300)) / F.greatest(1 - F.col("taken"), F.lit(float(v.p_rare)))
+    return got.select("h", n.alias("n"), alpha.alias("alpha"), c_rare.alias("c_rare")), d
 
 
-def summed(found: DataFrame, sent, model, parts: int) -> DataFrame:
-    """row, score, base and n_known of each text, over all buckets."""
+def backed_off(packs: DataFrame, sent, d: np.ndarray, parts: int) -> DataFrame:
+    """What bigrams that back off add to each text, packed by part as counted() does."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v: Totals = sent.value
+        sums = []
+        out = lambda: (pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([x], pa.binary())], ["part", "packed"]) for p, x in _dealt_sums(sums, parts))
+        for words, (m, history, row, n) in _read(batches, [np.uint64, np.int64, np.float64, np.float64], [np.int64, np.uint64, np.int64, np.uint32]):
+            if not len(row):
+                continue
+            own, n_own, alpha_own, rare_own = _sorted_by_word(words)
+            at, there = among(own, history)
+            of = lambda x, other: np.where(there, x[at], other) if len(x) else np.full(len(at), other)  # noqa: E731, B023
+            n_h, alpha, c_rare = of(n_own, 0), of(alpha_own, 1.0), of(rare_own, 0.0)
+            rare, p = (m & 1).astype(bool), v.word_p(m >> 1)
+            both = np.where(rare, c_rare / (n_h + 1), 0.0) + alpha * np.where(rare, v.p_rare, p)
+            score = np.log10(np.maximum(both, 1e-300)) + np.where(rare, np.log10(np.maximum(p / v.p_rare, 1e-300)), 0.0) + np.log10(n_h + 1)
+            sums.append(_summed([(row, n * score, *[np.zeros(len(row))] * (len(SUMS) - 1))]))
+            if sum(len(x[0]) for x in sums) > HELD // 2:
+                yield from out()
+                sums = []
+        if sums:
+            yield from out()
+
+    return packs.mapInArrow(run, "part int, packed binary")
+
+
+def text_sums(packs: DataFrame, d: np.ndarray, parts: int) -> DataFrame:
+    """row, score, base, n_tokens and n_known of each text, over all packs."""
+    level = np.log10(d[1:])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v: Vocabulary = sent.value
-        d, alpha = model.value
-        level = np.log10(d[1:])
         now, held = None, []
 
         def out():
-            rows, back = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
-            sums = [np.bincount(back, np.concatenate([h[i] for h in held]), minlength=len(rows)) for i in (1, 2, 3)]
-            return rows, *sums
+            rows, score, base, tokens, known, *levels = _summed(held)
+            score = score + sum(n * x for n, x in zip(levels, level))
+            return pa.RecordBatch.from_arrays([pa.array(rows), pa.array(score), pa.array(base), pa.array(tokens.astype(np.int64)), pa.array(known.astype(np.int64))], ["row", "score", "base", "n_tokens", "n_known"])
 
         for b in batches:
-            for part, what, value in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+            for part, value in zip(b.column(0).to_pylist(), b.column(1)):
                 if part != now and held:
-                    rows, score, base, known = out()
-                    yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(score), pa.array(base), pa.array(known.astype(np.int64))], ["row", "score", "base", "n_known"])
+                    yield out()
                     held = []
                 now = part
-                if what == 0:
-                    step, score, base, known, *levels = unpacked(value.as_py(), np.int64, np.float64, np.float64, np.int32, *[np.int32] * CUT)
-                    score = score + sum(n * x for n, x in zip(levels, level))
-                else:
-                    step, key, n, c = unpacked(value.as_py(), np.int64, np.uint64, np.int32, np.int64)
-                    h, w = (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
-                    seen = np.where(c > CUT, 1.0, d[np.minimum(c, CUT)]) * c / (v.class_n[h] + 1)
-                    score = n * np.log10(np.maximum(seen + alpha[h] * v.class_p[w], 1e-300))
-                    base = known = np.zeros(len(n))
-                held.append((np.cumsum(step), score, base, known))
+                step, *rest = unpacked(value.as_py(), np.int64, *SUMS)
+                held.append([np.cumsum(step), *rest])
                 if len(held) > 64:
-                    held = [out()]
+                    held = [_summed(held)]
         if held:
-            rows, score, base, known = out()
-            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(score), pa.array(base), pa.array(known.astype(np.int64))], ["row", "score", "base", "n_known"])
+            yield out()
 
-    packs = found.where("part is not null").select("part", "what", "packed").repartition(parts, "part").sortWithinPartitions("part")
-    return packs.mapInArrow(run, "row long, score double, base double, n_known long")
+    return packs.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, "row long, score double, base double, n_tokens long, n_known long")
 
 
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10) -> DataFrame:
@@ -339,20 +410,20 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
     rest = doc_remainder(F.col("id"), folds)
     text = pick(docs, id_col, text_col).toDF("id", "text").select("id", (F.coalesce(rest, F.lit(-1)) == 0).alias("held_out"), F.coalesce(rest > 0, F.lit(False)).alias("learns"), "text")
     counts = written(word_counts(text.where("learns")), "words")
-    v = vocabulary(counts)
+    v = totals(counts)
     sent = spark.sparkContext.broadcast(v)
-    buckets = parts = shuffle_partitions(spark)
-    # the texts' numbers stand in the written table with what was dealt out under them
-    dealt_out = written(occurrences(text.withColumn("row", F.monotonically_increasing_id()), sent, buckets), "bigrams")
-    packs = dealt_out.where("bucket is not null").select("bucket", "kind", "packed").repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
-    found = written(counted(packs, sent, parts), "counts")
-    model = spark.sparkContext.broadcast(backoffs(found, v))
-    sums = summed(found, sent, model, parts).select(F.col("row").alias("_row"), F.col("score").alias("s"), F.col("base").alias("b"), F.col("n_known").alias("k"))
-    texts = dealt_out.where("bucket is null").select("row", "id", "held_out", "n_tokens", "n_known", "base")
-    joined = texts.join(sums, F.col("row") == F.col("_row"), "left")
+    parts = shuffle_partitions(spark)
+    buckets = TASK_BUCKETS * parts
+    # the texts' numbers stand in a written table: what is dealt out stands under them
+    numbered = written(text.withColumn("row", F.monotonically_increasing_id()), "texts")
+    found = written(counted(met(counts.select("word", F.col("n").cast("long")), occurrences(numbered, sent, buckets), sent, buckets), sent, buckets, parts), "counts")
+    own, d = histories(found, v)
+    backs = backed_off(met(own, found.where("bucket is not null"), sent, buckets), sent, d, parts)
+    sums = text_sums(found.where("part is not null").select("part", "packed").unionByName(backs), d, parts).withColumnRenamed("row", "_row")
+    joined = numbered.select("row", "id", "held_out").join(sums, F.col("row") == F.col("_row"))  # each text has an end, so sums
+    scale = math.log10(v.tokens + 0.1 * (v.types + 1))
     return joined.select(
-        F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(v.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("b", F.lit(0.0))).alias("base_score"), F.coalesce("s", F.lit(0.0)).alias("score"),
+        F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(v.tokens).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * scale).alias("base_score"), "score",
     )
 
 

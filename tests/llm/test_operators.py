@@ -326,6 +326,38 @@ def test_katz(spark, docs, frequent, monkeypatch):
     assert sorted(got, key=key) == sorted(want, key=key)
 
 
+@pytest.mark.parametrize("hot", [1e-4, 1.0])
+def test_katz_counts_bigrams_of_rare_words(spark, hot, monkeypatch):
+    """A word under a millionth of all tokens has bigrams of its own."""
+    monkeypatch.setattr(katz, "HOT", hot, raising=False)
+    learns = [i for i in range(1, 40) if zlib.crc32(str(i).encode()) % 10]
+    held = next(i for i in range(1, 99) if not zlib.crc32(str(i).encode()) % 10)
+    filler = "a b c d e f g h " * 40_000
+    rows = [*((i, filler) for i in learns[:4]), (learns[4], "zig zag " + filler), (learns[5], "zog zug"), (held, "zig zag"), (held, "zig zug"), (held, "zog new")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = [(i, [*t.split(), "</s>"]) for i, t in rows]
+    words = collections.Counter(w for i, t in texts if i != held for w in t)
+    pairs = collections.Counter(x for i, t in texts if i != held for x in zip(["<s>", *t], t))
+    total = sum(words.values())
+    assert total > 1_500_000 and words["zag"] == 1
+    of = lambda c: np.array([0, *(sum(x == r for x in c.values()) for r in range(1, katz.CUT + 2))])
+    d, d2 = katz.discounts(of(words)), katz.discounts(of(pairs))
+    disc = lambda d, c: (d[c] if c <= katz.CUT else 1) * c
+    kept = sum(disc(d, c) for c in words.values())
+    mass = total if 0 < kept < total else total + 1
+    p1 = lambda w: disc(d, words[w]) / mass if words[w] else 1 - kept / mass
+
+    def p2(h, w):
+        after = {v: c for (g, v), c in pairs.items() if g == h}
+        n = sum(after.values())
+        if w in after:
+            return disc(d2, after[w]) / (n + 1)
+        return (1 - sum(disc(d2, c) for c in after.values()) / (n + 1)) / (1 - sum(map(p1, after))) * p1(w)
+
+    want = sorted((i, f"{sum(math.log10(p2(h, w)) for h, w in zip(['<s>', *t], t)):.6g}") for i, t in texts if i == held)
+    assert sorted((r.doc_id, f"{r.score:.6g}") for r in katz.scored(df).where("held_out").collect()) == want
+
+
 def test_katz_without_training(spark, docs):
     assert katz.scored(docs.limit(0)).count() == 0
     only = docs.where("doc_id is null")
