@@ -283,8 +283,8 @@ FROM s GROUP BY source, size HAVING count(DISTINCT lang) = 1 AND count(*) >= 3""
 
 
 def learn_rules(spark, sf_dir):
-    """The flagship: words' languages from their spelling, learned on documents of every tenth id; counts of each rule."""
-    rules, _ = learn(_spelling(spark, sf_dir), _templates("word::~~2 => state\nword::3~~ => state\nword::1<> state => state", TOKENS), Limits(max_rules=4))
+    """The flagship: words' languages from their spelling, learned on all documents until no rule scores above the threshold; counts of each rule."""
+    rules, _ = learn(_spelling(spark, sf_dir), _templates("word::~~2 => state\nword::3~~ => state\nword::1<> state => state", TOKENS))
     rows = [(i, r.text().partition("RULE: ")[2], r.good, r.bad, r.score) for i, r in enumerate(rules)]
     return spark.createDataFrame(rows, "rule int, text string, good long, bad long, score long")
 
@@ -296,7 +296,7 @@ def _spelling(spark, sf_dir):
 
 
 def learn_lines(spark, sf_dir):
-    """Three rules learned on order lines, and how many lines are right after them."""
+    """The first two rules learned on order lines, as in the SQL, and how many lines are right after them."""
     s = collapsed(line_samples(spark, sf_dir), LINES)
     rules, after = learn(s, _templates(LINE_TEMPLATES, LINES), Limits(max_rules=2))
     right = after.agg(F.sum(F.when(F.col("state") == F.col("truth"), F.col("cost")).otherwise(0)).alias("n")).first()["n"]
@@ -507,7 +507,7 @@ CONVERT_SQL = f"WITH {EVENT_SQL}, {_rule_sql([Rule.parse('RULE: state_0=click st
 
 
 def tagger_pipeline(spark, sf_dir):
-    """Two stages on the languages of documents' words: lexical rules for new words, then context; accuracy by truth."""
+    """Two stages on the languages of documents' words: the first two lexical rules for new words, then the first two of context; accuracy by truth."""
     s = token_samples(spark, sf_dir).withColumn("state", F.lit("-"))
     lexical = _templates("word::~~2 => state\nword::3~~ => state", TOKENS)
     context = _templates("state_-1 state_0 => state\nstate:[1,2] state_0 => state", TOKENS)

@@ -9,6 +9,7 @@ from rulewright.operators.apply import apply_rules, error_curve
 from rulewright.operators.convert import chunk_template, tagger_rule
 from rulewright.operators.learn import Limits, candidates, learn, order, scored
 from rulewright.plans.spec import Rule, TaskSchema, Templates, parse_atom, parse_params, parse_rules
+from rulewright.queries import learn_rules
 from rulewright.streaming import apply as streaming
 
 SCHEMA = TaskSchema.parse("w st => tr")
@@ -174,3 +175,12 @@ def test_stream(spark, tmp_path):
     source = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in")).schema).parquet(str(tmp_path / "in"))
     streaming.run_stream(source, parse_rules("RULE: st_-1=A => st=B"), SCHEMA, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert states(streaming.flat(spark.read.parquet(str(tmp_path / "out")), SCHEMA)) == ["A", "B", "A"]
+
+
+def test_learn_rules_runs_to_its_threshold(spark, tmp_path):
+    """Each of six languages needs a rule of its own."""
+    rows = [(i, f"{a}o{a}o{a}", f"l{i}", "s", 5) for i, a in enumerate("bdfgkm") for _ in range(5)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = learn_rules(spark, str(tmp_path)).collect()
+    assert [(r.rule, r.good, r.bad, r.score) for r in got] == [(i, 5, 0, 5) for i in range(6)]
+    assert {r.text.split("state=")[-1] for r in got} == {f"l{i}" for i in range(6)}
