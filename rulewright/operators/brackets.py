@@ -28,11 +28,12 @@ def shortest_spans(df: DataFrame, weight: float = 0.5) -> DataFrame:
     return rows.withColumn("label", label).drop("_seg", "_start", "_end")
 
 
-def best_spans(df: DataFrame, lengths: dict[int, float] | None = None, longest: int = 50) -> DataFrame:
+def best_spans(df: DataFrame, lengths: dict[int, float] | None = None, longest: int | None = None) -> DataFrame:
     """df with ``label``: the most probable set of spans that don't overlap, by one sweep over each sequence.
 
     A span costs its opening, its closing and what lies inside without brackets, times the prior of its length; other
-    tokens their having none. A sequence is the unit of work.
+    tokens their having none. Spans have at most ``longest`` tokens; None: any number. Without prior and limit, the best opening
+    so far is kept, which is linear; else all starts are tried. A sequence is the unit of work.
     """
 
     def solve(group: pd.DataFrame) -> pd.DataFrame:
@@ -44,9 +45,16 @@ def best_spans(df: DataFrame, lengths: dict[int, float] | None = None, longest:
         for a, b in zip(no, nc):
             free.append(free[-1] + a + b)
         best, came = [0.0] + [-math.inf] * n, [-1] * (n + 1)
+        start, value = -1, -math.inf  # the best opening at least two tokens back, but for what follows it
         for j in range(1, n + 1):  # best labelling of the first j tokens
             best[j], came[j] = best[j - 1] + no[j - 1] + nc[j - 1], -1
-            for i in range(max(0, j - longest), j):
+            if lengths is None and longest is None:
+                if j > 1 and best[j - 2] + lo[j - 2] + nc[j - 2] - free[j - 1] > value:
+                    start, value = j - 2, best[j - 2] + lo[j - 2] + nc[j - 2] - free[j - 1]
+                starts = [start, j - 1] if start >= 0 else [j - 1]
+            else:
+                starts = range(0 if longest is None else max(0, j - longest), j)
+            for i in starts:
                 prior = 0.0 if lengths is None else math.log(max(lengths.get(j - i, 0.0), 1e-12))
                 ends = lo[i] + lc[i] if j - i == 1 else lo[i] + nc[i] + no[j - 1] + lc[j - 1] + free[j - 1] - free[i + 1]
                 if best[i] + ends + prior > best[j]:

@@ -152,6 +152,13 @@ def test_brackets(spark):
         assert states(solve(df), "label") == ["B", "I", "E", "O", "B"]
 
 
+def test_long_spans(spark):
+    """An opening and a closing 70 tokens apart, without and with a prior that allows all lengths."""
+    df = spark.createDataFrame([(0, i, 0.9 if i == 2 else 0.01, 0.9 if i == 71 else 0.01) for i in range(75)], "seq int, pos int, p_open double, p_close double")
+    for lengths in (None, {n: 1 / 75 for n in range(1, 76)}):
+        assert states(brackets.best_spans(df, lengths), "label") == ["O"] * 2 + ["B"] + ["I"] * 68 + ["E"] + ["O"] * 3
+
+
 def test_lexicon_and_guess(spark):
     df = samples(spark, "a/-/X a/-/Y a/-/Y b/-/Z")
     lex = lexicon.build(df, ["w"], "tr")
