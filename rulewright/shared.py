@@ -25,12 +25,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, read back."""
+def written(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """df as a table in the shared folder, read back; in folders by the columns ``by``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
+    table = table.select(*df.columns) if by else table
     _PATHS[table] = path
     return table
 
