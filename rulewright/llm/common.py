@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -15,8 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bytes of text that one numpy step works on; a longer single text is one step of its own.
+from ..shared import dropped, shared_dir, written  # noqa: F401  the operators' modules take them from here
+
+#: Bytes of text that one numpy step works on; a longer single text is one step of its own, or several pieces.
 STEP_BYTES = 2 << 20
+#: Bytes of words that are hashed at once.
+HASH_BYTES = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,24 +29,6 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return plain.select(*[F.col(f"c{i}").alias(n) for i, n in zip(at, names)])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; where that is unset, as in tests, a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='rulewright-')}"
-        atexit.register(shutil.rmtree, found[7:], ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, read back: it cuts lineage and outlives executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def appended(df: DataFrame, text_col: str, make: Callable[[pa.Array], list[pa.Array]], kinds: str) -> DataFrame:
     """df with its columns named c0, c1 .. in order, and the columns (``kinds``) that ``make`` gives for the texts."""
     plain, at = df.toDF(*[f"c{i}" for i in range(len(df.columns))]), df.columns.index(text_col)
@@ -130,16 +111,52 @@ def steps(at: np.ndarray, most: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
         lo = min(hi, n)
 
 
+def pieces(raw: np.ndarray, at: np.ndarray, kind: np.ndarray, most: int = STEP_BYTES) -> Iterator[tuple[int, int, int, int]]:
+    """Like steps, but a longer single text comes in several pieces, cut at separators: texts lo to hi, bytes a to b."""
+    for lo, hi in steps(at, most):
+        a, end = int(at[lo]), int(at[hi])
+        while end - a > most and hi == lo + 1:
+            gaps = np.flatnonzero(~kind[LOWER[raw[a : a + most]]])
+            b = a + int(gaps[-1]) + 1 if len(gaps) else a + most
+            while b < end and not len(gaps):  # a word of more bytes than a piece
+                gaps = np.flatnonzero(~kind[LOWER[raw[b : b + most]]])
+                b = b + int(gaps[0]) + 1 if len(gaps) else min(b + most, end)
+            yield lo, hi, a, b
+            a = b
+        yield lo, hi, a, end
+
+
 def span_hash(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each span of bytes; sizes above 0."""
     if not len(size):
         return np.zeros(0, np.uint64)
+    out, ends = np.empty(len(size), np.uint64), np.cumsum(size)
+    lo = 0
+    while lo < len(size):
+        before = int(ends[lo - 1]) if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, before + HASH_BYTES, "right")))
+        out[lo:hi] = _long_hash(data[start[lo] : start[lo] + size[lo]]) if size[lo] > HASH_BYTES else _span_hash(data, start[lo:hi], size[lo:hi])
+        lo = hi
+    return out
+
+
+def _span_hash(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     at = np.cumsum(size) - size
     place = np.arange(int(size.sum())) - np.repeat(at, size)
     value = _CODE[data[np.repeat(start, size) + place]] * np.cumprod(np.full(int(size.max()), _STEP))[place]
     return mix(np.add.reduceat(value, at) + size.astype(np.uint64))
 
 
+def _long_hash(span: np.ndarray) -> np.uint64:
+    """As _span_hash for one span, in parts."""
+    powers, total, factor = np.cumprod(np.full(HASH_BYTES, _STEP)), np.zeros(1, np.uint64), np.ones(1, np.uint64)
+    for lo in range(0, len(span), HASH_BYTES):
+        part = span[lo : lo + HASH_BYTES]
+        total += (_CODE[part] * powers[: len(part)]).sum(dtype=np.uint64) * factor
+        factor = factor * powers[-1]
+    return mix(total + np.uint64(len(span)))[0]
+
+
 class Words:
     """Words of texts: doc (index of the text), start and end (bytes, in raw), and a 64-bit hash of each."""
 
@@ -187,19 +204,19 @@ def ordered(doc: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 
 def packed(*arrays: np.ndarray) -> bytes:
-    """Arrays of one length as bytes: their bytes by plane, so that equal high bytes stand together."""
-    n = len(arrays[0])
-    parts = [np.array([n], np.int64).tobytes()]
+    """Arrays as bytes: how long each is, then its bytes by plane, so that equal high bytes stand together."""
+    parts = [np.array([len(a) for a in arrays], np.int64).tobytes()]
     for a in arrays:
         a = np.ascontiguousarray(a)
-        parts.append(a.view(np.uint8).reshape(n, a.itemsize).T.tobytes() if n else b"")
-    return zlib.compress(b"".join(parts), 1)
+        parts.append(a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() if len(a) else b"")
+    data = b"".join(parts)
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
 
 
 def unpacked(value: bytes, *kinds: type) -> list[np.ndarray]:
-    raw = np.frombuffer(zlib.decompress(value), np.uint8)
-    n, at, found = int(raw[:8].view(np.int64)[0]), 8, []
-    for kind in kinds:
+    raw = np.frombuffer(pa.decompress(memoryview(value)[8:], int.from_bytes(value[:8], "little"), "zstd", asbytes=True), np.uint8)
+    sizes, at, found = raw[: 8 * len(kinds)].view(np.int64).tolist(), 8 * len(kinds), []
+    for kind, n in zip(kinds, sizes):
         width = np.dtype(kind).itemsize
         found.append(np.ascontiguousarray(raw[at : at + n * width].reshape(width, n).T).reshape(-1).view(kind))
         at += n * width

@@ -280,82 +280,96 @@ def test_decontamination(spark, docs):
 # -- 7 ----------------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("frequent", [1e-6, 1e-3])
-def test_katz(spark, docs, frequent, monkeypatch):
-    monkeypatch.setattr(katz, "FREQUENT", frequent)
-    rows = [(i, t) for i, t, _ in fx.odd_rows()]
+def katz_discounts(counts, most=5):
+    """Katz's discounts by his formula, for the greatest cutoff that gives them between 0 and 1."""
+    n = collections.Counter(counts)
+    for k in range(most, 1, -1):
+        if all(n[r] for r in range(1, k + 1)):
+            a = (k + 1) * n[k + 1] / n[1]
+            d = {r: ((r + 1) * n[r + 1] / (r * n[r]) - a) / (1 - a) for r in range(1, k + 1)} if a < 1 else {}
+            if d and all(0 < x < 1 for x in d.values()):
+                return d
+    return {1: 0.5}
+
+
+class BruteKatz:
+    def __init__(self, texts):
+        self.words = collections.Counter(w for t in texts for w in t)
+        self.after = collections.defaultdict(collections.Counter)
+        for t in texts:
+            for h, w in zip(["<s>", *t], t):
+                self.after[h][w] += 1
+        self.total = sum(self.words.values())
+        d = katz_discounts(self.words.values())
+        kept = sum(d.get(c, 1) * c for c in self.words.values())
+        mass = self.total if kept < self.total else self.total + 1
+        self.p1 = {w: d.get(c, 1) * c / mass for w, c in self.words.items()}
+        self.unseen = 1 - kept / mass
+        self.d = katz_discounts([c for x in self.after.values() for c in x.values()])
+        self.alpha, self.div = {}, {}
+        for h, x in self.after.items():
+            n = sum(x.values())
+            kept = sum(self.d.get(c, 1) * c for c in x.values())
+            self.div[h] = n if kept < n - 1e-9 else n + 1
+            self.alpha[h] = (1 - kept / self.div[h]) / (1 - sum(self.p1[w] for w in x))
+
+    def p(self, h, w):
+        c = self.after[h][w] if h in self.after else 0
+        return self.d.get(c, 1) * c / self.div[h] if c else self.alpha.get(h, 1) * self.p1.get(w, self.unseen)
+
+
+def katz_wanted(rows):
     out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
-    texts = [(i, fx.SPACED.findall(fx.low(t)) + ["</s>"]) for i, t in rows]
-    words = collections.Counter(w for i, t in texts if i is not None and not out(i) for w in t)
-    total = sum(words.values())
-    of = lambda c: np.array([0, *(sum(x == r for x in c.values()) for r in range(1, katz.CUT + 2))])
-    d = katz.discounts(of(words))
-    kept = total - sum((1 - d[r]) * r * of(words)[r] for r in range(1, katz.CUT + 1))
-    mass = total if 0 < kept < total else total + 1
-    p1 = lambda c: (d[c] if c <= katz.CUT else 1) * c / mass if c else 1 - kept / mass
-    least = max(1, math.ceil(frequent * total))
-    known = {w for w, c in words.items() if c >= least or w == "</s>"}
-    rare = 1 - sum(p1(words[w]) for w in known)
-    cls = lambda w: w if w in known else None
-    pc = lambda c: rare if c is None else p1(words[c])
-    chain = lambda t: ["<s>", *map(cls, t)]
-    pairs = collections.Counter(x for i, t in texts if i is not None and not out(i) for x in zip(chain(t), chain(t)[1:]))
-    d2, n_h, used, taken = katz.discounts(of(pairs)), collections.Counter(), collections.Counter(), collections.Counter()
-    for (h, w), c in pairs.items():
-        n_h[h] += c
-    for (h, w), c in pairs.items():
-        used[h] += (d2[c] if c <= katz.CUT else 1) * c / (n_h[h] + 1)
-        taken[h] += pc(w) if w is not None else 0  # the class of rare words is always backed off to
-
-    def p2(h, w):
-        c = pairs.get((h, w), 0)
-        seen = (d2[c] if c <= katz.CUT else 1) * c / (n_h[h] + 1) if c else 0
-        if c and w is not None:
-            return seen
-        return seen + ((1 - used[h]) / max(1 - taken[h], rare) * pc(w) if h in n_h else pc(w))
-
-    for h in ("<s>", None, *sorted(known)[:20]):
-        assert math.isclose(sum(p2(h, w) for w in [*known - {"<s>"}, None]), 1, abs_tol=1e-6)
+    texts = [(i, [*fx.SPACED.findall(fx.low(t)), "</s>"]) for i, t in rows]
+    m = BruteKatz([t for i, t in texts if i is not None and not out(i)])
     want = []
     for i, t in texts:
-        c = chain(t)
-        score = sum(math.log10(p2(h, w)) for h, w in zip(c, c[1:])) + sum(math.log10(p1(words[w]) / rare) for w in t if w not in known)
-        base = sum(math.log10((words[w] + 0.1) / (total + 0.1 * (len(words) + 1))) for w in t)
-        want.append((i, out(i), len(t), sum(words[w] > 0 for w in t), total, f"{base:.5g}", f"{score:.5g}"))
-    got = [(r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, f"{r.base_score:.5g}", f"{r.score:.5g}") for r in katz.scored(docs).collect()]
-    assert sorted(got, key=key) == sorted(want, key=key)
-
-
-@pytest.mark.parametrize("hot", [1e-4, 1.0])
-def test_katz_counts_bigrams_of_rare_words(spark, hot, monkeypatch):
-    """A word under a millionth of all tokens has bigrams of its own."""
-    monkeypatch.setattr(katz, "HOT", hot, raising=False)
-    learns = [i for i in range(1, 40) if zlib.crc32(str(i).encode()) % 10]
-    held = next(i for i in range(1, 99) if not zlib.crc32(str(i).encode()) % 10)
-    filler = "a b c d e f g h " * 40_000
-    rows = [*((i, filler) for i in learns[:4]), (learns[4], "zig zag " + filler), (learns[5], "zog zug"), (held, "zig zag"), (held, "zig zug"), (held, "zog new")]
+        score = sum(math.log10(m.p(h, w)) for h, w in zip(["<s>", *t], t))
+        base = sum(math.log10((m.words[w] + 0.1) / (m.total + 0.1 * (len(m.words) + 1))) for w in t)
+        want.append((i, out(i), len(t), sum(m.words[w] > 0 for w in t), m.total, base, score))
+    return m, want
+
+
+def same_scores(got, want):
+    by = lambda rows: sorted(rows, key=lambda r: (key(r[:5]), round(r[5], 3)))
+    for x, y in zip(by(got), by(want), strict=True):
+        assert x[:5] == y[:5]
+        assert math.isclose(x[5], y[5], rel_tol=1e-8, abs_tol=1e-6) and math.isclose(x[6], y[6], rel_tol=1e-8, abs_tol=1e-6)
+
+
+@pytest.mark.parametrize("sizes", [None, (700, 300, 1e-3, 256)])
+def test_katz(spark, docs, sizes, monkeypatch):
+    """Also with chunks and buckets of a few hundred tokens, words spread over buckets, and texts in pieces."""
+    if sizes:
+        for name, x in zip(("HELD", "BUCKET", "SPREAD_SHARE"), sizes):
+            monkeypatch.setattr(katz, name, x)
+        monkeypatch.setattr(common, "STEP_BYTES", sizes[3])
+    rows = [(i, t) for i, t, _ in fx.odd_rows()]
+    m, want = katz_wanted(rows)
+    for h in ("<s>", *sorted(m.words)[:20]):
+        if h in m.after:
+            assert math.isclose(sum(m.p(h, w) for w in m.words) + m.p(h, "never seen"), 1, abs_tol=1e-9)
+    got = [(r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in katz.scored(docs).collect()]
+    same_scores(got, want)
+
+
+def test_katz_histories_without_rare_words(spark, monkeypatch):
+    """A frequent history with one word after it only, and bigrams of rare words beside it; the same with any number of tasks."""
+    ids = iter(i for i in range(1, 10_000) if zlib.crc32(str(i).encode()) % 10)
+    held = iter(i for i in range(1, 10_000) if not zlib.crc32(str(i).encode()) % 10)
+    r = random.Random(5)
+    rows = [(next(ids), "hot pair " * 40 + " ".join(f"w{int(r.paretovariate(0.7))}" for _ in range(60))) for _ in range(40)]
+    rows += [(next(ids), "zig zag zig zag zig zag zig zag zig zag zig zag zig zag"), (next(held), "hot pair hot new zig zag"), (next(held), "zig w1 hot hot pair"), (next(held), "never seen w2 w3")]
+    _, want = katz_wanted(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    texts = [(i, [*t.split(), "</s>"]) for i, t in rows]
-    words = collections.Counter(w for i, t in texts if i != held for w in t)
-    pairs = collections.Counter(x for i, t in texts if i != held for x in zip(["<s>", *t], t))
-    total = sum(words.values())
-    assert total > 1_500_000 and words["zag"] == 1
-    of = lambda c: np.array([0, *(sum(x == r for x in c.values()) for r in range(1, katz.CUT + 2))])
-    d, d2 = katz.discounts(of(words)), katz.discounts(of(pairs))
-    disc = lambda d, c: (d[c] if c <= katz.CUT else 1) * c
-    kept = sum(disc(d, c) for c in words.values())
-    mass = total if 0 < kept < total else total + 1
-    p1 = lambda w: disc(d, words[w]) / mass if words[w] else 1 - kept / mass
-
-    def p2(h, w):
-        after = {v: c for (g, v), c in pairs.items() if g == h}
-        n = sum(after.values())
-        if w in after:
-            return disc(d2, after[w]) / (n + 1)
-        return (1 - sum(disc(d2, c) for c in after.values()) / (n + 1)) / (1 - sum(map(p1, after))) * p1(w)
-
-    want = sorted((i, f"{sum(math.log10(p2(h, w)) for h, w in zip(['<s>', *t], t)):.6g}") for i, t in texts if i == held)
-    assert sorted((r.doc_id, f"{r.score:.6g}") for r in katz.scored(df).where("held_out").collect()) == want
+    monkeypatch.setattr(katz, "BUCKET", 500)
+    scores = []
+    for parts in (1, 5):
+        monkeypatch.setattr(katz, "HELD", 1000 * parts)
+        got = [(r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in katz.scored(df.repartition(parts)).collect()]
+        same_scores(got, want)
+        scores.append(sorted(got))
+    assert scores[0] == scores[1]
 
 
 def test_katz_without_training(spark, docs):
