@@ -4,7 +4,8 @@ Compilation begins with the automaton of all byte strings (one state, an arc to
 for each merge (u, v) -> w, in order of rank. Wherever a u-arc leads to a state with a v-arc, the u-arc is led to a copy
 of that state without the v-arc, and beside the u-arc there is a new w-arc to where the v-arc led. What remains accepts
 exactly the token strings that the merges make, one for each byte string. All arcs of one label lead to one state, so the
-automaton is two tables: the state after each token, and a bit for each state and token (is there such an arc?).
+automaton is two tables: the state after each token, and a bit for each state and token (is there such an arc?), in blocks
+of BLOCK bytes of which equal ones are kept once.
 
 A pre-split word is encoded by one sweep over its bytes: from each place reached, arcs whose labels are the next bytes
 are followed. Each place is reached by one path only, the encoding of the bytes so far. Decoding emits the arcs' labels.
@@ -14,7 +15,7 @@ from __future__ import annotations
 
 import json
 import struct
-import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,12 +24,16 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pick, table
+from .common import mix, pick, table
 
 #: How byte-level BPE splits text into words before merging (fixed by the vocabulary's format).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Encoded words that a worker remembers at most; beyond that it forgets all and begins anew.
-REMEMBERED = 500_000
+#: Bytes of encoded words that a task remembers, about: of two halves, the one not used for longer is forgotten.
+REMEMBERED = 48 << 20
+#: Bytes of arc bits in a block.
+BLOCK = 64
+#: Tokens that are decoded at once.
+DECODED = 1 << 16
 #: Bytes of results in one Arrow batch.
 BATCH_BYTES = 4 << 20
 
@@ -40,27 +45,47 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(rest)}
 
 
-class Automaton:
-    """labels: bytes of each token; after: the state that its arcs lead to; arcs: bits by state and token."""
+def _blocks(arcs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different blocks of the rows, and the number of each row's blocks among them."""
+    padded = np.zeros((len(arcs), -(-arcs.shape[1] // BLOCK) * BLOCK), np.uint8)
+    padded[:, : arcs.shape[1]] = arcs
+    all_blocks = padded.reshape(-1, BLOCK)
+    key = np.zeros(len(all_blocks), np.uint64)
+    for lane in all_blocks.view(np.uint64).T:
+        key = mix(key + lane)
+    _, first, number = np.unique(key, return_index=True, return_inverse=True)
+    blocks = all_blocks[first]
+    if any((blocks[number[i : i + 100_000]] != all_blocks[i : i + 100_000]).any() for i in range(0, len(number), 100_000)):
+        raise RuntimeError("two blocks of arcs have one hash")
+    return blocks, number.astype(np.int32).reshape(len(arcs), -1)
+
 
-    def __init__(self, labels: list[bytes | None], after: np.ndarray, arcs: np.ndarray, special: dict[str, int]):
-        self.labels, self.after, self.width, self.special = labels, after.tolist(), arcs.shape[1], special
-        self.arcs = arcs.tobytes()
-        self.whole = {x: i for i, x in enumerate(labels) if x is not None and i not in special.values()}
+class Automaton:
+    """label, start: the tokens' bytes, end to end, and where each begins; after: the state that its arcs lead to; blocks, number:
+    the arcs' bits by state and token."""
+
+    def __init__(self, label: bytes, start: np.ndarray, after: np.ndarray, blocks: bytes, number: np.ndarray, special: dict[str, int]):
+        self.label, self.start, self.size, self.special = np.frombuffer(label, np.uint8), start[:-1], np.diff(start), special
+        self.after, self.blocks, self.number, self.width = array("i", after.tobytes()), blocks, array("i", number.tobytes()), number.shape[1]
+        cuts, own = start.tolist(), set(special.values())
+        self.whole = {label[cuts[i] : cuts[i + 1]]: i for i in range(len(cuts) - 1) if cuts[i] < cuts[i + 1] and i not in own}
         self.next: dict[int, int] = {}
-        self.token = [-1]
-        for label, i in self.whole.items():
+        token = [-1]
+        for text, i in self.whole.items():
             node = 0
-            for b in label:
+            for b in text:
                 step = node << 8 | b
                 if step not in self.next:
-                    self.next[step] = len(self.token)
-                    self.token.append(-1)
+                    self.next[step] = len(token)
+                    token.append(-1)
                 node = self.next[step]
-            self.token[node] = i
+            token[node] = i
+        self.token = array("i", token)
         self.split = regex.compile(SPLIT)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.remembered = 0
 
     @classmethod
     def compiled(cls, path: str) -> tuple:
@@ -99,41 +124,41 @@ class Automaton:
             arcs[:states, w >> 3] |= (arcs[:states, u >> 3] >> (u & 7) & 1) << (w & 7)
             after[w] = beyond
             led[beyond] += 1
-        return labels, after, zlib.compress(arcs[:states].tobytes(), 1), arcs.shape[1], special
+        blocks, number = _blocks(arcs[:states])
+        start = np.cumsum([0, *(len(x or b"") for x in labels)])
+        return b"".join(x or b"" for x in labels), start, after, blocks.tobytes(), number, special
 
-    @classmethod
-    def loaded(cls, parts: tuple) -> Automaton:
-        labels, after, arcs, width, special = parts
-        return cls(labels, after, np.frombuffer(zlib.decompress(arcs), np.uint8).reshape(-1, width), special)
+    def has(self, state: int, token: int) -> int:
+        return self.blocks[self.number[state * self.width + (token >> 9)] * BLOCK + (token >> 3 & 63)] >> (token & 7) & 1
 
     def word(self, data: bytes) -> list[int]:
         """Tokens of one pre-split word."""
-        arcs, width, after, step, token, n = self.arcs, self.width, self.after, self.next, self.token, len(data)
+        blocks, number, width, after, step, token, n = self.blocks, self.number, self.width, self.after, self.next, self.token, len(data)
         whole = self.whole.get(data)
-        if whole is not None and arcs[whole >> 3] >> (whole & 7) & 1:
+        if whole is not None and self.has(0, whole):
             return [whole]
-        state, came = [-1] * (n + 1), [0] * (n + 1)
+        state, came = [-1] * (n + 1), [(0, 0)] * (n + 1)
         state[0] = 0
         for i in range(n):
-            row, node, j = state[i] * width, 0, i
+            node, j, row = 0, i, state[i] * width
             while j < n:
                 node = step.get(node << 8 | data[j], -1)
                 if node < 0:
                     break
                 j += 1
                 t = token[node]
-                if t >= 0 and state[j] < 0 and arcs[row + (t >> 3)] >> (t & 7) & 1:
-                    state[j], came[j] = after[t], t
+                if t >= 0 and state[j] < 0 and blocks[number[row + (t >> 9)] * BLOCK + (t >> 3 & 63)] >> (t & 7) & 1:
+                    state[j], came[j] = after[t], (t, i)
         out, i = [], n
         while i:
-            out.append(came[i])
-            i -= len(self.labels[came[i]])
+            t, i = came[i]
+            out.append(t)
         return out[::-1]
 
     def encode(self, text: str) -> bytes:
         """Tokens as little-endian unsigned 32-bit integers."""
         pieces = self.cut.split(text) if self.cut else [text]
-        out, words = [], self.words
+        out, words, older = [], self.words, self.older
         for piece in pieces:
             if piece in self.special:
                 out.append(struct.pack("<I", self.special[piece]))
@@ -141,36 +166,45 @@ class Automaton:
             for w in self.split.findall(piece):
                 ids = words.get(w)
                 if ids is None:
-                    tokens = self.word(w.encode())
-                    ids = struct.pack(f"<{len(tokens)}I", *tokens)
+                    ids = older.get(w)
+                    if ids is None:
+                        tokens = self.word(w.encode())
+                        ids = struct.pack(f"<{len(tokens)}I", *tokens)
                     if len(w) < 64:
-                        if len(words) >= REMEMBERED:
-                            words.clear()
+                        self.remembered += 200 + len(w) + len(ids)
+                        if self.remembered > REMEMBERED // 2:
+                            self.older, self.words, self.remembered = words, {}, 0
+                            words, older = self.words, self.older
                         words[w] = ids
                 out.append(ids)
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
-        labels = self.labels
-        return b"".join([labels[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
+        """The arcs' labels; numbers that are no token stand for nothing."""
+        ids = np.frombuffer(ids, "<u4")
+        out = []
+        for lo in range(0, len(ids), DECODED):
+            part = ids[lo : lo + DECODED]
+            part = part[part < len(self.size)]
+            size = self.size[part]
+            place = np.repeat(self.start[part] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            out.append(self.label[place].tobytes())
+        return b"".join(out).decode("utf-8", "replace")
 
 
 _COMPILED: dict[str, tuple] = {}
-_LOADED: dict[str, Automaton] = {}
 
 
 def automaton(spark: SparkSession, path: str):
     """The compiled automaton for a vocabulary file as a broadcast variable."""
     if path not in _COMPILED:
         _COMPILED[path] = Automaton.compiled(path)
-    return spark.sparkContext.broadcast((path, _COMPILED[path]))
+    return spark.sparkContext.broadcast(_COMPILED[path])
 
 
 def _use(sent) -> Automaton:
-    path, parts = sent.value
-    if path not in _LOADED:
-        _LOADED[path] = Automaton.loaded(parts)
-    return _LOADED[path]
+    """A task's own automaton, which goes with it: a worker may have other work next."""
+    return Automaton(*sent.value)
 
 
 def _mapped(df: DataFrame, sent, method: str, kind: pa.DataType, name: str) -> DataFrame:

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import struct
 import zlib
 
 import fixtures as fx
@@ -174,6 +175,8 @@ def test_bpe_is_the_librarys(spark, docs):
         want.append(key((i, len(ids), sha(np.array(ids, "<u4").tobytes()), sha(library.decode(ids, skip_special_tokens=False).encode()))))
     assert got == sorted(want)
     coded = bpe.encode(docs, path)
+    strange = spark.createDataFrame([(1, bytearray(struct.pack("<3I", 5, 2**31, 60_000))), (2, None)], "doc_id long, ids binary")
+    assert by_rows(bpe.decode(strange, path), "doc_id", "text") == [(1, library.decode([5])), (2, "")]
     assert by_rows(bpe.decode(coded, path), "doc_id", "text") == sorted(((i, t or "") for i, t, _ in fx.odd_rows()), key=key)
     assert bpe.encode(docs.limit(0), path).count() == 0
 
