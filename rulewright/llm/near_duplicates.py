@@ -7,8 +7,9 @@ index of at least 3/4 that is at most (a + b) / 7, or a third of either size. By
 a size band agree in a block among the first d + 1 in any common order of their non-empty blocks (fullest first, then by
 hash), and in r blocks among the first d + r. These blocks are the join keys.
 
-Keys that more than FEW nodes share are hot. Other keys give all their pairs. As r keys agree, hot keys matter only for
-pairs of nodes that both have many of them, and of these nodes only the rarest ones. Each such key first pairs its nodes
+Keys that more than FEW nodes share are hot. Other keys give all their pairs. As r keys agree, either at least half of them
+are not hot, so a pair has to share so many such keys; or hot ones matter, but only for pairs of nodes that both have many of
+them, and of these nodes only the rarest ones. Each such key first pairs its nodes
 with the one that has the most hot keys for its size, which links most copies of one text. What remains apart is compared
 across components, in blocks of CHUNK nodes, by the parity bits of the sketches; nodes already in one component need no
 further link. Every candidate pair is verified on its texts' whole sets.
@@ -19,13 +20,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SENT_KEYS, SPACED, Words, buffers, dealt, mix, ordered, packed, pick, restored, rolling, shuffle_partitions, steps, table, unpacked, without, written
-from .components import components
+from .common import SENT_KEYS, SPACED, Words, buffers, dealt, dropped, mix, ordered, packed, pick, restored, rolling, shuffle_partitions, steps, table, unpacked, without, written
+from .components import beside, components
 
 SHINGLE = 5
 #: Nodes that share a key up to which it gives all pairs.
@@ -34,6 +36,12 @@ FEW = 8
 CHUNK = 4096
 #: Keys that a task holds before it deals them out.
 HELD = 1_000_000
+#: Bytes of text whose keys meet in one task, about.
+BUCKET_BYTES = 16 << 20
+#: Pairs that one text is compared in at once.
+PARTNERS = 64
+#: Places of the bit table that chooses rows: 8 MB.
+SLOTS = 1 << 26
 #: Words of sketches that a comparison of nodes holds at once.
 HELD_WORDS = 2_000_000
 _A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA5A5A5A5A5A5A5A5)
@@ -122,7 +130,7 @@ def row_key() -> F.Column:
 
 def sketched(docs: DataFrame, buckets: int) -> DataFrame:
     """Of (id, text): a row for each text (id, n, node, sketch, key of id and text; node and sketch null for an empty set), and
-    packed keys by bucket."""
+    packed keys by bucket: different nodes and their sizes, then keys with the nodes that have them."""
     kind = docs.schema["id"].dataType.simpleString()
     names = ["id", "n", "node", "sketch", "key", "bucket", "packed"]
 
@@ -130,12 +138,15 @@ def sketched(docs: DataFrame, buckets: int) -> DataFrame:
         held, size, id_kind = [], 0, None
 
         def deal():
-            key, node = (np.concatenate([h[i] for h in held]) for i in (0, 1))
-            for b, (k, n) in dealt((key % np.uint64(buckets)).astype(np.int64), buckets, key, node):
+            key, node, n_node = (np.concatenate([h[i] for h in held]) for i in range(3))
+            out_bucket, out = [], []
+            for b, (k, n, m) in dealt((key % np.uint64(buckets)).astype(np.int64), buckets, key, node, n_node):
                 order = np.argsort(k, kind="stable")
-                nodes, at = np.unique(n[order], return_inverse=True)
-                value = packed(nodes), packed(np.diff(k[order], prepend=np.uint64(0)), at.astype(np.uint32))
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, id_kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.array([b], pa.int32()), pa.array([len(value[0]).to_bytes(4, "little") + b"".join(value)], pa.binary())], names)
+                nodes, first, at = np.unique(n[order], return_index=True, return_inverse=True)
+                out_bucket.append(b)
+                out.append(packed(nodes, m[order][first].astype(np.uint32), np.diff(k[order], prepend=np.uint64(0)), at.astype(np.uint32)))
+            nulls = [pa.nulls(len(out), t) for t in (id_kind, pa.int64(), pa.int64(), pa.binary(), pa.int64())]
+            return pa.RecordBatch.from_arrays([*nulls, pa.array(out_bucket, pa.int32()), pa.array(out, pa.binary())], names)
 
         for b in batches:
             raw, at = buffers(b.column(1))
@@ -156,49 +167,58 @@ def sketched(docs: DataFrame, buckets: int) -> DataFrame:
                     band[low] *= 4
                 for bound in (np.where(once & (n > 0), band, 0), np.where(once & (n > 0) & (4 * n > 3 * band), 4 * band, 0)):
                     d, k = block_keys(n, doc, h, bound)
-                    held.append((k, node[d]))
+                    held.append((k, node[d], n[d]))
                     size += len(k)
                 if size > HELD:
-                    yield from deal()
+                    yield deal()
                     held, size = [], 0
             if n_all:
                 n, node = np.concatenate(n_all).astype(np.int64), np.concatenate(nodes_all)
                 nulls = [pa.nulls(len(n), k) for k in (pa.int32(), pa.binary())]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(node, mask=n == 0), pa.array(sketches, pa.binary()), b.column(2), *nulls], names)
-        if held:
-            yield from deal()
+        if size:
+            yield deal()
 
     return docs.select("id", "text", row_key()).mapInArrow(run, f"id {kind}, n long, node long, sketch binary, key long, bucket int, packed binary")
 
 
 def matched(packs: DataFrame) -> DataFrame:
-    """Of (bucket, packed), by bucket: pairs u, v (key null) of keys that few nodes share; and node u, key and g (nodes that
-    share it) for each node of a hot key."""
-    names = ["u", "v", "key", "g"]
+    """Of (bucket, packed), by bucket: pairs u, v of keys that few nodes share, of sizes n and m that allow a link, with g, the
+    number of such keys (key null); and node u of size n, key and g (nodes that share it) for each node of a hot key."""
+    names = ["u", "v", "n", "m", "key", "g"]
 
     def found(held: list) -> Iterator[pa.RecordBatch]:
-        key, node = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+        key, node, size = (np.concatenate([h[i] for h in held]) for i in range(3))
         order = np.lexsort((node, key))
-        key, node = key[order], node[order]
+        key, node, size = key[order], node[order], size[order]
         new = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])
-        key, node = key[new], node[new]
+        key, node, size = key[new], node[new], size[new].astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         g = np.diff(np.concatenate([first, [len(key)]]))
-        pairs = []
-        for size in range(2, FEW + 1):
-            at = first[g == size]
-            pairs += [(node[at + i], node[at + j]) for i in range(size) for j in range(i + 1, size)]
-        hot = np.repeat(g > FEW, g)
-        many = np.repeat(g, g)[hot].astype(np.int64)
-        both = np.stack([np.concatenate([p[i] for p in pairs]) for i in (0, 1)], axis=1)
-        both = both[np.lexsort((both[:, 1], both[:, 0]))]
-        both = both[np.concatenate([[True], (both[1:] != both[:-1]).any(axis=1)])] if len(both) else both
-        for lo in range(0, len(both), 100_000):
-            part = both[lo : lo + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1]), pa.nulls(len(part), pa.int64()), pa.nulls(len(part), pa.int64())], names)
-        for lo in range(0, len(many), 100_000):
-            part = slice(lo, lo + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(node[hot][part]), pa.nulls(len(many[part]), pa.int64()), pa.array(key[hot][part].astype(np.int64)), pa.array(many[part])], names)
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for many in range(2, FEW + 1):
+            at = first[g == many]
+            for i in range(many):
+                for j in range(i + 1, many):
+                    p, q = size[at + i], size[at + j]
+                    fits = at[4 * np.minimum(p, q) >= 3 * np.maximum(p, q)]
+                    left.append(fits + i)
+                    right.append(fits + j)
+        left, right = np.concatenate(left), np.concatenate(right)
+        order = np.lexsort((node[right], node[left]))
+        left, right = left[order], right[order]
+        u, v = node[left], node[right]
+        new = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (v[1:] != v[:-1])])) if len(u) else np.zeros(0, np.int64)
+        shared = np.diff(np.append(new, len(u)))
+        hot = np.flatnonzero(np.repeat(g > FEW, g))
+        both = [
+            (u[new], v[new], size[left[new]], size[right[new]], None, shared.astype(np.int64)),
+            (node[hot], None, size[hot], None, key[hot].astype(np.int64), np.repeat(g, g)[hot].astype(np.int64)),
+        ]
+        for columns in both:
+            for lo in range(0, len(columns[0]), 100_000):
+                n = len(columns[0][lo : lo + 100_000])
+                yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 100_000]) if c is not None else pa.nulls(n, pa.int64()) for c in columns], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -207,14 +227,24 @@ def matched(packs: DataFrame) -> DataFrame:
                 if bucket != now and held:
                     yield from found(held)
                     held = []
-                now, value = bucket, value.as_py()
-                cut = 4 + int.from_bytes(value[:4], "little")
-                (nodes,), (step, at) = unpacked(value[4:cut], np.int64), unpacked(value[cut:], np.uint64, np.uint32)
-                held.append((np.cumsum(step, dtype=np.uint64), nodes[at]))
+                now = bucket
+                nodes, n, step, at = unpacked(value.as_py(), np.int64, np.uint32, np.uint64, np.uint32)
+                held.append((np.cumsum(step, dtype=np.uint64), nodes[at], n[at]))
         if held:
             yield from found(held)
 
-    return packs.mapInArrow(run, "u long, v long, key long, g long")
+    return packs.mapInArrow(run, "u long, v long, n long, m long, key long, g long")
+
+
+def agreeing(size: F.Column) -> F.Column:
+    """Hot keys that a node of this size has to share with another; of fewer, the rest of the keys that agree are not hot."""
+    return F.greatest(F.floor((F.floor((3 * size + 3) / 4) / 16 + 2) / 2), F.lit(1))
+
+
+def counted_pairs(found: DataFrame) -> DataFrame:
+    """Pairs u, v that share as many keys, not hot, as a link needs."""
+    sums = found.groupBy("u", "v").agg(F.sum("g").alias("g"), F.least(F.min("n"), F.min("m")).alias("n"), F.greatest(F.max("n"), F.max("m")).alias("m"))
+    return sums.where(F.col("g") >= F.floor(F.col("n") / 16) + 3 - agreeing(F.col("m"))).select("u", "v")
 
 
 def near(a: int, b: int) -> bool:
@@ -232,63 +262,97 @@ def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             keep = [near(p, q) and 7 * distance(s, t) <= p + q for p, q, s, t in zip(x["n_u"], x["n_v"], x["s_u"], x["s_v"])]
             yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "n_u", "n_v", "s_u", "s_v").mapInArrow(run, "u long, v long")
+    both = beside(beside(pairs, side("u"), "u", "v"), side("v"), "v", "u")
+    return both.select("u", "v", "n_u", "n_v", "s_u", "s_v").mapInArrow(run, "u long, v long")
+
+
+def slots(keys: DataFrame) -> np.ndarray:
+    """A bit for each of SLOTS places: is it some key's (keys: one long column)? So many bits, however many keys there are."""
+    place = F.pmod(F.col(keys.columns[0]), F.lit(SLOTS))
+    words = keys.select(F.shiftright(place, 6).alias("at"), F.expr(f"shiftleft(1L, cast(pmod({keys.columns[0]}, {SLOTS}) & 63 as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toPandas()
+    out = np.zeros(SLOTS // 64, np.uint64)
+    out[words["at"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def in_slots(keys: DataFrame, key: F.Column) -> F.Column:
+    """Is the key's place some key's: false only for keys that are not among them."""
+    sent = keys.sparkSession.sparkContext.broadcast(slots(keys))
+
+    @F.pandas_udf("boolean")
+    def test(x: pd.Series) -> pd.Series:
+        place = x.to_numpy(np.int64) % SLOTS
+        return pd.Series((sent.value[place >> 6] >> (place & 63).astype(np.uint64) & np.uint64(1)).astype(bool))
+
+    return test(key)
 
 
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (u, v) whose whole sets have a Jaccard index of at least 3/4. One row's text of each node that takes part is
-    read again."""
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("_node")).distinct()
-    ends = written(nodes.join(ends, F.col("node") == F.col("_node")).select("node", F.col("key").alias("_key")), "ends")
-    wanted = F.broadcast(ends) if ends.count() <= SENT_KEYS else ends
-    texts = docs.select("text", row_key()).join(wanted, F.col("key") == F.col("_key")).select("node", "text").dropDuplicates(["node"])
+    read again: rows whose keys can't be such a node's are left out by a bit table, so that few texts are shuffled. A pair is
+    compared beside its end with more pairs, in groups of PARTNERS, so each text goes once for each pair or group."""
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("_node")).groupBy("_node").agg(F.count(F.lit(1)).alias("degree"))
+    ends = written(nodes.select("node", "key").join(ends, F.col("node") == F.col("_node")).select("node", "key", "degree"), "ends")
+    side = lambda c: ends.select(F.col("node").alias(c), F.col("key").alias(f"key_{c}"), F.col("degree").alias(f"degree_{c}"))
+    both = beside(beside(pairs, side("u"), "u", "v"), side("v"), "v", "u")
+    left = F.col("degree_u") >= F.col("degree_v")
+    pick_ = lambda c, d: F.when(left, F.col(c)).otherwise(F.col(d))
+    paired = both.select(pick_("u", "v").alias("main"), pick_("v", "u").alias("node"), pick_("key_u", "key_v").alias("main_key"), pick_("key_v", "key_u").alias("key"), F.ceil(F.greatest("degree_u", "degree_v") / PARTNERS).alias("groups"))
+    paired = written(paired.select("main", "node", "main_key", "key", F.pmod(F.xxhash64("node"), "groups").alias("part")), "paired")
+    mains = paired.select("main", "part", F.col("main").alias("node"), F.col("main_key").alias("key")).distinct()
+    members = mains.unionByName(paired.select("main", "part", "node", "key"))
+    texts = docs.select(row_key(), "text").where(in_slots(ends.select("key"), F.col("key"))).groupBy(F.col("key").alias("_key")).agg(F.first("text").alias("text"))
+    placed = members.join(texts, F.col("key") == F.col("_key")).select("main", "part", "node", "text")
+    placed = placed.repartition(shuffle_partitions(docs.sparkSession), "main", "part").sortWithinPartitions("main", "part", F.col("node") != F.col("main"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, at, x = None, None, np.zeros(0, np.uint64)
         for b in batches:
-            keep = np.zeros(b.num_rows, bool)
-            (raw_u, at_u), (raw_v, at_v) = buffers(b.column(2)), buffers(b.column(3))
-            for lo, hi in steps(at_u + at_v):
-                sets = []
-                for raw, at in ((raw_u, at_u), (raw_v, at_v)):
-                    doc, h = shingle_sets(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
-                    sets.append((h, np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=hi - lo))])))
-                for i in range(hi - lo):
-                    x, y = (h[e[i] : e[i + 1]] for h, e in sets)
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    keep[lo + i] = 100 * common >= 75 * (len(x) + len(y) - common)
-            yield b.select(["u", "v"]).filter(pa.array(keep))
-
-    side = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"t_{c}"))
-    return pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "t_u", "t_v").mapInArrow(compare, "u long, v long")
-
-
-def rarest_keys(hot: DataFrame, nodes: DataFrame) -> DataFrame:
-    """key, node, n, sketch and share (of hot keys) for the nodes that hot keys alone may link, and their rarest hot keys."""
-    size = F.col("n")
-    agree = F.greatest(F.floor((F.floor((3 * size + 3) / 4) / 16 + 2) / 2), F.lit(1))  # fewer than the keys that agree
-    per = hot.groupBy("u").agg(F.count(F.lit(1)).alias("hot"))
-    sized = nodes.select(F.col("node").alias("_node"), "n", "sketch")
-    bound = per.join(sized, F.col("u") == F.col("_node")).where(F.col("hot") >= agree).select(F.col("u").alias("node"), "n", "sketch", (F.col("hot") / size).alias("share"), (F.col("hot") - agree + 1).alias("first"))
+            raw, cut = buffers(b.column(3))
+            main, part, node = (b.column(i).to_numpy() for i in range(3))
+            u, v = [], []
+            for lo, hi in steps(cut):
+                doc, h = shingle_sets(raw[cut[lo] : cut[hi]], cut[lo : hi + 1] - cut[lo])
+                ends_ = np.cumsum(np.bincount(doc, minlength=hi - lo))
+                for i in range(lo, hi):
+                    y = h[ends_[i - lo - 1] if i > lo else 0 : ends_[i - lo]]
+                    if node[i] == main[i]:
+                        own, at, x = main[i], part[i], y.copy()
+                    elif own == main[i] and at == part[i]:
+                        common = len(np.intersect1d(x, y, assume_unique=True))
+                        if 100 * common >= 75 * (len(x) + len(y) - common):
+                            u.append(min(main[i], node[i]))
+                            v.append(max(main[i], node[i]))
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    return placed.mapInArrow(compare, "u long, v long")
+
+
+def rarest_keys(hot: DataFrame) -> DataFrame:
+    """key, node, n and share (of hot keys) for the nodes that hot keys alone may link, and their rarest hot keys."""
+    per = hot.groupBy(F.col("u").alias("node")).agg(F.count(F.lit(1)).alias("hot"))
     by = Window.partitionBy("u").orderBy("g", "key")  # a node's keys: as many as its blocks
-    rare = hot.withColumn("rank", F.row_number().over(by)).join(bound, F.col("u") == F.col("node")).where("rank <= first")
-    return rare.select("key", "node", "n", "sketch", "share")
+    rare = hot.withColumn("rank", F.row_number().over(by)).join(per, F.col("u") == F.col("node"))
+    rare = rare.where((F.col("hot") >= agreeing(F.col("n"))) & (F.col("rank") <= F.col("hot") - agreeing(F.col("n")) + 1))
+    return rare.select("key", "node", "n", (F.col("hot") / F.col("n")).alias("share"))
 
 
 def hub_pairs(rare: DataFrame) -> DataFrame:
     """Each key's nodes with the one of the greatest share of hot keys."""
-    hubs = rare.groupBy("key").agg(F.max_by("node", F.struct("share", "node")).alias("hub"))
-    return rare.select("key", "node").join(hubs, "key").where("node <> hub").select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct()
+    hubs = rare.groupBy("key").agg(F.max_by("node", F.struct("share", "node")).alias("hub"), F.max_by("n", F.struct("share", "node")).alias("m"))
+    fits = 4 * F.least("n", "m") >= 3 * F.greatest("n", "m")
+    return rare.select("key", "node", "n").join(hubs, "key").where((F.col("node") != F.col("hub")) & fits).select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct()
 
 
-def hot_pairs(rare: DataFrame, roots: DataFrame) -> DataFrame:
+def hot_pairs(rare: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs of nodes that share a hot key, that no link has brought together, and whose sketches don't rule one out."""
-    rooted = rare.join(roots.withColumnRenamed("node", "_r"), F.col("node") == F.col("_r"), "left").select("key", "node", "n", "sketch", F.coalesce("root", "node").alias("root"))
+    rooted = rare.join(roots.withColumnRenamed("node", "_r"), F.col("node") == F.col("_r"), "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
     rooted = written(rooted, "hot")
     per_key = rooted.groupBy("key").agg(F.min("root").alias("main"), F.max("root").alias("other"), F.count(F.lit(1)).alias("g")).where("main <> other").select(F.col("key").alias("_key"), "main", "g")
     sides = rooted.select("key", "root").join(per_key, F.col("key") == F.col("_key")).where("root <> main").groupBy("_key", "main", "g").agg(F.count(F.lit(1)).alias("k"))
     keys = written(sides, "keys")
     keys = F.broadcast(keys) if keys.count() <= SENT_KEYS else keys
-    open_ = rooted.join(keys, F.col("key") == F.col("_key")).select(
+    open_ = rooted.join(keys, F.col("key") == F.col("_key")).join(nodes.select(F.col("node").alias("_n"), "sketch"), F.col("node") == F.col("_n")).select(
         "key", "node", "n", "sketch", "root", (F.col("root") != F.col("main")).alias("side"), F.ceil(F.col("g") / CHUNK).cast("int").alias("rows"), F.ceil(F.col("k") / CHUNK).cast("int").alias("cols")
     )
     # a node stands on the left of its row of cells, and if it isn't of the main component on the right of its column
@@ -331,21 +395,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component's id unless all its ids are null. Repeated rows link to each other. An empty table gives an empty one. Other
     columns are ignored. Sets are compared by 64-bit hashes of shingles.
     """
-    spark = docs.sparkSession
     text = pick(docs, id_col, text_col).toDF("id", "text")
-    buckets = shuffle_partitions(spark)
+    size = text.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    buckets = max(shuffle_partitions(docs.sparkSession), -(-size // BUCKET_BYTES))
     sketches = written(sketched(text, buckets), "sketches")
-    rows = sketches.where("bucket is null").select("id", "n", "node", "sketch", "key")
-    packs = sketches.where("bucket is not null").select("bucket", "packed").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    packs = sketches.where("bucket is not null").select("bucket", "packed").repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
     found = written(matched(packs), "matched")
-    nodes = written(rows.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("key").alias("key")), "nodes")
-    rare = written(rarest_keys(found.where("key is not null").select("u", "key", "g"), nodes), "rare")
-    likely = written(plausible(found.where("key is null").select("u", "v").unionAll(hub_pairs(rare)).distinct(), nodes), "pairs")
+    every = sketches.where("bucket is null")
+    rows = written(every.select("id", "n", "node"), "rows")
+    nodes = written(every.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("key").alias("key")), "nodes")
+    dropped(sketches)
+    rare = written(rarest_keys(found.where("key is not null").select("u", "n", "key", "g")), "rare")
+    likely = written(plausible(counted_pairs(found.where("key is null")).unionAll(hub_pairs(rare)).distinct(), nodes), "pairs")
+    dropped(found)
     links = written(verified(likely, text, nodes), "links")
+    dropped(likely)
     roots = components(links)
-    more = written(hot_pairs(rare, roots), "pairs")
+    more = written(hot_pairs(rare, roots, nodes), "pairs")
     if not more.isEmpty():
         roots = components(links.unionAll(verified(more, text, nodes)))
+    dropped(rare, more, links)
     # ids: the least of each node, then of each component
     placed = nodes.select("node", "id").join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     least = placed.groupBy("root").agg(F.min("id").alias("component")).withColumnRenamed("root", "_root")
