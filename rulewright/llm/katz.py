@@ -33,9 +33,9 @@ from .common import SPACED, Words, buffers, doc_remainder, dropped, mix, packed,
 #: Counts up to this one are discounted, or up to a lesser one if only that gives discounts between 0 and 1.
 CUT = 5
 #: Tokens of a chunk, about.
-HELD = 2_000_000
+HELD = 1_200_000
 #: Tokens of a bucket, about.
-BUCKET = 2_000_000
+BUCKET = 1_500_000
 #: Words with a lower share of all training tokens are never spread over buckets, so 1 / SPREAD_SHARE at most are sent to all tasks.
 SPREAD_SHARE = 4e-6
 END, START = np.uint64(0x0E4D), np.uint64(0x57A7)  # a word's hash equals one of them once in 2**62
@@ -545,7 +545,8 @@ def text_sums(found: DataFrame, open_: dict, d: np.ndarray) -> DataFrame:
 
     rows = found.where((F.col("kind") == SUMMED) | F.col("kind").eqNullSafe(OPEN) & F.col("b").isNotNull()).select("kind", "key", "a", "b")
     parts = shuffle_partitions(found.sparkSession)
-    sums = rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, "row long, score long, base long, known long")
+    # a chunk's rows in several tasks: few chunks may have most of the rows
+    sums = rows.repartition(parts, "key", F.pmod(F.xxhash64("a", "b"), F.lit(8))).sortWithinPartitions("key").mapInArrow(run, "row long, score long, base long, known long")
     return sums.groupBy(F.col("row").alias("_row")).agg(*[F.sum(c).alias(c) for c in ("score", "base", "known")])
 
 
