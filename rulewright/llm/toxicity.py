@@ -1,8 +1,9 @@
 """Toxicity: a linear classifier of character n-grams whose features are scaled by naive Bayes log-count ratios.
 
-Every labelled text for learning counts, over all its n-grams, in how many toxic and other texts each hashed n-gram
-stands. The log of the ratio of these counts (smoothed) scales the feature; n-grams that hardly tell the classes apart
-are left out. Logistic regression on the scaled features is fitted to a bounded sample of the same labelled texts.
+Every labelled text for learning counts, over all its n-grams, in how many toxic and other texts each hashed n-gram stands.
+The scale of a feature is the log of the ratio of these counts to those that would be expected if it told nothing, toxic
+against other; SMOOTH is added to each count. No n-gram is left out. Logistic regression on the scaled features, with equal
+weight for both classes, is fitted to a bounded sample of the same labelled texts.
 """
 
 from __future__ import annotations
@@ -18,19 +19,20 @@ from pyspark.sql import functions as F
 from .common import appended, doc_remainder, packed, pick, restored, table, unpacked
 
 ORDERS, BITS = (3, 4, 5), 20
-#: An n-gram is a feature if its log ratio and its distance from 0 in standard errors are at least so large.
-LEAST_RATIO, LEAST_Z = 1.0, 4.0
-#: Labelled texts that the regression is fitted to, at most (about): a hash of the id chooses them.
-FIT_ROWS = 20_000
+#: Added to the counts of an n-gram and to those expected: n-grams of few texts are drawn to a ratio of 1.
+SMOOTH = 32.0
+#: Labelled texts that the regression is fitted to, at most half of each class, and n-grams of these texts: a hash of the id chooses them.
+FIT_ROWS, FIT_GRAMS = 4_000, 16_000_000
 #: Labels that are sent to every task; with more, labels and texts are shuffled together.
-SENT_LABELS = 4_000_000
-PENALTY, ROUNDS, PARTS = 1e-5, 1500, 64
+SENT_LABELS = 1_000_000
+PENALTY, ROUNDS, PARTS = 1e-4, 40, 64
+#: Characters of a text that are worked on at once.
+PIECE = 1 << 19
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
-def grams(text: str) -> np.ndarray:
-    """Hashes (below 2**BITS) of the character n-grams of a text, in lower case and with single spaces around words."""
-    c = np.frombuffer((" " + " ".join(text.lower().split()) + " ").encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
+def _grams(text: str) -> np.ndarray:
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
     found, h = [], np.zeros(len(c), np.uint64)
     for n in range(1, max(ORDERS) + 1):
         if len(c) < n:
@@ -39,7 +41,25 @@ def grams(text: str) -> np.ndarray:
         if n in ORDERS:
             x = h ^ (h >> np.uint64(29))
             found.append((x * _K >> np.uint64(64 - BITS)).astype(np.int32))
-    return np.concatenate(found) if found else np.zeros(0, np.int32)
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int32)
+
+
+def grams(text: str | None) -> np.ndarray:
+    """The different hashes (below 2**BITS) of the character n-grams of a text, in lower case and with single spaces around words."""
+    text = text or ""
+    found, tail, gap = [], "", True
+    for lo in range(0, max(1, len(text)), PIECE):
+        piece = text[lo : lo + PIECE]
+        words = " ".join(piece.lower().split())
+        between = " " if gap or piece[:1].isspace() else ""
+        gap, end = piece[-1:].isspace(), " " if lo + PIECE >= len(text) else ""
+        if words:
+            joined = tail + between + words
+            found.append(_grams(joined + end))
+            tail = joined[1 - max(ORDERS) :]
+        elif end:
+            found.append(_grams(tail + end) if tail else _grams("  "))
+    return found[0] if len(found) == 1 else np.unique(np.concatenate(found))
 
 
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
@@ -52,20 +72,24 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts, seen = np.zeros((2, 1 << BITS), np.int32), np.zeros(1 << BITS, bool)
+    counts = np.zeros((2, 1 << BITS), np.int32)
     for b in batches:
         for text, toxic in zip(b.column(0), b.column(1).to_pylist()):
-            seen[:] = False
-            seen[grams(text.as_py() or "")] = True
-            counts[toxic] += seen
+            counts[toxic, grams(text.as_py())] += 1
     size = (1 << BITS) // PARTS
     at = [np.flatnonzero(counts[:, p * size : (p + 1) * size].any(axis=0)).astype(np.int32) for p in range(PARTS)]
     blobs = [packed(x, *(counts[k, p * size : (p + 1) * size][x] for k in (0, 1))) for p, x in enumerate(at)]
     yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array(blobs, pa.binary())], ["part", "counts"])
 
 
+def log_ratio(other: np.ndarray, toxic: np.ndarray, n_other: int, n_toxic: int) -> np.ndarray:
+    """The scale of n-grams that stand in so many other and toxic texts of all those labelled."""
+    both, n = other + toxic, n_other + n_toxic
+    return np.log((toxic + SMOOTH) / (both * (n_toxic / n) + SMOOTH)) - np.log((other + SMOOTH) / (both * (n_other / n) + SMOOTH))
+
+
 def ratios(rows: DataFrame, n_other: int, n_toxic: int) -> DataFrame:
-    """feature and ratio of the n-grams that tell the classes apart, from counts over all rows."""
+    """feature and ratio of all n-grams, from counts over all rows."""
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size, sums = (1 << BITS) // PARTS, {}
@@ -76,27 +100,51 @@ def ratios(rows: DataFrame, n_other: int, n_toxic: int) -> DataFrame:
                 s[0, at] += other
                 s[1, at] += toxic
         for part, (other, toxic) in sums.items():
-            ratio = np.log((toxic + 1) / (n_toxic + 2)) - np.log((other + 1) / (n_other + 2))
-            z = ratio / np.sqrt(1 / (toxic + 1) + 1 / (other + 1))
-            at = np.flatnonzero((np.abs(ratio) >= LEAST_RATIO) & (np.abs(z) >= LEAST_Z))
-            yield pa.RecordBatch.from_arrays([pa.array((at + part * size).astype(np.int32)), pa.array(ratio[at])], ["feature", "ratio"])
+            at = np.flatnonzero(other + toxic)
+            ratio = log_ratio(other[at], toxic[at], n_other, n_toxic)
+            yield pa.RecordBatch.from_arrays([pa.array((at + part * size).astype(np.int32)), pa.array(ratio)], ["feature", "ratio"])
 
     counts = rows.select("text", "toxic").mapInArrow(_counted, "part int, counts binary")
     return counts.repartition(PARTS, "part").mapInArrow(summed, "feature int, ratio double")
 
 
-def _fitted(y: np.ndarray, row: np.ndarray, col: np.ndarray, value: np.ndarray, n_cols: int) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic regression by gradient steps with momentum; sparse values by row and column."""
-    w, bias, n = np.zeros(n_cols), math.log((y.sum() + 0.5) / (len(y) - y.sum() + 1)), max(1, len(y))
-    scale = np.maximum(np.bincount(row, value * value, minlength=len(y)).mean() if len(y) else 1.0, 1e-9)
-    vw, vb, rate = np.zeros(n_cols), 0.0, 4.0 / (scale + 1.0)
-    for _ in range(ROUNDS if len(y) else 0):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, value * w[col], minlength=len(y)) + bias, -40, 40)))
-        e = (p - y) / n
-        vw = 0.9 * vw - rate * (np.bincount(col, value * e[row], minlength=n_cols) + PENALTY * w)
-        vb = 0.9 * vb - rate * e.sum()
-        w, bias = w + vw, bias + vb
-    return w, bias
+def _fitted(y: np.ndarray, weight: np.ndarray, size: np.ndarray, col: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic regression with a quadratic penalty, by limited-memory BFGS. Rows of ``size`` features each
+    (col, end to end) whose values are their ratios."""
+    value, row = ratio[col].astype(np.float32), np.repeat(np.arange(len(y), dtype=np.int32), size)
+    full = np.flatnonzero(size)
+    begin = (np.cumsum(size) - size)[full]
+
+    def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
+        w, margin = x[:-1], np.full(len(y), x[-1])
+        if len(full):
+            margin[full] += np.add.reduceat(value * w.astype(np.float32)[col], begin, dtype=float)
+        error = weight * (1 / (1 + np.exp(-np.clip(margin, -700, 700))) - y)
+        gradient = np.bincount(col, value * error.astype(np.float32)[row], minlength=len(w)) + PENALTY * w
+        return float(weight @ (np.logaddexp(0, margin) - y * margin) + PENALTY / 2 * (w @ w)), np.append(gradient, error.sum())
+
+    x, moved = np.zeros(len(ratio) + 1), []
+    now, slope = loss(x)
+    for _ in range(ROUNDS):
+        step, used = slope.copy(), []
+        for s, t in reversed(moved):
+            used.append((s @ step) / (s @ t))
+            step -= used[-1] * t
+        step *= (moved[-1][0] @ moved[-1][1]) / (moved[-1][1] @ moved[-1][1]) if moved else 1 / max(np.linalg.norm(slope), 1e-12)
+        for (s, t), a in zip(moved, reversed(used)):
+            step += s * (a - (t @ step) / (s @ t))
+        rate = 1.0
+        after, slope_after = loss(x - step)
+        while after > now - 1e-4 * rate * (slope @ step) and rate > 1e-6:
+            rate /= 2
+            after, slope_after = loss(x - rate * step)
+        s, t = -rate * step, slope_after - slope
+        moved = [*moved, (s, t)][-8:] if s @ t > 1e-14 else moved
+        done = now - after < 1e-7 * max(now, 1e-9)
+        x, now, slope = x + s, after, slope_after
+        if done:
+            break
+    return x[:-1], float(x[-1])
 
 
 def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[np.ndarray, float]:
@@ -111,35 +159,40 @@ def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     weights = np.zeros(1 << BITS, np.float32)
     if not n_other or not n_toxic:
         return weights, math.log((n_toxic + 0.5) / (n_other + 1))
-    found = ratios(rows, n_other, n_toxic).collect()  # 2**BITS rows at most
-    feature, ratio = np.array([r.feature for r in found], np.int64), np.array([r.ratio for r in found])
-    place = np.full(1 << BITS, -1, np.int32)
-    place[feature] = np.arange(len(feature))
-    sent = rows.sparkSession.sparkContext.broadcast(place)
+    found = ratios(rows, n_other, n_toxic).toPandas()  # 2**BITS rows at most
+    ratio = np.zeros(1 << BITS)
+    ratio[found["feature"].to_numpy()] = found["ratio"].to_numpy()
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hits = [np.unique(p[p >= 0]) for p in (sent.value[grams(x.as_py() or "")] for x in b.column(0))]
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([packed(h.astype(np.int32)) for h in hits], pa.binary())], ["toxic", "hits"])
-
-    share = int(min(1.0, FIT_ROWS / (n_other + n_toxic)) * (1 << 30))
-    sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share).select("text", "toxic")
-    got = sample.mapInArrow(features, "toxic int, hits binary").limit(2 * FIT_ROWS).collect()
-    hits = [unpacked(bytes(r.hits), np.int32)[0] for r in got]
-    row = np.repeat(np.arange(len(got)), [len(h) for h in hits])
-    col = np.concatenate([*hits, np.zeros(0, np.int32)]).astype(np.int64)
-    w, bias = _fitted(np.array([r.toxic for r in got], float), row, col, ratio[col], len(ratio))
-    weights[feature] = w * ratio
-    return weights, float(bias)
+            blobs = [packed(np.diff(grams(x.as_py()), prepend=np.int32(0))) for x in b.column(0)]
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(blobs, pa.binary())], ["toxic", "place", "grams"])
+
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
+    share = F.when(F.col("toxic") == 1, F.lit(int(min(1.0, FIT_ROWS / 2 / n_toxic) * (1 << 30)))).otherwise(F.lit(int(min(1.0, FIT_ROWS / 2 / n_other) * (1 << 30))))
+    sample = rows.withColumn("place", place).where(F.col("place") < share).select("text", "toxic", "place")
+    toxic, sets, held = [], [], 0
+    for r in sample.mapInArrow(features, "toxic int, place long, grams binary").orderBy("place", "toxic", "grams").limit(2 * FIT_ROWS).toLocalIterator():
+        step = unpacked(bytes(r["grams"]), np.int32)[0]
+        held += len(step)
+        if held > FIT_GRAMS and len(set(toxic)) == 2:
+            break
+        toxic.append(r["toxic"])
+        sets.append(np.cumsum(step, dtype=np.int32))
+    y, size = np.array(toxic, float), np.array([len(x) for x in sets])
+    if not 0 < y.sum() < len(y):
+        return weights, math.log((n_toxic + 0.5) / (n_other + 1))
+    weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
+    w, bias = _fitted(y, weight, size, np.concatenate([*sets, np.zeros(0, np.int32)]), ratio)
+    return (w * ratio).astype(np.float32), bias
 
 
 def _scores(sent):
     def make(texts: pa.Array) -> list[pa.Array]:
         weights, bias = sent.value
-        used, out = weights != 0, []
+        out = []
         for x in texts:
-            g = grams(x.as_py() or "")
-            s = bias + float(weights[np.unique(g[used[g]])].sum(dtype=float))
+            s = bias + float(weights[grams(x.as_py())].sum(dtype=float))
             out.append(1 / (1 + math.exp(-max(-700.0, min(700.0, s)))))
         return [pa.array(out, pa.float64())]
 
