@@ -7,9 +7,9 @@ index of at least 3/4 that is at most (a + b) / 7, or a third of either size. By
 a size band agree in a block among the first d + 1 in any common order of their non-empty blocks (fullest first, then by
 hash), and in r blocks among the first d + r. These blocks are the join keys.
 
-Keys that more than FEW nodes share are hot. Other keys give all their pairs. As r keys agree, either at least half of them
-are not hot, so a pair has to share so many such keys; or hot ones matter, but only for pairs of nodes that both have many of
-them, and of these nodes only the rarest ones. Each such key first pairs its nodes
+Keys that more than FEW nodes share are hot. Other keys give all their pairs. As r keys agree, either a quarter of them are
+not hot, so a pair has to share so many such keys; or hot ones matter, but only for pairs of nodes that both have three
+quarters of r of them, and of these nodes only the rarest ones. Each such key first pairs its nodes
 with the one that has the most hot keys for its size, which links most copies of one text. What remains apart is compared
 across components, in blocks of CHUNK nodes, by the parity bits of the sketches; nodes already in one component need no
 further link. Every candidate pair is verified on its texts' whole sets.
@@ -35,7 +35,7 @@ FEW = 8
 #: Nodes of a hot key that are compared at once.
 CHUNK = 4096
 #: Keys that a task holds before it deals them out.
-HELD = 1_000_000
+HELD = 500_000
 #: Bytes of text whose keys meet in one task, about.
 BUCKET_BYTES = 16 << 20
 #: Pairs that one text is compared in at once.
@@ -54,7 +54,7 @@ def least_blocks(size: np.ndarray) -> np.ndarray:
 
 def spare_blocks(size: np.ndarray) -> np.ndarray:
     """r: blocks that agree at least among the first d + r."""
-    return size // 16 + 2
+    return size // 8 + 2
 
 
 def shingle_sets(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -238,13 +238,13 @@ def matched(packs: DataFrame) -> DataFrame:
 
 def agreeing(size: F.Column) -> F.Column:
     """Hot keys that a node of this size has to share with another; of fewer, the rest of the keys that agree are not hot."""
-    return F.greatest(F.floor((F.floor((3 * size + 3) / 4) / 16 + 2) / 2), F.lit(1))
+    return F.greatest(F.floor((F.floor(F.floor((3 * size + 3) / 4) / 8) + 2) * 3 / 4), F.lit(1))
 
 
 def counted_pairs(found: DataFrame) -> DataFrame:
     """Pairs u, v that share as many keys, not hot, as a link needs."""
     sums = found.groupBy("u", "v").agg(F.sum("g").alias("g"), F.least(F.min("n"), F.min("m")).alias("n"), F.greatest(F.max("n"), F.max("m")).alias("m"))
-    return sums.where(F.col("g") >= F.floor(F.col("n") / 16) + 3 - agreeing(F.col("m"))).select("u", "v")
+    return sums.where(F.col("g") >= F.floor(F.col("n") / 8) + 3 - agreeing(F.col("m"))).select("u", "v")
 
 
 def near(a: int, b: int) -> bool:
@@ -262,6 +262,8 @@ def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             keep = [near(p, q) and 7 * distance(s, t) <= p + q for p, q, s, t in zip(x["n_u"], x["n_v"], x["s_u"], x["s_v"])]
             yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
+    pairs = written(pairs, "near")
+    nodes = nodes.where(in_slots(pairs.select(F.explode(F.array("u", "v")).alias("node")), F.col("node")))
     both = beside(beside(pairs, side("u"), "u", "v"), side("v"), "v", "u")
     return both.select("u", "v", "n_u", "n_v", "s_u", "s_v").mapInArrow(run, "u long, v long")
 
@@ -352,7 +354,10 @@ def hot_pairs(rare: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
     sides = rooted.select("key", "root").join(per_key, F.col("key") == F.col("_key")).where("root <> main").groupBy("_key", "main", "g").agg(F.count(F.lit(1)).alias("k"))
     keys = written(sides, "keys")
     keys = F.broadcast(keys) if keys.count() <= SENT_KEYS else keys
-    open_ = rooted.join(keys, F.col("key") == F.col("_key")).join(nodes.select(F.col("node").alias("_n"), "sketch"), F.col("node") == F.col("_n")).select(
+    open_ = written(rooted.join(keys, F.col("key") == F.col("_key")).drop("_key"), "open")
+    dropped(rooted)
+    nodes = nodes.where(in_slots(open_.select("node"), F.col("node"))).select(F.col("node").alias("_n"), "sketch")
+    open_ = open_.join(nodes, F.col("node") == F.col("_n")).select(
         "key", "node", "n", "sketch", "root", (F.col("root") != F.col("main")).alias("side"), F.ceil(F.col("g") / CHUNK).cast("int").alias("rows"), F.ceil(F.col("k") / CHUNK).cast("int").alias("cols")
     )
     # a node stands on the left of its row of cells, and if it isn't of the main component on the right of its column
