@@ -1,22 +1,24 @@
 """Quality rules with risk-controlled thresholds.
 
-Each rule rejects a document whose measure lies above a cutoff, from a fixed list of cutoffs. Labelled documents are the
-holdout: for each stratum, rule and cutoff an exact binomial test asks whether good documents are falsely rejected at a
-rate above the rule's risk. Levels are shared out over all strata, rules and cutoffs (Bonferroni), so any choice among
-the cutoffs that pass is covered: with confidence 1 - DELTA, in every stratum the rules together reject at most the
-share RISK of good documents. Among those that pass, the cutoff with the most rejected bad documents per good one is
-taken; a stratum with too few labels for a bound has no cutoff, and the rule rejects nothing there.
+The rules reject a document of which some measure lies above its cutoff. Cutoffs are tried together, in a fixed order of levels
+from lenient to strict. Labelled documents are the holdout: for each stratum and level an exact binomial test asks whether the
+rules falsely reject good documents at a rate above RISK. In a stratum levels are tested in their order until one fails, which
+needs no correction among them (fixed sequence); over strata the level of the tests is corrected by Holm's steps: it is shared
+out evenly, and what a stratum has that passes all its levels goes to the others. So with confidence 1 - DELTA, in every
+stratum the rules reject at most the share RISK of good documents, whichever of the levels that passed is taken: the one with
+the most rejected bad documents for its good ones. A stratum with too few labels for a bound has no cutoffs.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SPACED, Words, appended, buffers, mix, pick, restored, rolling, span_hash, steps, table, written
@@ -24,13 +26,14 @@ from .common import SPACED, Words, appended, buffers, mix, pick, restored, rolli
 RISK, DELTA = 0.05, 0.05
 #: A falsely rejected good document weighs as much as so many rejected bad ones.
 WEIGHT = 10
-#: Cutoffs of each measure, the most lenient first.
+#: Cutoffs of each measure at each level, the most lenient first.
 CUTOFFS = {
     "symbol_share": [0.5, 0.4, 0.3, 0.2, 0.15, 0.1, 0.07, 0.05],
     "dup_line_share": [0.9, 0.8, 0.7, 0.6, 0.5, 0.45, 0.4, 0.35],
     "repeat_share": [0.5, 0.45, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15],
     "mean_word_chars": [30.0, 20.0, 15.0, 12.0, 11.0, 10.0, 9.0, 8.0],
 }
+LEVELS = 8
 #: Strata that are few enough to send their cutoffs to every task; with more, a shuffle brings them together.
 FEW_STRATA = 10_000
 _SYMBOL = np.isin(np.arange(256), list(b"#*$%&|<>"))
@@ -113,7 +116,7 @@ def log_tail(k: int, n: int, p: float) -> float:
 
 
 def thresholds(measures: DataFrame, labels: DataFrame, id_col: str = "doc_id", good_col: str = "quality", risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """A row for each stratum: n_good, n_bad, and a cutoff for each measure (null where none passes).
+    """A row for each stratum: n_good, n_bad, and a cutoff for each measure (null where no level passes).
 
     ``labels`` may repeat an id: one good label makes it good. Null ids and null labels don't count. Only documents that
     pass the base rules take part, as only they can be rejected by a cutoff.
@@ -121,32 +124,31 @@ def thresholds(measures: DataFrame, labels: DataFrame, id_col: str = "doc_id", g
     known = pick(labels, id_col, good_col).toDF("_id", "good").where("_id is not null and good is not null").groupBy("_id").agg(F.max("good").alias("good"))
     held = measures.where(~base_failed()).join(known, F.col(id_col) == F.col("_id"))
     good = F.col("good") > 0
-    over = {f"{m}_{i}": F.col(m) > c for m, cuts in CUTOFFS.items() for i, c in enumerate(cuts)}
+    rejects = [reduce(Column.__or__, [F.col(m) > cuts[i] for m, cuts in CUTOFFS.items()]) for i in range(LEVELS)]
     counts = [F.count_if(good).alias("n_good"), F.count_if(~good).alias("n_bad")]
-    counts += [F.count_if(good & x).alias(f"g_{k}") for k, x in over.items()] + [F.count_if(~good & x).alias(f"b_{k}") for k, x in over.items()]
+    counts += [F.count_if(good & x).alias(f"good_{i}") for i, x in enumerate(rejects)] + [F.count_if(~good & x).alias(f"bad_{i}") for i, x in enumerate(rejects)]
     tallies = held.groupBy("stratum").agg(*counts)
-    kept = written(tallies, "tallies")
-    strata = max(1, kept.count())
-    tests = strata * sum(map(len, CUTOFFS.values()))
-    level, share = math.log(delta / tests), risk / len(CUTOFFS)
+    kind = tallies.schema["stratum"].dataType.simpleString()
 
-    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def tested(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = b[["stratum", "n_good", "n_bad"]].copy()
-            for m, cuts in CUTOFFS.items():
-                best = []
-                for r in b.to_dict("records"):
-                    gain, cut = 0, None
-                    for i, c in enumerate(cuts):
-                        g, bad = r[f"g_{m}_{i}"], r[f"b_{m}_{i}"]
-                        if bad - WEIGHT * g > gain and log_tail(g, r["n_good"], share) <= level:
-                            gain, cut = bad - WEIGHT * g, c
-                    best.append(cut)
-                out[f"cut_{m}"] = pd.array(best, dtype="Float64")
+            # a level passes if it and all before it do
+            worst = np.maximum.accumulate([[log_tail(int(g), int(n), risk) for g, n in zip(b[f"good_{i}"], b["n_good"])] for i in range(LEVELS)], axis=0)
+            for i in range(LEVELS):
+                out[f"log_p_{i}"] = worst[i]
+                out[f"gain_{i}"] = b[f"bad_{i}"] - WEIGHT * b[f"good_{i}"]
             yield out
 
-    kind = kept.schema["stratum"].dataType.simpleString()
-    found = kept.mapInPandas(choose, f"stratum {kind}, n_good long, n_bad long, " + ", ".join(f"cut_{m} double" for m in CUTOFFS))
+    kept = written(tallies.mapInPandas(tested, f"stratum {kind}, n_good long, n_bad long, " + ", ".join(f"log_p_{i} double, gain_{i} long" for i in range(LEVELS))), "tallies")
+    strata, through, before = max(1, kept.count()), 0, -1
+    while through not in (before, strata):  # Holm: strata that pass all levels leave their share to the others
+        before, through = through, kept.where(F.col(f"log_p_{LEVELS - 1}") <= math.log(delta / (strata - through))).count()
+    bound = math.log(delta / max(1, strata - through))
+    gains = F.array(*[F.when((F.col(f"log_p_{i}") <= bound) & (F.col(f"gain_{i}") > 0), F.struct(F.col(f"gain_{i}").alias("gain"), F.lit(-i).alias("level"))) for i in range(LEVELS)])
+    level = -F.array_max(gains)["level"]
+    cut = lambda cuts: F.coalesce(*[F.when(level == i, F.lit(c)) for i, c in enumerate(cuts)])
+    found = kept.select("stratum", "n_good", "n_bad", *[cut(cuts).alias(f"cut_{m}") for m, cuts in CUTOFFS.items()])
     return F.broadcast(found) if strata <= FEW_STRATA else found
 
 

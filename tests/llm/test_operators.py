@@ -93,6 +93,68 @@ def test_thresholds_keep_good_documents(spark):
     assert kept.columns == list(fx.documents(spark, []).columns) and kept.count() == 920
 
 
+def brute_levels(rows, labels):
+    """Cutoff level of each stratum, by tails of the binomial distribution summed term by term."""
+    known = {}
+    for i, q in labels:
+        if i is not None and q is not None:
+            known[i] = max(known.get(i, 0), q)
+    names, tally = list(quality.CUTOFFS), collections.defaultdict(lambda: ([], []))
+    for i, t, g in rows:
+        n, chars, symbols, dups, repeats, lines = brute_counts(t)
+        if i in known and n >= 50 and 2 * repeats <= n:
+            tally[g][known[i] > 0].append((symbols / chars, dups / lines, repeats / n, chars / n))
+    hit = lambda m, i: any(x > quality.CUTOFFS[k][i] for k, x in zip(names, m))
+    tail = lambda k, n: sum(math.comb(n, j) * 0.05**j * 0.95 ** (n - j) for j in range(k + 1)) if n and k < 0.05 * n else 1
+    p = {g: [tail(sum(hit(m, i) for m in good), len(good)) for i in range(8)] for g, (bad, good) in tally.items()}
+    open_, through = set(p), set()
+    while fresh := {g for g in open_ if max(p[g]) <= 0.05 / len(open_)}:
+        through |= fresh
+        open_ -= fresh
+    levels = {}
+    for g, (bad, good) in tally.items():
+        best = 0
+        for i in range(8):
+            if p[g][i] > 0.05 / max(1, len(open_)):
+                break
+            gain = sum(hit(m, i) for m in bad) - quality.WEIGHT * sum(hit(m, i) for m in good)
+            if gain > best:
+                best, levels[g] = gain, i
+    return {g: {k: quality.CUTOFFS[k][i] for k in names} for g, i in levels.items()}, hit
+
+
+def test_thresholds_are_those_by_brute_force(spark, docs):
+    r = random.Random(11)
+    rows = list(fx.odd_rows())
+    for g, n, bad in (("en", 400, 90), ("de", 150, 60), (None, 90, 20), ("fr", 40, 30)):
+        for j in range(n + bad):
+            text = fx.prose(len(rows), 60)
+            if j >= n or r.random() < 0.02:
+                text = "".join(c + ("#" * r.randrange(4) if c == " " else "") for c in text)
+            rows.append((1000 + len(rows), text, g))
+    labels = [(i, int(k % 7 != 0 if i is not None and i < 100 else "#" not in (t or "") or r.random() < 0.03)) for k, (i, t, _) in enumerate(rows)]
+    cuts, _ = brute_levels(rows, labels)
+    assert len(cuts) >= 2
+    got = {(r_.doc_id, r_.n_words, r_.word_chars, r_.stratum): r_.kept for r_ in quality.judged(fx.documents(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    for i, t, g in rows:
+        n, chars, symbols, dups, repeats, lines = brute_counts(t)
+        fine = n >= 50 and 2 * repeats <= n and not (g in cuts and any(x > cuts[g][k] for k, x in zip(quality.CUTOFFS, (symbols / chars, dups / lines, repeats / n, chars / n))))
+        assert got[(i, n, chars, g)] == fine
+
+
+def test_false_rejections_stay_under_the_risk():
+    """In simulated strata whose good documents are rejected at twice the risk, hardly any level passes."""
+    r = np.random.default_rng(4)
+    passed = 0
+    for _ in range(2000):
+        n = int(r.integers(90, 500))
+        rate = np.minimum(0.051 * np.array([0.2, 0.5, 1, 1.5, 2, 3, 4, 5]), 1)  # above the risk from the third level on
+        hits = np.cumsum(np.bincount(np.searchsorted(rate, r.random(n)), minlength=9))[:8]
+        p = np.maximum.accumulate([quality.log_tail(int(h), n, 0.05) for h in hits])
+        passed += p[2] <= math.log(0.05)
+    assert passed <= 2000 * 0.06
+
+
 # -- 2 ----------------------------------------------------------------------------------------------------------------
 
 
