@@ -2,13 +2,16 @@
 
 A window is WINDOW consecutive words of a benchmark item (a shorter item is one window). It is a set of shingles of
 SHINGLE words at fixed places; a document holds the window only if it holds all of them. So one shingle is a sufficient
-prefix: for each window the rarest of its shingles over all documents is joined to the documents' shingles; the match
-says where the window would have to begin, positions that leave the document are dropped, and the rest is verified word
-for word over the window's whole length, by the shingles that cover it.
+prefix. A first pass over the documents counts the benchmark's shingles, without places; the rarest shingle of each window is
+its prefix, and windows with a shingle that stands nowhere go. A second pass joins prefixes only; the match says where the
+window would have to begin, positions that leave the document are dropped, and the rest is verified word for word. Shingles
+are joined by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,7 +20,7 @@ from .common import pick, table, without, written
 
 WINDOW, SHINGLE = 10, 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Characters of the benchmark's shingles up to which they are sent to every task; with more, both sides are shuffled.
+#: Characters of the benchmark's windows up to which these are sent to every task; with more, both sides are shuffled.
 SENT_CHARS = 64 << 20
 
 
@@ -27,61 +30,60 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(low, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")
 
 
-def grams(words: Column, n: Column, size: int) -> Column:
-    """All runs of ``size`` words, joined by blanks (no word holds one)."""
-    return F.when(n >= size, F.transform(F.sequence(F.lit(1), F.greatest(n - (size - 1), F.lit(1))), lambda i: F.array_join(F.slice(words, i, size), " "))).otherwise(F.array().cast("array<string>"))
+def shingle_hashes(hashes: Column, n: Column, k: int) -> Column:
+    """A hash of each run of k words, from the words' hashes."""
+    return F.when(n >= k, F.transform(F.sequence(F.lit(0), F.greatest(n - k, F.lit(0))), lambda i: F.xxhash64(*[F.get(hashes, i + j) for j in range(k)]))).otherwise(F.array().cast("array<bigint>"))
 
 
 def item_windows(benchmark: DataFrame, id_col: str, text_col: str, window: int = WINDOW) -> DataFrame:
-    """window (number by text), item, size, at and shingle: each shingle of each distinct window, of each item that has it."""
+    """window (its words), item, size, at, k and shingle (hash of k words from the window's word ``at`` on): each shingle of each
+    distinct window, of each item that has it."""
     items = pick(benchmark, id_col, text_col).toDF("item", "text").select("item", words_of(F.col("text")).alias("w")).where(F.size("w") > 0)
     items = items.withColumn("size", F.least(F.size("w"), F.lit(window)))
     runs = items.select("item", "size", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("size") + 1), lambda i: F.slice("w", i, F.col("size")))).alias("run"))
-    k = F.least(F.col("size"), F.lit(SHINGLE))
-    parts = F.transform(F.sequence(F.lit(1), F.col("size") - k + 1), lambda i: F.struct((i - 1).alias("at"), F.array_join(F.slice("run", i, k), " ").alias("shingle")))
-    return runs.select("item", "size", F.array_join("run", " ").alias("window"), F.explode(parts).alias("p")).select("item", "size", "window", "p.at", "p.shingle").distinct()
+    parts = [F.when(F.least(F.col("size"), F.lit(SHINGLE)) == k, F.transform(shingle_hashes(F.col("h"), F.col("size"), k), lambda x, i: F.struct(i.alias("at"), x.alias("shingle")))) for k in range(1, SHINGLE + 1)]
+    hashed = runs.select("item", "size", F.array_join("run", " ").alias("window"), F.transform("run", lambda x: F.xxhash64(x)).alias("h"))
+    return hashed.select("item", "size", "window", F.least(F.col("size"), F.lit(SHINGLE)).alias("k"), F.explode(F.coalesce(*parts)).alias("p")).select("item", "size", "window", "k", "p.at", "p.shingle").distinct()
 
 
 def _split(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = pick(docs, id_col, text_col).toDF("id", "text")
-    return text.select("id", F.xxhash64("text").alias("key"), words_of(F.col("text")).alias("w")).withColumn("n", F.size("w"))
+    return text.select("id", F.xxhash64("text").alias("key"), words_of(F.col("text")).alias("w")).select("id", "key", "w", F.size("w").alias("n"), F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
 
 
 def occurrences(docs: DataFrame, windows: DataFrame, id_col: str, text_col: str):
     """id, key (text hash), window, size and start (from 0) of each occurrence of a window; and how to send small tables."""
     split = _split(docs, id_col, text_col)
-    shingles = windows.select("shingle").distinct()
-    sizes = windows.agg(F.coalesce(F.sum(F.length("shingle") + 32), F.lit(0)).alias("chars"), F.collect_set(F.least("size", F.lit(SHINGLE))).alias("k")).first()
+    sizes = windows.agg(F.coalesce(F.sum(F.length("window") + 64), F.lit(0)).alias("chars"), F.collect_set("k").alias("k")).first()
     small = sizes["chars"] <= SENT_CHARS
     send = F.broadcast if small else (lambda df: df)
-
-    # every place of a document where a shingle of the benchmark stands
-    placed = [split.select("id", "key", "n", F.posexplode(grams(F.col("w"), F.col("n"), k)).alias("place", "shingle")) for k in sorted(sizes["k"])]
-    if placed:
-        every = placed[0]
-        for other in placed[1:]:
-            every = every.unionByName(other)
-        matches = every.join(send(shingles), "shingle")
-    else:
-        matches = split.select("id", "key", "n", F.lit(0).alias("place"), F.lit("").alias("shingle")).where("false")
-    matches = written(matches, "matches")
-
-    # rarity over all documents; the rarest shingle of each window is its prefix
-    counts = matches.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
-    ranked = windows.select("window", "size", "at", "shingle").distinct().join(counts, "shingle")
+    every = lambda k, *cols: split.select(*cols, F.posexplode(shingle_hashes(F.col("h"), F.col("n"), k)).alias("place", "shingle"))
+
+    # rarity over all documents, summed up in each task first; the rarest shingle of each window is its prefix
+    shingles = windows.select("k", F.col("shingle").alias("known")).distinct()
+    counts = [every(k).join(send(shingles.where(F.col("k") == k).drop("k")), F.col("shingle") == F.col("known")).groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).withColumn("k", F.lit(k)) for k in sorted(sizes["k"])]
+    none = split.select(F.lit(0).cast("bigint").alias("shingle"), F.lit(0).cast("bigint").alias("df"), F.lit(0).alias("k")).where("false")
+    counts = written(reduce(DataFrame.unionByName, counts, none), "counts")
+    ranked = windows.select("window", "size", "at", "k", "shingle").distinct().join(counts, ["k", "shingle"])
     by = Window.partitionBy("window").orderBy("df", "at")
-    whole = F.count(F.lit(1)).over(Window.partitionBy("window")) == F.col("size") - F.least("size", F.lit(SHINGLE)) + 1  # else a shingle stands nowhere
-    prefix = ranked.withColumn("rank", F.row_number().over(by)).withColumn("whole", whole).where("rank = 1 and whole").select("window", "size", "at", "shingle")
-    starts = matches.join(send(prefix), "shingle").withColumn("start", F.col("place") - F.col("at")).where("start >= 0 and start + size <= n").select("id", "key", "window", "size", "start")
-    # verified by shingles that cover the window end to end
-    k = F.least(F.col("size"), F.lit(SHINGLE))
-    covering = windows.select("window", "size", "at", "shingle").distinct().where((F.col("at") % k == 0) | (F.col("at") == F.col("size") - k)).select("window", "at", F.col("shingle"))
-    need = starts.join(send(covering), "window").withColumn("place", F.col("start") + F.col("at"))
-    n_cover = covering.groupBy("window").agg(F.count(F.lit(1)).alias("n_cover"))
-    there = matches.select(F.col("id").alias("_id"), F.col("key").alias("_key"), "place", "shingle")
-    held = need.join(there, need["id"].eqNullSafe(F.col("_id")) & (need["key"] == F.col("_key")) & (need["place"] == there["place"]) & (need["shingle"] == there["shingle"]), "left_semi")
-    held = held.distinct().groupBy("id", "key", "window", "size", "start").agg(F.count(F.lit(1)).alias("got")).join(send(n_cover), "window").where("got = n_cover")
-    return written(held.select("id", "key", "window", "size", "start"), "occurrences"), send
+    whole = F.count(F.lit(1)).over(Window.partitionBy("window")) == F.col("size") - F.col("k") + 1  # else a shingle stands nowhere
+    prefix = ranked.withColumn("rank", F.row_number().over(by)).withColumn("whole", whole).where("rank = 1 and whole").select("window", "size", "at", "k", F.col("shingle").alias("prefix"))
+    prefix = written(prefix, "prefixes")
+
+    found = []
+    same = F.array_join(F.slice("w", F.col("start") + 1, F.col("size")), " ") == F.col("window")
+    for k in sorted(sizes["k"]):
+        own = send(prefix.where(F.col("k") == k).drop("k"))
+        starts = lambda *cols: every(k, *cols).join(own, F.col("shingle") == F.col("prefix")).withColumn("start", F.col("place") - F.col("at")).where("start >= 0 and start + size <= n")  # noqa: B023, E731
+        if small:
+            found.append(starts("id", "key", "n", "w").where(same))
+        else:  # texts don't go with every shingle
+            places = starts("id", "key", "n").select(F.col("id").alias("_id"), F.col("key").alias("_key"), "window", "size", "start").distinct()
+            found.append(places.join(split.select("id", "key", "w"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))).where(same))
+    out = [x.select("id", "key", "window", "size", "start") for x in found]
+    none = split.select("id", "key", F.lit("").alias("window"), F.lit(0).alias("size"), F.lit(0).alias("start")).where("false")
+    return written(reduce(DataFrame.unionByName, out, none), "occurrences"), send
+
 
 def marked(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """id, n_words, n_hit, items (sorted ids, as text, of items with a window that occurs) and contaminated, by row.
