@@ -1,8 +1,9 @@
 """Learning: candidate rules from wrong rows, their good and bad counts, and the greedy loop.
 
 A row is good for a rule if it makes a wrong state right and bad if it makes a right state wrong. Candidates come from
-wrong rows only, so their good counts are a group-by; bad counts come from rows with a right state, whose instances of the
-same templates are joined to the candidates. All counts are weighted by ``cost`` where the samples have one.
+wrong rows only; bad counts come from rows with a right state that have an instance of the same template. Both are read off one
+tally: samples summed up by the instances of templates, their states and truths. While learning, a rule changes the tally by the
+instances of the rows it touches, before and after it. All counts are weighted by ``cost`` where the samples have one.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import is_right, truths, values, with_word_lists
 from ..plans.spec import Rule, TaskSchema, Template, Templates
-from ..shared import written
+from ..shared import dropped, written
 from .apply import apply_rule, constrained
 
 KEY = ["template", "tokens", "results"]
@@ -98,30 +99,70 @@ def candidates(df: DataFrame, templates: Templates, nulls: tuple[str, ...] = (),
     return reduce(DataFrame.unionByName, parts).groupBy(*KEY).agg(F.sum("gain").cast("long").alias("good"))
 
 
-def scored(df: DataFrame, templates: Templates, limits: Limits = Limits(), names: dict[str, list[str]] | None = None, over: int = 0) -> DataFrame:
-    """template, tokens, results, good, bad and score of all candidates with more than ``over`` good rows.
+def tallied(df: DataFrame, templates: Templates, nulls: tuple[str, ...] = (), names: dict[str, list[str]] | None = None, numbers: set[int] | None = None) -> DataFrame:
+    """template, tokens, states, accepted, limits and cost: samples summed up by instances of templates (or of those of ``numbers``),
+    their targets' states, truths and classes allowed. Each sample is read once for all templates of the same targets."""
+    schema, parts = templates.schema, []
+    used = [(i, t) for i, t in enumerate(templates.items) if numbers is None or i in numbers]
+    for targets in dict.fromkeys(t.targets for _, t in used):
+        own = [(i, t) for i, t in used if t.targets == targets]
+        atoms = list(dict.fromkeys(a for _, t in own for a in t.atoms))
+        rows = df.withColumns({f"v_{i}": values(a, nulls) for i, a in enumerate(atoms)})
+        found = []
+        for i, t in own:
+            tokens = None
+            for a in t.atoms:
+                v = F.col(f"v_{atoms.index(a)}")
+                tokens = F.transform(v, lambda x: F.array(x)) if tokens is None else _each_with(tokens, v)
+            found.append(_numbered(F.array_distinct(tokens), i))
+        states, accepted = F.array(*targets), F.array(*[truths(schema, _truth(schema, s)) for s in targets])
+        exploded = rows.select(F.explode(F.concat(*found)).alias("x"), states.alias("states"), accepted.alias("accepted"), _limits(schema, targets, names or {}).alias("limits"), _cost(df).cast("long").alias("cost"))
+        parts.append(exploded.select("x.template", "x.tokens", "states", "accepted", "limits", "cost"))
+    return reduce(DataFrame.unionByName, parts).groupBy(*TALLY).agg(F.sum("cost").alias("cost"))
+
+
+TALLY = ["template", "tokens", "states", "accepted", "limits"]
+
+
+def _each_with(lists: Column, choices: Column) -> Column:
+    return F.flatten(F.transform(lists, lambda c: F.transform(choices, lambda x: F.concat(c, F.array(x)))))
+
+
+def _numbered(tokens: Column, number: int) -> Column:
+    return F.transform(tokens, lambda c: F.struct(F.lit(number).alias("template"), c.alias("tokens")))
+
+
+def _combined(lists: str) -> Column:
+    """All choices of one of each list."""
+    start = F.array(F.array().cast("array<string>"))
+    return F.aggregate(lists, start, _each_with)
+
 
-    Rows with a right state are summed up by instance, states and truths before they meet the candidates. A rule of several
-    targets may put some of a row's right without giving it all its truths, so all rows meet such rules.
+def scored_tally(tally: DataFrame, limits: Limits = Limits(), over: int = 0) -> DataFrame:
+    """template, tokens, results, good, bad and score of all candidates of a tally with more than ``over`` good rows.
+
+    A rule of several targets may put some of a row's right without giving it all its truths, so all rows meet such rules.
     """
-    schema, least = templates.schema, max(over, limits.least_good)
-    several = F.size("results") > 1
-    good = candidates(df, templates, limits.nulls, names).where(several | (F.col("good") > least))
-    parts = []
-    for number, t in enumerate(templates.items):
-        found = instances(df, templates, number, t, limits.nulls, _all_right(schema, t.targets, False) if len(t.targets) == 1 else None)
-        states, accepted = F.array(*t.targets), F.array(*[truths(schema, _truth(schema, s)) for s in t.targets])
-        parts.append(found.select("template", "tokens", states.alias("states"), accepted.alias("accepted"), _limits(schema, t.targets, names or {}).alias("limits"), _cost(df).alias("cost")))
-    rows = reduce(DataFrame.unionByName, parts).groupBy("template", "tokens", "states", "accepted", "limits").agg(F.sum("cost").alias("cost"))
+    least, several = max(over, limits.least_good), F.size("results") > 1
+    zipped = lambda *names: F.arrays_zip(*names)
+    right = lambda x, c: F.coalesce(F.array_contains(x["accepted"], x[c]), F.lit(False))
+    wrong = F.size(F.filter(zipped("states", "accepted"), lambda x: ~right(x, "states")))
+    made = tally.withColumn("wrong", wrong).where("wrong > 0").withColumn("results", F.explode(_combined("accepted"))).where(_permitted("limits", "results"))
+    good = made.groupBy(*KEY).agg(F.sum(F.col("wrong") * F.col("cost")).cast("long").alias("good")).where(several | (F.col("good") > least))
+    # rows with nothing right lose nothing by rules of one target
+    rows = tally.where((F.size("states") > 1) | (wrong == 0))
     met = rows.join(good.select(*KEY), ["template", "tokens"]).where(_permitted("limits", "results"))
-    zipped = F.arrays_zip("states", "accepted", "results")
-    right = lambda x, c: F.array_contains(x["accepted"], x[c])
-    lost = F.size(F.filter(zipped, lambda x: right(x, "states") & ~right(x, "results")))
-    won = F.size(F.filter(zipped, lambda x: ~right(x, "states") & right(x, "results")))
+    three = zipped("states", "accepted", "results")
+    lost = F.size(F.filter(three, lambda x: right(x, "states") & ~right(x, "results")))
+    won = F.size(F.filter(three, lambda x: ~right(x, "states") & right(x, "results")))
     sums = met.groupBy(*KEY).agg(F.sum(lost * F.col("cost")).cast("long").alias("bad"), F.sum(won * F.col("cost")).cast("long").alias("won"))
-    out = good.join(sums, KEY, "left").withColumn("bad", F.coalesce("bad", F.lit(0))).withColumn("good", F.when(several, F.col("won")).otherwise(F.col("good"))).drop("won")
-    out = out.where(F.col("good") > least)
-    return out.withColumn("score", F.col("good") - F.col("bad"))
+    out = good.join(sums, KEY, "left").withColumn("bad", F.coalesce("bad", F.lit(0))).withColumn("good", F.when(several, F.coalesce("won", F.lit(0))).otherwise(F.col("good"))).drop("won")
+    return out.where(F.col("good") > least).withColumn("score", F.col("good") - F.col("bad"))
+
+
+def scored(df: DataFrame, templates: Templates, limits: Limits = Limits(), names: dict[str, list[str]] | None = None, over: int = 0) -> DataFrame:
+    """template, tokens, results, good, bad and score of all candidates with more than ``over`` good rows."""
+    return scored_tally(tallied(df, templates, limits.nulls, names), limits, over)
 
 
 def order() -> list[Column]:
@@ -134,23 +175,50 @@ def to_rule(row, templates: Templates) -> Rule:
     return Rule(t.atoms, tuple(row["tokens"]), t.targets, tuple(row["results"]), row["good"], row["bad"], row["score"])
 
 
+def changes(after: DataFrame, rule: Rule, templates: Templates, nulls: tuple[str, ...], names: dict[str, list[str]]) -> DataFrame | None:
+    """What a rule changes in the tally. after: samples with ``_changed`` and the states before it as ``_old_`` columns.
+
+    Only templates that look at a state it sets take part, and only the rows changed, or their sequences if some of these templates
+    look at neighbours' states.
+    """
+    wrote = set(rule.targets)
+    numbers = {i for i, t in enumerate(templates.items) if wrote & set(t.targets) or any(c in wrote for a in t.atoms for c, _ in a.reads())}
+    if not numbers:
+        return None
+    span = templates.reach
+    near = {(c, k) for c in wrote for k in range(-span, span + 1) if k}
+    changed = after.where("_changed")
+    if any(templates.items[i].depends_on(near) for i in numbers):
+        part = after.join(changed.select("seq").distinct(), "seq", "left_semi")
+    else:
+        # word lists and features of neighbours are looked up in the whole sequence
+        wide = any(k for i in numbers for a in templates.items[i].atoms for _, k in a.reads())
+        part = after.join(changed.select("seq").distinct(), "seq", "left_semi") if wide else changed
+    before = part.withColumns({s: F.col(f"_old_{s}") for s in wrote})
+    new = tallied(part, templates, nulls, names, numbers)
+    old = tallied(before, templates, nulls, names, numbers).withColumn("cost", -F.col("cost"))
+    return new.unionByName(old)
+
+
 def learn(
     df: DataFrame, templates: Templates, limits: Limits = Limits(), vocabulary: DataFrame | None = None, bigrams: DataFrame | None = None,
     constraints: list[tuple[tuple[str, ...], str, DataFrame]] | None = None,
 ) -> tuple[list[Rule], DataFrame]:
-    """Rules in the order in which they were learned, and the samples after them.
+    """Rules in the order in which they were learned, and the samples after them (a table in the shared folder).
 
-    Each turn scores all candidates, takes the best and applies it; only that one row reaches the driver. Candidates'
-    good counts bound their scores, so only those above the threshold are joined for bad counts.
+    Each turn takes the best candidate of the tally and applies it; only that one row reaches the driver. Candidates' good
+    counts bound their scores, so only those above the threshold meet bad counts.
     """
-    columns = df.columns
+    columns, schema = df.columns, templates.schema
     df = with_word_lists(df, [a for t in templates.items for a in t.atoms], vocabulary, bigrams)
     df, names = constrained(df, constraints or [])
-    df = df.persist()
+    df = written(df, "samples")
+    tally = written(tallied(df, templates, limits.nulls, names), "tally")
     rules: list[Rule] = []
+    base, held = df, None  # the last table, and the last persisted samples
     try:
         while len(rules) < limits.max_rules:
-            row = scored(df, templates, limits, names, over=limits.threshold).orderBy(*order()).limit(1).collect()
+            row = scored_tally(tally, limits, limits.threshold).orderBy(*order()).limit(1).collect()
             if not row or row[0]["score"] <= limits.threshold:
                 break
             rule = to_rule(row[0], templates)
@@ -158,17 +226,29 @@ def learn(
             if len(same) >= limits.repeats - 1:
                 raise RuntimeError(f"the same rule was best {limits.repeats} times in a row: {rule.text()}")
             rules.append(rule)
-            after = apply_rule(df, rule, templates.schema, names)
+            after = apply_rule(df.withColumns({f"_old_{s}": F.col(s) for s in rule.targets}), rule, schema, names, mark="_changed").persist()
+            delta = changes(after, rule, templates, limits.nulls, names)
+            if delta is not None:
+                now = tally.unionByName(delta).groupBy(*TALLY).agg(F.sum("cost").alias("cost")).where("cost <> 0")
+                before, tally = tally, written(now, "tally")
+                dropped(before)
+            df = after.drop("_changed", *[f"_old_{s}" for s in rule.targets])
             if len(rules) % limits.write_every == 0:  # plans would grow with the rules
-                after = written(after, "samples")
-            after = after.persist()
-            after.count()
-            df.unpersist()
-            df = after
+                df = written(df, "samples")
+                after.unpersist()
+                dropped(base)
+                base, after = df, None
+            if held is not None:
+                held.unpersist()
+            held = after
+        if df is not base:
+            df = written(df, "samples")
+            dropped(base)
         return rules, df.select(*columns)
-    except Exception:
-        df.unpersist()
-        raise
+    finally:
+        dropped(tally)
+        if held is not None:
+            held.unpersist()
 
 
 def redundant_rules(df: DataFrame, templates: Templates, least: int, limits: Limits = Limits(), vocabulary: DataFrame | None = None, bigrams: DataFrame | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from .operators import brackets, convert, evaluate, export, hypernyms, lexicon,
 from .operators.apply import apply_rules, error_curve
 from .operators.learn import Limits, candidates, collapsed, learn, order, pruned, redundant_rules, scored
 from .plans.spec import Rule, TaskSchema, Templates, parse_atom
+from .shared import dropped, written
 from .streaming import apply as streaming
 
 EVENTS = TaskSchema.parse("kind state => truth")
@@ -282,9 +283,17 @@ SELECT CAST(0 AS INTEGER) AS template, source || '|' || size AS tokens, min(lang
 FROM s GROUP BY source, size HAVING count(DISTINCT lang) = 1 AND count(*) >= 3"""
 
 
+#: learn_rules stops where no rule puts more than one in so many tokens right.
+SPELLING_SHARE = 200
+
+
 def learn_rules(spark, sf_dir):
-    """The flagship: words' languages from their spelling, learned on all documents until no rule scores above the threshold; counts of each rule."""
-    rules, _ = learn(_spelling(spark, sf_dir), _templates("word::~~2 => state\nword::3~~ => state\nword::1<> state => state", TOKENS))
+    """The flagship: words' languages from their spelling, learned on all documents until no rule gains more than a two-hundredth
+    of all tokens; counts of each rule."""
+    words = written(_spelling(spark, sf_dir), "spelling")
+    tokens = words.agg(F.coalesce(F.sum("cost"), F.lit(0)).alias("n")).first()["n"]
+    rules, _ = learn(words, _templates("word::~~2 => state\nword::3~~ => state\nword::1<> state => state", TOKENS), Limits(threshold=max(2, tokens // SPELLING_SHARE)))
+    dropped(words)
     rows = [(i, r.text().partition("RULE: ")[2], r.good, r.bad, r.score) for i, r in enumerate(rules)]
     return spark.createDataFrame(rows, "rule int, text string, good long, bad long, score long")
 
