@@ -37,7 +37,9 @@ CHUNK = 4096
 #: Keys that a task holds before it deals them out.
 HELD = 500_000
 #: Bytes of text whose keys meet in one task, about.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 32 << 20
+#: Tasks for keys at least, if the session's shuffles have as many.
+LEAST_BUCKETS = 16
 #: Pairs that one text is compared in at once.
 PARTNERS = 64
 #: Places of the bit table that chooses rows: 8 MB.
@@ -83,8 +85,8 @@ def node_of(size: np.ndarray, doc: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def parity_bits(h: np.ndarray) -> bytes:
-    """A bit for each of 256, 512 .. (not fewer than four times the set's size) places: is the number of hashes there odd?"""
-    m = max(256, 4 << (len(h) - 1).bit_length())
+    """A bit for each of 256, 512 .. (not fewer than the set's size) places: is the number of hashes there odd?"""
+    m = max(256, 1 << (len(h) - 1).bit_length())
     return np.packbits(np.bincount((h & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1, bitorder="little").tobytes()
 
 
@@ -128,14 +130,33 @@ def row_key() -> F.Column:
     return F.xxhash64("id", "text").alias("key")
 
 
-def sketched(docs: DataFrame, buckets: int) -> DataFrame:
-    """Of (id, text): a row for each text (id, n, node, sketch, key of id and text; node and sketch null for an empty set), and
-    packed keys by bucket: different nodes and their sizes, then keys with the nodes that have them."""
+def sketched(docs: DataFrame) -> DataFrame:
+    """Of (id, text): id, n, node, sketch and key (of id and text) for each row; node and sketch are null for an empty set."""
     kind = docs.schema["id"].dataType.simpleString()
-    names = ["id", "n", "node", "sketch", "key", "bucket", "packed"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, id_kind = [], 0, None
+        for b in batches:
+            raw, at = buffers(b.column(1))
+            n_all, nodes_all, sketches = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+            for lo, hi in steps(at):
+                doc, h = shingle_sets(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
+                n = np.bincount(doc, minlength=hi - lo)
+                ends = np.cumsum(n)
+                sketches += [parity_bits(h[e - k : e]) if k else None for e, k in zip(ends.tolist(), n.tolist())]
+                n_all.append(n)
+                nodes_all.append(node_of(n, doc, h))
+            n, node = np.concatenate(n_all).astype(np.int64), np.concatenate(nodes_all)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(node, mask=n == 0), pa.array(sketches, pa.binary()), b.column(2)], ["id", "n", "node", "sketch", "key"])
+
+    return docs.select("id", "text", row_key()).mapInArrow(run, f"id {kind}, n long, node long, sketch binary, key long")
+
+
+def keyed(docs: DataFrame, buckets: int) -> DataFrame:
+    """Of (text): packed keys by bucket: different nodes and their sizes, then keys with the nodes that have them. Texts are
+    shingled once more for this, as rows and keys in one table would take disk twice, there and in the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
 
         def deal():
             key, node, n_node = (np.concatenate([h[i] for h in held]) for i in range(3))
@@ -145,20 +166,14 @@ def sketched(docs: DataFrame, buckets: int) -> DataFrame:
                 nodes, first, at = np.unique(n[order], return_index=True, return_inverse=True)
                 out_bucket.append(b)
                 out.append(packed(nodes, m[order][first].astype(np.uint32), np.diff(k[order], prepend=np.uint64(0)), at.astype(np.uint32)))
-            nulls = [pa.nulls(len(out), t) for t in (id_kind, pa.int64(), pa.int64(), pa.binary(), pa.int64())]
-            return pa.RecordBatch.from_arrays([*nulls, pa.array(out_bucket, pa.int32()), pa.array(out, pa.binary())], names)
+            return pa.RecordBatch.from_arrays([pa.array(out_bucket, pa.int32()), pa.array(out, pa.binary())], ["bucket", "packed"])
 
         for b in batches:
-            raw, at = buffers(b.column(1))
-            id_kind, n_all, nodes_all, sketches = b.schema.field(0).type, [], [], []
+            raw, at = buffers(b.column(0))
             for lo, hi in steps(at):
                 doc, h = shingle_sets(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
                 n = np.bincount(doc, minlength=hi - lo)
                 node = node_of(n, doc, h)
-                ends = np.cumsum(n)
-                sketches += [parity_bits(h[e - k : e]) if k else None for e, k in zip(ends.tolist(), n.tolist())]
-                n_all.append(n)
-                nodes_all.append(node)
                 # equal sets of this step give keys once
                 once = np.zeros(hi - lo, bool)
                 once[np.unique(node, return_index=True)[1]] = True
@@ -172,14 +187,10 @@ def sketched(docs: DataFrame, buckets: int) -> DataFrame:
                 if size > HELD:
                     yield deal()
                     held, size = [], 0
-            if n_all:
-                n, node = np.concatenate(n_all).astype(np.int64), np.concatenate(nodes_all)
-                nulls = [pa.nulls(len(n), k) for k in (pa.int32(), pa.binary())]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(node, mask=n == 0), pa.array(sketches, pa.binary()), b.column(2), *nulls], names)
         if size:
             yield deal()
 
-    return docs.select("id", "text", row_key()).mapInArrow(run, f"id {kind}, n long, node long, sketch binary, key long, bucket int, packed binary")
+    return docs.select("text").mapInArrow(run, "bucket int, packed binary")
 
 
 def matched(packs: DataFrame) -> DataFrame:
@@ -402,14 +413,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     text = pick(docs, id_col, text_col).toDF("id", "text")
     size = text.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    buckets = max(shuffle_partitions(docs.sparkSession), -(-size // BUCKET_BYTES))
-    sketches = written(sketched(text, buckets), "sketches")
-    packs = sketches.where("bucket is not null").select("bucket", "packed").repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
+    buckets = max(min(shuffle_partitions(docs.sparkSession), LEAST_BUCKETS), -(-size // BUCKET_BYTES))
+    packs = keyed(text, buckets).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
     found = written(matched(packs), "matched")
-    every = sketches.where("bucket is null")
+    every = written(sketched(text), "sketches")
     rows = written(every.select("id", "n", "node"), "rows")
     nodes = written(every.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("key").alias("key")), "nodes")
-    dropped(sketches)
+    dropped(every)
     rare = written(rarest_keys(found.where("key is not null").select("u", "n", "key", "g")), "rare")
     likely = written(plausible(counted_pairs(found.where("key is null")).unionAll(hub_pairs(rare)).distinct(), nodes), "pairs")
     dropped(found)
