@@ -22,7 +22,7 @@ ORDERS, BITS = (3, 4, 5), 20
 #: Added to the counts of an n-gram and to those expected: n-grams of few texts are drawn to a ratio of 1.
 SMOOTH = 32.0
 #: Labelled texts that the regression is fitted to, at most half of each class, and n-grams of these texts: a hash of the id chooses them.
-FIT_ROWS, FIT_GRAMS = 4_000, 16_000_000
+FIT_ROWS, FIT_GRAMS = 3_000, 8_000_000
 #: Labels that are sent to every task; with more, labels and texts are shuffled together.
 SENT_LABELS = 1_000_000
 PENALTY, ROUNDS, PARTS = 1e-4, 40, 64
@@ -111,27 +111,33 @@ def ratios(rows: DataFrame, n_other: int, n_toxic: int) -> DataFrame:
 def _fitted(y: np.ndarray, weight: np.ndarray, size: np.ndarray, col: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic regression with a quadratic penalty, by limited-memory BFGS. Rows of ``size`` features each
     (col, end to end) whose values are their ratios."""
-    value, row = ratio[col].astype(np.float32), np.repeat(np.arange(len(y), dtype=np.int32), size)
-    full = np.flatnonzero(size)
-    begin = (np.cumsum(size) - size)[full]
+    used, at = np.unique(col, return_inverse=True)
+    at, scale, n_all = at.astype(np.int32), ratio[used], len(ratio)
+    end = np.cumsum(size)
+    # rows by slices: what a step needs beside the features themselves is small
+    cuts = np.unique([0, *np.searchsorted(end, np.arange(1 << 19, len(at), 1 << 19), "right"), len(y)])
 
     def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
-        w, margin = x[:-1], np.full(len(y), x[-1])
-        if len(full):
-            margin[full] += np.add.reduceat(value * w.astype(np.float32)[col], begin, dtype=float)
-        error = weight * (1 / (1 + np.exp(-np.clip(margin, -700, 700))) - y)
-        gradient = np.bincount(col, value * error.astype(np.float32)[row], minlength=len(w)) + PENALTY * w
-        return float(weight @ (np.logaddexp(0, margin) - y * margin) + PENALTY / 2 * (w @ w)), np.append(gradient, error.sum())
-
-    x, moved = np.zeros(len(ratio) + 1), []
+        w, margin, gradient = x[:-1], np.full(len(y), x[-1]), np.zeros(len(used))
+        scaled = w * scale
+        error = np.zeros(len(y))
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            own = at[end[lo] - size[lo] : end[hi - 1]]
+            row = np.repeat(np.arange(hi - lo), size[lo:hi])
+            margin[lo:hi] += np.bincount(row, scaled[own], minlength=hi - lo)
+            error[lo:hi] = weight[lo:hi] * (1 / (1 + np.exp(-np.clip(margin[lo:hi], -700, 700))) - y[lo:hi])
+            gradient += np.bincount(own, error[lo:hi][row], minlength=len(used))
+        return float(weight @ (np.logaddexp(0, margin) - y * margin) + PENALTY / 2 * (w @ w)), np.append(gradient * scale + PENALTY * w, error.sum())
+
+    x, moved = np.zeros(len(used) + 1), []
     now, slope = loss(x)
     for _ in range(ROUNDS):
-        step, used = slope.copy(), []
+        step, rates = slope.copy(), []
         for s, t in reversed(moved):
-            used.append((s @ step) / (s @ t))
-            step -= used[-1] * t
+            rates.append((s @ step) / (s @ t))
+            step -= rates[-1] * t
         step *= (moved[-1][0] @ moved[-1][1]) / (moved[-1][1] @ moved[-1][1]) if moved else 1 / max(np.linalg.norm(slope), 1e-12)
-        for (s, t), a in zip(moved, reversed(used)):
+        for (s, t), a in zip(moved, reversed(rates)):
             step += s * (a - (t @ step) / (s @ t))
         rate = 1.0
         after, slope_after = loss(x - step)
@@ -139,12 +145,14 @@ def _fitted(y: np.ndarray, weight: np.ndarray, size: np.ndarray, col: np.ndarray
             rate /= 2
             after, slope_after = loss(x - rate * step)
         s, t = -rate * step, slope_after - slope
-        moved = [*moved, (s, t)][-8:] if s @ t > 1e-14 else moved
+        moved = [*moved, (s, t)][-6:] if s @ t > 1e-14 else moved
         done = now - after < 1e-7 * max(now, 1e-9)
         x, now, slope = x + s, after, slope_after
         if done:
             break
-    return x[:-1], float(x[-1])
+    weights = np.zeros(n_all)
+    weights[used] = x[:-1]
+    return weights, float(x[-1])
 
 
 def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[np.ndarray, float]:
@@ -183,7 +191,9 @@ def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     if not 0 < y.sum() < len(y):
         return weights, math.log((n_toxic + 0.5) / (n_other + 1))
     weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
-    w, bias = _fitted(y, weight, size, np.concatenate([*sets, np.zeros(0, np.int32)]), ratio)
+    col = np.concatenate([*sets, np.zeros(0, np.int32)])
+    del sets
+    w, bias = _fitted(y, weight, size, col, ratio)
     return (w * ratio).astype(np.float32), bias
 
 
