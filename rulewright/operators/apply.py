@@ -33,6 +33,18 @@ def constrained(df: DataFrame, constraints: list[tuple[tuple[str, ...], str, Dat
     return df, names
 
 
+def loadable(table: DataFrame, keys: tuple[str, ...], vocabulary: DataFrame) -> DataFrame:
+    """The lines of a constraint (keys, allowed and line) that count beside a vocabulary (word and is_class): those whose keys are all
+    known words, with the known classes among theirs; lines without one are left out, and so don't replace earlier ones."""
+    words = vocabulary.select("word").distinct()
+    for k in keys:
+        table = table.join(words.withColumnRenamed("word", "_word"), F.col(k) == F.col("_word"), "left_semi")
+    classes = vocabulary.where("is_class").select("word").distinct()
+    one = table.select("*", F.posexplode("allowed").alias("_at", "_class"))
+    known = one.join(classes, F.col("_class") == F.col("word"), "left_semi")
+    return known.groupBy(*keys, "line").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_class"))), lambda x: x["_class"]).alias("allowed"))
+
+
 def allowed(rule: Rule, schema: TaskSchema, names: dict[str, list[str]]) -> Column:
     ok = F.lit(True)
     for t, v in zip(rule.targets, rule.results):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import by_seq, neighbour
+from ..shared import written
 
 
 def build(df: DataFrame, keys: list[str | tuple[str, int]], truth: str, least: int = 1, separator: str | None = None) -> DataFrame:
@@ -72,8 +73,15 @@ def vocabulary(df: DataFrame, columns: list[str], classes: list[str] = []) -> Da
 
 
 def numbered(vocab: DataFrame) -> DataFrame:
-    """Vocabulary with ids: classes first, then words, each in binary order. The order is over distinct words."""
-    return vocab.withColumn("id", F.row_number().over(Window.orderBy(F.desc("is_class"), F.asc("word"))) - 1)
+    """Vocabulary with ids: classes first, then words, each in binary order. The order comes from ranges of words; a row for each
+    range says how many words stand before it."""
+    place = F.monotonically_increasing_id()
+    kept = written(vocab.repartitionByRange(F.desc("is_class"), F.asc("word")).sortWithinPartitions(F.desc("is_class"), F.asc("word")).withColumn("_place", place), "vocabulary")
+    part, row = F.shiftright("_place", 33), F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = kept.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_size"))
+    before = F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_start"))
+    return kept.withColumn("_part", part).join(F.broadcast(starts), "_part").select(*vocab.columns, (F.col("_start") + row).alias("id"))
 
 
 def split_parts(df: DataFrame, first: Column) -> tuple[DataFrame, DataFrame]:

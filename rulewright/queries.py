@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .functions.columns import fires, neighbour, values, with_word_lists
 from .operators import brackets, convert, evaluate, export, hypernyms, lexicon, tagger, tree
@@ -211,15 +212,25 @@ def errors_by_rule(spark, sf_dir):
 
 
 def constraint_filter(spark, sf_dir):
-    """Classes that a kind may get: those seen for it at least 30 times in events of even users."""
+    """Classes that a kind may get: those that follow it in at least a fifth of its events."""
     s = event_samples(spark, sf_dir)
-    allowed = lexicon.build(s.where("seq % 2 = 0"), ["kind"], "truth", least=30).select(F.col("key")[0].alias("kind"), F.col("classes").alias("allowed"))
+    often = s.groupBy("kind", "truth").agg(F.count(F.lit(1)).alias("n")).withColumn("all", F.sum("n").over(Window.partitionBy("kind"))).where("5 * n >= all")
+    allowed = lexicon.build(s.join(often.select("kind", "truth"), ["kind", "truth"], "left_semi"), ["kind"], "truth").select(F.col("key")[0].alias("kind"), F.col("classes").alias("allowed"))
     return apply_rules(s, _event_rules(), EVENTS, constraints=[(("kind",), "truth", allowed)]).select("seq", "pos", "state")
 
 
-CONSTRAINT_SQL = f"""WITH {EVENT_SQL}, classes AS (SELECT kind, list(truth) AS allowed FROM (SELECT kind, truth FROM samples WHERE seq % 2 = 0 GROUP BY kind, truth HAVING count(*) >= 30) GROUP BY kind),
+CONSTRAINT_SQL = f"""WITH {EVENT_SQL}, classes AS (SELECT kind, list(truth) AS allowed FROM (SELECT kind, truth, count(*) AS n, sum(count(*)) OVER (PARTITION BY kind) AS total FROM samples GROUP BY kind, truth) WHERE 5 * n >= total GROUP BY kind),
 start AS (SELECT s.*, c.allowed FROM samples s LEFT JOIN classes c USING (kind)), {_rule_sql([Rule.parse(x) for x in EVENT_RULES], "start", "allowed")} SELECT seq, pos, state FROM s4"""
 
+def fake_class_trace(spark, sf_dir):
+    """A rule whose class changes nothing is traced where it fires; the rule after it sees the states as they were."""
+    rules = [Rule.parse("RULE: kind_0=click => state=FAKE_CLASS"), Rule.parse("RULE: kind_0=view => state=view")]
+    got = apply_rules(event_samples(spark, sf_dir), rules, EVENTS, trace=True)
+    return got.select("seq", "pos", "state", F.concat_ws(",", F.transform("trace", lambda x: x.cast("string"))).alias("trace"))
+
+
+FAKE_SQL = f"WITH {EVENT_SQL} SELECT seq, pos, CASE WHEN kind = 'view' THEN 'view' ELSE state END AS state, CASE kind WHEN 'click' THEN '0' WHEN 'view' THEN '1' ELSE '' END AS trace FROM samples"
+
 # -- learning ---------------------------------------------------------------------------------------------------------
 
 EVENT_TEMPLATES = "kind_-1 state_0 => state\nkind_0 => state\nkind_0 kind_-1 => state"
@@ -287,6 +298,26 @@ FROM s GROUP BY source, size HAVING count(DISTINCT lang) = 1 AND count(*) >= 3""
 SPELLING_SHARE = 200
 
 
+ORDERS = TaskSchema.parse("priority month status level => tstatus tlevel")
+
+
+def two_targets(spark, sf_dir):
+    """Scores of rules that set two states at once: an order's status and whether it is urgent, from its priority."""
+    o = _table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("seq"), F.lit(0).alias("pos"), F.substring("o_orderpriority", 1, 1).alias("priority"), F.month("o_orderdate").cast("string").alias("month"),
+        F.lit("O").alias("status"), F.lit("low").alias("level"), F.col("o_orderstatus").alias("tstatus"), F.when(F.substring("o_orderpriority", 1, 1) < "3", "high").otherwise("low").alias("tlevel"),
+    )
+    return _shown(scored(o, _templates("priority => status level\nmonth => status level", ORDERS)))
+
+
+TWO_SQL = """WITH s AS (SELECT substr(o_orderpriority, 1, 1) AS priority, CAST(month(o_orderdate) AS VARCHAR) AS month, o_orderstatus AS t1, CASE WHEN substr(o_orderpriority, 1, 1) < '3' THEN 'high' ELSE 'low' END AS t2 FROM orders),
+i AS (SELECT 0 AS template, priority AS tokens, t1, t2, count(*) AS n FROM s GROUP BY ALL UNION ALL SELECT 1, month, t1, t2, count(*) FROM s GROUP BY ALL),
+c AS (SELECT DISTINCT template, tokens, t1 AS r1, t2 AS r2 FROM i WHERE t1 <> 'O' OR t2 <> 'low'),
+j AS (SELECT c.template, c.tokens, r1 || '|' || r2 AS results,
+  sum(n * ((t1 <> 'O' AND r1 = t1)::INT + (t2 <> 'low' AND r2 = t2)::INT)) AS good, sum(n * ((t1 = 'O' AND r1 <> t1)::INT + (t2 = 'low' AND r2 <> t2)::INT)) AS bad FROM c JOIN i USING (template, tokens) GROUP BY ALL)
+SELECT CAST(template AS INTEGER) AS template, tokens, results, CAST(good AS BIGINT) AS good, CAST(bad AS BIGINT) AS bad, CAST(good - bad AS BIGINT) AS score FROM j WHERE good > 0"""
+
+
 def learn_rules(spark, sf_dir):
     """The flagship: words' languages from their spelling, learned on all documents until no rule gains more than a two-hundredth
     of all tokens; counts of each rule."""
@@ -355,16 +386,16 @@ UNION ALL SELECT CAST(2 AS INTEGER), two.kind || '|' || k1, string_agg(truth, ',
 
 
 def most_likely_tag(spark, sf_dir):
-    """Languages of words of odd documents by the lexicon of the others; new words: de if capital, else en. Correct by truth."""
+    """Languages of all words by the lexicon of those that a language has at least twice; others: de if capital, else en. By truth."""
     s = token_samples(spark, sf_dir)
-    lex = lexicon.build(s.where("seq % 2 = 0"), ["word"], "truth")
-    got = lexicon.most_likely(s.where("seq % 2 = 1"), lex, [["word"]], "state", "en", "de")
+    lex = lexicon.build(s, ["word"], "truth", least=2)
+    got = lexicon.most_likely(s, lex, [["word"]], "state", "en", "de")
     return got.groupBy("truth", "state").agg(F.count(F.lit(1)).alias("n"))
 
 
-LIKELY_SQL = f"""WITH {TOKEN_SQL}, c AS (SELECT word, truth, count(*) AS n FROM tokens WHERE seq % 2 = 0 GROUP BY ALL),
+LIKELY_SQL = f"""WITH {TOKEN_SQL}, c AS (SELECT word, truth, count(*) AS n FROM tokens GROUP BY ALL HAVING count(*) >= 2),
 best AS (SELECT word, truth AS cls FROM c QUALIFY row_number() OVER (PARTITION BY word ORDER BY n DESC, truth) = 1)
-SELECT truth, coalesce(cls, CASE WHEN regexp_matches(t.word, '^[A-Z]') THEN 'de' ELSE 'en' END) AS state, count(*) AS n FROM tokens t LEFT JOIN best USING (word) WHERE seq % 2 = 1 GROUP BY ALL"""
+SELECT truth, coalesce(cls, CASE WHEN regexp_matches(t.word, '^[A-Z]') THEN 'de' ELSE 'en' END) AS state, count(*) AS n FROM tokens t LEFT JOIN best USING (word) GROUP BY ALL"""
 
 
 def seen_unseen_split(spark, sf_dir):
@@ -378,16 +409,41 @@ UNSEEN_SQL = f"""WITH {TOKEN_SQL} SELECT truth, count(*) AS tokens, count(DISTIN
 
 
 def bigrams_frequent(spark, sf_dir):
-    s = token_samples(spark, sf_dir).where("seq % 10 < 4")
+    """Bigrams of all documents that hold a word of at least 400 occurrences."""
+    s = token_samples(spark, sf_dir)
     often = s.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n >= 400").select("word")
     return lexicon.frequent_bigrams(lexicon.bigrams(s, "word"), often)
 
 
-BIGRAM_SQL = f"""WITH {TOKEN_SQL}, part AS (SELECT * FROM tokens WHERE seq % 10 < 4), often AS (SELECT word FROM part GROUP BY word HAVING count(*) >= 400),
-pairs AS (SELECT l AS "left", r AS "right", count(*) AS n FROM (SELECT word AS l, lead(word) OVER (PARTITION BY seq ORDER BY pos) AS r FROM part) WHERE r IS NOT NULL GROUP BY ALL)
+BIGRAM_SQL = f"""WITH {TOKEN_SQL}, often AS (SELECT word FROM tokens GROUP BY word HAVING count(*) >= 400),
+pairs AS (SELECT l AS "left", r AS "right", count(*) AS n FROM (SELECT word AS l, lead(word) OVER (PARTITION BY seq ORDER BY pos) AS r FROM tokens) WHERE r IS NOT NULL GROUP BY ALL)
 SELECT * FROM pairs WHERE "left" IN (SELECT word FROM often) OR "right" IN (SELECT word FROM often)"""
 
 
+def unseen_bigrams(spark, sf_dir):
+    """Bigrams of words that the documents of the first part of a split lack, over all documents."""
+    s = token_samples(spark, sf_dir)
+    one, two = lexicon.split_parts(s, F.col("seq") % 10 < 4)
+    return lexicon.frequent_bigrams(lexicon.bigrams(s, "word"), lexicon.unseen(one, two, "word")).groupBy("n").agg(F.count(F.lit(1)).alias("pairs"))
+
+
+UNSEEN_BIGRAM_SQL = f"""WITH {TOKEN_SQL}, new AS (SELECT DISTINCT word FROM tokens WHERE seq % 10 >= 4 AND word NOT IN (SELECT word FROM tokens WHERE seq % 10 < 4)),
+pairs AS (SELECT l, r, count(*) AS n FROM (SELECT word AS l, lead(word) OVER (PARTITION BY seq ORDER BY pos) AS r FROM tokens) WHERE r IS NOT NULL GROUP BY ALL)
+SELECT n, count(*) AS pairs FROM pairs WHERE l IN (SELECT word FROM new) OR r IN (SELECT word FROM new) GROUP BY n"""
+
+
+def merged_lexicons(spark, sf_dir):
+    """Classes of words by the lexicon of documents, but for words that benchmark texts have: theirs is bench alone."""
+    own = lexicon.build(token_samples(spark, sf_dir), ["word"], "truth")
+    other = lexicon.build(part_words(spark, sf_dir).withColumn("truth", F.lit("bench")), ["word"], "truth")
+    return lexicon.merged(own, other).select(F.col("key")[0].alias("word"), F.concat_ws(",", "classes").alias("classes"))
+
+
+MERGED_SQL = f"""WITH {TOKEN_SQL}, {PART_SQL}, c AS (SELECT word, truth, count(*) AS n FROM tokens GROUP BY ALL),
+own AS (SELECT word, string_agg(truth, ',' ORDER BY n DESC, truth) AS classes FROM c GROUP BY word)
+SELECT word, CASE WHEN b.word IS NULL THEN classes ELSE 'bench' END AS classes FROM own FULL JOIN words b USING (word)"""
+
+
 def vocabulary_words(spark, sf_dir):
     return lexicon.numbered(lexicon.vocabulary(event_samples(spark, sf_dir), ["kind", "state"], ["truth"])).select("word", "n", "is_class", F.col("id").cast("int").alias("id"))
 
@@ -482,6 +538,12 @@ def bracket_shortest(spark, sf_dir):
     return brackets.shortest_spans(_bracket_samples(spark, sf_dir)).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
+BRACKET_SQL = """WITH b AS (SELECT user_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, (event_id * 31) % 97 >= 50 AS opens, (event_id * 57) % 97 >= 50 AS closes FROM events),
+g AS (SELECT *, coalesce(count(*) FILTER (WHERE closes) OVER (PARTITION BY seq ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM b),
+e AS (SELECT *, max(pos) FILTER (WHERE opens) OVER w AS first, max(pos) FILTER (WHERE closes) OVER w AS last FROM g WINDOW w AS (PARTITION BY seq, part))
+SELECT CASE WHEN last IS NULL OR first IS NULL OR pos < first THEN 'O' WHEN pos = first THEN 'B' WHEN pos = last THEN 'E' ELSE 'I' END AS label, count(*) AS n FROM e GROUP BY 1"""
+
+
 def bracket_decode(spark, sf_dir):
     return brackets.best_spans(_bracket_samples(spark, sf_dir), {1: 0.2, 2: 0.4, 3: 0.3, 4: 0.1}, longest=8).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
@@ -516,17 +578,19 @@ CONVERT_SQL = f"WITH {EVENT_SQL}, {_rule_sql([Rule.parse('RULE: state_0=click st
 
 
 def tagger_pipeline(spark, sf_dir):
-    """Two stages on the languages of documents' words: the first two lexical rules for new words, then the first two of context; accuracy by truth."""
+    """Two stages on the languages of all documents' words, learned until no rule gains a hundredth of all tokens: lexical rules for
+    words that a quarter of the documents lacks, then rules of context; accuracy of the tagged documents by truth."""
     s = token_samples(spark, sf_dir).withColumn("state", F.lit("-"))
     lexical = _templates("word::~~2 => state\nword::3~~ => state", TOKENS)
     context = _templates("state_-1 state_0 => state\nstate:[1,2] state_0 => state", TOKENS)
-    model = tagger.train(s.where("seq % 2 = 0"), "word", lexical, context, F.col("seq") % 4 == 0, "en", "de", Limits(max_rules=2), Limits(max_rules=2))
-    got = tagger.tag(s.where("seq % 2 = 1"), "word", model, TOKENS, constrain_above=5)
+    stop = Limits(threshold=max(2, s.count() // 100))
+    model = tagger.train(s, "word", lexical, context, lexicon.random_half(0.25), "en", "de", stop, stop)
+    got = tagger.tag(s, "word", model, TOKENS, constrain_above=5)
     return evaluate.accuracy(got, TOKENS).select("state", "total", "correct")
 
 
 QUERIES = {f.__name__: f for f in (
-    ctx_identity, ctx_range, set_feature, affixes, contains, affix_words, cooccurrence, multi_truth, apply_one_rule, apply_rule_list, apply_long_list, apply_nested, rule_trace, errors_by_rule,
+    ctx_identity, ctx_range, set_feature, affixes, contains, affix_words, cooccurrence, multi_truth, apply_one_rule, apply_rule_list, apply_long_list, apply_nested, rule_trace, errors_by_rule, fake_class_trace, two_targets, unseen_bigrams, merged_lexicons,
     constraint_filter, score_rules_seq, collapse_samples, score_rules_indep, best_rule, prune_rules, semi_good_rules, learn_rules, learn_lines, lexicon_word_lang, lexicon_min_count, lexicon_backoff,
     most_likely_tag, seen_unseen_split, bigrams_frequent, vocabulary_words, accuracy, phrase_f, mark_samples, rule_fires, feature_vectors, feature_counts, prob_tree, bracket_shortest, bracket_decode,
     ancestors, converted_rules, tagger_pipeline,
@@ -548,6 +612,11 @@ ORACLES = {
     "apply_nested": f"WITH {EVENT_SQL}, {_rule_sql(_RULES[:3], 'samples')} SELECT seq, pos, state FROM s2",
     "rule_trace": f"WITH {EVENT_SQL}, {_rule_sql(_RULES, 'samples')} SELECT seq, pos, array_to_string(list_filter([" + ", ".join(f"CASE WHEN f_{i} THEN '{i}' END" for i in range(5)) + "], lambda x: x IS NOT NULL), ',') AS trace FROM s4",
     "errors_by_rule": f"WITH {EVENT_SQL}, {_rule_sql(_RULES, 'samples')} SELECT CAST(-1 AS INTEGER) AS rule, count(*) AS errors FROM samples WHERE state <> truth " + " ".join(f"UNION ALL SELECT CAST({i} AS INTEGER), count(*) FROM s{i} WHERE state <> truth" for i in range(5)),
+    "fake_class_trace": FAKE_SQL,
+    "two_targets": TWO_SQL,
+    "unseen_bigrams": UNSEEN_BIGRAM_SQL,
+    "merged_lexicons": MERGED_SQL,
+    "bracket_shortest": BRACKET_SQL,
     "constraint_filter": CONSTRAINT_SQL,
     "score_rules_seq": SEQ_SCORE_SQL,
     "collapse_samples": f"WITH {LINE_SQL} SELECT * FROM collapsed",

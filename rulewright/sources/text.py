@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import logging
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -19,14 +19,28 @@ BLANKS = r"[ \t\r\n]+"
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """value, file, line: numbered lines of text files. A file is read by one task, as its lines' order counts; compression
-    goes by the file's ending."""
-    raw = spark.read.text(path, wholetext=True).select("value", F.input_file_name().alias("file"))
-    return raw.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("line", "value"))
+    """file, line (from 0) and value: numbered lines of text files; compression goes by a file's ending. Large files are read in
+    blocks by many tasks: a row for each block says how many lines stand before it."""
+    here = F.col("_metadata")
+    raw = spark.read.text(path).select("value", here["file_path"].alias("file"), here["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("at"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    starts = raw.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n")).select(F.col("file").alias("_file"), F.col("block").alias("_block"), F.coalesce(before, F.lit(0)).alias("start"))
+    inside = F.row_number().over(Window.partitionBy("file", "block").orderBy("at")) - 1
+    numbered = raw.withColumn("inside", inside).join(starts, (F.col("file") == F.col("_file")) & (F.col("block") == F.col("_block")))
+    return numbered.select("file", (F.col("start") + F.col("inside")).alias("line"), "value", "block")
+
+
+def _in_parts(lines: DataFrame, blank: Column) -> DataFrame:
+    """Lines that aren't blank with ``part``, the number of blank lines before them in their file: counted by block, then summed."""
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    blanks = lines.groupBy("file", "block").agg(F.count_if(blank).alias("n")).select(F.col("file").alias("_file"), F.col("block").alias("_block"), F.coalesce(before, F.lit(0)).alias("blanks"))
+    inside = F.sum(blank.cast("int")).over(Window.partitionBy("file", "block").orderBy("line"))
+    rows = lines.withColumn("inside", inside).where(~blank).join(blanks, (F.col("file") == F.col("_file")) & (F.col("block") == F.col("_block")))
+    return rows.withColumn("part", F.col("blanks") + F.col("inside")).drop("_file", "_block", "blanks", "inside")
 
 
 def read_samples(spark: SparkSession, path: str, schema: TaskSchema, blank_lines_separate: bool = True, fields: list[str] | None = None) -> DataFrame:
-    """seq, pos and a column for each blank-separated field. Many files are read in parallel, each in its own order.
+    """seq, pos and a column for each blank-separated field. Files are read in blocks, and in their own order.
 
     With ``blank_lines_separate`` a blank line ends a sequence; else each row is one. A row of another number of fields
     fails. seq is the file's number (by name) and the sequence's in it, so it stays the same whatever the partitions.
@@ -34,9 +48,8 @@ def read_samples(spark: SparkSession, path: str, schema: TaskSchema, blank_lines
     names = list(fields or schema.columns)
     lines = _lines(spark, path).withColumn("words", F.split(F.trim(F.regexp_replace("value", BLANKS, " ")), " "))
     blank = F.col("value").rlike(r"^[ \t\r\n]*$")
-    by = Window.partitionBy("file").orderBy("line")
     if blank_lines_separate:
-        rows = lines.withColumn("part", F.sum(blank.cast("int")).over(by)).where(~blank)
+        rows = _in_parts(lines, blank)
     else:
         rows = lines.where(~blank).withColumn("part", F.col("line"))
     width = F.size("words")
@@ -91,7 +104,7 @@ def write_vocabulary(vocab: DataFrame, path: str) -> None:
 def read_vocabulary_text(spark: SparkSession, path: str) -> DataFrame:
     """word, id and is_class from vocabulary text: header lines (# key: value), then a word a line, classes first."""
     lines = written(_lines(spark, path).where("value <> ''"), "vocabulary")
-    heads = {r.value.partition(":")[0]: r.value.partition(":")[2] for r in lines.where(F.col("value").startswith("#") & F.col("value").contains(": ")).limit(100).collect()}
+    heads = {r.value.partition(":")[0]: r.value.partition(":")[2] for r in lines.where(F.col("value").rlike("^#(real_word_indices|number_of_classes):")).collect()}
     classes = int(heads.get("#number_of_classes", 0) or 0)
     words = lines.where(~F.col("value").rlike("^#(real_word_indices|number_of_classes):"))
     return words.select(F.trim("value").alias("word"), (F.row_number().over(Window.partitionBy("file").orderBy("line")) - 1).alias("id")).withColumn("is_class", F.col("id") < classes)
@@ -136,8 +149,7 @@ def read_probabilities(spark: SparkSession, path: str, classes: int = 1) -> Data
     """seq, pos, word and a map of class to probability from lines ``word class p class p ..``."""
     lines = _lines(spark, path).withColumn("words", F.split(F.trim(F.regexp_replace("value", BLANKS, " ")), " "))
     blank = F.col("value").rlike(r"^[ \t\r\n]*$")
-    by = Window.partitionBy("file").orderBy("line")
-    rows = lines.withColumn("part", F.sum(blank.cast("int")).over(by)).where(~blank)
+    rows = _in_parts(lines, blank)
     pairs = F.transform(F.sequence(F.lit(classes), F.size("words") - 1, F.lit(2)), lambda i: F.struct(F.element_at("words", i + 1).alias("c"), F.element_at("words", i + 2).cast("double").alias("p")))
     pos = F.row_number().over(Window.partitionBy("file", "part").orderBy("line")) - 1
     return rows.select(F.concat_ws("#", "file", F.lpad(F.col("part").cast("string"), 12, "0")).alias("seq"), pos.alias("pos"), F.col("words")[0].alias("word"), F.map_from_entries(pairs).alias("p").cast(T.MapType(T.StringType(), T.DoubleType())))

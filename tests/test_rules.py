@@ -5,9 +5,9 @@ from pyspark.sql import functions as F
 
 from rulewright.functions.columns import fires, values, with_word_lists
 from rulewright.operators import brackets, evaluate, lexicon, tree
-from rulewright.operators.apply import apply_rules, error_curve
+from rulewright.operators.apply import apply_rule, apply_rules, error_curve, loadable
 from rulewright.operators.convert import chunk_template, tagger_rule
-from rulewright.operators.learn import Limits, candidates, learn, order, scored
+from rulewright.operators.learn import TALLY, Limits, candidates, changes, learn, order, scored, tallied
 from rulewright.plans.spec import Rule, TaskSchema, Templates, parse_atom, parse_params, parse_rules
 from rulewright.queries import learn_rules
 from rulewright.streaming import apply as streaming
@@ -45,6 +45,28 @@ def test_constraints(spark, planned):
     assert states(got) == ["A", "B", "B"]
 
 
+def test_constraints_beside_a_vocabulary(spark):
+    """Unknown keys and unknown classes go, lines without a known class don't replace earlier ones."""
+    table = spark.createDataFrame([("a", ["A", "Z"], 0), ("a", ["Y"], 1), ("b", ["B"], 2), ("b", ["A", "B"], 3), ("new", ["A"], 4)], "w string, allowed array<string>, line int")
+    words = spark.createDataFrame([("a", False), ("b", False), ("A", True), ("B", True)], "word string, is_class boolean")
+    got = loadable(table, ("w",), words)
+    assert sorted((r.w, list(r.allowed), r.line) for r in got.collect()) == [("a", ["A"], 0), ("b", ["A", "B"], 3), ("b", ["B"], 2)]
+    df = samples(spark, "a/A/A b/B/B new/A/A")
+    out = apply_rules(df, parse_rules("RULE: st_0=A => st=B\nRULE: st_0=B => st=A"), SCHEMA, constraints=[(("w",), "tr", got)])
+    assert states(out) == ["A", "A", "A"]
+
+
+def test_tally_changes_like_a_new_tally(spark):
+    """Counts kept up by changed rows are those of counting anew, also for templates that look at neighbours' states."""
+    df = samples(spark, "a/A/B b/A/C a/C/B\nc/A/B a/A/B b/A/A c/B/B")
+    t = Templates.parse("w => st\nst_-1 w => st\nst:[1,2] => st\nw_1 => st", SCHEMA)
+    rule = Rule.parse("RULE: w_0=a => st=B")
+    after = apply_rule(df.withColumn("_old_st", F.col("st")), rule, SCHEMA, mark="_changed")
+    both = tallied(df, t).unionByName(changes(after, rule, t, (), {})).groupBy(*TALLY).agg(F.sum("cost").alias("cost")).where("cost <> 0")
+    rows = lambda x: sorted(map(str, x.select(*TALLY, "cost").collect()))
+    assert rows(both) == rows(tallied(after.select(*df.columns), t))
+
+
 @pytest.mark.parametrize("planned", [0, 40])
 def test_fake_class_is_traced_only(spark, planned):
     df = samples(spark, "a/A/A b/A/A")
