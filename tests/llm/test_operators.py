@@ -465,6 +465,12 @@ def test_licenses(spark, docs):
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == (len(w), len(hits), min([h[0] for h in hits], default=None), max([h[0] for h in hits], default=None), ",".join(sorted({h[1] for h in hits})))
     assert [got[i].labels for i in (702, 703, 704, 705, 706)] == ["", "mit", "mit", "", "gpl-3"]
     assert got[704].score > 0.9 and got[705].score == 0 and got[0].score == 0
+    whole = [(800 + i, f"Copyright (c) 2020 A. Person\n\n{t}\n\nint main() {{ return 0; }}", "en") for i, t in enumerate((licenses.MIT, licenses.BSD_3, licenses.ISC, licenses.ZLIB, licenses.UNLICENSE, licenses.BOOST, licenses.APACHE_2_NOTICE, licenses.GPL_NOTICE.format(2)))]
+    # words changed, added and left out here and there
+    whole += [(900 + i, " ".join(w for k, w in enumerate(t.split()) if k % 23) , "en") for i, (_, t, _) in enumerate(whole[:5])]
+    found = {r.doc_id: r.labels for r in licenses.digest(licenses.scanned(fx.documents(spark, whole))).collect()}
+    assert [found[800 + i] for i in range(8)] == ["mit", "bsd-3", "isc", "zlib", "unlicense", "bsl-1", "apache-2", "gpl-2"]
+    assert all(found[900 + i] == found[800 + i] for i in range(5))
     assert licenses.scanned(docs.limit(0)).count() == 0 and licenses.scanned(docs).count() == docs.count()
 
 
