@@ -22,6 +22,8 @@ WINDOW, SHINGLE = 10, 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Characters of the benchmark's windows up to which these are sent to every task; with more, both sides are shuffled.
 SENT_CHARS = 64 << 20
+#: Places to verify up to which they are sent to every task.
+SENT_PLACES = 100_000
 
 
 def words_of(text: Column) -> Column:
@@ -70,19 +72,21 @@ def occurrences(docs: DataFrame, windows: DataFrame, id_col: str, text_col: str)
     prefix = ranked.withColumn("rank", F.row_number().over(by)).withColumn("whole", whole).where("rank = 1 and whole").select("window", "size", "at", "k", F.col("shingle").alias("prefix"))
     prefix = written(prefix, "prefixes")
 
-    found = []
-    same = F.array_join(F.slice("w", F.col("start") + 1, F.col("size")), " ") == F.col("window")
+    places = split.select("id", "key", F.lit("").alias("window"), F.lit(0).alias("size"), F.lit(0).alias("start")).where("false")
     for k in sorted(sizes["k"]):
         own = send(prefix.where(F.col("k") == k).drop("k"))
-        starts = lambda *cols: every(k, *cols).join(own, F.col("shingle") == F.col("prefix")).withColumn("start", F.col("place") - F.col("at")).where("start >= 0 and start + size <= n")  # noqa: B023, E731
-        if small:
-            found.append(starts("id", "key", "n", "w").where(same))
-        else:  # texts don't go with every shingle
-            places = starts("id", "key", "n").select(F.col("id").alias("_id"), F.col("key").alias("_key"), "window", "size", "start").distinct()
-            found.append(places.join(split.select("id", "key", "w"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))).where(same))
-    out = [x.select("id", "key", "window", "size", "start") for x in found]
-    none = split.select("id", "key", F.lit("").alias("window"), F.lit(0).alias("size"), F.lit(0).alias("start")).where("false")
-    return written(reduce(DataFrame.unionByName, out, none), "occurrences"), send
+        found = every(k, "id", "key", "n").join(own, F.col("shingle") == F.col("prefix")).withColumn("start", F.col("place") - F.col("at"))
+        places = places.unionByName(found.where("start >= 0 and start + size <= n").select("id", "key", "window", "size", "start"))
+    places = written(places, "places")
+    # verified on the words of texts that have such a place
+    by_text = places.groupBy(F.col("id").alias("_id"), F.col("key").alias("_key")).agg(F.collect_set(F.struct("window", "size", "start")).alias("p"))
+    by_text = written(by_text, "texts")
+    by_text = F.broadcast(by_text) if places.count() <= SENT_PLACES else by_text
+    texts = pick(docs, id_col, text_col).toDF("id", "text").withColumn("key", F.xxhash64("text"))
+    worded = texts.join(by_text, F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))).select("id", "key", "p", words_of(F.col("text")).alias("w"))
+    same = F.filter("p", lambda x: F.array_join(F.slice("w", x["start"] + 1, x["size"]), " ") == x["window"])
+    held = worded.select("id", "key", F.explode(same).alias("x")).select("id", "key", "x.window", "x.size", "x.start")
+    return written(held, "occurrences"), send
 
 
 def marked(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
