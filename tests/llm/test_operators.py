@@ -37,6 +37,25 @@ def test_words_of_buffers():
         assert got == [fx.SPACED.findall(fx.low(t)) for t in texts]
 
 
+def test_columns_that_differ_in_case_only(spark):
+    """Under Spark's default, names that differ in case only don't get in the way either."""
+    assert spark.conf.get("spark.sql.caseSensitive") == "false"
+    df, rows = fx.documents(spark, fx.odd_rows()), fx.odd_rows()
+    assert by_rows(common.pick(df, "doc_id", "text"), "doc_id", "text") == sorted(((i, t) for i, t, _ in rows), key=key)
+    kept = quality.cleaned(df, spark.createDataFrame([], "doc_id long, quality int"))
+    assert kept.columns == df.columns and 0 < kept.count() < len(rows)
+    assert licenses.scanned(df).count() == len(rows)
+
+
+def test_very_long_text(spark):
+    """One text of 50 MB among short ones."""
+    long = "word wordy wd " * (50 << 20 >> 4) + "end of it"
+    raw, at = common.buffers(pa.array(["a b", long, "c"]))
+    n = sum(len(common.Words(raw[a:b], at[lo : hi + 1].clip(a, b) - a).start) for lo, hi, a, b in common.pieces(raw, at, common.SPACED))
+    assert n == len(long.split()) + 3
+    assert len(toxicity.grams(long)) < 200 and set(toxicity.grams("word wordy wd word")) <= set(toxicity.grams(long))
+
+
 def test_packed_rows_round_trip():
     a, b = np.arange(100, dtype=np.uint64) * 77, np.random.default_rng(1).integers(0, 9, 100).astype(np.int32)
     assert all((x == y).all() for x, y in zip(common.unpacked(common.packed(a, b), np.uint64, np.int32), (a, b)))
@@ -498,6 +517,34 @@ def test_toxicity(spark, docs):
     assert toxicity.judged(docs.limit(0), none).count() == 0
 
 
+def test_toxicity_features_and_scores_by_brute_force(spark):
+    """Ratios are those of counted texts, and scores those of a regression fitted anew by plain gradient steps."""
+    r = random.Random(8)
+    rows = [(i, " ".join(r.choice(["blorg", "vext"] if i % 3 == 0 and r.random() < 0.3 else ["abc", "bcd", "cde"]) for _ in range(6)), "en") for i in range(1, 120)] + [(500, None, "en"), (501, "", "en"), (None, "abc", "en")]
+    labels = [(i, int(i % 3 == 0)) for i, _, _ in rows if i is not None]
+    df, table = fx.documents(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")
+    sets = {}
+    for i, t, _ in rows:
+        s = " " + " ".join((t or "").lower().split()) + " "
+        sets[i] = {s[k : k + n] for n in (3, 4, 5) for k in range(len(s) - n + 1)}
+    train = [(i, y) for i, y in labels if zlib.crc32(str(i).encode()) % 5]
+    n1 = sum(y for _, y in train)
+    n0 = len(train) - n1
+    names = sorted(set().union(*(sets[i] for i, _ in train)))
+    c1, c0 = (np.array([sum(g in sets[i] for i, y in train if y == c) for g in names], float) for c in (1, 0))
+    a = toxicity.SMOOTH
+    ratio = np.log((c1 + a) / ((c1 + c0) * n1 / (n1 + n0) + a)) - np.log((c0 + a) / ((c1 + c0) * n0 / (n1 + n0) + a))
+    x = np.array([[ratio[k] if g in sets[i] else 0 for k, g in enumerate(names)] for i, _ in train])
+    y = np.array([y for _, y in train], float)
+    weight, w, bias = np.where(y > 0, 0.5 / n1, 0.5 / n0), np.zeros(len(names)), 0.0
+    for _ in range(60_000):
+        e = weight * (1 / (1 + np.exp(-(x @ w + bias))) - y)
+        w, bias = w - 2.0 * (x.T @ e + toxicity.PENALTY * w), bias - 2.0 * e.sum()
+    want = {i: 1 / (1 + math.exp(-(sum(w[k] * ratio[k] for k, g in enumerate(names) if g in sets[i]) + bias))) for i, _, _ in rows}
+    got = {q.doc_id: q.score for q in toxicity.judged(df, table).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 0.03 for i in want)
+
+
 # -- 10 ---------------------------------------------------------------------------------------------------------------
 
 

@@ -38,3 +38,19 @@ def test_pipeline_stages(spark, tmp_path):
     assert counts[2] >= {i for i, _, _ in clean + leaks} and not counts[2] & {1100, 1101} and len(counts[2]) <= 707
     assert counts[3] == counts[2] - {i for i, _, _ in leaks} == counts[4]
     assert {r.doc_id for r in pipeline.run(spark, str(tmp_path)).collect()} == counts[4]
+
+
+def test_pipeline_of_odd_rows(spark, docs, tmp_path):
+    """Nulls, empty and very long texts, repeated rows and clashing columns, with nothing to learn from and no benchmark; and no rows at all."""
+    pipeline = importlib.import_module("corpus_pipeline")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    kept = []
+    for df in (docs, docs.limit(0)):
+        for _, stage in pipeline.STAGES[:-1]:
+            df = stage(spark, df, str(tmp_path))
+            assert df.columns == docs.columns
+        kept.append(sorted((r.doc_id is not None, r.doc_id or 0) for r in df.select("doc_id").collect()))
+    # texts under 50 words or of repeated words go, of copies the row with the least id stays, a null id before all others
+    assert (True, 0) in kept[0] and (True, 70) in kept[0] and (True, 51) not in kept[0] and (True, 40) not in kept[0]
+    assert kept[1] == []
