@@ -1,6 +1,10 @@
 """A training corpus from raw documents: five stages, each over all that the one before it kept.
 
 Stage functions take (spark, docs, sf_dir); each result is written as Parquet and read again as the next one's docs.
+Null and empty texts fail the base quality rules and go in the first stage. Rows with a null id are judged like others.
+Repeated rows stay until the third stage, which keeps one of each. Other columns, also such as clash with names used inside,
+go through unchanged. Without labels only the base quality rules reject, and nothing is toxic; without benchmark items
+nothing is contaminated; no documents give none.
 """
 
 from __future__ import annotations
