@@ -227,6 +227,23 @@ def test_shards(spark, docs):
     assert sharding.hilbert_shards(docs.limit(0), "doc_id", "text", ["lang"]).count() == 0
 
 
+def test_text_dimensions_count_whole(spark):
+    """Texts that begin alike are told apart; the placement by brute force: rows by curve index, crc32 and id, cut evenly."""
+    df = fx.documents(spark, [(i, fx.prose(i, 3), f"https://example.com/section/{i * 7 % 100:03d}") for i in range(100)] + [(200, None, None)])
+    limits = sharding.text_limits(df.select("doc_id", "lang"), "lang", 15)
+    assert len(limits) == 15 and limits == sorted(limits)
+    got = sharding.hilbert_shards(df, "doc_id", "text", ["lang"], shards=6).collect()
+    assert len({r.hilbert for r in got}) >= 12
+    ranked = sorted(got, key=lambda r: (r.hilbert, r.text_crc32, r.doc_id))
+    n, seen = len(ranked), collections.Counter()
+    for k, r in enumerate(ranked):
+        assert (r.shard, r.slot) == (k * 6 // n, seen[k * 6 // n])
+        seen[r.shard] += 1
+    part = {r.doc_id: r.hilbert for r in got}
+    level = lambda i: sum(f"https://example.com/section/{i * 7 % 100:03d}" >= x for x in limits)
+    assert all(part[i] <= part[j] for i in range(100) for j in range(100) if level(i) < level(j))
+
+
 def test_shards_prune_files(spark, docs, tmp_path):
     df = fx.documents(spark, [(i, fx.prose(i, 3), "en") for i in range(2000)])
     layout = sharding.hilbert_shards(df, "doc_id", "text", ["doc_id", "n_chars"])
