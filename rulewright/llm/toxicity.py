@@ -21,8 +21,8 @@ from .common import appended, doc_remainder, packed, pick, restored, table, unpa
 ORDERS, BITS = (3, 4, 5), 20
 #: Added to the counts of an n-gram and to those expected: n-grams of few texts are drawn to a ratio of 1.
 SMOOTH = 32.0
-#: Labelled texts that the regression is fitted to, at most half of each class, and n-grams of these texts: a hash of the id chooses them.
-FIT_ROWS, FIT_GRAMS = 3_000, 8_000_000
+#: Labelled texts that the regression is fitted to, at most (a quarter toxic), and n-grams of these texts: a hash of the id chooses them.
+FIT_ROWS, FIT_GRAMS = 1_600, 6_000_000
 #: Labels that are sent to every task; with more, labels and texts are shuffled together.
 SENT_LABELS = 1_000_000
 PENALTY, ROUNDS, PARTS = 1e-4, 40, 64
@@ -145,7 +145,7 @@ def _fitted(y: np.ndarray, weight: np.ndarray, size: np.ndarray, col: np.ndarray
             rate /= 2
             after, slope_after = loss(x - rate * step)
         s, t = -rate * step, slope_after - slope
-        moved = [*moved, (s, t)][-6:] if s @ t > 1e-14 else moved
+        moved = [*moved, (s, t)][-4:] if s @ t > 1e-14 else moved
         done = now - after < 1e-7 * max(now, 1e-9)
         x, now, slope = x + s, after, slope_after
         if done:
@@ -177,7 +177,7 @@ def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(blobs, pa.binary())], ["toxic", "place", "grams"])
 
     place = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
-    share = F.when(F.col("toxic") == 1, F.lit(int(min(1.0, FIT_ROWS / 2 / n_toxic) * (1 << 30)))).otherwise(F.lit(int(min(1.0, FIT_ROWS / 2 / n_other) * (1 << 30))))
+    share = F.when(F.col("toxic") == 1, F.lit(int(min(1.0, FIT_ROWS / 4 / n_toxic) * (1 << 30)))).otherwise(F.lit(int(min(1.0, FIT_ROWS * 3 / 4 / n_other) * (1 << 30))))
     sample = rows.withColumn("place", place).where(F.col("place") < share).select("text", "toxic", "place")
     toxic, sets, held = [], [], 0
     for r in sample.mapInArrow(features, "toxic int, place long, grams binary").orderBy("place", "toxic", "grams").limit(2 * FIT_ROWS).toLocalIterator():
