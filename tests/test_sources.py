@@ -51,11 +51,12 @@ def test_small_files(spark, tmp_path):
 
 
 @pytest.mark.skipif(not os.path.isdir(EXAMPLES), reason="no examples")
-def test_shipped_chunking(spark):
-    """405 tokens: most likely chunk of each tag, then 2,632 rules under the lexicon's constraint."""
-    at = f"{EXAMPLES}/trained/englishTextChunk"
+@pytest.mark.parametrize(("folder", "name", "tokens"), [("englishTextChunk", "text.pos.in.res", 405), ("englishBaseNP", "test.res", 38_856)])
+def test_shipped_chunking(spark, folder, name, tokens):
+    """Published outputs: the most likely chunk of each tag, then the published rules under the lexicon's constraint."""
+    at = f"{EXAMPLES}/trained/{folder}"
     schema = TaskSchema.parse("word pos chunk => tchunk")
-    df = text.read_samples(spark, f"{at}/text.pos.in.res", schema, fields=["word", "tag", "wanted", "tchunk"])
+    df = text.read_samples(spark, f"{at}/{name}", schema, fields=["word", "tag", "wanted", "tchunk"])
     names = TaskSchema.parse("word tag chunk => tchunk")
     lex = text.read_lexicon(spark, f"{at}/pos_chunk.lexicon")
     start = lexicon.most_likely(df, lex, [["tag"]], "chunk", "O", "O")
@@ -65,6 +66,7 @@ def test_shipped_chunking(spark):
 
     renamed = [Rule(tuple(Atom(**{**a.__dict__, "columns": tuple("tag" if c == "pos" else c for c in a.columns)}) for a in r.atoms), r.values, r.targets, r.results) for r in rules]
     allowed = [(("tag",), "tchunk", lex.select(lex.key[0].alias("tag"), lex.classes.alias("allowed"), "line"))]
-    got = apply_rules(start, renamed, names, constraints=allowed)
-    assert got.count() == 405
+    got = apply_rules(start, renamed, names, constraints=allowed).persist()
+    assert got.count() == tokens
     assert got.where("chunk <> wanted").count() == 0
+    got.unpersist()
