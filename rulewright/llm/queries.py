@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, katz, licenses, near_duplicates, periodic, quality, sharding, toxicity, url_rules
+from . import bpe, chat, decontaminate, katz, licenses, near_duplicates, negatives, periodic, quality, sharding, toxicity, url_rules
 
 QUERIES = {
     "op1_risk_thresholds": quality.op1_risk_thresholds,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_diagonal_voting": licenses.op8_diagonal_voting,
     "op9_nb_char_ngrams": toxicity.op9_nb_char_ngrams,
     "op10_prefix_target": chat.op10_prefix_target,
+    "op12_inverted_lists": negatives.op12_inverted_lists,
     "op13_periodic_runs": periodic.op13_periodic_runs,
 }
 ORACLES = {
     "op2_url_rules": url_rules.OP2_SQL,
     "op6_prefix_join": decontaminate.OP6_SQL,
     "op10_prefix_target": chat.OP10_SQL,
+    "op12_inverted_lists": negatives.OP12_SQL,
 }
