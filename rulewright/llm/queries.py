@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, katz, licenses, near_duplicates, negatives, periodic, quality, sharding, toxicity, url_rules
+from . import bpe, chat, decontaminate, katz, licenses, near_duplicates, negatives, periodic, private, quality, sharding, toxicity, url_rules
 
 QUERIES = {
     "op1_risk_thresholds": quality.op1_risk_thresholds,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_diagonal_voting": licenses.op8_diagonal_voting,
     "op9_nb_char_ngrams": toxicity.op9_nb_char_ngrams,
     "op10_prefix_target": chat.op10_prefix_target,
+    "op11_weak_supervision": private.op11_weak_supervision,
     "op12_inverted_lists": negatives.op12_inverted_lists,
     "op13_periodic_runs": periodic.op13_periodic_runs,
 }
