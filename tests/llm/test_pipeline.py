@@ -22,7 +22,7 @@ def test_pipeline_stages(spark, tmp_path):
     leaks = [(2000 + i, f"{fx.prose(3000 + i, 40)} {passage} {fx.prose(4000 + i, 40)}", "en") for i in range(5)]
     short = [(5000, "too short", "en"), (5001, None, None), (5002, "", "en")]
     rows = clean + copies + leaks + short
-    df = fx.documents(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")
+    df = spark.createDataFrame([(i, t, g, "src", len(t) if t else None) for i, t, g in rows], "doc_id long, text string, lang string, source string, n_chars long")
     df.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(i, 1, 0) for i, _, _ in clean], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))

@@ -42,8 +42,9 @@ def garbled(seed):
 
 
 def rows():
-    hexes = lambda seed, n: "".join(random.Random(seed).choice("0123456789abcdef") for _ in range(n))
-    out = [*fx.odd_rows(), *((1000 + i, garbled(i), "en") for i in range(150))]
+    hexes = lambda seed, n: f"{random.Random(seed).getrandbits(4 * n):0{n}x}"
+    short = [(i, t if t is None or len(t) < 150_000 else t[:3000], g) for i, t, g in fx.odd_rows()]  # the plain patterns take quadratic time on one long word
+    out = [*short, *((1000 + i, garbled(i), "en") for i in range(150))]
     out += [(2000 + i, f"{fx.prose(i, 20)} mail me.{i}@host{i}.example.com or 10.0.{i}.7 {fx.prose(i + 1, 5)} card 4111 1111 1111 1111, call +1 (212) 555-01{i:02} {fx.prose(i + 2, 9)}", "en") for i in range(40)]
     out += [(3000 + i, f'{fx.prose(i, 20)} token = "{hexes(i, 40)}" {fx.prose(i + 1, 20)}', "en") for i in range(30)]
     out += [(3100 + i, f"{fx.prose(i, 20)} password={hexes(90 + i, 18)} {fx.prose(i + 1, 20)} version 2.{i} of 2024-01-{10 + i}", "en") for i in range(15)]
@@ -125,6 +126,12 @@ def test_native_and_empty(spark, tmp_path):
         assert not re.search("Python|Pandas|Arrow|MapIn|ExistingRDD\\[.*Python", part._jdf.queryExecution().executedPlan().toString().replace("ExistingRDD", ""))
 
 
+def test_one_long_word(spark):
+    """Where no match can begin, none is tried: a word of a megabyte, and one before an @."""
+    df = spark.createDataFrame([(1, "z" * (1 << 20)), (2, "z1" * (1 << 19) + "@"), (3, "7" * (1 << 20)), (4, "x@y.z " * 20_000)], "doc_id long, text string")
+    assert {r.doc_id: len(r.base) for r in private.scanned(df).collect()} == {1: 0, 2: 0, 3: 0, 4: 20_000}
+
+
 def test_luhn(spark):
     numbers = ["4111111111111111", "4111111111111112", "79927398713", "0", "18"]
     df = spark.createDataFrame([(n,) for n in numbers], "n string")
