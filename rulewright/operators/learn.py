@@ -13,27 +13,46 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.columns import is_right, truths, values, with_word_lists
-from ..plans.spec import Rule, TaskSchema, Template, Templates
+from ..functions.columns import is_right, matches, truths, values, with_word_lists
+from ..plans.spec import FAKE, Rule, TaskSchema, Template, Templates
 from ..shared import dropped, written
-from .apply import apply_rule, constrained
+from .apply import allowed, apply_rule, constrained
 
 KEY = ["template", "tokens", "results"]
 
 
 @dataclass(frozen=True)
 class Limits:
-    """When learning stops and what it leaves out. threshold: a score must lie above it; repeats: so many equal best rules in
-    a row are an error; least_good: candidates with fewer good rows go; useless: candidates without a good row and with
-    more bad ones than this go."""
+    """When learning stops and what it leaves out.
+
+    threshold: a score must lie above it. repeats: so many equal best rules in a row are an error. least_good: of the first
+    candidates only those with more good rows count. useless, factor: after each turn candidates without a good row and with more
+    bad ones than ``useless`` go, and those whose bad rows times ``factor`` reach their good ones (-1: none go); a candidate that
+    went comes back when rows that changed give it anew. redundant: which rules without a bad row are added at the end (see redundant_rules):
+    "n" those with so many rows, "n%" so many in a hundred of all, "-n" so many as the first rule's score less n, but at
+    least ``least_redundant``. nulls: values that don't instantiate sets. write_every: rules between two
+    tables of all samples. batch: rules tried at once; results are the same for any.
+    """
 
     threshold: int = 2
     repeats: int = 5
     least_good: int = 0
     max_rules: int = 100_000
     nulls: tuple[str, ...] = ()
-    write_every: int = 5
+    write_every: int = 12
+    batch: int = 16
+    useless: int = -1
+    factor: float = -1
+    redundant: str | None = None
+    least_redundant: int = 1
+    sized_order: bool = True
+
+    @property
+    def lists_candidates(self) -> bool:
+        """Must candidates be listed, since not all that the samples give count?"""
+        return self.least_good > 0 or self.useless >= 0 or self.factor >= 0 or self.redundant is not None
 
 
 def collapsed(df: DataFrame, schema: TaskSchema) -> DataFrame:
@@ -101,7 +120,16 @@ def candidates(df: DataFrame, templates: Templates, nulls: tuple[str, ...] = (),
 
 def tallied(df: DataFrame, templates: Templates, nulls: tuple[str, ...] = (), names: dict[str, list[str]] | None = None, numbers: set[int] | None = None) -> DataFrame:
     """template, tokens, states, accepted, limits and cost: samples summed up by instances of templates (or of those of ``numbers``),
-    their targets' states, truths and classes allowed. Each sample is read once for all templates of the same targets."""
+    their targets' states, truths and classes allowed."""
+    return summed(listed(df, templates, nulls, names, numbers))
+
+
+def summed(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*TALLY).agg(F.sum("cost").alias("cost"))
+
+
+def listed(df: DataFrame, templates: Templates, nulls: tuple[str, ...] = (), names: dict[str, list[str]] | None = None, numbers: set[int] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The rows that tallied() sums up. Each sample is read once for all templates of the same targets."""
     schema, parts = templates.schema, []
     used = [(i, t) for i, t in enumerate(templates.items) if numbers is None or i in numbers]
     for targets in dict.fromkeys(t.targets for _, t in used):
@@ -116,9 +144,9 @@ def tallied(df: DataFrame, templates: Templates, nulls: tuple[str, ...] = (), na
                 tokens = F.transform(v, lambda x: F.array(x)) if tokens is None else _each_with(tokens, v)
             found.append(_numbered(F.array_distinct(tokens), i))
         states, accepted = F.array(*targets), F.array(*[truths(schema, _truth(schema, s)) for s in targets])
-        exploded = rows.select(F.explode(F.concat(*found)).alias("x"), states.alias("states"), accepted.alias("accepted"), _limits(schema, targets, names or {}).alias("limits"), _cost(df).cast("long").alias("cost"))
-        parts.append(exploded.select("x.template", "x.tokens", "states", "accepted", "limits", "cost"))
-    return reduce(DataFrame.unionByName, parts).groupBy(*TALLY).agg(F.sum("cost").alias("cost"))
+        exploded = rows.select(*keep, F.explode(F.concat(*found)).alias("x"), states.alias("states"), accepted.alias("accepted"), _limits(schema, targets, names or {}).alias("limits"), _cost(df).cast("long").alias("cost"))
+        parts.append(exploded.select(*keep, "x.template", "x.tokens", "states", "accepted", "limits", "cost"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 TALLY = ["template", "tokens", "states", "accepted", "limits"]
@@ -138,24 +166,40 @@ def _combined(lists: str) -> Column:
     return F.aggregate(lists, start, _each_with)
 
 
+def _right(x: Column, c: str) -> Column:
+    return F.coalesce(F.array_contains(x["accepted"], x[c]), F.lit(False))
+
+
+def _wrong() -> Column:
+    """How many of a tally row's states are wrong."""
+    return F.size(F.filter(F.arrays_zip("states", "accepted"), lambda x: ~_right(x, "states")))
+
+
+def _given(tally: DataFrame) -> DataFrame:
+    """Each row with all the results that are true of it and allowed."""
+    return tally.withColumn("results", F.explode(_combined("accepted"))).where(_permitted("limits", "results"))
+
+
+def _met(tally: DataFrame, rules: DataFrame, harmed_only: bool = True) -> DataFrame:
+    """``rules`` by the rows of a tally in which they fire, with the states that they put wrong (lost) and right (won)."""
+    three = F.arrays_zip("states", "accepted", "results")
+    lost = F.size(F.filter(three, lambda x: _right(x, "states") & ~_right(x, "results")))
+    won = F.size(F.filter(three, lambda x: ~_right(x, "states") & _right(x, "results")))
+    # rows with nothing right lose nothing by rules of one target
+    rows = tally.where((F.size("states") > 1) | (_wrong() == 0)) if harmed_only else tally
+    met = rows.join(rules.select(*KEY), ["template", "tokens"]).where(_permitted("limits", "results"))
+    return met.select(*KEY, (lost * F.col("cost")).alias("lost"), (won * F.col("cost")).alias("won"))
+
+
 def scored_tally(tally: DataFrame, limits: Limits = Limits(), over: int = 0) -> DataFrame:
     """template, tokens, results, good, bad and score of all candidates of a tally with more than ``over`` good rows.
 
     A rule of several targets may put some of a row's right without giving it all its truths, so all rows meet such rules.
     """
     least, several = max(over, limits.least_good), F.size("results") > 1
-    zipped = lambda *names: F.arrays_zip(*names)
-    right = lambda x, c: F.coalesce(F.array_contains(x["accepted"], x[c]), F.lit(False))
-    wrong = F.size(F.filter(zipped("states", "accepted"), lambda x: ~right(x, "states")))
-    made = tally.withColumn("wrong", wrong).where("wrong > 0").withColumn("results", F.explode(_combined("accepted"))).where(_permitted("limits", "results"))
+    made = _given(tally.withColumn("wrong", _wrong()).where("wrong > 0"))
     good = made.groupBy(*KEY).agg(F.sum(F.col("wrong") * F.col("cost")).cast("long").alias("good")).where(several | (F.col("good") > least))
-    # rows with nothing right lose nothing by rules of one target
-    rows = tally.where((F.size("states") > 1) | (wrong == 0))
-    met = rows.join(good.select(*KEY), ["template", "tokens"]).where(_permitted("limits", "results"))
-    three = zipped("states", "accepted", "results")
-    lost = F.size(F.filter(three, lambda x: right(x, "states") & ~right(x, "results")))
-    won = F.size(F.filter(three, lambda x: ~right(x, "states") & right(x, "results")))
-    sums = met.groupBy(*KEY).agg(F.sum(lost * F.col("cost")).cast("long").alias("bad"), F.sum(won * F.col("cost")).cast("long").alias("won"))
+    sums = _met(tally, good).groupBy(*KEY).agg(F.sum("lost").cast("long").alias("bad"), F.sum("won").cast("long").alias("won"))
     out = good.join(sums, KEY, "left").withColumn("bad", F.coalesce("bad", F.lit(0))).withColumn("good", F.when(several, F.coalesce("won", F.lit(0))).otherwise(F.col("good"))).drop("won")
     return out.where(F.col("good") > least).withColumn("score", F.col("good") - F.col("bad"))
 
@@ -165,9 +209,9 @@ def scored(df: DataFrame, templates: Templates, limits: Limits = Limits(), names
     return scored_tally(tallied(df, templates, limits.nulls, names), limits, over)
 
 
-def order() -> list[Column]:
-    """The best rule first: score, more atoms, greater result, earlier template, greater tokens."""
-    return [F.desc("score"), F.desc(F.size("tokens")), F.desc("results"), F.asc("template"), F.desc("tokens")]
+def order(sized: bool = True) -> list[Column]:
+    """The best rule first: score, more atoms (unless not ``sized``), greater result, earlier template, greater tokens."""
+    return [F.desc("score"), *([F.desc(F.size("tokens"))] if sized else []), F.desc("results"), F.asc("template"), F.desc("tokens")]
 
 
 def to_rule(row, templates: Templates) -> Rule:
@@ -185,19 +229,232 @@ def changes(after: DataFrame, rule: Rule, templates: Templates, nulls: tuple[str
     numbers = {i for i, t in enumerate(templates.items) if wrote & set(t.targets) or any(c in wrote for a in t.atoms for c, _ in a.reads())}
     if not numbers:
         return None
-    span = templates.reach
-    near = {(c, k) for c in wrote for k in range(-span, span + 1) if k}
+    # neighbours, their word lists too, are looked up in the whole sequence
+    wide = any(k for i in numbers for a in templates.items[i].atoms for _, k in a.reads())
     changed = after.where("_changed")
-    if any(templates.items[i].depends_on(near) for i in numbers):
-        part = after.join(changed.select("seq").distinct(), "seq", "left_semi")
-    else:
-        # word lists and features of neighbours are looked up in the whole sequence
-        wide = any(k for i in numbers for a in templates.items[i].atoms for _, k in a.reads())
-        part = after.join(changed.select("seq").distinct(), "seq", "left_semi") if wide else changed
+    part = after.join(changed.select("seq").distinct(), "seq", "left_semi") if wide else changed
     before = part.withColumns({s: F.col(f"_old_{s}") for s in wrote})
-    new = tallied(part, templates, nulls, names, numbers)
-    old = tallied(before, templates, nulls, names, numbers).withColumn("cost", -F.col("cost"))
-    return new.unionByName(old)
+    new = listed(part, templates, nulls, names, numbers)
+    old = listed(before, templates, nulls, names, numbers).withColumn("cost", -F.col("cost"))
+    return summed(new.unionByName(old)).where("cost <> 0")
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows by their instance, so that what is held by instance meets without being shuffled again."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "template", "tokens")
+
+
+def celled(tally: DataFrame) -> DataFrame:
+    """A tally with a row for each instance: template, tokens and its entries (states, accepted, limits and cost)."""
+    return tally.groupBy("template", "tokens").agg(F.collect_list(F.struct("states", "accepted", "limits", "cost")).alias("entries"))
+
+
+def flat(cells: DataFrame) -> DataFrame:
+    """The tally of cells; its rows may repeat, with costs that add up."""
+    return cells.select("template", "tokens", F.explode("entries").alias("x")).select("template", "tokens", "x.*")
+
+
+def scored_cells(cells: DataFrame, least: int, over: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """template, tokens, results, good, bad and score of the rules of cells with more than ``least`` good rows and a score above ``over``.
+
+    An instance has all that its rules' counts need, so nothing is joined or summed up over rows. Entries that cancel each
+    other out are harmless, as counts are sums of costs.
+    """
+    right = lambda e: F.transform(F.arrays_zip(e["states"].alias("s"), e["accepted"].alias("a")), lambda x: F.coalesce(F.array_contains(x["a"], x["s"]), F.lit(False)))
+    entries = F.transform("entries", lambda e: e.withField("right", right(e)))
+    judged = cells.select(*keep, "template", "tokens", entries.alias("entries"))
+    wrong = F.filter("entries", lambda e: F.exists(e["right"], lambda r: ~r))
+    results = F.array_distinct(F.flatten(F.transform(wrong, lambda e: F.filter(_combined(e["accepted"]), lambda c: _allows(e["limits"], c)))))
+    judged = judged.withColumn("rules", results).where(F.size("rules") > 0)
+
+    def count(entry: Column, c: Column, was: bool) -> Column:
+        """States of an entry that a rule turns from right to wrong (was), or from wrong to right."""
+        three = F.arrays_zip(entry["right"].alias("was"), entry["accepted"].alias("a"), c.alias("c"))
+        now = lambda x: F.coalesce(F.array_contains(x["a"], x["c"]), F.lit(False))
+        moved = F.size(F.filter(three, lambda x: (x["was"] & ~now(x)) if was else (~x["was"] & now(x))))
+        return F.when(_allows(entry["limits"], c), moved * entry["cost"]).otherwise(0).cast("long")
+
+    total = lambda c, was: F.aggregate("entries", F.lit(0).cast("long"), lambda n, e: n + count(e, c, was))
+    counted = F.transform("rules", lambda c: F.struct(c.alias("results"), total(c, False).alias("good"), total(c, True).alias("bad")))
+    out = judged.select(*keep, "template", "tokens", F.explode(F.filter(counted, lambda x: (x["good"] > least) & (x["good"] - x["bad"] > over))).alias("x"))
+    return out.select(*keep, "template", "tokens", "x.*", (F.col("x.good") - F.col("x.bad")).alias("score"))
+
+
+def _allows(limits: Column, results: Column) -> Column:
+    return ~F.exists(F.arrays_zip(limits.alias("l"), results.alias("r")), lambda x: x["l"].isNotNull() & ~F.array_contains(x["l"], x["r"]))
+
+
+def moves(rules: list[Rule], schema: TaskSchema, names: dict[str, list[str]]) -> Column:
+    """A row's states after rules that look at no neighbours, one after another, and what each that fired changed: step, old and new states."""
+    states = lambda of: F.struct(*[of(s).alias(s) for s in schema.states])
+    none = F.array().cast(T.ArrayType(T.StructType([T.StructField("step", T.IntegerType())] + [T.StructField(n, T.StructType([T.StructField(s, T.StringType()) for s in schema.states])) for n in ("old", "new")])))
+
+    def after(number: int, rule: Rule):
+        def one(acc: Column) -> Column:
+            look = lambda c, _: acc["now"][c] if c in schema.states else F.col(c)
+            fire = F.coalesce(matches(rule, look) & allowed(rule, schema, names), F.lit(False))
+            sets = {t: F.lit(v) for t, v in zip(rule.targets, rule.results) if v != FAKE}
+            new = states(lambda s: F.when(fire, sets.get(s, acc["now"][s])).otherwise(acc["now"][s]))
+            move = F.struct(F.lit(number).alias("step"), acc["now"].alias("old"), new.alias("new"))
+            return F.struct(new.alias("now"), F.when(fire, F.concat(acc["moves"], F.array(move))).otherwise(acc["moves"]).alias("moves"))
+
+        return one
+
+    held = F.array(F.struct(states(F.col).alias("now"), none.alias("moves")))
+    for i, rule in enumerate(rules):
+        held = F.transform(held, after(i, rule))
+    return F.get(held, F.lit(0))
+
+
+def stepped(samples: DataFrame, rules: list[Rule], templates: Templates, nulls: tuple[str, ...], names: dict[str, list[str]]) -> DataFrame:
+    """What each of several rules, one after another, changes in the tally: step (from 0) beside a tally's columns, cost with its sign.
+
+    For templates that look at no neighbours, so that only the rows changed take part.
+    """
+    schema = templates.schema
+    signed = lambda m: F.array(*[F.struct(m["step"].alias("step"), m[which].alias("states"), F.lit(sign).alias("sign")) for which, sign in (("new", 1), ("old", -1))])
+    # outer, as a plain explode would have the rules run once more to see whether there is anything to explode
+    both = samples.withColumn("_move", F.explode_outer(F.flatten(F.transform(moves(rules, schema, names)["moves"], signed)))).where("_move IS NOT NULL")
+    rest = [c for c in samples.columns if c not in schema.states and c != "cost"]
+    rows = both.select(*rest, (_cost(samples) * F.col("_move.sign")).alias("cost"), "_move.step", "_move.states.*")
+    return listed(rows, templates, nulls, names, keep=("step",)).groupBy("step", *TALLY).agg(F.sum("cost").alias("cost")).where("cost <> 0")
+
+
+def rank(sized: bool) -> Column:
+    """The same order as order(): the greatest comes first."""
+    return F.struct("score", *([F.size("tokens").alias("size")] if sized else []), "results", (-F.col("template")).alias("earlier"), "tokens")
+
+
+class _State:
+    """Samples, cells and listed candidates of the loop.
+
+    Cells are dealt by instance and held in memory; what rules change is kept beside them, in small tables, and joined to them
+    each turn, so that a turn shuffles what rules changed but not the cells. Now and then samples and cells are written anew.
+
+    A turn takes the best rules at once, as if each stayed the best until its turn, and then looks whether it did: a rule is
+    accepted if those before it left its own instance alone, and if no candidate that they changed has come to be better.
+    The first one always is.
+    """
+
+    def __init__(self, samples: DataFrame, templates: Templates, limits: Limits, names: dict[str, list[str]]):
+        self.templates, self.limits, self.names, self.since = templates, limits, names, 0
+        # neighbours are looked up in whole sequences, and lists of candidates are pruned after each rule: then one rule a turn
+        self.wide = any(k for t in templates.items for a in t.atoms for _, k in a.reads())
+        self.batch = 1 if self.wide or limits.least_good > 0 or limits.useless >= 0 or limits.factor >= 0 else limits.batch
+        self.tried = 2  # twice as many as were accepted last time
+        self.samples = written(samples, "samples")
+        self.base = dealt(celled(tallied(self.samples, templates, limits.nulls, names))).persist()
+        self.deltas: list[DataFrame] = []  # changes of the tally since the base
+        self.live: DataFrame | None = None
+        self.tables, self.memory = [self.samples], [self.base]
+        if limits.lists_candidates:
+            self.live = written(scored_cells(self.base, limits.least_good, -(1 << 62)).select(*KEY), "live")
+            self.tables.append(self.live)
+
+    def cells(self) -> DataFrame:
+        if not self.deltas:
+            return self.base
+        changed = dealt(celled(reduce(DataFrame.unionByName, self.deltas))).withColumnRenamed("entries", "more").hint("shuffle_hash")
+        both = self.base.join(changed, ["template", "tokens"], "full")
+        return both.select("template", "tokens", F.concat(F.coalesce("entries", F.array()), F.coalesce("more", F.array())).alias("entries"))
+
+    def best(self, most: int) -> list[Rule]:
+        """The best rules, best first; none if no score is above the threshold."""
+        found = scored_cells(self.cells(), 0 if self.live is not None else self.limits.least_good, self.limits.threshold)
+        if self.live is not None:
+            found = found.join(self.live, KEY, "left_semi")
+        return [to_rule(r, self.templates) for r in found.orderBy(*order(self.limits.sized_order)).limit(min(most, self.batch, self.tried)).collect()]
+
+    def apply(self, rules: list[Rule]) -> int:
+        """Applies as many of these rules, from the first, as stay the best until their turn; their number."""
+        t, limits = self.templates, self.limits
+        if self.wide:
+            rule = rules[0]
+            before = self.samples.withColumns({f"_old_{s}": F.col(s) for s in rule.targets})
+            after = apply_rule(before, rule, t.schema, self.names, mark="_changed")
+            delta = changes(after, rule, t, limits.nulls, self.names)
+            delta = None if delta is None else delta.withColumn("step", F.lit(0))
+        else:
+            delta = stepped(self.samples, rules, t, limits.nulls, self.names)
+        if delta is not None:
+            delta = written(delta, "delta")
+            self.tables.append(delta)
+        good = self.verified(rules, delta) if len(rules) > 1 else 1
+        self.samples = apply_rule(self.samples, rules[0], t.schema, self.names) if self.wide else self.moved(rules[:good])
+        if delta is not None:
+            change = delta.where(F.col("step") < good).drop("step")
+            self.deltas.append(change)
+            if self.live is not None:
+                fresh = _given(change.where(F.col("cost") > 0).where(_wrong() > 0)).select(*KEY)
+                self.live = written(self.kept(self.live.unionByName(fresh).distinct()), "live")
+                self.tables.append(self.live)
+        self.since, self.tried = self.since + good, 2 * good
+        if self.since >= limits.write_every:
+            self.write()
+        return good
+
+    def moved(self, rules: list[Rule]) -> DataFrame:
+        states, columns = self.templates.schema.states, self.samples.columns
+        now = self.samples.withColumn("_now", moves(rules, self.templates.schema, self.names)["now"])
+        return now.select(*[F.col(f"_now.{c}").alias(c) if c in states else F.col(c) for c in columns])
+
+    def verified(self, rules: list[Rule], delta: DataFrame) -> int:
+        """How many of the rules were the best in their turn."""
+        steps = range(1, len(rules))
+        changed = dealt(delta.groupBy("template", "tokens").agg(F.collect_list(F.struct("step", F.struct("states", "accepted", "limits", "cost").alias("entry"))).alias("changes")))
+        held = self.cells().join(changed.hint("shuffle_hash"), ["template", "tokens"], "right")
+        # an instance at the start of each step at which it may differ from before
+        first = F.array_min(F.transform("changes", lambda c: c["step"])) + 1
+        at = held.select("template", "tokens", "entries", "changes", F.explode(F.when(first < len(rules), F.sequence(first, F.lit(len(rules) - 1)))).alias("step"))
+        before = F.transform(F.filter("changes", lambda c: c["step"] < F.col("step")), lambda c: c["entry"])
+        cells = at.select("template", "tokens", F.concat(F.coalesce("entries", F.array()), before).alias("entries"), "step")
+        best = scored_cells(cells, self.limits.least_good, self.limits.threshold, ("step",)).groupBy("step").agg(F.max(rank(self.limits.sized_order)).alias("r"))
+        touched = changed.select("template", "tokens", F.array_min(F.transform("changes", lambda c: c["step"])).alias("step"))
+        own = touched.join(F.broadcast(self.instances(rules)), ["template", "tokens"]).groupBy("number").agg(F.min("step").alias("step"))  # a row for each rule at most
+        of = {r["number"]: r["step"] for r in own.collect()}
+        rivals = {r["step"]: r["r"] for r in best.collect()}
+        for i in steps:
+            if of.get(i, len(rules)) < i or i in rivals and not self.ahead(rules[i], rivals[i]):
+                return i
+        return len(rules)
+
+    def instances(self, rules: list[Rule]) -> DataFrame:
+        rows = [(n, self.number(r), list(r.values)) for n, r in enumerate(rules)]
+        return self.base.sparkSession.createDataFrame(rows, "number int, template int, tokens array<string>")
+
+    def number(self, rule: Rule) -> int:
+        return next(i for i, t in enumerate(self.templates.items) if t.atoms == rule.atoms and t.targets == rule.targets)
+
+    def ahead(self, rule: Rule, rival) -> bool:
+        own = (rule.score, *((len(rule.values),) if self.limits.sized_order else ()), list(rule.results), -self.number(rule), list(rule.values))
+        # Spark orders strings by their bytes
+        in_bytes = lambda x: [v.encode() for v in x] if isinstance(x, list) else x
+        return tuple(map(in_bytes, own)) > tuple(map(in_bytes, rival))
+
+    def kept(self, live: DataFrame) -> DataFrame:
+        """Candidates without those that Limits calls useless."""
+        useless, factor = self.limits.useless, self.limits.factor
+        if useless < 0 and factor < 0:
+            return live
+        counts = _met(flat(self.cells()), live, False).groupBy(*KEY).agg(F.sum("won").alias("good"), F.sum("lost").alias("bad"))
+        counts = live.join(counts, KEY, "left").fillna(0, ["good", "bad"])
+        none = (F.col("bad") > useless) if useless >= 0 else F.lit(False)
+        outweighed = (F.col("bad") * factor >= F.col("good")) if factor >= 0 else F.lit(False)
+        return counts.where(~F.when(F.col("good") == 0, none).otherwise(outweighed)).select(*KEY)
+
+    def write(self) -> None:
+        samples, cells = written(self.samples, "samples"), written(celled(summed(flat(self.cells())).where("cost <> 0")), "cells")
+        live = self.live
+        self.tables = [x for x in self.tables if x is not live]
+        self.close()
+        self.samples, self.base, self.deltas, self.since = samples, dealt(cells).persist(), [], 0
+        self.tables, self.memory = [x for x in (samples, cells, live) if x is not None], [self.base]
+
+    def close(self) -> None:
+        for x in self.memory:
+            x.unpersist()
+        dropped(*self.tables)
+        self.memory, self.tables = [], []
 
 
 def learn(
@@ -206,71 +463,48 @@ def learn(
 ) -> tuple[list[Rule], DataFrame]:
     """Rules in the order in which they were learned, and the samples after them (a table in the shared folder).
 
-    Each turn takes the best candidate of the tally and applies it; only that one row reaches the driver. Candidates' good
-    counts bound their scores, so only those above the threshold meet bad counts.
+    Each turn takes the best candidates (``batch`` at most; only these reach the driver) and applies as many of them as a loop of
+    one rule a turn would. A turn shuffles what rules change, not the tally, which stays dealt by instance.
     """
-    columns, schema = df.columns, templates.schema
+    columns = df.columns
     df = with_word_lists(df, [a for t in templates.items for a in t.atoms], vocabulary, bigrams)
     df, names = constrained(df, constraints or [])
-    df = written(df, "samples")
-    tally = written(tallied(df, templates, limits.nulls, names), "tally")
-    rules: list[Rule] = []
-    base, held = df, None  # the last table, and the last persisted samples
+    state, rules = _State(df, templates, limits, names), []
     try:
-        while len(rules) < limits.max_rules:
-            row = scored_tally(tally, limits, limits.threshold).orderBy(*order()).limit(1).collect()
-            if not row or row[0]["score"] <= limits.threshold:
-                break
-            rule = to_rule(row[0], templates)
-            same = [r for r in rules[-limits.repeats + 1 :] if (r.atoms, r.values, r.results) == (rule.atoms, rule.values, rule.results)]
-            if len(same) >= limits.repeats - 1:
-                raise RuntimeError(f"the same rule was best {limits.repeats} times in a row: {rule.text()}")
-            rules.append(rule)
-            after = apply_rule(df.withColumns({f"_old_{s}": F.col(s) for s in rule.targets}), rule, schema, names, mark="_changed").persist()
-            delta = changes(after, rule, templates, limits.nulls, names)
-            if delta is not None:
-                now = tally.unionByName(delta).groupBy(*TALLY).agg(F.sum("cost").alias("cost")).where("cost <> 0")
-                before, tally = tally, written(now, "tally")
-                dropped(before)
-            df = after.drop("_changed", *[f"_old_{s}" for s in rule.targets])
-            if len(rules) % limits.write_every == 0:  # plans would grow with the rules
-                df = written(df, "samples")
-                after.unpersist()
-                dropped(base)
-                base, after = df, None
-            if held is not None:
-                held.unpersist()
-            held = after
-        if df is not base:
-            df = written(df, "samples")
-            dropped(base)
-        return rules, df.select(*columns)
+        while best := state.best(limits.max_rules - len(rules)) if len(rules) < limits.max_rules else []:
+            for rule in best[: state.apply(best)]:
+                same = [r for r in rules[-limits.repeats + 1 :] if (r.atoms, r.values, r.results) == (rule.atoms, rule.values, rule.results)]
+                if len(same) >= limits.repeats - 1:
+                    raise RuntimeError(f"the same rule was best {limits.repeats} times in a row: {rule.text()}")
+                rules.append(rule)
+        if limits.redundant is not None:
+            least = _least_redundant(limits, rules, state.samples)
+            # what tells so little of data seen tells something of data unseen: a list as long as the candidates without bad rows
+            found = redundant_rules(flat(state.cells()), state.live, least, limits.sized_order)
+            rules += [to_rule(r, templates) for r in found.toLocalIterator()]
+        return rules, written(state.samples.select(*columns), "learned")
     finally:
-        dropped(tally)
-        if held is not None:
-            held.unpersist()
+        state.close()
 
 
-def redundant_rules(df: DataFrame, templates: Templates, least: int, limits: Limits = Limits(), vocabulary: DataFrame | None = None, bigrams: DataFrame | None = None) -> DataFrame:
-    """Rules without a bad row that give at least ``least`` rows their truth, whatever their state: worst first, good 0 and
-    that number as score. They are kept beside learned rules for data that the learner hasn't seen."""
-    df = with_word_lists(df, [a for t in templates.items for a in t.atoms], vocabulary, bigrams)
-    forced = candidates(df, templates, limits.nulls, forced=True)
-    parts = []
-    for number, t in enumerate(templates.items):
-        truth = F.array(*[F.col(_truth(templates.schema, s)) for s in t.targets])
-        parts.append(instances(df, templates, number, t, limits.nulls).select("template", "tokens", truth.alias("truth")))
-    wrong = reduce(DataFrame.unionByName, parts)
-    clashes = forced.join(wrong.distinct(), ["template", "tokens"]).where(_misses(templates.schema)).select(*KEY).distinct()
-    out = forced.join(clashes, KEY, "left_anti").where(F.col("good") >= least)
-    return out.select(*KEY, F.lit(0).cast("long").alias("good"), F.lit(0).cast("long").alias("bad"), F.col("good").alias("score")).orderBy(F.asc("score"), F.asc("results"), F.desc("template"), F.asc("tokens"))
-
-
-def _misses(schema: TaskSchema) -> Column:
-    if not schema.truth_separator:
-        return F.col("results") != F.col("truth")
-    sep = "[" + schema.truth_separator.replace("\\", "\\\\") + "]"
-    return F.exists(F.arrays_zip("results", "truth"), lambda x: ~F.array_contains(F.split(x["truth"], sep), x["results"]))
+def _least_redundant(limits: Limits, rules: list[Rule], samples: DataFrame) -> int:
+    text = limits.redundant or ""
+    if text.endswith("%"):
+        return int(text[:-1]) * int(samples.agg(F.coalesce(F.sum(_cost(samples)), F.lit(0)).alias("n")).first()["n"]) // 100
+    return max(limits.least_redundant, (rules[0].score if rules else 0) + int(text)) if int(text) < 0 else int(text)
+
+
+def redundant_rules(tally: DataFrame, live: DataFrame, least: int, sized: bool = True) -> DataFrame:
+    """Rules of ``live`` that put nothing wrong that is right now, and that give at least ``least`` rows their truth, whatever their
+    state: worst first, good and bad 0 and that number as score.
+
+    They change nothing in the samples, where other rules came first, but are kept beside the learned ones for data that the
+    learner hasn't seen. Rows that are wrong now don't count against them.
+    """
+    forced = _given(tally).groupBy(*KEY).agg(F.sum("cost").cast("long").alias("score")).where(F.col("score") >= least).join(live, KEY, "left_semi")
+    harm = _met(tally, forced).groupBy(*KEY).agg(F.sum("lost").alias("bad")).where("bad > 0")
+    out = forced.join(harm, KEY, "left_anti").select(*KEY, F.lit(0).cast("long").alias("good"), F.lit(0).cast("long").alias("bad"), "score")
+    return out.orderBy(F.asc("score"), *([F.asc(F.size("tokens"))] if sized else []), F.asc("results"), F.desc("template"), F.asc("tokens"))
 
 
 def pruned(rules: DataFrame, least_good: int = 0, useless: int | None = None, factor: float | None = None) -> DataFrame:
