@@ -20,11 +20,11 @@ Look = Callable[[str, int], Column]
 
 
 def neighbour(column: str, offset: int) -> Column:
-    """The column's value so many rows further in the sequence; PAD beyond its ends."""
+    """The column's value so many rows further in the sequence; PAD beyond its ends, but null where that row has a null."""
     if offset == 0:
         return F.col(column)
-    moved = F.lag(column, -offset) if offset < 0 else F.lead(column, offset)
-    return F.coalesce(moved.over(by_seq()), F.lit(PAD))
+    moved = F.lag(column, -offset, PAD) if offset < 0 else F.lead(column, offset, PAD)
+    return moved.over(by_seq())
 
 
 def neighbour_list(column: str, offset: int) -> Column:

@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from ..functions.columns import is_right, matches, with_word_lists, word_list
+from ..functions.columns import matches, with_word_lists, word_list
 from ..plans.spec import FAKE, PAD, Rule, TaskSchema
 
 #: Rules up to which a list becomes one Spark plan; longer ones run over whole sequences in tasks (plans grow with rules).
@@ -85,21 +86,26 @@ def apply_rules(
     return _over_sequences(df, rules, schema, names, sorted(set(extra)), trace).select(*out)
 
 
-def _over_sequences(df: DataFrame, rules: list[Rule], schema: TaskSchema, names: dict[str, list[str]], lists: list[str], trace: bool) -> DataFrame:
+def _over_sequences(df: DataFrame, rules: list[Rule], schema: TaskSchema, names: dict[str, list[str]], lists: list[str], trace: bool, curve: bool = False) -> DataFrame:
     """Long lists: rows are dealt and sorted by sequence once, and each batch of whole sequences runs all rules on columns
-    of numbers, one comparison of whole columns for each atom."""
+    of numbers, one comparison of whole columns for each atom. With ``curve`` the result is how many more states each rule
+    makes wrong (rule and errors, for each batch; rule -1 stands for those wrong before)."""
     width = max([1, *(abs(k) for r in rules for a in r.atoms for _, k in a.reads())])
     dealt = df.repartition("seq").sortWithinPartitions("seq", "pos")
     sent = df.sparkSession.sparkContext.broadcast(rules)
     state_of = {t: schema.truths[schema.states.index(t)] for t in schema.states}
 
+    def begins_of(b: pd.DataFrame) -> np.ndarray:
+        """Does a row begin a sequence? Rows without a sequence's id are one."""
+        seq, null = b["seq"].to_numpy(object), b["seq"].isna().to_numpy()
+        return np.concatenate([[True], (seq[1:] != seq[:-1]) & ~(null[1:] & null[:-1])])
+
     def sequences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Batches cut between sequences."""
         rest = None
-        for b in batches:
+        for b in (b for b in batches if len(b)):
             b = b if rest is None else pd.concat([rest, b], ignore_index=True)
-            last = np.flatnonzero((b["seq"] != b["seq"].iloc[-1]).to_numpy())
-            cut = int(last[-1]) + 1 if len(last) else 0
+            cut = int(np.flatnonzero(begins_of(b))[-1])
             if cut:
                 yield b.iloc[:cut].reset_index(drop=True)
             rest = b.iloc[cut:].reset_index(drop=True)
@@ -108,14 +114,14 @@ def _over_sequences(df: DataFrame, rules: list[Rule], schema: TaskSchema, names:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in sequences(batches):
-            begins = np.concatenate([[True], (b["seq"].to_numpy()[1:] != b["seq"].to_numpy()[:-1])])
+            begins = begins_of(b)
             # each sequence has PAD rows on either side
             place = np.arange(len(b)) + width * (np.cumsum(begins) * 2 - 1)
             size = int(place[-1]) + width + 1
             cols: dict[str, np.ndarray] = {}
             for c in [*schema.features, *schema.states]:
                 cols[c] = np.full(size, PAD, object)
-                cols[c][place] = b[c].to_numpy(object)
+                cols[c][place] = b[c].astype(object).where(b[c].notna(), None).to_numpy(object)
             codes: dict[str, int] = {}
             coded = {c: np.array([codes.setdefault(v, len(codes)) for v in x.tolist()]) for c, x in cols.items()}
             codes.setdefault(PAD, len(codes))
@@ -123,6 +129,12 @@ def _over_sequences(df: DataFrame, rules: list[Rule], schema: TaskSchema, names:
             permitted = {n: [None if v is None else frozenset(v) for v in b[n]] for ns in names.values() for n in ns}
             static: dict[tuple, np.ndarray] = {}
             fired = [[] for _ in range(len(b))] if trace else None
+            right = {}  # codes of each row's accepted truths
+            for t in schema.states if curve else ():
+                separated = b[state_of[t]].tolist() if schema.truth_separator else [[v] for v in b[state_of[t]].tolist()]
+                right[t] = [frozenset(codes.setdefault(x, len(codes)) for x in (v.split(schema.truth_separator) if isinstance(v, str) else v or ()) if x is not None) for v in separated]
+            wrong = lambda rows: sum(coded[t][place[x]] not in ok[x] for t, ok in right.items() for x in rows.tolist())
+            errors = [wrong(np.arange(len(b)))]
 
             def holds(atom, value):
                 at = place
@@ -153,12 +165,18 @@ def _over_sequences(df: DataFrame, rules: list[Rule], schema: TaskSchema, names:
                 for t, v in zip(r.targets, r.results):
                     for n in names.get(state_of[t], []) if v != FAKE else ():
                         rows = np.array([x for x in rows.tolist() if permitted[n][x] is None or v in permitted[n][x]], int)
+                before = wrong(rows) if curve else 0
                 for t, v in zip(r.targets, r.results):
                     if v != FAKE:
                         coded[t][place[rows]] = codes[v]
+                if curve:
+                    errors.append(wrong(rows) - before)
                 if fired is not None:
                     for x in rows.tolist():
                         fired[x].append(i)
+            if curve:
+                yield pd.DataFrame({"rule": np.arange(-1, len(errors) - 1, dtype=np.int32), "errors": errors})
+                continue
             back = np.array(list(codes), object)
             for t in schema.states:
                 b[t] = back[coded[t][place]]
@@ -166,17 +184,25 @@ def _over_sequences(df: DataFrame, rules: list[Rule], schema: TaskSchema, names:
                 b["trace"] = fired
             yield b
 
+    if curve:
+        return dealt.mapInPandas(run, "rule int, errors long")
     kept = T.StructType([f for f in dealt.schema.fields])
     return dealt.mapInPandas(run, kept)
 
 
-def error_curve(df: DataFrame, rules: list[Rule], schema: TaskSchema, vocabulary: DataFrame | None = None, bigrams: DataFrame | None = None) -> DataFrame:
-    """rule (-1: before any) and errors, the number of wrong states after it."""
-    df = with_word_lists(df, [a for r in rules for a in r.atoms], vocabulary, bigrams)
-    wrong = lambda: sum((F.when(F.coalesce(is_right(schema, F.col(s), t), F.lit(False)), 0).otherwise(1) for s, t in zip(schema.states, schema.truths)), F.lit(0))
-    df = df.withColumn("e_0", wrong())
-    for i, r in enumerate(rules):
-        df = apply_rule(df, r, schema).withColumn(f"e_{i + 1}", wrong())
-    sums = df.agg(*[F.coalesce(F.sum(f"e_{i}"), F.lit(0)).alias(f"e_{i}") for i in range(len(rules) + 1)])
-    stacked = ", ".join(f"{i - 1}, e_{i}" for i in range(len(rules) + 1))
-    return sums.selectExpr(f"stack({len(rules) + 1}, {stacked}) as (rule, errors)").select(F.col("rule").cast("int").alias("rule"), F.col("errors").cast("long").alias("errors"))
+def error_curve(
+    df: DataFrame, rules: list[Rule], schema: TaskSchema, vocabulary: DataFrame | None = None, bigrams: DataFrame | None = None,
+    constraints: list[tuple[tuple[str, ...], str, DataFrame]] | None = None,
+) -> DataFrame:
+    """rule (-1: before any) and errors, the number of wrong states after it, for a list of any length.
+
+    Each rule's change is counted where it fires; the sums of these, one for each rule, add up in the order of the list.
+    """
+    atoms = [a for r in rules for a in r.atoms]
+    df = with_word_lists(df, atoms, vocabulary, bigrams)
+    df, names = constrained(df, constraints or [])
+    changes = _over_sequences(df, rules, schema, names, sorted({word_list(a) for a in atoms if a.needs_words}), False, True)
+    none = df.sparkSession.range(-1, len(rules)).select(F.col("id").cast("int").alias("rule"), F.lit(0).cast("long").alias("errors"))
+    sums = changes.unionByName(none).groupBy("rule").agg(F.sum("errors").alias("errors"))
+    # as many rows as rules
+    return sums.select("rule", F.sum("errors").over(Window.orderBy("rule")).alias("errors"))

@@ -278,20 +278,31 @@ def prune_rules(spark, sf_dir):
     return _shown(pruned(scored(collapsed(line_samples(spark, sf_dir), LINES), _templates(LINE_TEMPLATES, LINES)), least_good=20, useless=5, factor=1.05))
 
 
+SIZES = TaskSchema.parse("source size state => truth")
+
+
 def semi_good_rules(spark, sf_dir):
-    """Redundant rules over documents with a label: source and length class give the language's label."""
-    schema = TaskSchema.parse("source size state => truth")
-    d = _size_samples(spark, sf_dir)
-    return _shown(redundant_rules(d, _templates("source size => state", schema), 3))
+    """What learning adds beside the learned rules: those that would put nothing right now wrong and give two documents or more
+    their language, from source and length; all are taken for English at first."""
+    rules, _ = learn(_size_samples(spark, sf_dir), _templates("source size => state", SIZES), Limits(threshold=0, redundant="2"))
+    rows = [(0, "|".join(r.values), r.results[0], r.good, r.bad, r.score) for r in rules if not r.good]
+    return spark.createDataFrame(rows, "template int, tokens string, results string, good long, bad long, score long")
 
 
 def _size_samples(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), F.lit(0).alias("pos"), "source", F.floor(F.col("n_chars") / 200).cast("string").alias("size"), F.lit("en").alias("state"), F.col("lang").alias("truth"))
 
 
-SEMI_SQL = """WITH s AS (SELECT source, CAST(CAST(floor(n_chars / 200) AS BIGINT) AS VARCHAR) AS size, lang FROM documents)
-SELECT CAST(0 AS INTEGER) AS template, source || '|' || size AS tokens, min(lang) AS results, CAST(0 AS BIGINT) AS good, CAST(0 AS BIGINT) AS bad, CAST(count(*) AS BIGINT) AS score
-FROM s GROUP BY source, size HAVING count(DISTINCT lang) = 1 AND count(*) >= 3"""
+# A cell's documents share all that rules look at. Its first rule gives it the language with the most documents, if these are more than
+# the English ones; no rule after that one gains anything there. Bad rows are those of the cell's state at the end, for any other
+# language; candidates are the languages that had a wrong document at the start or, in changed cells, at the end.
+SEMI_SQL = """WITH s AS (SELECT source, CAST(CAST(floor(n_chars / 200) AS BIGINT) AS VARCHAR) AS size, lang FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL AND n_chars IS NOT NULL),
+c AS (SELECT source, size, lang, count(*) AS n, coalesce(sum(count(*)) FILTER (WHERE lang = 'en') OVER (PARTITION BY source, size), 0) AS en FROM s GROUP BY source, size, lang),
+f AS (SELECT source, size, lang AS state FROM c WHERE lang <> 'en' AND n - en > 0 QUALIFY row_number() OVER (PARTITION BY source, size ORDER BY n DESC, lang DESC) = 1),
+e AS (SELECT c.*, coalesce(f.state, 'en') AS state, f.state IS NOT NULL AS changed FROM c LEFT JOIN f USING (source, size)),
+b AS (SELECT *, coalesce(sum(n) FILTER (WHERE lang = state) OVER (PARTITION BY source, size), 0) AS settled FROM e)
+SELECT CAST(0 AS INTEGER) AS template, source || '|' || size AS tokens, lang AS results, CAST(0 AS BIGINT) AS good, CAST(0 AS BIGINT) AS bad, CAST(n AS BIGINT) AS score
+FROM b WHERE n >= 2 AND (lang <> 'en' OR changed) AND (CASE WHEN lang = state THEN 0 ELSE settled END) = 0"""
 
 
 #: learn_rules stops where no rule puts more than one in so many tokens right.
@@ -336,24 +347,25 @@ def _spelling(spark, sf_dir):
 
 
 def learn_lines(spark, sf_dir):
-    """The first two rules learned on order lines, as in the SQL, and how many lines are right after them."""
+    """All rules learned on order lines, down to the usual threshold, and how many lines are right after them."""
     s = collapsed(line_samples(spark, sf_dir), LINES)
-    rules, after = learn(s, _templates(LINE_TEMPLATES, LINES), Limits(max_rules=2))
+    rules, after = learn(s, _templates(LINE_TEMPLATES, LINES))
     right = after.agg(F.sum(F.when(F.col("state") == F.col("truth"), F.col("cost")).otherwise(0)).alias("n")).first()["n"]
     rows = [(i, "|".join(r.values), r.results[0], r.good, r.bad) for i, r in enumerate(rules)]
     return spark.createDataFrame([(*r, right) for r in rows], "rule int, tokens string, result string, good long, bad long, after_all long")
 
 
 def _learn_sql(turns: int) -> str:
+    """A greedy turn after another; those after the last rule find none. Order lines have fewer rules than turns."""
     parts, source = [LINE_SQL], "collapsed"
     case = "CASE b.template WHEN 0 THEN s.status || '|' || s.state WHEN 1 THEN s.qty || '|' || s.state ELSE s.status || '|' || s.disc END"
     for i in range(turns):
         inner = _score_sql(LINE_ATOMS, source, "cost")
         for n in ("good", "rights", "scores"):
-            inner = inner.replace(f"{n} AS (", f"{n}_{i} AS (").replace(f"FROM {n} ", f"FROM {n}_{i} ")
+            inner = inner.replace(f"{n} AS (", f"{n}_{i} AS MATERIALIZED (").replace(f"FROM {n} ", f"FROM {n}_{i} ")
         parts.append(inner)
-        parts.append(f"best_{i} AS (SELECT * FROM scores_{i} WHERE good - bad > 2 ORDER BY good - bad DESC, results DESC, template, string_split(tokens, '|') DESC LIMIT 1)")
-        parts.append(f"after_{i} AS (SELECT s.* REPLACE (CASE WHEN b.template IS NOT NULL AND {case} = b.tokens THEN b.results ELSE s.state END AS state) FROM {source} s LEFT JOIN best_{i} b ON true)")
+        parts.append(f"best_{i} AS MATERIALIZED (SELECT * FROM scores_{i} WHERE good - bad > 2 ORDER BY good - bad DESC, results DESC, template, string_split(tokens, '|') DESC LIMIT 1)")
+        parts.append(f"after_{i} AS MATERIALIZED (SELECT s.* REPLACE (CASE WHEN b.template IS NOT NULL AND {case} = b.tokens THEN b.results ELSE s.state END AS state) FROM {source} s LEFT JOIN best_{i} b ON true)")
         source = f"after_{i}"
     rows = " UNION ALL ".join(f"SELECT CAST({i} AS INTEGER) AS rule, tokens, results AS result, good, bad FROM best_{i}" for i in range(turns))
     return f"WITH {', '.join(parts)} SELECT *, (SELECT CAST(sum(cost) FILTER (WHERE state = truth) AS BIGINT) FROM {source}) AS after_all FROM ({rows})"
@@ -624,7 +636,7 @@ ORACLES = {
     "best_rule": f"WITH {LINE_SQL}, {_score_sql(LINE_ATOMS, 'collapsed', 'cost')} SELECT *, good - bad AS score FROM scores ORDER BY good - bad DESC, results DESC, template, string_split(tokens, '|') DESC LIMIT 1",
     "prune_rules": f"WITH {LINE_SQL}, {_score_sql(LINE_ATOMS, 'collapsed', 'cost')} SELECT *, good - bad AS score FROM scores WHERE good > 20 AND NOT (good = 0 AND bad > 5) AND bad * 1.05 < good",
     "semi_good_rules": SEMI_SQL,
-    "learn_lines": _learn_sql(2),
+    "learn_lines": _learn_sql(48),
     "lexicon_word_lang": LEX_SQL,
     "lexicon_min_count": LEX_SQL.replace("GROUP BY ALL)\nSELECT", "GROUP BY ALL HAVING count(*) >= 5)\nSELECT"),
     "lexicon_backoff": BACKOFF_SQL,

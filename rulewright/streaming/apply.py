@@ -23,7 +23,7 @@ def _test(rule: Rule, samples: Column, x: Column, i: Column) -> Column:
         at = i + offset  # from 0
         return F.when((at >= 0) & (at < F.size(samples)), F.get(samples, at)[column]).otherwise(F.lit(PAD))
 
-    ok = reduce(Column.__or__, [F.lit(True) if v == FAKE else x[t] != v for t, v in zip(rule.targets, rule.results)])
+    ok = reduce(Column.__or__, [F.lit(True) if v == FAKE else ~x[t].eqNullSafe(F.lit(v)) for t, v in zip(rule.targets, rule.results)])
     for a, v in zip(rule.atoms, rule.values):
         if a.needs_words:
             raise ValueError(f"{a.text} needs a word list; apply it in long form")

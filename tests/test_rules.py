@@ -56,6 +56,44 @@ def test_constraints_beside_a_vocabulary(spark):
     assert states(out) == ["A", "A", "A"]
 
 
+NULLS = [(0, 0, "x", "A"), (0, 1, None, "A"), (0, 2, "y", None), (0, 3, "x", "A"), (None, 0, None, None), (None, 1, "y", "A")]
+
+
+@pytest.mark.parametrize("path", ["planned", "long", "nested"])
+@pytest.mark.parametrize(("rule", "wanted"), [
+    ("w_-1=ZZZ => st=B", ["B", "A", None, "A", "B", "A"]),  # a null neighbour isn't the padding
+    ("w_-1=y => st=B", ["A", "A", None, "B", None, "A"]),
+    ("w=y => st=B", ["A", "A", "B", "A", None, "B"]),  # a null state changes
+    ("w:[-1,1]=x => st=B", ["B", "B", "B", "B", None, "A"]),
+    ("st_1=A => st=C", ["C", "A", "C", "A", "C", "A"]),
+    ("{w,st}=A => st=B", ["B", "B", None, "B", None, "B"]),
+    ("w::1~~=x~~ => st=B", ["B", "A", None, "B", None, "A"]),
+])
+def test_nulls_in_all_paths(spark, path, rule, wanted):
+    """Null features and states match nothing, and rows without a sequence's id are a sequence."""
+    df = spark.createDataFrame([(*r, "T") for r in NULLS], "seq long, pos int, w string, st string, tr string")
+    rules = parse_rules(f"RULE: {rule}")
+    if path == "nested":
+        got = streaming.flat(streaming.apply_nested(streaming.nested(df, SCHEMA), rules, SCHEMA), SCHEMA)
+    else:
+        got = apply_rules(df, rules, SCHEMA, planned=0 if path == "long" else 40)
+    assert [r.st for r in sorted(got.collect(), key=lambda r: (r.seq is None, r.pos))] == wanted
+
+
+def test_error_curve_of_a_long_list(spark):
+    """Counted rule by rule, under a constraint, with several truths; as many rules as no single plan would hold."""
+    schema = TaskSchema.parse("w st => tr", "|")
+    df = samples(spark, "a/A/B|C b/A/A c/C/C\na/B/A b/B/C|B a/C/A d/A/D", schema)
+    rules = parse_rules("\n".join(f"RULE: w_{k}={w} st_0={x} => st={y}" for k in (0, -1) for w in "abc" for x in "ABC" for y in "ABCD" if x != y))
+    table = spark.createDataFrame([("a", ["A", "B"], 0)], "w string, allowed array<string>, line int")
+    limits = [(("w",), "tr", table)]
+    got = [r.errors for r in error_curve(df, rules, schema, constraints=limits).orderBy("rule").collect()]
+    assert len(got) == len(rules) + 1 == 55 and len(set(got)) > 2
+    for n in (0, 1, 7, 20, 54):
+        after = apply_rules(df, rules[:n], schema, constraints=limits)
+        assert got[n] == sum(r.st not in r.tr.split("|") for r in after.collect())
+
+
 def test_tally_changes_like_a_new_tally(spark):
     """Counts kept up by changed rows are those of counting anew, also for templates that look at neighbours' states."""
     df = samples(spark, "a/A/B b/A/C a/C/B\nc/A/B a/A/B b/A/A c/B/B")
