@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.columns import by_seq, is_right
 from ..plans.spec import TaskSchema
@@ -56,3 +57,9 @@ def numbered_samples(df: DataFrame, start: int = 0) -> DataFrame:
 def trace_counts(df: DataFrame) -> DataFrame:
     """rule and n: on how many rows each rule fired, from the traces."""
     return df.select(F.explode("trace").alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+
+
+def numbered_rules(lines: DataFrame) -> DataFrame:
+    """rule (as traces have it) and value of the lines of a rule file (file, line and value; # begins a comment, as in rule files)."""
+    rules = lines.where(~F.startswith("value", F.lit("#")) & (F.trim("value") != ""))
+    return rules.select("file", (F.row_number().over(Window.partitionBy("file").orderBy("line")) - 1).alias("rule"), "value")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import by_seq, neighbour
+from ..plans.spec import PAD
 from ..shared import written
 
 
@@ -115,3 +116,9 @@ def frequent_bigrams(pairs: DataFrame, words: DataFrame) -> DataFrame:
 def lexical_rows(second: DataFrame, new_words: DataFrame, word: str) -> DataFrame:
     """Rows of the second part whose word is new: what lexical rules learn from."""
     return second.join(new_words.select(F.col("word").alias("_new")).distinct(), F.col(word) == F.col("_new"), "left_semi")
+
+
+def frozen(known: DataFrame, value: str = PAD) -> DataFrame:
+    """key, classes and line of a lexicon that allows its words one class that no rule gives (or FAKE_CLASS, which changes nothing):
+    as a constraint it keeps known words as they are."""
+    return known.select("key").distinct().select("key", F.array(F.lit(value)).alias("classes"), F.lit(0).alias("line"))

@@ -44,22 +44,24 @@ def train(df: DataFrame, word: str, lexical: Templates, context: Templates, firs
     return Tagger(lex.build(df, [word], truth), vocab, pairs, lexical_rules, context_rules, common, proper)
 
 
-def tag(df: DataFrame, word: str, tagger: Tagger, schema, constrain_above: int | None = None) -> DataFrame:
+def tag(df: DataFrame, word: str, tagger: Tagger, schema, constrain_above: int | None = None, least_redundant: int | None = None) -> DataFrame:
     """df with its state filled: unknown words by the lexical rules, all by the lexicon, then by the contextual rules.
 
-    With ``constrain_above``, words that training saw more often may only get classes they had there.
+    With ``constrain_above``, words that training saw more often may only get classes they had there; with ``least_redundant``, rules
+    that learning added without a good row are left out below that score.
     """
+    lists = [r if least_redundant is None else confident(r, least_redundant) for r in (tagger.lexical, tagger.context)]
     state = schema.states[0]
     new = df.select(F.col(word).alias("word")).distinct().join(tagger.lexicon.where("length = 1").select(F.col("key")[0].alias("_k")), F.col("word") == F.col("_k"), "left_anti")
     rows = lex.most_likely(lex.lexical_rows(df, new, word), tagger.lexicon, [[word]], state, tagger.common, tagger.proper)
-    guessed = lex.build(apply_rules(rows, tagger.lexical, schema, tagger.vocabulary, tagger.bigrams), [word], state)
+    guessed = lex.build(apply_rules(rows, lists[0], schema, tagger.vocabulary, tagger.bigrams), [word], state)
     full = lex.merged(tagger.lexicon, guessed)
     start = lex.most_likely(df, full, [[word]], state, tagger.common, tagger.proper)
     limits = None
     if constrain_above is not None:
         often = tagger.lexicon.where((F.col("length") == 1) & (F.col("n") > constrain_above))
         limits = [((word,), schema.truths[0], often.select(F.col("key")[0].alias(word), F.col("classes").alias("allowed")))]
-    return apply_rules(start, tagger.context, schema, tagger.vocabulary, tagger.bigrams, limits)
+    return apply_rules(start, lists[1], schema, tagger.vocabulary, tagger.bigrams, limits)
 
 
 def confident(rules: list[Rule], least: int) -> list[Rule]:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..operators.apply import loadable
 from ..operators.tree import Node
 from ..plans.spec import Rule, TaskSchema, Templates, parse_params, parse_rules
 from ..shared import written
@@ -101,13 +102,28 @@ def write_vocabulary(vocab: DataFrame, path: str) -> None:
     vocab.write.parquet(path)
 
 
+def write_vocabulary_text(vocab: DataFrame, path: str) -> None:
+    """Vocabulary text in a folder, of word, id and is_class (lexicon.numbered()): the range of ids that are words, the number of
+    classes, then the words by id. Files are in the order of their names."""
+    sizes = vocab.agg(F.count(F.lit(1)).alias("n"), F.count_if("is_class").alias("classes")).first()
+    heads = [(-2, f"#real_word_indices: {sizes['classes']} {sizes['n']}"), (-1, f"#number_of_classes: {sizes['classes']}")]
+    lines = vocab.select(F.col("id").cast("long").alias("id"), F.col("word").alias("value")).unionByName(vocab.sparkSession.createDataFrame(heads, "id long, value string"))
+    lines.repartitionByRange("id").sortWithinPartitions("id").select("value").write.text(path)
+
+
 def read_vocabulary_text(spark: SparkSession, path: str) -> DataFrame:
-    """word, id and is_class from vocabulary text: header lines (# key: value), then a word a line, classes first."""
+    """word, id, is_class and is_real from vocabulary text: header lines (# key: value), then a word a line, classes first. Real words
+    are those that affixes may make; without a header all but the classes are."""
     lines = written(_lines(spark, path).where("value <> ''"), "vocabulary")
     heads = {r.value.partition(":")[0]: r.value.partition(":")[2] for r in lines.where(F.col("value").rlike("^#(real_word_indices|number_of_classes):")).collect()}
     classes = int(heads.get("#number_of_classes", 0) or 0)
+    first, last = (int(x) for x in heads.get("#real_word_indices", f"{classes} {1 << 62}").split())
     words = lines.where(~F.col("value").rlike("^#(real_word_indices|number_of_classes):"))
-    return words.select(F.trim("value").alias("word"), (F.row_number().over(Window.partitionBy("file").orderBy("line")) - 1).alias("id")).withColumn("is_class", F.col("id") < classes)
+    at = F.row_number().over(Window.partitionBy("file").orderBy("line")) - 1
+    before = F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each file
+    starts = words.groupBy("file").agg(F.count(F.lit(1)).alias("n")).select("file", before.alias("start"))
+    numbered = words.join(starts, "file").select(F.trim("value").alias("word"), (F.col("start") + at).cast("int").alias("id"))
+    return numbered.withColumns({"is_class": F.col("id") < classes, "is_real": (F.col("id") >= first) & (F.col("id") < last)})
 
 
 def read_lexicon(spark: SparkSession, path: str, length: int = 1) -> DataFrame:
@@ -117,13 +133,14 @@ def read_lexicon(spark: SparkSession, path: str, length: int = 1) -> DataFrame:
     return lines.select(F.lit(length).alias("length"), F.slice(words, 1, length).alias("key"), F.slice(words, length + 1, F.greatest(F.size(words) - length, F.lit(0))).alias("classes"), "line").where(F.size("classes") > 0)
 
 
-def read_constraints(spark: SparkSession, config: str) -> list[tuple[tuple[str, ...], str, DataFrame]]:
-    """(keys, truth, table of keys, allowed and line) for each line ``key .. truth file`` of a constraint configuration."""
+def read_constraints(spark: SparkSession, config: str, vocabulary: DataFrame | None = None) -> list[tuple[tuple[str, ...], str, DataFrame]]:
+    """(keys, truth, table of keys, allowed and line) for each line ``key .. truth file`` of a constraint configuration. Beside a
+    vocabulary only what it knows counts (see apply.loadable)."""
     out = []
     for line in (x.split() for x in config.splitlines() if x.strip() and not x.startswith("#")):
         *keys, truth, path = line
-        table = read_lexicon(spark, path, len(keys))
-        out.append((tuple(keys), truth, table.select(*[F.col("key")[i].alias(k) for i, k in enumerate(keys)], F.col("classes").alias("allowed"), "line")))
+        table = read_lexicon(spark, path, len(keys)).select(*[F.col("key")[i].alias(k) for i, k in enumerate(keys)], F.col("classes").alias("allowed"), "line")
+        out.append((tuple(keys), truth, table if vocabulary is None else loadable(table, tuple(keys), vocabulary)))
     return out
 
 

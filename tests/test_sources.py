@@ -1,11 +1,14 @@
 """Text formats, and the shipped example outputs where they can be read."""
 
+import bz2
+import gzip
 import os
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
-from rulewright.operators import lexicon
+from rulewright.operators import evaluate, lexicon
 from rulewright.operators.apply import apply_rules
 from rulewright.operators.tree import Node
 from rulewright.plans.spec import Rule, TaskSchema
@@ -50,6 +53,38 @@ def test_small_files(spark, tmp_path):
     assert text.read_tree(spark, str(tmp_path / "tree")).counts == {"a": 1}
 
 
+def test_vocabulary_text_round_trip(spark, tmp_path):
+    words = [("NN", 0, True), ("VB", 1, True), *((f"w{i}", i + 2, False) for i in range(40))]
+    vocab = spark.createDataFrame(words, "word string, id long, is_class boolean").repartition(3)
+    text.write_vocabulary_text(vocab, str(tmp_path / "voc"))
+    got = text.read_vocabulary_text(spark, str(tmp_path / "voc"))
+    assert sorted((r.id, r.word, r.is_class, r.is_real) for r in got.collect()) == [(i, w, c, not c) for w, i, c in words]
+
+
+def test_constraints_beside_a_vocabulary_file(spark, tmp_path):
+    (tmp_path / "lex").write_text("the DT NN\nnew NN\nthe XX\nrun XX VB\n")
+    (tmp_path / "voc").write_text("#real_word_indices: 2 4\n#number_of_classes: 2\nDT\nVB\nthe\nrun\n")
+    (_, _, table), = text.read_constraints(spark, f"w tr {tmp_path}/lex", text.read_vocabulary_text(spark, str(tmp_path / "voc")))
+    assert sorted((r.w, list(r.allowed)) for r in table.collect()) == [("run", ["VB"]), ("the", ["DT"])]
+
+
+def test_compressed_samples(spark, tmp_path):
+    """Compression goes by the file's ending."""
+    for ending, pack in ((".gz", gzip.compress), (".bz2", bz2.compress)):
+        (tmp_path / f"in{ending}").write_bytes(pack(b"a A X\n\nb B Y\n"))
+        df = text.read_samples(spark, str(tmp_path / f"in{ending}"), SCHEMA)
+        assert sorted((r.pos, r.w, r.tr) for r in df.collect()) == [(0, "a", "X"), (0, "b", "Y")]
+
+
+def test_rules_by_number_and_frozen_words(spark, tmp_path):
+    (tmp_path / "rules").write_text("#head\nRULE: w=a => st=B\n\nRULE: st=A => st=C\n")
+    got = evaluate.numbered_rules(text._lines(spark, str(tmp_path / "rules")))
+    assert sorted((r.rule, r.value) for r in got.collect()) == [(0, "RULE: w=a => st=B"), (1, "RULE: st=A => st=C")]
+    df = spark.createDataFrame([(0, 0, "old", "A", "A"), (0, 1, "new", "A", "A")], "seq int, pos int, w string, st string, tr string")
+    keep = lexicon.frozen(lexicon.build(df.where("w = 'old'"), ["w"], "tr")).select(F.col("key")[0].alias("w"), F.col("classes").alias("allowed"), "line")
+    assert [r.st for r in apply_rules(df, [Rule.parse("RULE: st=A => st=B")], SCHEMA, constraints=[(("w",), "tr", keep)]).orderBy("pos").collect()] == ["A", "B"]
+
+
 @pytest.mark.skipif(not os.path.isdir(EXAMPLES), reason="no examples")
 @pytest.mark.parametrize(("folder", "name", "tokens"), [("englishTextChunk", "text.pos.in.res", 405), ("englishBaseNP", "test.res", 38_856)])
 def test_shipped_chunking(spark, folder, name, tokens):
