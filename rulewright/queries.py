@@ -10,6 +10,7 @@ from .functions.columns import fires, neighbour, values, with_word_lists
 from .operators import brackets, convert, evaluate, export, hypernyms, lexicon, tagger, tree
 from .operators.apply import apply_rules, error_curve
 from .operators.learn import Limits, candidates, collapsed, learn, order, pruned, scored
+from .operators.wide import wide
 from .plans.spec import Rule, TaskSchema, Templates, parse_atom
 from .shared import dropped, written
 from .streaming import apply as streaming
@@ -138,6 +139,14 @@ SELECT kind, coalesce((SELECT string_agg(r, ',' ORDER BY r) FROM pairs WHERE l =
   CAST(count(*) FILTER (WHERE EXISTS (SELECT 1 FROM pairs WHERE l = kind AND r = 'purchase')) AS BIGINT) AS then_purchase FROM samples GROUP BY kind"""
 
 
+def wide_rows(spark, sf_dir):
+    """Events with the types of two events before and after in columns of their own, as rows for independent learning."""
+    return wide(event_samples(spark, sf_dir), ["kind"], 2).select("seq", "pos", *[f"kind{i}c" for i in range(5)])
+
+
+WIDE_SQL = f"WITH {EVENT_SQL} SELECT seq, pos, " + ", ".join(f"coalesce({'lag' if i < 2 else 'lead'}(kind, {abs(i - 2)}) OVER (PARTITION BY seq ORDER BY pos), '-') AS kind{i}c" for i in range(5)) + " FROM samples"
+
+
 def multi_truth(spark, sf_dir):
     """labels as several accepted values: quality or toxic."""
     schema = TaskSchema.parse("source state => truth", "|")
@@ -602,7 +611,7 @@ def tagger_pipeline(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    ctx_identity, ctx_range, set_feature, affixes, contains, affix_words, cooccurrence, multi_truth, apply_one_rule, apply_rule_list, apply_long_list, apply_nested, rule_trace, errors_by_rule, fake_class_trace, two_targets, unseen_bigrams, merged_lexicons,
+    ctx_identity, ctx_range, set_feature, affixes, contains, affix_words, cooccurrence, wide_rows, multi_truth, apply_one_rule, apply_rule_list, apply_long_list, apply_nested, rule_trace, errors_by_rule, fake_class_trace, two_targets, unseen_bigrams, merged_lexicons,
     constraint_filter, score_rules_seq, collapse_samples, score_rules_indep, best_rule, prune_rules, semi_good_rules, learn_rules, learn_lines, lexicon_word_lang, lexicon_min_count, lexicon_backoff,
     most_likely_tag, seen_unseen_split, bigrams_frequent, vocabulary_words, accuracy, phrase_f, mark_samples, rule_fires, feature_vectors, feature_counts, prob_tree, bracket_shortest, bracket_decode,
     ancestors, converted_rules, tagger_pipeline,
@@ -617,6 +626,7 @@ ORACLES = {
     "contains": f"WITH {PART_SQL} SELECT word, CASE WHEN length(word) > 2 THEN array_to_string(list_sort(list_distinct(list_transform(range(1, length(word)), lambda i: substr(word, i, 2)))), ',') ELSE '' END AS grams, contains(word, 'er') AS has_er FROM words",
     "affix_words": AFFIX_SQL,
     "cooccurrence": COOC_SQL,
+    "wide_rows": WIDE_SQL,
     "multi_truth": "SELECT doc_id, CASE WHEN n_chars > 1000 THEN 1 ELSE 0 END IN (quality, toxic) AS is_right, CAST(CASE WHEN quality = toxic THEN 1 ELSE 2 END AS INTEGER) AS n_truths FROM documents JOIN labels USING (doc_id)",
     "apply_one_rule": f"WITH {EVENT_SQL}, {_rule_sql(_RULES[:1], 'samples')} SELECT seq, pos, state FROM s0",
     "apply_rule_list": f"WITH {EVENT_SQL}, {_rule_sql(_RULES, 'samples')} SELECT seq, pos, state FROM s4",

@@ -61,6 +61,23 @@ def read_samples(spark: SparkSession, path: str, schema: TaskSchema, blank_lines
     return rows.select(seq.alias("seq"), pos.alias("pos"), *[F.col("words")[i].alias(n) for i, n in enumerate(names)])
 
 
+def read_parallel(spark: SparkSession, files: dict[str, list[str]]) -> DataFrame:
+    """line and the fields of files whose lines belong together (path: names of its fields; names must differ). Files are joined by
+    line number; if one is shorter than another, or a line has another number of fields, reading fails."""
+    out = None
+    for path, names in files.items():
+        words = F.split(F.trim(F.regexp_replace("value", BLANKS, " ")), " ")
+        right = F.when(F.size(words) == len(names), words).otherwise(F.raise_error(F.format_string(f"%s:%d has not {len(names)} fields", F.lit(path), F.col("line") + 1)).cast("array<string>"))
+        one = _lines(spark, path).select("line", right.alias("_words")).select("line", F.lit(True).alias("_here"), *[F.col("_words")[i].alias(n) for i, n in enumerate(names)])
+        if out is None:
+            out = one
+            continue
+        both = out.withColumnRenamed("_here", "_left").join(one, "line", "full")
+        whole = F.when(F.col("_left").isNotNull() & F.col("_here").isNotNull(), F.col("line")).otherwise(F.raise_error(F.format_string("%s: line %d is missing, or is one too many", F.lit(path), F.col("line") + 1)).cast("bigint"))
+        out = both.withColumn("line", whole).drop("_left")
+    return out.drop("_here")
+
+
 def write_samples(df: DataFrame, schema: TaskSchema, path: str) -> None:
     """Column text: a line for each sample, `` | `` and the trace if there is one, a blank line after each sequence."""
     line = F.concat_ws(" ", *schema.columns)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from rulewright.operators import evaluate, lexicon
 from rulewright.operators.apply import apply_rules
 from rulewright.operators.tree import Node
+from rulewright.operators.wide import wide
 from rulewright.plans.spec import Rule, TaskSchema
 from rulewright.sources import text
 
@@ -68,6 +69,21 @@ def test_constraints_beside_a_vocabulary_file(spark, tmp_path):
     assert sorted((r.w, list(r.allowed)) for r in table.collect()) == [("run", ["VB"]), ("the", ["DT"])]
 
 
+def test_parallel_files(spark, tmp_path):
+    """Lines that belong together, and what stands around them in columns."""
+    (tmp_path / "words").write_text("a\nb\nc\n")
+    (tmp_path / "tags").write_text("A x\nB y\nC z\n")
+    (tmp_path / "short").write_text("1\n2\n")
+    files = {str(tmp_path / "words"): ["w"], str(tmp_path / "tags"): ["t", "u"]}
+    got = text.read_parallel(spark, files)
+    assert sorted((r.line, r.w, r.t, r.u) for r in got.collect()) == [(0, "a", "A", "x"), (1, "b", "B", "y"), (2, "c", "C", "z")]
+    rows = wide(got.select(F.lit(0).alias("seq"), F.col("line").alias("pos"), "w"), ["w"], 1).orderBy("pos").collect()
+    assert [(r.w0c, r.w1c, r.w2c) for r in rows] == [("-", "a", "b"), ("a", "b", "c"), ("b", "c", "-")]
+    for bad in ({**files, str(tmp_path / "short"): ["n"]}, {str(tmp_path / "tags"): ["t"]}):
+        with pytest.raises(PySparkException):
+            text.read_parallel(spark, bad).collect()
+
+
 def test_compressed_samples(spark, tmp_path):
     """Compression goes by the file's ending."""
     for ending, pack in ((".gz", gzip.compress), (".bz2", bz2.compress)):
