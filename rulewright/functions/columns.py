@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
-from ..plans.spec import FAKE, PAD, Atom, Rule, TaskSchema
+from ..plans.spec import FAKE, OWN_KINDS, PAD, Atom, Rule, TaskSchema
 
 def by_seq() -> WindowSpec:
     return Window.partitionBy("seq").orderBy("pos")
@@ -84,6 +84,8 @@ def fires(atom: Atom, value: Column, look: Look = neighbour) -> Column:
     if atom.needs_words:
         return F.array_contains(neighbour_list(word_list(atom), atom.offset), value)
     own = look(atom.column, atom.offset)
+    if atom.kind in OWN_KINDS:
+        return OWN_KINDS[atom.kind].test(own, value)
     return {"prefix": F.startswith, "suffix": F.endswith, "contains": F.contains}[atom.kind](own, value)
 
 
@@ -98,6 +100,8 @@ def values(atom: Atom, nulls: tuple[str, ...] = (), look: Look = neighbour) -> C
         found = F.array_distinct(F.array(*[look(c, atom.offset) for c in atom.columns]))
         return F.array_except(found, F.array(*[F.lit(x) for x in nulls])) if nulls else found
     own = look(atom.column, atom.offset)
+    if atom.kind in OWN_KINDS:
+        return OWN_KINDS[atom.kind].instances(own)
     n, longer = F.lit(atom.size), F.length(own) > atom.size
     if atom.kind in ("drop_prefix", "drop_suffix"):
         return F.when(longer, neighbour_list(word_list(atom), atom.offset)).otherwise(none)

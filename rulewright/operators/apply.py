@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions.columns import matches, with_word_lists, word_list
-from ..plans.spec import FAKE, PAD, Rule, TaskSchema
+from ..functions.columns import fires, matches, with_word_lists, word_list
+from ..plans.spec import FAKE, OWN_KINDS, PAD, Rule, TaskSchema
 
 #: Rules up to which a list becomes one Spark plan; longer ones run over whole sequences in tasks (plans grow with rules).
 PLANNED = 40
@@ -90,6 +90,11 @@ def _over_sequences(df: DataFrame, rules: list[Rule], schema: TaskSchema, names:
     """Long lists: rows are dealt and sorted by sequence once, and each batch of whole sequences runs all rules on columns
     of numbers, one comparison of whole columns for each atom. With ``curve`` the result is how many more states each rule
     makes wrong (rule and errors, for each batch; rule -1 stands for those wrong before)."""
+    # atoms from outside are columns' functions, so they are tested before the rows are dealt; features don't change
+    outside = list(dict.fromkeys((a, v) for r in rules for a, v in zip(r.atoms, r.values) if a.kind in OWN_KINDS))
+    if bad := [a.text for a, _ in outside if a.column in schema.states]:
+        raise ValueError(f"over states, which rules change: {bad}; such atoms are for features")
+    df = df.withColumns({f"own_{i}": F.coalesce(fires(a, F.lit(v)), F.lit(False)) for i, (a, v) in enumerate(outside)}) if outside else df
     width = max([1, *(abs(k) for r in rules for a in r.atoms for _, k in a.reads())])
     dealt = df.repartition("seq").sortWithinPartitions("seq", "pos")
     sent = df.sparkSession.sparkContext.broadcast(rules)
@@ -142,6 +147,8 @@ def _over_sequences(df: DataFrame, rules: list[Rule], schema: TaskSchema, names:
                     code = codes.get(value, -1)
                     ks = range(atom.offset, (atom.last if atom.kind == "range" else atom.offset) + 1)
                     return np.logical_or.reduce([coded[c][at + k] == code for c in atom.columns for k in ks])
+                if (atom, value) in outside:
+                    return b[f"own_{outside.index((atom, value))}"].to_numpy(bool)
                 key = (atom.kind, atom.column, atom.offset, atom.size, value)
                 if key not in static:  # features never change
                     if atom.needs_words:

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark.sql import Column
+
 #: Value of every column beyond either end of a sequence, and targets that match without a change (fixed values).
 PAD, FAKE = "ZZZ", "FAKE_CLASS"
 
@@ -76,12 +79,33 @@ class Atom:
         return value[2:] if self.kind in ("suffix", "add_suffix", "drop_suffix") else value
 
 
+@dataclass(frozen=True)
+class OwnKind:
+    """A kind of atom from outside. Both functions take the column's value (at the atom's offset; the padding beyond the ends)
+    as a Spark column: ``test`` also the rule's value, and gives whether the atom holds; ``instances`` gives all values that
+    make it hold (array<string>), for learning."""
+
+    test: Callable[[Column, Column], Column]
+    instances: Callable[[Column], Column]
+
+
+OWN_KINDS: dict[str, OwnKind] = {}
+
+
+def register_atom(name: str, test: Callable[[Column, Column], Column], instances: Callable[[Column], Column]) -> None:
+    """From now on ``f::name`` and ``f_k::name`` are atoms over features, in templates and rules, for all ways of applying rules."""
+    if not re.fullmatch(r"[A-Za-z]\w*", name):
+        raise ValueError(f"not a name for an atom: {name!r}")
+    OWN_KINDS[name] = OwnKind(test, instances)
+
+
 _NAME = r"([^=_:\-\s{}^]+)"
 _AFFIX = {"~~": ("prefix", "suffix"), "++": ("add_prefix", "add_suffix"), "--": ("drop_prefix", "drop_suffix")}
 
 
 def parse_atom(text: str, columns: tuple[str, ...] | None = None) -> Atom:
-    """An atom from its syntax: f f_k f:[a,b] {f,g}_k f::n~~ f::~~n f::n++ f::++n f::n-- f::--n f::n<> f^^1 f^^-1."""
+    """An atom from its syntax: f f_k f:[a,b] {f,g}_k f::n~~ f::~~n f::n++ f::++n f::n-- f::--n f::n<> f^^1 f^^-1,
+    and f::name for a name of register_atom()."""
     found = None
     if m := re.fullmatch(r"\{([^}]*)\}(?:_(-?\d+))?", text):
         found = Atom("set", tuple(c.strip() for c in m[1].split(",")), int(m[2] or 0), text=text)
@@ -93,6 +117,8 @@ def parse_atom(text: str, columns: tuple[str, ...] | None = None) -> Atom:
         mark, front = m[4] or m[5], m[4] is not None
         kind = "contains" if mark == "<>" else _AFFIX[mark][0 if front else 1]
         found = Atom(kind, (m[1],), int(m[2] or 0), size=int(m[3] or m[6]), text=text)
+    elif (m := re.fullmatch(_NAME + r"(?:_(-?\d+))?::([A-Za-z]\w*)", text)) and m[3] in OWN_KINDS:
+        found = Atom(m[3], (m[1],), int(m[2] or 0), text=text)
     elif m := re.fullmatch(_NAME + r"(?:_(-?\d+))?", text):
         found = Atom("identity", (m[1],), int(m[2] or 0), text=text)
     if not found:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.spec import FAKE, PAD, Rule, TaskSchema
+from ..plans.spec import FAKE, OWN_KINDS, PAD, Rule, TaskSchema
 
 
 def nested(df: DataFrame, schema: TaskSchema) -> DataFrame:
@@ -30,6 +30,8 @@ def _test(rule: Rule, samples: Column, x: Column, i: Column) -> Column:
         span = range(a.offset, (a.last if a.kind == "range" else a.offset) + 1)
         if a.kind in ("identity", "range", "set"):
             ok = ok & reduce(Column.__or__, [look(c, k) == v for c in a.columns for k in span])
+        elif a.kind in OWN_KINDS:
+            ok = ok & OWN_KINDS[a.kind].test(look(a.column, a.offset), F.lit(v))
         else:
             ok = ok & {"prefix": F.startswith, "suffix": F.endswith, "contains": F.contains}[a.kind](look(a.column, a.offset), F.lit(v))
     return ok

@@ -8,7 +8,7 @@ from rulewright.operators import brackets, evaluate, lexicon, tree
 from rulewright.operators.apply import apply_rule, apply_rules, error_curve, loadable
 from rulewright.operators.convert import chunk_template, tagger_rule
 from rulewright.operators.learn import TALLY, Limits, candidates, changes, learn, order, scored, tallied
-from rulewright.plans.spec import Rule, TaskSchema, Templates, parse_atom, parse_params, parse_rules
+from rulewright.plans.spec import Rule, TaskSchema, Templates, parse_atom, parse_params, parse_rules, register_atom
 from rulewright.queries import learn_rules
 from rulewright.streaming import apply as streaming
 
@@ -80,6 +80,28 @@ def test_nulls_in_all_paths(spark, path, rule, wanted):
     assert [r.st for r in sorted(got.collect(), key=lambda r: (r.seq is None, r.pos))] == wanted
 
 
+def _shape(own):
+    return F.regexp_replace(F.regexp_replace(own, "[A-Z]+", "X"), "[a-z]+", "x")
+
+
+@pytest.mark.parametrize("path", ["planned", "long", "nested"])
+def test_atoms_from_outside(spark, path):
+    """An atom of one's own is parsed, learned and applied like the others."""
+    register_atom("shape", lambda own, value: _shape(own) == value, lambda own: F.array(_shape(own)))
+    df = samples(spark, "Abc/A/B de/A/A Xy/A/B\nfg/A/A H/A/A Kl/A/B")
+    t = Templates.parse("w::shape => st\nw_-1::shape w::shape => st", SCHEMA)
+    rules, _ = learn(df, t, Limits(threshold=1))
+    assert [r.text().partition("RULE: ")[2] for r in rules] == ["w::shape=Xx => st=B"] and parse_rules(rules[0].text())[0].atoms == rules[0].atoms
+    rules += parse_rules("RULE: w_1::shape=X => st=C\nRULE: w_-1::shape=ZZZ => st=D\nRULE: w_-1::shape=X => st=E")
+    if path == "nested":
+        got = streaming.flat(streaming.apply_nested(streaming.nested(df, SCHEMA), rules, SCHEMA), SCHEMA)
+    else:
+        got = apply_rules(df, rules, SCHEMA, planned=0 if path == "long" else 40)
+    assert states(got) == ["E", "A", "C", "E", "A", "E"]  # the padding has a shape too
+    with pytest.raises(ValueError):
+        parse_atom("w::unknown")
+
+
 def test_error_curve_of_a_long_list(spark):
     """Counted rule by rule, under a constraint, with several truths; as many rules as no single plan would hold."""
     schema = TaskSchema.parse("w st => tr", "|")
