@@ -207,9 +207,8 @@ def apply_long_list(spark, sf_dir):
 
 
 def apply_nested(spark, sf_dir):
-    """The first three rules over whole sequences in rows; five take minutes, as each rule's expression holds those before it."""
     rows = streaming.nested(event_samples(spark, sf_dir), EVENTS)
-    return streaming.flat(streaming.apply_nested(rows, _event_rules()[:3], EVENTS), EVENTS).select("seq", "pos", "state")
+    return streaming.flat(streaming.apply_nested(rows, _event_rules(), EVENTS), EVENTS).select("seq", "pos", "state")
 
 
 def rule_trace(spark, sf_dir):
@@ -632,7 +631,7 @@ ORACLES = {
     "apply_one_rule": f"WITH {EVENT_SQL}, {_rule_sql(_RULES[:1], 'samples')} SELECT seq, pos, state FROM s0",
     "apply_rule_list": f"WITH {EVENT_SQL}, {_rule_sql(_RULES, 'samples')} SELECT seq, pos, state FROM s4",
     "apply_long_list": f"WITH {EVENT_SQL}, {_rule_sql(_RULES, 'samples')} SELECT seq, pos, state FROM s4",
-    "apply_nested": f"WITH {EVENT_SQL}, {_rule_sql(_RULES[:3], 'samples')} SELECT seq, pos, state FROM s2",
+    "apply_nested": f"WITH {EVENT_SQL}, {_rule_sql(_RULES, 'samples')} SELECT seq, pos, state FROM s4",
     "rule_trace": f"WITH {EVENT_SQL}, {_rule_sql(_RULES, 'samples')} SELECT seq, pos, array_to_string(list_filter([" + ", ".join(f"CASE WHEN f_{i} THEN '{i}' END" for i in range(5)) + "], lambda x: x IS NOT NULL), ',') AS trace FROM s4",
     "errors_by_rule": f"WITH {EVENT_SQL}, {_rule_sql(_RULES, 'samples')} SELECT CAST(-1 AS INTEGER) AS rule, count(*) AS errors FROM samples WHERE state <> truth " + " ".join(f"UNION ALL SELECT CAST({i} AS INTEGER), count(*) FROM s{i} WHERE state <> truth" for i in range(5)),
     "fake_class_trace": FAKE_SQL,

@@ -37,11 +37,11 @@ def _test(rule: Rule, samples: Column, x: Column, i: Column) -> Column:
     return ok
 
 
-def _rewriting(rule: Rule, schema: TaskSchema):
+def _rewriting(rule: Rule, schema: TaskSchema, samples: Column):
     new = {t: v for t, v in zip(rule.targets, rule.results) if v != FAKE}
 
     def rewritten(x: Column, i: Column) -> Column:
-        fire = F.coalesce(_test(rule, F.col("samples"), x, i), F.lit(False))
+        fire = F.coalesce(_test(rule, samples, x, i), F.lit(False))
         return F.struct(*[F.when(fire, F.lit(new[c])).otherwise(x[c]).alias(c) if c in new else x[c].alias(c) for c in ("pos", *schema.columns)])
 
     return rewritten
@@ -49,9 +49,15 @@ def _rewriting(rule: Rule, schema: TaskSchema):
 
 def apply_nested(df: DataFrame, rules: list[Rule], schema: TaskSchema) -> DataFrame:
     """A stream or table of (seq, samples) after all rules, each at once over a whole sequence. For lists of some tens of rules."""
+    # each rule's sequence is bound to a variable, so that its many uses don't repeat the rules before
+    held = F.array("samples")
     for rule in rules:
-        df = df.withColumn("samples", F.transform("samples", _rewriting(rule, schema)))
-    return df
+        held = F.transform(held, _over(rule, schema))
+    return df.withColumn("samples", F.get(held, F.lit(0)))
+
+
+def _over(rule: Rule, schema: TaskSchema):
+    return lambda samples: F.transform(samples, _rewriting(rule, schema, samples))
 
 
 def flat(df: DataFrame, schema: TaskSchema) -> DataFrame:
