@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from .functions.columns import fires, neighbour, values, with_word_lists
 from .operators import brackets, convert, evaluate, export, hypernyms, lexicon, tagger, tree
 from .operators.apply import apply_rules, error_curve
-from .operators.learn import Limits, candidates, collapsed, learn, order, pruned, scored
+from .operators.learn import Limits, collapsed, learn, order, pruned, scored
 from .operators.wide import wide
 from .plans.spec import Rule, TaskSchema, Templates, parse_atom
 from .shared import dropped, written
