@@ -8,6 +8,7 @@ and it holds enough of the template. Base phrases are templates that have to be
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -26,7 +27,7 @@ COVER = 0.8
 DRIFT = 3
 #: (label, phrase): found only as a whole.
 PHRASES = [("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc")]
-#: Whole license texts, as their authors publish them; only words count.
+# License texts and notices, word for word as their authors publish them; only words count.
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files
 (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish,
 distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the
@@ -61,10 +62,21 @@ UNLICENSE = """This is free and unencumbered software released into the public d
 or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
 In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to
 the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend
-this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law."""
+this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER
+DEALINGS IN THE SOFTWARE. For more information, please refer to <http://unlicense.org/>"""
 BOOST = """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying
 documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare
-derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following"""
+derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The
+copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer,
+must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative
+works are solely in the form of machine-executable object code generated by a source language processor. THE SOFTWARE IS PROVIDED "AS IS",
+WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR
+PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR
+OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN
+THE SOFTWARE."""
 APACHE_2_NOTICE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.
 You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing,
 software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
@@ -89,6 +101,7 @@ TEMPLATES = [
     ("cc-by-nc", "licensed under a creative commons attribution noncommercial 4 0 international license"),
     ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("bsl-1", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
     ("mit", MIT), ("bsd-3", BSD_3), ("isc", ISC), ("zlib", ZLIB), ("unlicense", UNLICENSE), ("bsl-1", BOOST), ("apache-2", APACHE_2_NOTICE), ("gpl-3", GPL_NOTICE.format(3)), ("gpl-2", GPL_NOTICE.format(2)),
 ]
 
@@ -128,6 +141,54 @@ def _windows(df: DataFrame, known: np.ndarray, row_cols: str) -> DataFrame:
     return df.mapInArrow(run, f"{row_cols}, n_words long, windows array<struct<place:long,hash:long,window:string>>")
 
 
+def _outdone(first: np.ndarray, last: np.ndarray, cover: np.ndarray) -> np.ndarray:
+    """Which of one text's spans overlap one with a higher cover. One sweep over their starts: n log n for n spans.
+
+    A span overlaps those that begin in it, whose best is a maximum over a range of starts, and those begun before that
+    haven't ended, of which the best that is still open is on top of a heap.
+    """
+    by = np.argsort(first, kind="stable")
+    f, l, c = first[by], last[by], cover[by]
+    maxima = [c]  # maxima[k][i]: of the 2^k covers from i
+    while 2 << (len(maxima) - 1) <= len(c):
+        half = 1 << (len(maxima) - 1)
+        maxima.append(np.maximum(maxima[-1][:-half], maxima[-1][half:]))
+    start, end = np.searchsorted(f, f, "left"), np.searchsorted(f, l, "right")
+    k = np.frexp((end - start).astype(np.float64))[1] - 1
+    best = np.empty(len(c))
+    for level, m in enumerate(maxima):
+        at = np.flatnonzero(k == level)
+        best[at] = np.maximum(m[start[at]], m[end[at] - (1 << level)])
+    still: list[tuple[float, int]] = []
+    for i in range(len(c)):
+        while still and still[0][1] < f[i]:
+            heapq.heappop(still)
+        if still:
+            best[i] = max(best[i], -still[0][0])
+        heapq.heappush(still, (-c[i], l[i]))
+    out = np.empty(len(c), bool)
+    out[by] = best > c
+    return out
+
+
+def best_covered(by_row: DataFrame) -> DataFrame:
+    """Notices share wording: where spans of templates overlap, the best covered ones stay. Spans of base phrases all do."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column("spans")
+            at, spans = lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten()
+            base, first, last, cover = (spans.field(n).to_numpy(zero_copy_only=False) for n in ("base", "first", "last", "cover"))
+            stays = np.ones(len(spans), bool)
+            for i in np.flatnonzero(np.diff(at) > 1).tolist():
+                mine = at[i] + np.flatnonzero(~base[at[i] : at[i + 1]])
+                stays[mine] = ~_outdone(first[mine], last[mine], cover[mine])
+            ends = np.concatenate([[0], np.cumsum(stays)])[at].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.ListArray.from_arrays(pa.array(ends), spans.filter(pa.array(stays)))], ["row", "spans"])
+
+    return by_row.mapInArrow(run, by_row.schema)
+
+
 def scanned(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: list | None = None, templates: list | None = None) -> DataFrame:
     """id, n_words and spans (label, base, first, last, cover of each verified span) for each row of df.
 
@@ -154,10 +215,7 @@ def scanned(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", phras
     held = F.array_distinct(F.flatten(F.transform("ats", lambda a: F.array(*[a + j for j in range(K)]))))
     fits = F.col("last") - F.col("first") < F.col("size") + DRIFT * F.col("n")
     verified = merged.withColumn("cover", F.size(held) / F.col("size")).where(F.when(F.col("base"), F.size("ats") == F.col("size") - (K - 1)).otherwise((F.col("cover") >= COVER) & fits))
-    by_row = verified.groupBy("row").agg(F.collect_list(F.struct("label", "base", "first", "last", "cover")).alias("spans"))
-    # Notices share wording: where spans of templates overlap, the best covered ones stay.
-    better = lambda s, o: ~o["base"] & (o["first"] <= s["last"]) & (s["first"] <= o["last"]) & (o["cover"] > s["cover"])
-    by_row = by_row.select("row", F.filter("spans", lambda s: s["base"] | ~F.exists("spans", lambda o: better(s, o))).alias("spans"))
+    by_row = best_covered(verified.groupBy("row").agg(F.collect_list(F.struct("label", "base", "first", "last", "cover")).alias("spans")))
     return found.select("row", id_col, "n_words").join(by_row, "row", "left").select(id_col, "n_words", F.coalesce("spans", F.array().cast(by_row.schema["spans"].dataType)).alias("spans"))
 
 

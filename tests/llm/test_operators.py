@@ -510,6 +510,52 @@ def test_licenses(spark, docs):
     assert licenses.scanned(docs.limit(0)).count() == 0 and licenses.scanned(docs).count() == docs.count()
 
 
+def brute_licenses(text):
+    """(n_words, labels, score) by voting over all places of all templates, spans compared with each other."""
+    w, spans = fx.ALNUM.findall(fx.low(text or "")), []
+    at = collections.defaultdict(list)
+    for i in range(len(w) - 2):
+        at[tuple(w[i : i + 3])].append(i)
+    for label, text, base in [(*p, True) for p in licenses.PHRASES] + [(*t, False) for t in licenses.TEMPLATES]:
+        t = fx.ALNUM.findall(fx.low(text))
+        votes = collections.defaultdict(list)
+        for q in range(len(t) - 2):
+            for p in at.get(tuple(t[q : q + 3]), []):
+                votes[p - q].append((p, q))
+        groups = []
+        for d in sorted(votes):
+            if base or not groups or d - groups[-1][-1] > licenses.DRIFT:
+                groups.append([])
+            groups[-1].append(d)
+        for g in groups:
+            places = [v for d in g for v in votes[d]]
+            windows, first, last = {q for _, q in places}, min(p for p, _ in places), max(p for p, _ in places) + 2
+            cover = len({q + j for q in windows for j in range(3)}) / len(t)
+            if len(windows) == len(t) - 2 if base else cover >= licenses.COVER and last - first < len(t) + licenses.DRIFT * len(g):
+                spans.append((label, base, first, last, cover))
+    kept = [s for s in spans if s[1] or not any(not o[1] and o[2] <= s[3] and s[2] <= o[3] and o[4] > s[4] for o in spans)]
+    return len(w), ",".join(sorted({s[0] for s in kept})), max([s[4] for s in kept], default=0.0)
+
+
+def test_licenses_by_brute_force(spark, docs):
+    r = random.Random(8)
+    rows = [(i, t, "en") for i, t, _ in fx.odd_rows()]
+    for i in range(150):
+        parts = []
+        for _ in range(r.randrange(1, 9)):
+            words = r.choice([*licenses.TEMPLATES, *licenses.PHRASES])[1].split()
+            words = [w for w in words if r.random() > r.choice([0, 0, 0.04])]
+            for _ in range(r.choice([0, 0, 1, 2])):
+                words.insert(r.randrange(len(words) + 1), r.choice(["the", "license", "extra", "software"]))
+            parts += [" ".join(words[: r.choice([len(words)] * 3 + [len(words) // 2])]), fx.prose(i, r.choice([0, 0, 3]))]
+        rows.append((r.choice([None, 1000 + i, 1000 + i, 1000]), " ".join(parts), "en"))
+    rows += [rows[-1], rows[-1], (2000, "This work is licensed under the GNU General Public License, version 3. " * 400, "en")]
+    got = licenses.digest(licenses.scanned(fx.documents(spark, rows)))
+    want = sorted(((i, *brute_licenses(t)) for i, t, _ in rows), key=key)
+    have = by_rows(got, "doc_id", "n_words", "labels", "score")
+    assert [x[:3] for x in have] == [x[:3] for x in want] and all(abs(x[3] - y[3]) < 1e-12 for x, y in zip(have, want))
+
+
 # -- 9 ----------------------------------------------------------------------------------------------------------------
 
 
