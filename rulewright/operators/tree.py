@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import dropped, written
+
 
 @dataclass
 class Node:
@@ -27,37 +29,42 @@ class Node:
         return dict(sorted(((c, x) for c, x in p.items() if x >= least), key=lambda x: (-x[1], x[0])))
 
     def to_json(self) -> str:
-        return json.dumps(self, default=lambda n: {k: v for k, v in n.__dict__.items() if v not in (None, {})})
+        """A line for each node, its children by number: rule lists make trees too deep to be written one within the other."""
+        nodes = _nodes(self)
+        at = {id(n): i for i, n in enumerate(nodes)}
+        return json.dumps([{k: at[id(v)] if isinstance(v, Node) else v for k, v in n.__dict__.items() if v not in (None, {})} for n in nodes])
 
     @classmethod
     def from_json(cls, text: str) -> Node:
-        def node(x):
-            return cls(**{k: node(v) if k in ("yes", "no") else v for k, v in x.items()})
-
-        return node(json.loads(text))
+        rows = json.loads(text)
+        nodes = [cls() for _ in rows]
+        for node, row in zip(nodes, rows):
+            node.__dict__.update({k: nodes[v] if k in ("yes", "no") else v for k, v in row.items()})
+        return nodes[0]
 
 
-def _split_rules(traces: list[tuple[frozenset, int]], rules: list[int], least: int) -> Node:
-    """Distinct traces with their counts, split by rules in order where both sides are large enough."""
-    for i, r in enumerate(rules):
-        yes = [t for t in traces if r in t[0]]
-        n_yes, n_all = sum(n for _, n in yes), sum(n for _, n in traces)
-        if n_yes >= least and n_all - n_yes >= least:
-            no = [t for t in traces if r not in t[0]]
-            return Node(rule=r, yes=_split_rules(yes, rules[i + 1 :], least), no=_split_rules(no, rules[i + 1 :], least))
-    return Node(leaf=-1)
+def _nodes(root: Node) -> list[Node]:
+    """All nodes, each before what is below it, yes before no."""
+    out, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        out.append(node)
+        todo += [n for n in (node.no, node.yes) if n is not None]
+    return out
 
 
 def leaf_of(node: Node) -> Column:
-    """The number of the leaf that a row (with ``trace`` and features) comes to."""
-    if node.leaf is not None:
-        return F.lit(node.leaf)
-    test = F.array_contains("trace", node.rule) if node.rule is not None else F.col(node.feature) == node.value
-    return F.when(test, leaf_of(node.yes)).otherwise(leaf_of(node.no))
+    """The number of the leaf that a row (with ``trace`` and features) comes to: a CASE for each run of no-branches."""
+    found = None
+    while node.leaf is None:
+        test = F.array_contains("trace", node.rule) if node.rule is not None else F.col(node.feature) == node.value
+        found = F.when(test, leaf_of(node.yes)) if found is None else found.when(test, leaf_of(node.yes))
+        node = node.no
+    return F.lit(node.leaf) if found is None else found.otherwise(F.lit(node.leaf))
 
 
-def _leaves(node: Node) -> list[Node]:
-    return [node] if node.leaf is not None else _leaves(node.yes) + _leaves(node.no)
+def _leaves(root: Node) -> list[Node]:
+    return [n for n in _nodes(root) if n.leaf is not None]
 
 
 def _number(root: Node) -> dict[int, Node]:
@@ -67,18 +74,58 @@ def _number(root: Node) -> dict[int, Node]:
     return dict(enumerate(found))
 
 
+def _split_rules(df: DataFrame, least: int) -> Node:
+    """Samples split by rules in order, where both sides have ``least`` samples or more.
+
+    A round splits all open leaves at once, each by the first rule after its last one that can; so there are as many
+    rounds as a sample has splits at most. Rounds run over distinct traces with their counts, which stay in Spark: what
+    comes back is a rule for each leaf that is split.
+    """
+    spark, root = df.sparkSession, Node(leaf=0)
+    used = df.select(F.explode(F.array_distinct("trace")).alias("_rule")).groupBy("_rule").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).select("_rule")
+    raw = df.groupBy(F.array_sort(F.array_distinct("trace")).alias("_raw")).agg(F.count(F.lit(1)).alias("n"))
+    marked = raw.select("_raw", "n", F.explode("_raw").alias("_rule")).join(used, "_rule").groupBy("_raw", "n").agg(F.sort_array(F.collect_list("_rule")).alias("t"))
+    traces = marked.groupBy("t").agg(F.sum("n").alias("n"))
+    every = df.count()
+    traces = written(traces.withColumn("leaf", F.lit(0)), "traces")  # samples without such a rule only count
+    open_leaves, sizes, number = {0: root}, {0: every}, 0
+    while open_leaves:
+        fired = traces.select("leaf", "n", F.explode("t").alias("rule")).groupBy("leaf", "rule").agg(F.sum("n").alias("yes"))
+        total = spark.createDataFrame(list(sizes.items()), "leaf int, total long")
+        can = fired.join(total, "leaf").where((F.col("yes") >= least) & (F.col("total") - F.col("yes") >= least))
+        splits = can.groupBy("leaf").agg(F.min_by(F.struct("rule", "yes"), "rule").alias("s")).select("leaf", "s.*").collect()
+        moves, open_next, sizes_next = [], {}, {}
+        for r in splits:
+            node = open_leaves[r.leaf]
+            node.leaf, node.rule, node.yes, node.no = None, r.rule, Node(leaf=-1), Node(leaf=-1)
+            for side, n in ((node.yes, r.yes), (node.no, sizes[r.leaf] - r.yes)):
+                number += 1
+                open_next[number], sizes_next[number] = side, n
+            moves.append((r.leaf, r.rule, number - 1, number))
+        if moves:
+            # Rows of leaves that aren't split any more, and rules up to a leaf's last one, are done with.
+            table = spark.createDataFrame(moves, "leaf int, rule int, yes int, no int")
+            moved = traces.join(table, "leaf").select(
+                F.filter("t", lambda x: x > F.col("rule")).alias("t"), "n", F.when(F.array_contains("t", F.col("rule")), F.col("yes")).otherwise(F.col("no")).alias("leaf")
+            ).where(F.size("t") > 0)
+            after = written(moved.groupBy("leaf", "t").agg(F.sum("n").alias("n")).select("t", "n", "leaf"), "traces")
+            dropped(traces)
+            traces = after
+        open_leaves, sizes = open_next, sizes_next
+    dropped(traces)
+    return root
+
+
 def grow(df: DataFrame, truth: str, n_rules: int, features: list[str] = (), least: int = 10, least_feature: int = 10, gain: float = 0.05, depth: int = 3) -> Node:
-    """A tree for samples with ``trace``. Rule splits need the counts of the rules that fired only; then each round finds,
-    in one aggregation over all leaves, the feature value that lowers each leaf's entropy most, and splits there if by
-    at least ``gain`` bits."""
-    used = [r.rule for r in df.select(F.explode("trace").alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("rule").orderBy("rule").collect()]
-    keep = F.array_sort(F.array_intersect("trace", F.array(*[F.lit(r) for r in used]).cast("array<int>"))) if used else F.array().cast("array<int>")
-    patterns = [(frozenset(r.t), r.n) for r in df.groupBy(keep.alias("t")).agg(F.count(F.lit(1)).alias("n")).collect()]
-    root = _split_rules(patterns, used, least)
+    """A tree for samples with ``trace``: split by rules, then by features. Each round of the latter finds, in one
+    aggregation over all leaves, the feature value that lowers each leaf's entropy most, and splits there if by at least
+    ``gain`` bits. Gains are compared to nine places; of equal ones the last feature and value count. Null features,
+    states and traces: a null equals no value, and a null trace has no rule. No samples: one leaf without counts.
+    ``n_rules`` isn't needed and stays for callers' sake."""
+    root = _split_rules(df, least)
     for _ in range(depth if features else 0):
         leaves = _number(root)
         at = df.withColumn("leaf", leaf_of(root))
-        entropy = lambda part: -F.sum(F.when(F.col(part) > 0, F.col(part) * F.log2(F.col(part) / F.col("t"))).otherwise(0.0))
         cls = at.groupBy("leaf", F.col(truth).alias("cls")).agg(F.count(F.lit(1)).alias("all"))
         pairs = at.select("leaf", F.col(truth).alias("cls"), F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).alias("v")) for f in features])).alias("x"))
         yes = pairs.groupBy("leaf", "x", "cls").agg(F.count(F.lit(1)).alias("yes"))
@@ -87,7 +134,7 @@ def grow(df: DataFrame, truth: str, n_rules: int, features: list[str] = (), leas
         cells = sizes.join(cls, "leaf").join(yes, ["leaf", "x", "cls"], "left").withColumn("yes", F.coalesce("yes", F.lit(0)))
         part = lambda n, t: F.sum(F.when(F.col(n) > 0, F.col(n) * F.log2(F.col(t) / F.col(n))).otherwise(0.0))
         cells = cells.withColumn("no", F.col("all") - F.col("yes")).withColumn("t_no", F.col("t") - F.col("t_yes"))
-        gains = cells.groupBy("leaf", "x", "t").agg(((part("all", "t") - part("yes", "t_yes") - part("no", "t_no")) / F.first("t")).alias("gain"))
+        gains = cells.groupBy("leaf", "x", "t").agg(((part("all", "t") - part("yes", "t_yes") - part("no", "t_no")) / F.first("t")).alias("_g")).withColumn("gain", F.round("_g", 9))
         best = gains.groupBy("leaf").agg(F.max_by(F.struct("x", "gain"), F.struct("gain", "x")).alias("b")).where(F.col("b.gain") >= gain).collect()
         for r in best:
             n = leaves[r.leaf]

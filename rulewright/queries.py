@@ -547,6 +547,27 @@ def prob_tree(spark, sf_dir):
     return out.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.round(F.first(F.array_max(F.map_values("probabilities"))), 6).alias("p"))
 
 
+def _tree_sql(least: int, gain: float, rounds: int, classes: int) -> str:
+    """Leaves as paths of 0 for yes and 1 for no, so that their order is that of their numbers. A rule that can't split a leaf adds nothing."""
+    parts, at = [f"WITH {EVENT_SQL}, {_rule_sql(_event_rules(), 'samples')}, p AS (SELECT kind, truth, [{', '.join(f'f_{i}' for i in range(len(EVENT_RULES)))}] AS fired, '' AS leaf FROM s{len(EVENT_RULES) - 1})"], "p"
+    for i in range(1, len(EVENT_RULES) + 1):
+        parts.append(f"""r{i} AS (SELECT kind, truth, fired, leaf || CASE WHEN y >= {least} AND t - y >= {least} THEN CASE WHEN fired[{i}] THEN '0' ELSE '1' END ELSE '' END AS leaf
+  FROM (SELECT *, count(*) OVER (PARTITION BY leaf) AS t, count(*) FILTER (WHERE fired[{i}]) OVER (PARTITION BY leaf) AS y FROM {at}))""")
+        at = f"r{i}"
+    for i in range(rounds):
+        term = "sum(CASE WHEN {0} > 0 THEN {0} * log2({1} / {0}) ELSE 0 END)"
+        parts.append(f"""c{i} AS (SELECT leaf, truth, CAST(count(*) AS DOUBLE) AS n, sum(count(*)) OVER (PARTITION BY leaf) AS t FROM {at} GROUP BY leaf, truth),
+y{i} AS (SELECT leaf, kind, truth, CAST(count(*) AS DOUBLE) AS y, sum(count(*)) OVER (PARTITION BY leaf, kind) AS ty FROM {at} GROUP BY leaf, kind, truth),
+k{i} AS (SELECT DISTINCT leaf, kind, CAST(ty AS DOUBLE) AS ty FROM y{i}),
+x{i} AS (SELECT c.leaf, k.kind, c.n, CAST(c.t AS DOUBLE) AS t, coalesce(y.y, 0) AS y, k.ty, c.n - coalesce(y.y, 0) AS z, c.t - k.ty AS tz FROM c{i} c JOIN k{i} k USING (leaf) LEFT JOIN y{i} y ON y.leaf = c.leaf AND y.kind = k.kind AND y.truth = c.truth WHERE k.ty >= {least} AND c.t - k.ty >= {least}),
+g{i} AS (SELECT leaf, kind, round(({term.format('n', 't')} - {term.format('y', 'ty')} - {term.format('z', 'tz')}) / any_value(t), 9) AS gain FROM x{i} GROUP BY leaf, kind),
+b{i} AS (SELECT leaf, kind AS best FROM g{i} WHERE gain >= {gain} QUALIFY row_number() OVER (PARTITION BY leaf ORDER BY gain DESC, kind DESC) = 1),
+d{i} AS (SELECT kind, truth, l.leaf || CASE WHEN best IS NULL THEN '' WHEN kind = best THEN '0' ELSE '1' END AS leaf FROM {at} l LEFT JOIN b{i} b USING (leaf))""")
+        at = f"d{i}"
+    return ", ".join(parts) + f""" SELECT CAST(row_number() OVER (ORDER BY leaf) - 1 AS INTEGER) AS leaf, CAST(sum(n) AS BIGINT) AS n, round((max(n) + 0.1) / (sum(n) + {classes} * 0.1), 6) AS p
+FROM (SELECT leaf, truth, CAST(count(*) AS DOUBLE) AS n FROM {at} GROUP BY leaf, truth) GROUP BY leaf"""
+
+
 def _bracket_samples(spark, sf_dir):
     from pyspark.sql.window import Window
 
@@ -639,6 +660,7 @@ ORACLES = {
     "unseen_bigrams": UNSEEN_BIGRAM_SQL,
     "merged_lexicons": MERGED_SQL,
     "bracket_shortest": BRACKET_SQL,
+    "prob_tree": _tree_sql(10, 0.0005, 2, 6),
     "constraint_filter": CONSTRAINT_SQL,
     "score_rules_seq": SEQ_SCORE_SQL,
     "collapse_samples": f"WITH {LINE_SQL} SELECT * FROM collapsed",

@@ -1,5 +1,7 @@
 """Small corpora worked out by hand, and properties of learning."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -258,6 +260,40 @@ def test_tree(spark):
     assert tree.classified(df, root, 2).where("leaf = 0").count() == 12
 
 
+def test_tree_by_brute_force(spark):
+    """Leaves and their counts are those of splitting all rows rule by rule, nulls among them."""
+    r = random.Random(4)
+    rows = [(i, 0, None if i % 50 == 0 else [k for k in range(8) if r.random() < (0.02, 0.9, 0.5, 0.3, 0.1, 0.97, 0.4, 0.2)[k]], r.choice("abc"), r.choice("XYZ")) for i in range(400)]
+    df = spark.createDataFrame(rows, "seq int, pos int, trace array<int>, f string, tr string")
+
+    def split(part, rules):
+        for n, k in enumerate(rules):
+            yes = [x for x in part if k in (x[2] or [])]
+            if len(yes) >= 20 and len(part) - len(yes) >= 20:
+                return split(yes, rules[n + 1 :]) + split([x for x in part if k not in (x[2] or [])], rules[n + 1 :])
+        return [sorted(x[0] for x in part)]
+
+    root = tree.grow(df, "tr", 8, least=20)
+    got = {}
+    for x in tree.classified(df, root, 3).select("leaf", "seq").collect():
+        got.setdefault(x.leaf, []).append(x.seq)
+    assert [sorted(got[k]) for k in sorted(got)] == split(rows, range(8)) and len(got) > 5
+    empty = tree.grow(df.limit(0), "tr", 8, ["f"])
+    assert (empty.leaf, empty.counts) == (0, {})
+
+
+def test_deep_tree(spark):
+    """Long lists split one leaf after another; such a tree is written, read and used as it is."""
+    root = node = tree.Node(leaf=0)
+    for k in range(1500):
+        node.leaf, node.rule, node.yes, node.no = None, k, tree.Node(leaf=k), tree.Node(leaf=1500)
+        node = node.no
+    again = tree.Node.from_json(root.to_json())
+    assert [n.leaf for n in tree._leaves(again)] == list(range(1501))
+    df = spark.createDataFrame([([7, 9],), ([1499],), ([],), (None,)], "trace array<int>")
+    assert [r.leaf for r in df.select(tree.leaf_of(again).alias("leaf")).collect()] == [7, 1499, 1500, 1500]
+
+
 def test_stream(spark, tmp_path):
     df = samples(spark, "a/A/A a/A/A\na/A/A")
     streaming.nested(df, SCHEMA).write.parquet(str(tmp_path / "in"))
