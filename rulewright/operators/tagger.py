@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.spec import Rule, Templates
+from ..sources import text
 from . import lexicon as lex
 from .apply import apply_rules
 from .learn import Limits, learn
@@ -26,6 +27,16 @@ class Tagger:
     proper: str
 
 
+def loaded(spark: SparkSession, lexicon: str, words: list[str], lexical: str, context: str, common: str, proper: str, bigrams: str | None = None, names: dict[str, str] | None = None) -> Tagger:
+    """A tagger from the files that training leaves elsewhere: a lexicon, lists of known words (one a line), two rule lists and a
+    configuration of bigram files. Columns that rules call otherwise are renamed; without bigrams, atoms of them never hold."""
+    known = text.read_lexicon(spark, lexicon).groupBy("length", "key").agg(F.max_by("classes", "line").alias("classes"))
+    vocabulary = spark.read.text(words).select(F.trim("value").alias("word")).where("word <> ''").distinct()
+    pairs = text.read_bigrams(spark, bigrams) if bigrams else spark.createDataFrame([], "left string, right string")
+    first, second = ([r.renamed(names or {}) for r in text.read_rules(spark, path)] for path in (lexical, context))
+    return Tagger(known, vocabulary, pairs, first, second, common, proper)
+
+
 def train(df: DataFrame, word: str, lexical: Templates, context: Templates, first: Column, common: str, proper: str, lexical_limits: Limits = Limits(), context_limits: Limits = Limits()) -> Tagger:
     """df has seq, pos, word, state and truth. ``first`` picks the sequences whose lexicon the others' new words lack."""
     schema = context.schema
@@ -44,11 +55,14 @@ def train(df: DataFrame, word: str, lexical: Templates, context: Templates, firs
     return Tagger(lex.build(df, [word], truth), vocab, pairs, lexical_rules, context_rules, common, proper)
 
 
-def tag(df: DataFrame, word: str, tagger: Tagger, schema, constrain_above: int | None = None, least_redundant: int | None = None) -> DataFrame:
+def tag(
+    df: DataFrame, word: str, tagger: Tagger, schema, constrain_above: int | None = None, least_redundant: int | None = None,
+    constraints: list[tuple[tuple[str, ...], str, DataFrame]] | None = None,
+) -> DataFrame:
     """df with its state filled: unknown words by the lexical rules, all by the lexicon, then by the contextual rules.
 
-    With ``constrain_above``, words that training saw more often may only get classes they had there; with ``least_redundant``, rules
-    that learning added without a good row are left out below that score.
+    With ``constrain_above``, words that training saw more often may only get classes they had there (``constraints`` are as for
+    apply_rules); with ``least_redundant``, rules that learning added without a good row are left out below that score.
     """
     lists = [r if least_redundant is None else confident(r, least_redundant) for r in (tagger.lexical, tagger.context)]
     state = schema.states[0]
@@ -57,10 +71,10 @@ def tag(df: DataFrame, word: str, tagger: Tagger, schema, constrain_above: int |
     guessed = lex.build(apply_rules(rows, lists[0], schema, tagger.vocabulary, tagger.bigrams), [word], state)
     full = lex.merged(tagger.lexicon, guessed)
     start = lex.most_likely(df, full, [[word]], state, tagger.common, tagger.proper)
-    limits = None
+    limits = list(constraints or [])
     if constrain_above is not None:
         often = tagger.lexicon.where((F.col("length") == 1) & (F.col("n") > constrain_above))
-        limits = [((word,), schema.truths[0], often.select(F.col("key")[0].alias(word), F.col("classes").alias("allowed")))]
+        limits.append(((word,), schema.truths[0], often.select(F.col("key")[0].alias(word), F.col("classes").alias("allowed"))))
     return apply_rules(start, lists[1], schema, tagger.vocabulary, tagger.bigrams, limits)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column
 
@@ -201,6 +201,12 @@ class Rule:
     def fake(self) -> bool:
         return FAKE in self.results
 
+    def renamed(self, names: dict[str, str]) -> Rule:
+        """The same rule over columns called otherwise: ``pos``, say, is a place here and a part of speech elsewhere."""
+        to = lambda c: names.get(c, c)
+        atoms = tuple(Atom(**{**a.__dict__, "columns": tuple(map(to, a.columns))}) for a in self.atoms)
+        return replace(self, atoms=atoms, targets=tuple(map(to, self.targets)))
+
     def text(self) -> str:
         left = " ".join(f"{a.text}={a.shown(v)}" for a, v in zip(self.atoms, self.values))
         return f"GOOD:{self.good} BAD:{self.bad} SCORE:{self.score} RULE: {left} => " + " ".join(f"{t}={v}" for t, v in zip(self.targets, self.results))

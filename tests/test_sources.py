@@ -8,7 +8,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from rulewright.operators import evaluate, lexicon
+from rulewright.operators import evaluate, lexicon, tagger
 from rulewright.operators.apply import apply_rules
 from rulewright.operators.tree import Node
 from rulewright.operators.wide import wide
@@ -121,3 +121,17 @@ def test_shipped_chunking(spark, folder, name, tokens):
     assert got.count() == tokens
     assert got.where("chunk <> wanted").count() == 0
     got.unpersist()
+
+
+@pytest.mark.skipif(not os.path.isdir(EXAMPLES), reason="no examples")
+def test_shipped_tagging(spark):
+    """Published output of both stages: a lexicon, rules for words it lacks, what these give as more of a lexicon, rules of context."""
+    at = f"{EXAMPLES}/test-cases/pos-tagging1"
+    schema, own = TaskSchema.parse("word tag => truth"), f"{at}/my_pos_dir1"
+    df = text.read_samples(spark, f"{at}/22", schema, fields=["word", "truth"]).withColumn("tag", F.lit("-"))
+    model = tagger.loaded(spark, f"{own}/word_pos.lexicon", [f"{own}/BIGWORDLIST"], f"{own}/lexical.rls", f"{own}/context.rls", "NN", "NNP", names={"pos": "tag"})
+    assert (len(model.lexical), len(model.context)) == (133, 305)
+    limits = text.read_constraints(spark, f"word truth {own}/word_pos.5.lexicon")
+    got = [(r.word, r.tag) for r in tagger.tag(df, "word", model, schema, constraints=limits).orderBy("seq", "pos").collect()]
+    wanted = text.read_samples(spark, f"{at}/22.out", schema, fields=["word", "tag", "truth"])
+    assert len(got) == 23_230 and got == [(r.word, r.tag) for r in wanted.orderBy("seq", "pos").collect()]
