@@ -12,6 +12,10 @@ from pyspark.sql.window import Window
 from ..functions.columns import by_seq
 
 
+#: Logarithms of probabilities that differ by less are equal: sums of the same ones in another order do.
+TIE = 1e-9
+
+
 def shortest_spans(df: DataFrame, weight: float = 0.5) -> DataFrame:
     """df (seq, pos, p_open, p_close) with ``label`` (O, B, I, E): a token with p_close of at least ``weight`` closes the last
     token that could open since the close before it."""
@@ -33,7 +37,8 @@ def best_spans(df: DataFrame, lengths: dict[int, float] | None = None, longest:
 
     A span costs its opening, its closing and what lies inside without brackets, times the prior of its length; other
     tokens their having none. Spans have at most ``longest`` tokens; None: any number. Without prior and limit, the best opening
-    so far is kept, which is linear; else all starts are tried. A sequence is the unit of work.
+    so far is kept, which is linear; else all starts are tried. Of equally probable ones, no span comes before a span and a longer
+    span before a shorter one. A sequence is the unit of work.
     """
 
     def solve(group: pd.DataFrame) -> pd.DataFrame:
@@ -49,7 +54,7 @@ def best_spans(df: DataFrame, lengths: dict[int, float] | None = None, longest:
         for j in range(1, n + 1):  # best labelling of the first j tokens
             best[j], came[j] = best[j - 1] + no[j - 1] + nc[j - 1], -1
             if lengths is None and longest is None:
-                if j > 1 and best[j - 2] + lo[j - 2] + nc[j - 2] - free[j - 1] > value:
+                if j > 1 and best[j - 2] + lo[j - 2] + nc[j - 2] - free[j - 1] > value + TIE:
                     start, value = j - 2, best[j - 2] + lo[j - 2] + nc[j - 2] - free[j - 1]
                 starts = [start, j - 1] if start >= 0 else [j - 1]
             else:
@@ -57,7 +62,7 @@ def best_spans(df: DataFrame, lengths: dict[int, float] | None = None, longest:
             for i in starts:
                 prior = 0.0 if lengths is None else math.log(max(lengths.get(j - i, 0.0), 1e-12))
                 ends = lo[i] + lc[i] if j - i == 1 else lo[i] + nc[i] + no[j - 1] + lc[j - 1] + free[j - 1] - free[i + 1]
-                if best[i] + ends + prior > best[j]:
+                if best[i] + ends + prior > best[j] + TIE:
                     best[j], came[j] = best[i] + ends + prior, i
         labels, j = ["O"] * n, n
         while j > 0:

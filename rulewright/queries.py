@@ -586,8 +586,37 @@ e AS (SELECT *, max(pos) FILTER (WHERE opens) OVER w AS first, max(pos) FILTER (
 SELECT CASE WHEN last IS NULL OR first IS NULL OR pos < first THEN 'O' WHEN pos = first THEN 'B' WHEN pos = last THEN 'E' ELSE 'I' END AS label, count(*) AS n FROM e GROUP BY 1"""
 
 
+LENGTHS = {1: 0.2, 2: 0.4, 3: 0.3, 4: 0.1}
+
+
 def bracket_decode(spark, sf_dir):
-    return brackets.best_spans(_bracket_samples(spark, sf_dir), {1: 0.2, 2: 0.4, 3: 0.3, 4: 0.1}).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return brackets.best_spans(_bracket_samples(spark, sf_dir), LENGTHS).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _decode_sql(lengths: dict[int, float]) -> str:
+    """A step for each token: the best labels up to it with their numbers, and the best labels with a span open for 1, 2, .. tokens.
+
+    Spans longer than all of ``lengths`` share a prior, so of those the best is enough. Of equal ones the longest span counts, but
+    no span before any.
+    """
+    longest = max(lengths)
+    kept = lambda at, v, n: f"{{'v': {v}, 'o': {at}.o, 'b': {at}.b, 'i': {at}.i, 'e': {at}.e, 'n': {n}}}"
+    closed = lambda k, prior: f"{{'v': o{k}.v + no + lc + ln({prior}), 'o': o{k}.o, 'b': o{k}.b + 1, 'i': o{k}.i + o{k}.n - 1, 'e': o{k}.e + 1, 'n': 0}}"
+    ends = ["{'v': best.v + no + nc, 'o': best.o + 1, 'b': best.b, 'i': best.i, 'e': best.e, 'n': 0}", closed(longest, 1e-12)]
+    ends += [closed(k, lengths[k + 1]) for k in range(longest - 1, 0, -1)]
+    ends.append(f"{{'v': best.v + lo + lc + ln({lengths[1]}), 'o': best.o, 'b': best.b + 1, 'i': best.i, 'e': best.e, 'n': 0}}")
+    choice = f"list_reduce([{', '.join(ends)}], lambda x, y: CASE WHEN y.v > x.v + {brackets.TIE} THEN y ELSE x END)"
+    none = "{'v': CAST('-infinity' AS DOUBLE), 'o': 0, 'b': 0, 'i': 0, 'e': 0, 'n': 0}"
+    steps = [kept("best", "best.v + lo + nc", "1")] + [kept(f"o{k}", f"o{k}.v + no + nc", f"o{k}.n + 1") for k in range(1, longest)]
+    older = kept(f"o{longest}", f"o{longest}.v + no + nc", f"o{longest}.n + 1")
+    steps[-1] = f"CASE WHEN o{longest}.v >= o{longest - 1}.v - {brackets.TIE} THEN {older} ELSE {steps[-1]} END"
+    logs = ", ".join(f"ln(greatest(least({x}, 1 - 1e-12), 1e-12)) AS {n}" for x, n in (("p", "lo"), ("q", "lc"), ("1 - p", "no"), ("1 - q", "nc")))
+    return f"""WITH RECURSIVE t AS (SELECT user_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS j, CAST((event_id * 31) % 97 AS DOUBLE) / 100 AS p, CAST((event_id * 57) % 97 AS DOUBLE) / 100 AS q FROM events),
+l AS (SELECT seq, j, {logs} FROM t),
+r AS (SELECT seq, CAST(0 AS BIGINT) AS j, {none.replace("CAST('-infinity' AS DOUBLE)", "CAST(0 AS DOUBLE)")} AS best, {", ".join(f"{none} AS o{k}" for k in range(1, longest + 1))} FROM (SELECT DISTINCT seq FROM t)
+  UNION ALL SELECT r.seq, l.j, {choice}, {", ".join(steps)} FROM r JOIN l ON l.seq = r.seq AND l.j = r.j + 1),
+f AS (SELECT seq, arg_max(best, j) AS best FROM r GROUP BY seq), n AS (SELECT unnest(['O', 'B', 'I', 'E']) AS label, unnest([sum(best.o), sum(best.b), sum(best.i), sum(best.e)]) AS n FROM f)
+SELECT label, CAST(n AS BIGINT) AS n FROM n WHERE n > 0"""
 
 
 def ancestors(spark, sf_dir):
@@ -660,6 +689,7 @@ ORACLES = {
     "unseen_bigrams": UNSEEN_BIGRAM_SQL,
     "merged_lexicons": MERGED_SQL,
     "bracket_shortest": BRACKET_SQL,
+    "bracket_decode": _decode_sql(LENGTHS),
     "prob_tree": _tree_sql(10, 0.0005, 2, 6),
     "constraint_filter": CONSTRAINT_SQL,
     "score_rules_seq": SEQ_SCORE_SQL,
