@@ -16,14 +16,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import pick, table, without, written
+from .common import SENT_KEYS, pick, table, without, written
 
 WINDOW, SHINGLE = 10, 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Characters of the benchmark's windows up to which these are sent to every task; with more, both sides are shuffled.
 SENT_CHARS = 64 << 20
-#: Places to verify up to which they are sent to every task.
-SENT_PLACES = 100_000
 
 
 def words_of(text: Column) -> Column:
@@ -78,12 +76,14 @@ def occurrences(docs: DataFrame, windows: DataFrame, id_col: str, text_col: str)
         found = every(k, "id", "key", "n").join(own, F.col("shingle") == F.col("prefix")).withColumn("start", F.col("place") - F.col("at"))
         places = places.unionByName(found.where("start >= 0 and start + size <= n").select("id", "key", "window", "size", "start"))
     places = written(places, "places")
-    # verified on the words of texts that have such a place
+    # verified on the words of texts that have such a place: their keys, which are small, choose them, so that no other text is shuffled
     by_text = places.groupBy(F.col("id").alias("_id"), F.col("key").alias("_key")).agg(F.collect_set(F.struct("window", "size", "start")).alias("p"))
     by_text = written(by_text, "texts")
-    by_text = F.broadcast(by_text) if places.count() <= SENT_PLACES else by_text
     texts = pick(docs, id_col, text_col).toDF("id", "text").withColumn("key", F.xxhash64("text"))
-    worded = texts.join(by_text, F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))).select("id", "key", "p", words_of(F.col("text")).alias("w"))
+    own_text = F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))
+    if by_text.count() <= SENT_KEYS:
+        texts = texts.join(F.broadcast(by_text.select("_id", "_key")), own_text, "left_semi")
+    worded = texts.join(by_text, own_text).select("id", "key", "p", words_of(F.col("text")).alias("w"))
     same = F.filter("p", lambda x: F.array_join(F.slice("w", x["start"] + 1, x["size"]), " ") == x["window"])
     held = worded.select("id", "key", F.explode(same).alias("x")).select("id", "key", "x.window", "x.size", "x.start")
     return written(held, "occurrences"), send
