@@ -18,8 +18,6 @@ from .common import pick, shuffle_partitions, table, written
 BITS, SHARDS = 4, 40
 #: Accuracy of the quantiles that cut a dimension; only the curve's fairness depends on it.
 ACCURACY = 1000
-#: Values of a text dimension, and characters of each, from which its limits are taken; only the curve's fairness depends on them.
-SAMPLED, SAMPLED_CHARS = 10_000, 256
 
 
 def hilbert_index(axes: np.ndarray, bits: int) -> np.ndarray:
@@ -51,11 +49,20 @@ def hilbert_index(axes: np.ndarray, bits: int) -> np.ndarray:
 
 
 def text_limits(df: DataFrame, col: str, n: int) -> list[str]:
-    """Up to n values that cut a text dimension into parts of like size: from SAMPLED values whose hashes are least, of which
-    the first SAMPLED_CHARS characters count."""
-    values = df.where(F.col(col).isNotNull()).select(F.left(col, F.lit(SAMPLED_CHARS)).alias("v"), F.xxhash64(*df.columns).alias("h"))
-    sample = sorted((r["v"] for r in values.orderBy("h", "v").limit(SAMPLED).select("v").toLocalIterator()), key=str.encode)
-    return sorted({sample[len(sample) * i // (n + 1)] for i in range(1, n + 1)} if sample else (), key=str.encode)
+    """Up to n values that cut a text dimension into parts of like size: those at n places of all whole values in order. Counts of
+    values are sorted by ranges; a row for each range says how many rows stand before it."""
+    spark = df.sparkSession
+    counts = df.select(F.col(col).alias("v")).where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    ranged = counts.repartitionByRange(shuffle_partitions(spark), "v").sortWithinPartitions("v")
+    kept = written(ranged.withColumn("place", F.monotonically_increasing_id()), "values").withColumn("part", F.shiftright("place", 33))
+    sizes = kept.groupBy("part").agg(F.sum("n").alias("size"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    starts = sizes.select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))
+    total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("total"))
+    upto = F.col("start") + F.sum("n").over(Window.partitionBy("part").orderBy("place"))
+    summed = kept.join(F.broadcast(starts), "part").withColumn("upto", upto).crossJoin(F.broadcast(total))
+    held = F.expr(f"exists(sequence(1L, {n}L), i -> (total * i) div {n + 1} >= upto - n and (total * i) div {n + 1} < upto)")
+    return sorted((r["v"] for r in summed.where(held).select("v").collect()), key=str.encode)  # n rows at most
 
 
 def _number(df: DataFrame, col: str, kind: T.DataType, parts: int) -> Column:

@@ -11,6 +11,7 @@ import fixtures as fx
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from rulewright.llm import bpe, chat, common, decontaminate, katz, licenses, near_duplicates, quality, sharding, toxicity, url_rules
 
@@ -244,6 +245,114 @@ def test_text_dimensions_count_whole(spark):
     assert all(part[i] <= part[j] for i in range(100) for j in range(100) if level(i) < level(j))
 
 
+def test_text_limits_are_those_of_all_values(spark):
+    """More rows than any sample, values that differ far behind, ties and nulls: limits stand at their places among all of them."""
+    rows = spark.range(30_011).select("id", F.when(F.col("id") % 50 > 0, F.concat(F.lit("x" * 300), (F.col("id") * F.col("id") % 997).cast("string"))).alias("v"))
+    values = sorted("x" * 300 + str(i * i % 997) for i in range(30_011) if i % 50)
+    for n in (1, 15):
+        assert sharding.text_limits(rows, "v", n) == sorted({values[len(values) * i // (n + 1)] for i in range(1, n + 1)})
+    assert sharding.text_limits(rows.where("v is null"), "v", 15) == []
+
+
+def test_shards_prune_files(spark, docs, tmp_path):
+    df = fx.documents(spark, [(i, fx.prose(i, 3), "en") for i in range(2000)])
+    layout = sharding.hilbert_shards(df, "doc_id", "text", ["doc_id", "n_chars"])
+    spans = sharding.shard_ranges(df, layout, "doc_id", ["doc_id"]).collect()
+    assert sum(r.max_doc_id - r.min_doc_id for r in spans) < 0.5 * 40 * 2000
+    sharding.write_shards(df, layout, "doc_id", str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 2000
+
+
+# -- 4 ----------------------------------------------------------------------------------------------------------------
+
+
+def test_bpe_is_the_librarys(spark, docs):
+    tokenizers = pytest.importorskip("tokenizers")
+    path = bpe.vocabulary_path()
+    library = tokenizers.Tokenizer.from_file(path)
+    library.no_truncation(), library.no_padding()
+    r = random.Random(7)
+    wild = ["".join(r.choice(" \n\t'!aàÀ漢0９½ⅷ_-🙂‍́stre" + chr(r.randrange(32, 0x3000))) for _ in range(60)) for _ in range(150)]
+    special = ["<|endoftext|>", "a<|endoftext|> b<|endoftext|><|endoftext", "!!!!!!! ******* aaaaaaa       x", "he'll I'VE  don't\r\n\r\n "]
+    df = docs.unionByName(fx.documents(spark, [(900 + i, t, "x") for i, t in enumerate(wild + special)]))
+    got = sorted((key((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256)) for r in bpe.digests(bpe.round_trip(df, path)).collect()))
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    want = []
+    for i, t in [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]:
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        want.append(key((i, len(ids), sha(np.array(ids, "<u4").tobytes()), sha(library.decode(ids, skip_special_tokens=False).encode()))))
+    assert got == sorted(want)
+    coded = bpe.encode(docs, path)
+    strange = spark.createDataFrame([(1, bytearray(struct.pack("<3I", 5, 2**31, 60_000))), (2, None)], "doc_id long, ids binary")
+    assert by_rows(bpe.decode(strange, path), "doc_id", "text") == [(1, library.decode([5])), (2, "")]
+    assert by_rows(bpe.decode(coded, path), "doc_id", "text") == sorted(((i, t or "") for i, t, _ in fx.odd_rows()), key=key)
+    assert bpe.encode(docs.limit(0), path).count() == 0
+
+
+# -- 5 ----------------------------------------------------------------------------------------------------------------
+
+
+def shingles(t):
+    w = fx.SPACED.findall(fx.low(t))
+    return frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+
+
+def brute_components(rows):
+    sets = [shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            common_ = len(sets[i] & sets[j])
+            if sets[i] and 100 * common_ >= 75 * len(sets[i] | sets[j]) and sets[j]:
+                root[find(i)] = find(j)
+    groups = collections.defaultdict(list)
+    for i in range(len(rows)):
+        groups[find(i)].append(rows[i][0])
+    least = {g: min((x for x in ids if x is not None), default=None) for g, ids in groups.items()}
+    return sorted(((rows[i][0], len(sets[i]), least[find(i)] if sets[i] else rows[i][0]) for i in range(len(rows))), key=key)
+
+
+@pytest.mark.parametrize("few", [2, 8])
+def test_near_duplicates(spark, docs, few, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "FEW", few)
+    monkeypatch.setattr(near_duplicates, "CHUNK", 8)
+    common_part = fx.prose(99, 60)
+    rows = [(i, t) for i, t, _ in fx.odd_rows()]
+    # chains whose ends don't link, copies of copies, and documents that only share a passage
+    text = fx.prose(5, 150)
+    for i in range(30):
+        text = fx.edited(text, i, 0.02)
+        rows.append((100 + i, text))
+    rows += [(200 + i, fx.edited(fx.prose(6, 100), 50 + i, 0.01 * (i % 9))) for i in range(40)]
+    rows += [(300 + i, common_part + " " + fx.prose(1000 + i, 20)) for i in range(30)] + [(400 + i, " ".join(fx.prose(8, 40).split()[i:])) for i in range(20)]
+    df = fx.documents(spark, [(i, t, "en") for i, t in rows])
+    assert by_rows(near_duplicates.near_duplicates(df), "doc_id", "n_shingles", "component_id") == brute_components(rows)
+    kept = near_duplicates.one_of_each(df)
+    want = brute_components(rows)
+    sizes = [r for r in want if r[1]]
+    assert kept.columns == df.columns
+    assert kept.where("trim(text) <> ''").count() >= len({c for _, _, c in sizes}) - 2
+    left = [x for x in brute_components([(n, r.text) for n, r in enumerate(kept.select("text").collect())]) if x[1]]
+    assert len({c for _, _, c in left}) == len(left)  # no two texts that stay are linked, also not two of one id
+
+
+def test_sketch_distance_bounds_difference():
+    r = np.random.default_rng(3)
+    for _ in range(50):
+        a, b = (np.unique(r.integers(0, 1 << 62, r.integers(1, 300)).astype(np.uint64)) for _ in range(2))
+        b = np.unique(np.concatenate([b, a[: len(a) // 2]]))
+        assert near_duplicates.distance(near_duplicates.parity_bits(a), near_duplicates.parity_bits(b)) <= len(np.setxor1d(a, b))
+
+
+def test_near_duplicates_of_nothing(spark, docs):
+    assert near_duplicates.near_duplicates(docs.limit(0)).count() == 0
+    assert near_duplicates.one_of_each(docs.limit(0)).count() == 0
 
 
 # -- 6 ----------------------------------------------------------------------------------------------------------------
