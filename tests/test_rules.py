@@ -161,6 +161,20 @@ def test_atoms_instantiate(spark):
         assert [sorted(r[0]) for r in listed.select(values(a), "pos").orderBy("pos").collect()] == wanted
 
 
+def test_rows_of_a_frequent_word_stay_apart(spark):
+    """Word lists go to the rows; these aren't shuffled by their word."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(1000).selectExpr("id AS seq", "0 AS pos", "CASE WHEN id % 100 = 0 THEN 'b' ELSE 'a' END AS word")
+        pairs = spark.createDataFrame([("a", "x"), ("a", "b"), ("c", "d")], "left string, right string")
+        got = with_word_lists(rows, [parse_atom("word^^1")], None, pairs)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+        assert {(r.word, tuple(r[got.columns[-1]])) for r in got.collect()} == {("a", ("b", "x")), ("b", ())} and got.count() == 1000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_scores_are_error_changes(spark):
     df = samples(spark, "a/A/B b/A/A a/A/B\nc/B/B a/A/B b/A/B")
     t = Templates.parse("w => st\nw_-1 st => st", SCHEMA)
