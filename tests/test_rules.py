@@ -1,6 +1,7 @@
 """Small corpora worked out by hand, and properties of learning."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from rulewright.operators.apply import apply_rule, apply_rules, error_curve, loa
 from rulewright.operators.convert import chunk_template, tagger_rule
 from rulewright.operators.learn import TALLY, Limits, candidates, changes, learn, order, scored, tallied
 from rulewright.plans.spec import Rule, TaskSchema, Templates, parse_atom, parse_params, parse_rules, register_atom
-from rulewright.queries import learn_rules
+from rulewright.queries import QUERIES, learn_rules
 from rulewright.streaming import apply as streaming
 
 SCHEMA = TaskSchema.parse("w st => tr")
@@ -265,6 +266,30 @@ def test_lexicon_and_guess(spark):
     assert states(got) == ["Y", "NP", "nn"]
 
 
+@pytest.mark.parametrize("sent", [1000, 3, 0])
+def test_bigrams_of_arrays(spark, monkeypatch, sent):
+    """Few and many words, with and without words that are surely not among them, give what windows over tokens give; no window is needed."""
+    monkeypatch.setattr(lexicon, "SENT_WORDS", sent)
+    texts = ["a b a b c", "d", "", "c a b x y z x", "b b b", None, "y c"]
+    docs = spark.createDataFrame([(i, t.split() if t is not None else None) for i, t in enumerate(texts)], "seq long, words array<string>")
+    tokens = docs.select("seq", F.posexplode("words").alias("pos", "word"))
+    counts = tokens.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    for wanted in (["x", "b"], ["a", "x", "y", "z"], ["none"]):
+        words = spark.createDataFrame([(w,) for w in wanted], "word string")
+        never = lexicon.frequent_words(counts.join(words, "word", "left_anti"))
+        assert never.count() <= sent
+        plain = [t.split() for t in texts if t]
+        want = Counter((p, q) for w in plain for p, q in zip(w, w[1:]) if p in wanted or q in wanted)
+        for df in (lexicon.bigrams_with(docs, "words", words), lexicon.bigrams_with(docs, "words", words, never), lexicon.frequent_bigrams(lexicon.bigrams(tokens, "word"), words)):
+            assert {(r.left, r.right): r.n for r in df.collect()} == dict(want) and df.count() == len(want)
+        assert "Window" not in lexicon.bigrams_with(docs, "words", words, never)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["bigrams_frequent"])
+def test_bigram_queries_sort_no_tokens(spark, sf_dir, name):
+    assert "Window" not in QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_tree(spark):
     rows = [(i, 0, [0] if i < 12 else [], "a" if i % 2 else "b", "X" if i < 12 else "Y") for i in range(30)]
     df = spark.createDataFrame(rows, "seq int, pos int, trace array<int>, f string, tr string")
