@@ -285,7 +285,7 @@ def test_bigrams_of_arrays(spark, monkeypatch, sent):
         assert "Window" not in lexicon.bigrams_with(docs, "words", words, never)._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["bigrams_frequent"])
+@pytest.mark.parametrize("name", ["bigrams_frequent", "unseen_bigrams"])
 def test_bigram_queries_sort_no_tokens(spark, sf_dir, name):
     assert "Window" not in QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
 
