@@ -5,6 +5,7 @@ from collections import Counter
 
 import pytest
 
+from rulewright.operators import learn as learning
 from rulewright.operators.learn import Limits, learn, scored_cells, scored_tally, celled, tallied
 from rulewright.plans.spec import PAD, TaskSchema, Templates
 
@@ -129,3 +130,20 @@ def test_cells_count_as_tallies_do(spark):
     tally = tallied(df, Templates.parse("w => s1 s2\nw s1 => s1", schema))
     shown = lambda x: sorted(map(str, x.select("template", "tokens", "results", "good", "bad", "score").collect()))
     assert shown(scored_cells(celled(tally), 0, -1000)) == shown(scored_tally(tally))
+
+
+@pytest.mark.parametrize("limits", [dict(threshold=0), dict(threshold=1, sized_order=False, redundant="2"), dict(threshold=0, redundant="1")])
+@pytest.mark.parametrize("constrained", [False, True])
+def test_cells_apart_learn_at_once(spark, limits, constrained, monkeypatch):
+    """One template of features: the rules, their order and the samples are those of the loop, which isn't entered."""
+    templates = Templates.parse("w x => st", SCHEMA)
+    df = frame(spark, [*corpus(5, 240), (900, 0, None, "x", "A", "B"), (900, 1, None, "x", "A", "B"), (900, 2, None, "x", "B", "B")][: 240 if limits["threshold"] == 0 else None])
+    bounds = [(("w",), "tr", spark.createDataFrame([("a", ["A", "B"]), ("b", ["C"])], "w string, allowed array<string>"))] if constrained else None
+    some = df.where("w is not null")
+    want, after = learn(some, templates, Limits(batch=1, **limits), constraints=bounds)
+    monkeypatch.setattr(learning._State, "best", None)
+    got, now = learn(df, templates, Limits(**limits), constraints=bounds)
+    assert len(want) > 5
+    assert [(r.values, r.results, r.good, r.bad, r.score) for r in got] == [(r.values, r.results, r.good, r.bad, r.score) for r in want]
+    assert sorted(map(tuple, now.where("w is not null").collect())) == sorted(map(tuple, after.collect()))
+    assert now.columns == df.columns and now.count() == df.count()
