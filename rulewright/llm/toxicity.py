@@ -111,8 +111,11 @@ def ratios(rows: DataFrame, n_other: int, n_toxic: int) -> DataFrame:
 def _fitted(y: np.ndarray, weight: np.ndarray, size: np.ndarray, col: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic regression with a quadratic penalty, by limited-memory BFGS. Rows of ``size`` features each
     (col, end to end) whose values are their ratios."""
-    used, at = np.unique(col, return_inverse=True)
-    at, scale, n_all = at.astype(np.int32), ratio[used], len(ratio)
+    # features are numbered by a table of all of them: sorting their places would take many times the memory of these
+    held = np.zeros(len(ratio), bool)
+    held[col] = True
+    used, at = np.flatnonzero(held), (np.cumsum(held, dtype=np.int32) - np.int32(1))[col]
+    scale, n_all = ratio[used], len(ratio)
     end = np.cumsum(size)
     # rows by slices: what a step needs beside the features themselves is small
     cuts = np.unique([0, *np.searchsorted(end, np.arange(1 << 19, len(at), 1 << 19), "right"), len(y)])
@@ -170,6 +173,7 @@ def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     found = ratios(rows, n_other, n_toxic).toPandas()  # 2**BITS rows at most
     ratio = np.zeros(1 << BITS)
     ratio[found["feature"].to_numpy()] = found["ratio"].to_numpy()
+    del found
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import struct
+import tracemalloc
 import zlib
 
 import fixtures as fx
@@ -608,6 +609,20 @@ def test_toxicity(spark, docs):
     assert toxicity.judged(docs.limit(0), none).count() == 0
 
 
+def test_fit_takes_little_more_memory_than_its_features():
+    """Four million places of few features: numbering them takes no sort, and the fit at most 16 bytes a place."""
+    r = np.random.default_rng(3)
+    size = np.full(1000, 4000)
+    col, ratio = r.integers(0, 1 << 14, size.sum()).astype(np.int32), r.normal(size=1 << 14)
+    y = (np.arange(1000) % 4 == 0).astype(float)
+    tracemalloc.start()
+    weights, _ = toxicity._fitted(y, np.full(1000, 1e-3), size, col, ratio)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 * len(col), peak
+    assert np.all(weights[np.setdiff1d(np.arange(1 << 14), col)] == 0) and np.count_nonzero(weights) > 1 << 13
+
+
 def test_toxicity_features_and_scores_by_brute_force(spark):
     """Ratios are those of counted texts, and scores those of a regression fitted anew by plain gradient steps."""
     r = random.Random(8)
