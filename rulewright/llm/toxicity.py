@@ -3,7 +3,7 @@
 Every labelled text for learning counts, over all its n-grams, in how many toxic and other texts each hashed n-gram stands.
 The scale of a feature is the log of the ratio of these counts to those that would be expected if it told nothing, toxic
 against other; SMOOTH is added to each count. No n-gram is left out. Logistic regression on the scaled features, with equal
-weight for both classes, is fitted to a bounded sample of the same labelled texts.
+weight for both classes, is fitted to a bounded sample of the same labelled texts, in a task.
 """
 
 from __future__ import annotations
@@ -89,7 +89,7 @@ def log_ratio(other: np.ndarray, toxic: np.ndarray, n_other: int, n_toxic: int)
 
 
 def ratios(rows: DataFrame, n_other: int, n_toxic: int) -> DataFrame:
-    """feature and ratio of all n-grams, from counts over all rows."""
+    """part and ratios (packed: features and their ratios) of all n-grams, from counts over all rows."""
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size, sums = (1 << BITS) // PARTS, {}
@@ -102,10 +102,10 @@ def ratios(rows: DataFrame, n_other: int, n_toxic: int) -> DataFrame:
         for part, (other, toxic) in sums.items():
             at = np.flatnonzero(other + toxic)
             ratio = log_ratio(other[at], toxic[at], n_other, n_toxic)
-            yield pa.RecordBatch.from_arrays([pa.array((at + part * size).astype(np.int32)), pa.array(ratio)], ["feature", "ratio"])
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([packed((at + part * size).astype(np.int32), ratio)], pa.binary())], ["part", "ratios"])
 
     counts = rows.select("text", "toxic").mapInArrow(_counted, "part int, counts binary")
-    return counts.repartition(PARTS, "part").mapInArrow(summed, "feature int, ratio double")
+    return counts.repartition(PARTS, "part").mapInArrow(summed, "part int, ratios binary")
 
 
 def _fitted(y: np.ndarray, weight: np.ndarray, size: np.ndarray, col: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, float]:
@@ -170,11 +170,6 @@ def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     weights = np.zeros(1 << BITS, np.float32)
     if not n_other or not n_toxic:
         return weights, math.log((n_toxic + 0.5) / (n_other + 1))
-    found = ratios(rows, n_other, n_toxic).toPandas()  # 2**BITS rows at most
-    ratio = np.zeros(1 << BITS)
-    ratio[found["feature"].to_numpy()] = found["ratio"].to_numpy()
-    del found
-
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             blobs = [packed(np.diff(grams(x.as_py()), prepend=np.int32(0))) for x in b.column(0)]
@@ -183,22 +178,43 @@ def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     place = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
     share = F.when(F.col("toxic") == 1, F.lit(int(min(1.0, FIT_ROWS / 4 / n_toxic) * (1 << 30)))).otherwise(F.lit(int(min(1.0, FIT_ROWS * 3 / 4 / n_other) * (1 << 30))))
     sample = rows.withColumn("place", place).where(F.col("place") < share).select("text", "toxic", "place")
-    toxic, sets, held = [], [], 0
-    for r in sample.mapInArrow(features, "toxic int, place long, grams binary").orderBy("place", "toxic", "grams").limit(2 * FIT_ROWS).toLocalIterator():
-        step = unpacked(bytes(r["grams"]), np.int32)[0]
+    # the ratios come before all texts
+    parts = ratios(rows, n_other, n_toxic).select(F.col("part").alias("toxic"), F.lit(-1).cast("long").alias("place"), F.col("ratios").alias("grams"))
+    texts = sample.mapInArrow(features, "toxic int, place long, grams binary")
+    first = parts.unionByName(texts).orderBy("place", "toxic", "grams").limit(PARTS + 2 * FIT_ROWS)
+    found = first.mapInArrow(_model, "weights binary, bias double").first()
+    if found is None:
+        return weights, math.log((n_toxic + 0.5) / (n_other + 1))
+    at, w = unpacked(bytes(found["weights"]), np.int32, np.float32)
+    weights[at] = w
+    return weights, found["bias"]
+
+
+def _model(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model from rows in order: all ratios (place -1), then the n-grams of the texts to fit to, a bounded number. The fit is a
+    task's work, so that the driver holds nothing but the model."""
+    ratio, toxic, sets, held = np.zeros(1 << BITS), [], [], 0
+    for kind, place, blob in ((k, p, x) for b in batches for k, p, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2))):
+        if place < 0:
+            at, own = unpacked(blob.as_py(), np.int32, float)
+            ratio[at] = own
+            continue
+        step = unpacked(blob.as_py(), np.int32)[0]
         held += len(step)
         if held > FIT_GRAMS and len(set(toxic)) == 2:
             break
-        toxic.append(r["toxic"])
+        toxic.append(kind)
         sets.append(np.cumsum(step, dtype=np.int32))
     y, size = np.array(toxic, float), np.array([len(x) for x in sets])
     if not 0 < y.sum() < len(y):
-        return weights, math.log((n_toxic + 0.5) / (n_other + 1))
+        return
     weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
     col = np.concatenate([*sets, np.zeros(0, np.int32)])
     del sets
     w, bias = _fitted(y, weight, size, col, ratio)
-    return (w * ratio).astype(np.float32), bias
+    w = (w * ratio).astype(np.float32)
+    at = np.flatnonzero(w).astype(np.int32)
+    yield pa.RecordBatch.from_arrays([pa.array([packed(at, w[at])], pa.binary()), pa.array([bias])], ["weights", "bias"])
 
 
 def _scores(sent):

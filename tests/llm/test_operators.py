@@ -609,6 +609,16 @@ def test_toxicity(spark, docs):
     assert toxicity.judged(docs.limit(0), none).count() == 0
 
 
+def test_toxicity_is_fitted_in_a_task(spark, monkeypatch):
+    """The driver, whose memory the pipeline's stages share, gets neither the ratios nor the texts' features, only the model."""
+    rows = [(i, fx.prose(i, 20) + (" blorgous vextly" if i % 4 == 0 else ""), "en") for i in range(200)]
+    table = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "_fitted", None)  # tasks import their own
+    monkeypatch.setattr(type(spark.range(1)), "toPandas", None)
+    weights, _ = toxicity.trained(fx.documents(spark, rows), table)
+    assert np.count_nonzero(weights) > 50
+
+
 def test_fit_takes_little_more_memory_than_its_features():
     """Four million places of few features: numbering them takes no sort, and the fit at most 16 bytes a place."""
     r = np.random.default_rng(3)
