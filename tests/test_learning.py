@@ -121,6 +121,14 @@ def test_learner_with_neighbours(spark, limits):
     assert [(number(r), r.values, r.results[0], r.score) for r in rules] == Plain(rows, templates).learn(limits)
 
 
+def test_rows_without_a_sequence_change_the_tally(spark):
+    """They are one sequence, whose rows see each other: rules are those of the same rows under an id."""
+    templates, rows = Templates.parse(NEAR, SCHEMA), [(0, i, *r[2:]) for i, r in enumerate(corpus(5, 40))]
+    want, _ = learn(frame(spark, rows), templates, Limits(threshold=1))
+    got, none = learn(frame(spark, [(None, *r[1:]) for r in rows]), templates, Limits(threshold=1), samples=False)
+    assert got == want and len(want) > 2 and none is None
+
+
 def test_cells_count_as_tallies_do(spark):
     """Also with several truths and several targets."""
     schema = TaskSchema.parse("w s1 s2 => t1 t2", "|")
