@@ -121,6 +121,16 @@ def test_learner_with_neighbours(spark, limits):
     assert [(number(r), r.values, r.results[0], r.score) for r in rules] == Plain(rows, templates).learn(limits)
 
 
+def test_rules_that_touch_each_other_are_tried_alone(spark, monkeypatch):
+    """Where only the first of two stays the best, most turns take one rule and check nothing; rules are the same."""
+    calls, templates = [], Templates.parse(OWN, SCHEMA)
+    monkeypatch.setattr(learning._State, "verified", lambda self, rules, delta: calls.append(1) or 1)
+    rules, _ = learn(frame(spark, corpus(3, 80)), templates, Limits(threshold=0, max_rules=8), samples=False)
+    want = Plain(corpus(3, 80), templates).learn(Limits(threshold=0))[:8]
+    assert [(r.values, r.results[0], r.score) for r in rules] == [x[1:] for x in want] and len(rules) == 8
+    assert len(calls) <= 4
+
+
 def test_rows_without_a_sequence_change_the_tally(spark):
     """They are one sequence, whose rows see each other: rules are those of the same rows under an id."""
     templates, rows = Templates.parse(NEAR, SCHEMA), [(0, i, *r[2:]) for i, r in enumerate(corpus(5, 40))]
